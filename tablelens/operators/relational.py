@@ -3,9 +3,9 @@
 All of these are compositions of DataFrame operators.  Two scale rules apply
 throughout:
 
-* a "whole result" aggregate (share of total) is computed as a distributed
-  global aggregate and attached as a scalar subquery, never by moving every
-  group into one window partition;
+* a "whole result" aggregate (share of total) only uses a whole-frame window
+  over a grouped frame with a bounded key domain; otherwise it is a
+  distributed global aggregate attached as a scalar subquery;
 * ranking windows are always partitioned by a key, and top-k uses
   ``orderBy().limit()`` which Spark plans as a per-partition top-k plus a
   merge (TakeOrderedAndProject) instead of a full sort.
@@ -25,13 +25,26 @@ def _cols(names: Sequence[str] | str) -> list[str]:
     return [names] if isinstance(names, str) else list(names)
 
 
-def share_of_total(df: DataFrame, measure: str, alias: str = "share_pct", digits: int = 2) -> DataFrame:
+def share_of_total(
+    df: DataFrame,
+    measure: str,
+    alias: str = "share_pct",
+    digits: int = 2,
+    few_groups: bool = False,
+) -> DataFrame:
     """Add ``round(measure / sum(measure) * 100, digits)``.
 
-    The grand total is a global aggregate with map-side partial sums, attached
-    as a scalar subquery; rows never move to a single partition.
+    ``few_groups=True`` is for an already aggregated frame whose row count is
+    bounded by a small key domain (categories, months): the total is a window
+    over the whole frame, so the input is evaluated once and only the grouped
+    rows meet in one partition.  Otherwise the total is a distributed global
+    aggregate attached as a scalar subquery, so no row moves to a single task
+    (the input is evaluated twice; checkpoint it first if it is costly).
     """
-    total = df.agg(F.sum(qcol(measure)).alias("__total")).scalar()
+    if few_groups:
+        total = F.sum(qcol(measure)).over(Window.partitionBy())
+    else:
+        total = df.agg(F.sum(qcol(measure)).alias("__total")).scalar()
     return df.withColumn(
         alias, F.round(F.try_divide(qcol(measure), total) * F.lit(100.0), digits)
     )

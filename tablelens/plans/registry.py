@@ -189,4 +189,3 @@ def q_top_group_in_period(spark, sf_dir):
         df, "n_name", "o_totalprice", "o_orderdate", "1998-10-01", "1999-01-01", k=1,
         key_alias="nation", measure_alias="spend",
     )
-FLAGSHIP = "revenue_by_category_share"

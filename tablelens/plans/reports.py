@@ -65,7 +65,9 @@ def revenue_by_category_share(
         F.sum(qcol(amount_col)).alias("__revenue"),
         F.avg(qcol(amount_col)).alias("__avg"),
     )
-    out = share_of_total(agg, "__revenue", alias="revenue_share_pct", digits=digits)
+    # one row per category: the total is a window over the grouped rows
+    out = share_of_total(agg, "__revenue", alias="revenue_share_pct", digits=digits,
+                         few_groups=True)
     return out.select(
         "category",
         "total_orders",
