@@ -8,12 +8,12 @@ columns:
 2. ``exact_quantiles``: exact quartiles of all numeric columns together
    (checkpointed: one row per numeric column);
 3. one aggregate counting values outside the IQR fences of every numeric
-   column, the fences attached once as a scalar subquery;
+   column (the fences, two numbers per column, are inlined as literals);
 4. one grouping by all columns for duplicate rows.
 
-The checkpointed frames are tiny and cut lineage, so later steps never
-re-scan the table; they are written to the cluster's ``spark.checkpoint.dir``
-and survive the loss of executors.
+The materialised frames are tiny and cut lineage, so later steps never
+re-scan the table; they are written as tables below the cluster's
+``spark.checkpoint.dir`` and survive the loss of executors.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tablelens.functions.columns import normalized, numeric_columns, union_all_names
 from tablelens.operators.quantiles import approx_quantiles, exact_quantiles
 from tablelens.operators.stats import column_stats, groupable_columns
-from tablelens.session import ensure_checkpoint_dir
+from tablelens.session import materialize
 
 ANOMALY_FIELDS = (
     "table string, column string, anomaly_type string, severity string, "
@@ -53,11 +53,10 @@ QUARTILES = (0.25, 0.75)
 
 
 def _materialize(df: DataFrame, checkpoint: bool) -> DataFrame:
-    """Reliable checkpoint of a small frame (cuts lineage, survives executor loss)."""
+    """Write a small frame to the shared checkpoint folder (cuts lineage)."""
     if not checkpoint:
         return df
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return materialize(df)
 
 
 def _ranked(table: str, column: Column, kind: str, severity: Column, description: Column,
@@ -120,9 +119,8 @@ def check_duplicates(df: DataFrame, table: str) -> DataFrame:
 def outlier_counts(df: DataFrame, quartiles: DataFrame, columns: list[str]) -> DataFrame:
     """Per numeric column: ``n, q1, q3, lower, upper, outliers`` (one scan).
 
-    The fences of all columns are attached once as a scalar subquery over
-    the (small, checkpointed) quartile frame; the count is strict: values
-    below ``lower`` or above ``upper``.
+    The fences of all columns come from the (small, materialised) quartile
+    frame; the count is strict: values below ``lower`` or above ``upper``.
     """
     fences = quartiles.select(
         "pos", "column", "n",
@@ -134,29 +132,22 @@ def outlier_counts(df: DataFrame, quartiles: DataFrame, columns: list[str]) -> D
     )
     if not columns:
         return fences.withColumn("outliers", F.lit(None).cast("bigint"))
-    m = fences.agg(
-        F.map_from_entries(
-            F.collect_list(F.struct("column", F.struct("lower", "upper")))
-        ).alias("m")
-    ).scalar()
+    # the fences are two numbers per column (bounded by the schema): inline
+    # them as literals so the counting scan stays in whole-stage codegen
+    fence = {r["column"]: (r["lower"], r["upper"]) for r in fences.select("column", "lower", "upper").collect()}
     projected = df.select(
-        *[normalized(df, c).cast("double").alias(f"__c{k}") for k, c in enumerate(columns)],
-        m.alias("__m"),
+        *[normalized(df, c).cast("double").alias(f"__c{k}") for k, c in enumerate(columns)]
     )
-    counts = projected.agg(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(c).alias("column"),
-                    F.count_if(
-                        (F.col(f"__c{k}") < F.col("__m")[F.lit(c)]["lower"])
-                        | (F.col(f"__c{k}") > F.col("__m")[F.lit(c)]["upper"])
-                    ).alias("outliers"),
-                )
-                for k, c in enumerate(columns)
-            ]
-        ).alias("__a")
-    ).select(F.inline("__a"))
+    items = []
+    for k, c in enumerate(columns):
+        lo, hi = fence.get(c, (None, None))
+        x = F.col(f"__c{k}")
+        if lo is None or hi is None:
+            cnt = F.lit(None).cast("bigint")
+        else:
+            cnt = F.count_if((x < F.lit(float(lo))) | (x > F.lit(float(hi))))
+        items.append(F.struct(F.lit(c).alias("column"), cnt.alias("outliers")))
+    counts = projected.agg(F.array(*items).alias("__a")).select(F.inline("__a"))
     # both sides have one row per numeric column
     return fences.join(F.broadcast(counts), "column", "left")
 

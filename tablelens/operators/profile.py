@@ -143,63 +143,48 @@ def histograms(
 ) -> DataFrame:
     """Rows ``(column, bin, lo, hi, count)`` with exactly ``bins`` bins per column.
 
-    Two scans for all columns together: a min/max aggregate (attached once as
-    a scalar subquery) and a grouped count on ``(column, bin)`` after
-    unpivoting, which map-side aggregation reduces to ``columns x bins`` rows
-    per task.  The maximum falls in the last bin; a constant column has all
-    values in bin 0.  Empty bins are reported with count 0.
+    Two scans for all columns together: a min/max aggregate, whose result
+    (two numbers per column) is inlined as literals, and a grouped count on
+    ``(column, bin)`` after unpivoting, which the map-side partial aggregate
+    reduces to at most ``columns x bins`` rows per task.  The maximum falls
+    in the last bin; a constant column has all values in bin 0.  Empty bins
+    are reported with count 0.
     """
     cols = list(columns) if columns is not None else numeric_columns(df)[: int(max_cols)]
     spark = df.sparkSession
+    schema = "column string, bin int, lo double, hi double, count bigint"
     if not cols:
-        return spark.createDataFrame([], "column string, bin int, lo double, hi double, count bigint")
+        return spark.createDataFrame([], schema)
     bins = int(bins)
-    ranges = df.agg(
-        *[
-            F.struct(
-                F.min(normalized(df, c).cast("double")).alias("lo"),
-                F.max(normalized(df, c).cast("double")).alias("hi"),
-            ).alias(f"r{k}")
-            for k, c in enumerate(cols)
-        ]
-    )
-    r = ranges.select(F.struct(*[F.col(f"r{k}") for k in range(len(cols))]).alias("s")).scalar()
-    projected = df.select(
-        *[normalized(df, c).cast("double").alias(f"__c{k}") for k, c in enumerate(cols)],
-        r.alias("__r"),
-    )
+    values = [normalized(df, c).cast("double").alias(f"__c{k}") for k, c in enumerate(cols)]
+    projected = df.select(*values)
+    r = projected.agg(
+        *[F.min(f"__c{k}").alias(f"lo{k}") for k in range(len(cols))],
+        *[F.max(f"__c{k}").alias(f"hi{k}") for k in range(len(cols))],
+    ).collect()[0]
     entries = []
+    frame_rows = []
     for k, c in enumerate(cols):
+        lo, hi = r[f"lo{k}"], r[f"hi{k}"]
+        if lo is None:
+            continue
         x = F.col(f"__c{k}")
-        lo = F.col("__r")[f"r{k}"]["lo"]
-        hi = F.col("__r")[f"r{k}"]["hi"]
-        width = hi - lo
-        b = F.when(width == 0, F.lit(0)).otherwise(
-            F.least(F.floor((x - lo) / width * bins), F.lit(bins - 1))
-        )
+        if hi == lo:
+            b = F.lit(0)
+        else:
+            b = F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * bins), F.lit(bins - 1))
         entries.append(F.when(x.isNotNull(), F.struct(F.lit(k).alias("k"), b.cast("int").alias("bin"))))
+        frame_rows.append((k, c, float(lo), float(hi)))
+    if not entries:
+        return spark.createDataFrame([], schema)
     counts = (
-        projected.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
+        projected.select(F.explode(F.array(*entries)).alias("e"))
+        .filter(F.col("e").isNotNull())
         .groupBy("e.k", "e.bin")
         .agg(F.count(F.lit(1)).alias("count"))
     )
-    # bin frame: columns x bins rows, derived from the data's ranges
-    frame = ranges.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(k).alias("k"),
-                        F.lit(c).alias("column"),
-                        F.col(f"r{k}.lo").alias("rlo"),
-                        F.col(f"r{k}.hi").alias("rhi"),
-                    )
-                    for k, c in enumerate(cols)
-                ]
-            )
-        )
-    ).filter(F.col("rlo").isNotNull())
-    frame = frame.select(
+    # columns x bins rows, built from the measured ranges
+    frame = spark.createDataFrame(frame_rows, "k int, column string, rlo double, rhi double").select(
         "k", "column", "rlo", "rhi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
     )
     width = (F.col("rhi") - F.col("rlo")) / bins

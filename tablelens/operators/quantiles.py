@@ -10,9 +10,10 @@ column at scale.  ``exact_quantiles`` instead uses two passes:
    ``p - 3/accuracy`` and ``p + 3/accuracy``, which brackets the exact ranks
    (Spark guarantees a rank error of at most ``n / accuracy``).  Columns with
    fewer than ``accuracy`` values use ``[min, max]`` as bracket.
-2. one scan that emits, per column and probability, a "below the bracket"
-   marker or the value itself when it falls inside the bracket; a partial
-   aggregate on ``(column, p, value)`` collapses both before the shuffle.
+2. one scan with one grouped aggregate whose key is, per column and
+   probability, the value if it falls inside the bracket (else null), and
+   whose aggregates count the values below each bracket; nearly all rows
+   share the all-null key and collapse in the map-side partial aggregate.
    A running sum over the (few) bracket values of one column then gives
    their exact ranks, and the two values around ``h = (n - 1) * p`` are
    interpolated linearly (the same rule as DuckDB ``quantile_cont`` and
@@ -77,43 +78,63 @@ def exact_quantiles(
         return spark.createDataFrame([], QUANTILE_FIELDS)
     mine = stats.filter(F.col("column").isin(cols))
 
-    bounds_src = mine.select(
-        "column",
-        F.struct(
-            F.when(F.col("non_null") < accuracy, F.col("min")).alias("small_lo"),
-            F.when(F.col("non_null") < accuracy, F.col("max")).alias("small_hi"),
-            "sketch",
-        ).alias("b"),
-    )
-    bounds = bounds_src.agg(
-        F.map_from_entries(F.collect_list(F.struct("column", "b"))).alias("m")
-    ).scalar()
-
-    projected = df.select(
-        *[normalized(df, name).cast("double").alias(f"__c{k}") for k, name in enumerate(cols)],
-        bounds.alias("__b"),
-    )
-    marks = []
+    # Bracket bounds: a few numbers per column (bounded by the schema, not by
+    # the data) are fetched from the small stats frame and inlined as
+    # literals, which keeps the scan below inside whole-stage codegen.
+    info = {
+        r["column"]: r
+        for r in mine.select("column", "non_null", "min", "max", "sketch").collect()
+    }
+    projected_cols = []
     for k, name in enumerate(cols):
+        projected_cols.append(normalized(df, name).cast("double").alias(f"__c{k}"))
+    projected = df.select(*projected_cols)
+
+    def bracket(name: str, j: int) -> tuple[float | None, float | None]:
+        r = info.get(name)
+        if r is None or not r["non_null"]:
+            return None, None
+        if r["non_null"] < accuracy or r["sketch"] is None:
+            return r["min"], r["max"]
+        return r["sketch"][2 * j], r["sketch"][2 * j + 1]
+
+    # One codegen'd grouped aggregate over the scan: the key holds, per
+    # (column, p), the value if it lies inside the bracket, else null; the
+    # aggregates count rows and values below each bracket.  Almost every row
+    # has the all-null key, which the partial aggregate collapses map-side,
+    # so only bracket values (about 6/accuracy of them) are shuffled.
+    kj = [(k, j) for k in range(len(cols)) for j in range(len(probs))]
+    keys = []
+    below_aggs = []
+    for k, j in kj:
         c = F.col(f"__c{k}")
-        b = F.col("__b")[F.lit(name)]
-        for j in range(len(probs)):
-            lo = F.coalesce(b["small_lo"], b["sketch"][2 * j])
-            hi = F.coalesce(b["small_hi"], b["sketch"][2 * j + 1])
-            marks.append(
-                F.when(
-                    c < lo,
-                    F.struct(F.lit(name).alias("column"), F.lit(j).alias("j"),
-                             F.lit(None).cast("double").alias("v")),
-                ).when(
-                    c <= hi,
-                    F.struct(F.lit(name).alias("column"), F.lit(j).alias("j"), c.alias("v")),
-                )
-            )
-    exploded = projected.select(
-        F.explode(F.filter(F.array(*marks), lambda x: x.isNotNull())).alias("m")
-    ).select("m.column", "m.j", "m.v")
-    counts = exploded.groupBy("column", "j", "v").agg(F.count(F.lit(1)).alias("cnt"))
+        lo, hi = bracket(cols[k], j)
+        if lo is None:
+            keys.append(F.lit(None).cast("double").alias(f"v_{k}_{j}"))
+            below_aggs.append(F.lit(0).cast("long").alias(f"b_{k}_{j}"))
+            continue
+        inside = (c >= F.lit(float(lo))) & (c <= F.lit(float(hi)))
+        keys.append(F.when(inside, c).alias(f"v_{k}_{j}"))
+        below_aggs.append(F.count_if(c < F.lit(float(lo))).alias(f"b_{k}_{j}"))
+    grouped = projected.groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt"), *below_aggs)
+    # small from here on: unpivot to (column, j, v, cnt); v = null carries
+    # the count below the bracket
+    entries = []
+    for k, j in kj:
+        v = F.col(f"v_{k}_{j}")
+        entries.append(F.when(v.isNotNull(), F.struct(
+            F.lit(k).alias("k"), F.lit(j).alias("j"), v.alias("v"), F.col("cnt").alias("cnt"))))
+        entries.append(F.when(F.col(f"b_{k}_{j}") > 0, F.struct(
+            F.lit(k).alias("k"), F.lit(j).alias("j"), F.lit(None).cast("double").alias("v"),
+            F.col(f"b_{k}_{j}").alias("cnt"))))
+    names = F.array(*[F.lit(n) for n in cols])
+    counts = (
+        grouped.select(F.explode(F.array(*entries)).alias("m"))
+        .filter(F.col("m").isNotNull())
+        .groupBy("m.k", "m.j", "m.v")
+        .agg(F.sum("m.cnt").alias("cnt"))
+        .select(names[F.col("k")].alias("column"), "j", "v", "cnt")
+    )
 
     # one row per column: bounded by the schema, safe to broadcast
     n_by_col = F.broadcast(mine.select("column", F.col("non_null").alias("n")))

@@ -1,7 +1,7 @@
 """Single-pass per-column statistics.
 
-``column_stats`` computes, for every column of a table, in **one** aggregate
-over one scan: row count, non-null count (NaN counts as missing, rule N1),
+``column_stats`` computes, for every column of a table, in one aggregate
+over one scan (plus a second one for exact distinct counts): row count, non-null count (NaN counts as missing, rule N1),
 exact or approximate distinct count, a sample value, numeric min / max /
 mean, and optionally a quantile sketch.  The wide one-row aggregate is then
 unpivoted with ``inline(array(struct...))`` to one row per column, so the
@@ -10,10 +10,10 @@ output size is bounded by the number of columns, never by the data.
 Scale notes
 * Everything except exact distinct counts is a fixed-size aggregation
   buffer per column, merged map-side: no shuffle of data at all.
-* Exact distinct counts are planned by Catalyst with one ``Expand`` branch
-  per column and a partial aggregate on ``(branch, value)`` before the
-  shuffle, so repeated values (even one value in a third of all rows) are
-  collapsed on the map side.  ``distinct="approx"`` switches to HyperLogLog++
+* Exact distinct counts are a second aggregate over the same columns,
+  planned by Catalyst with one ``Expand`` branch per column and a partial
+  hash aggregate on ``(branch, value)`` before the shuffle, so repeated
+  values (even one value in a third of all rows) collapse map-side.  ``distinct="approx"`` switches to HyperLogLog++
   (no data shuffle) for very wide tables.
 """
 
@@ -106,9 +106,7 @@ def column_stats(
         f = df.schema[name]
         c = normalized(df, name)
         numeric = is_numeric_type(f.dataType)
-        if distinct == "exact":
-            uniq = F.count_distinct(groupable(df, name))
-        elif distinct == "approx":
+        if distinct == "approx":
             uniq = F.approx_count_distinct(groupable(df, name), rsd)
         else:
             uniq = F.lit(None).cast("bigint")
@@ -149,7 +147,26 @@ def column_stats(
     if not structs:
         return df.sparkSession.createDataFrame([], STATS_FIELDS)
     wide = df.agg(*structs)
-    return wide.select(F.inline(F.array(*[F.col(f"__s{i}") for i in range(len(names))])))
+    out = wide.select(F.inline(F.array(*[F.col(f"__s{i}") for i in range(len(names))])))
+    if distinct != "exact":
+        return out
+    # Exact distinct counts run as their own aggregate: Catalyst expands each
+    # row once per column and hash-aggregates on (column, value).  Kept apart
+    # from the sample values, whose string buffers would turn the expanded
+    # aggregate into a sort-based one.
+    dist = df.agg(
+        F.array(
+            *[
+                F.struct(F.lit(i).cast("int").alias("pos"),
+                         F.count_distinct(groupable(df, name)).alias("__u"))
+                for i, name in enumerate(names)
+            ]
+        ).alias("__d")
+    ).select(F.inline("__d"))
+    # both sides have one row per column
+    fields = [f.split()[0] for f in STATS_FIELDS.split(", ")]
+    joined = out.join(F.broadcast(dist), "pos")
+    return joined.select(*[F.col("__u").alias("unique") if f == "unique" else F.col(f) for f in fields])
 
 
 def float_columns(df: DataFrame) -> list[str]:

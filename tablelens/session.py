@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the library relies on for correct results.
 #  * UTC session time zone: ``timestamp_ntz`` columns truncated with
@@ -81,3 +82,16 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A folder below the checkpoint root for small materialised tables."""
     root = ensure_checkpoint_dir(spark)
     return os.path.join(root.rstrip("/"), "tablelens", name)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a (small) frame as a table below the checkpoint root and read it back.
+
+    One job computes and writes the frame; the returned DataFrame reads the
+    written files, so its lineage is cut and it survives the loss of
+    executors.  ``DataFrame.checkpoint(eager=True)`` would compute the plan
+    twice (once to count, once to write), which this avoids.
+    """
+    path = shared_dir(df.sparkSession, f"mat-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
