@@ -4,21 +4,22 @@ Per table the detector runs at most four scans, whatever the number of
 columns:
 
 1. ``column_stats``: null counts, min / max and a quantile sketch for every
-   column in one aggregate (checkpointed: one row per column);
+   column in one aggregate (kept: one row per column);
 2. ``exact_quantiles``: exact quartiles of all numeric columns together
-   (checkpointed: one row per numeric column);
+   (kept: one row per numeric column);
 3. one aggregate counting values outside the IQR fences of every numeric
    column (the fences, two numbers per column, are inlined as literals);
 4. one grouping by all columns for duplicate rows.
 
-The materialised frames are tiny and cut lineage, so later steps never
-re-scan the table; they are written as tables below the cluster's
-``spark.checkpoint.dir`` and survive the loss of executors.
+The kept frames have one row per column, whatever the table size; they are
+held as local relations, which cuts their lineage, so later steps never
+re-scan the table for them and an executor loss cannot force a recompute.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,6 @@ from pyspark.sql import functions as F
 from tablelens.functions.columns import normalized, numeric_columns, union_all_names
 from tablelens.operators.quantiles import approx_quantiles, exact_quantiles
 from tablelens.operators.stats import column_stats, groupable_columns
-from tablelens.session import materialize
 
 ANOMALY_FIELDS = (
     "table string, column string, anomaly_type string, severity string, "
@@ -53,10 +53,15 @@ QUARTILES = (0.25, 0.75)
 
 
 def _materialize(df: DataFrame, checkpoint: bool) -> DataFrame:
-    """Write a small frame to the shared checkpoint folder (cuts lineage)."""
+    """Compute a per-column summary once and keep it as a local relation.
+
+    The frame has one row per column (bounded by the schema, not the data);
+    holding it on the driver cuts its lineage to the table, so later steps
+    never re-scan, and the next scan's bounds are read from it directly.
+    """
     if not checkpoint:
         return df
-    return materialize(df)
+    return df.sparkSession.createDataFrame(df.collect(), schema=df.schema)
 
 
 def _ranked(table: str, column: Column, kind: str, severity: Column, description: Column,
@@ -246,12 +251,20 @@ def severity_rank(c: Column) -> Column:
     return F.when(c == "high", 0).when(c == "medium", 1).when(c == "low", 2).otherwise(3)
 
 
+def detect_many(tables: Mapping[str, DataFrame], **kw) -> list[DataFrame]:
+    """``detect_ranked`` for several tables, each table's jobs submitted from
+    its own thread so that independent tables share the cluster."""
+    items = list(tables.items())
+    if len(items) <= 1:
+        return [detect_ranked(df, name, **kw) for name, df in items]
+    with ThreadPoolExecutor(max_workers=min(len(items), 8)) as pool:
+        return list(pool.map(lambda it: detect_ranked(it[1], it[0], **kw), items))
+
+
 def anomaly_report(tables: Mapping[str, DataFrame], **kw) -> DataFrame:
     """D5 for every table, sorted high -> medium -> low, then table order,
     check order and column position (a stable order)."""
-    parts = []
-    for t_pos, (name, df) in enumerate(tables.items()):
-        parts.append(detect_ranked(df, name, **kw).withColumn("__t", F.lit(t_pos)))
+    parts = [p.withColumn("__t", F.lit(i)) for i, p in enumerate(detect_many(tables, **kw))]
     if not parts:
         return _empty_report()
     rep = union_all_names(parts)

@@ -189,8 +189,8 @@ def sql_detect(inputs: list[Input], checks: tuple[str, ...]) -> str:
 
 def spark_detect(spark, sf_dir, inputs: list[Input], checks: tuple[str, ...], **kw) -> DataFrame:
     tables = {inp.name: inp.df(spark, sf_dir) for inp in inputs}
-    parts = [anomaly.detect(df, name, checks=checks, **kw) for name, df in tables.items()]
-    return union_reports(*parts)
+    parts = anomaly.detect_many(tables, checks=checks, **kw)
+    return union_reports(*parts).orderBy("table", "check_no", "col_pos").drop("check_no", "col_pos")
 
 
 # ---------------------------------------------------------------------------

@@ -41,6 +41,8 @@ def get_session(
     conf = dict(REQUIRED_CONF)
     conf.setdefault("spark.ui.enabled", "false")
     conf.setdefault("spark.sql.execution.arrow.pyspark.enabled", "true")
+    # no per-call origin capture when building wide expression lists
+    conf.setdefault("spark.python.sql.dataFrameDebugging.enabled", "false")
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra_conf or {})
