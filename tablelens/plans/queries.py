@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablelens.plans import quality_queries, surface_queries  # noqa: F401  (register entries)
+from tablelens.plans import quality_queries, source_queries, surface_queries  # noqa: F401
 from tablelens.plans import registry
 
 QUERIES = registry.QUERIES

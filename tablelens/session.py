@@ -97,3 +97,19 @@ def materialize(df: DataFrame) -> DataFrame:
     path = shared_dir(df.sparkSession, f"mat-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def local_path(path: str) -> str:
+    """A POSIX path for Python-side file I/O (workbooks, SQLite files).
+
+    ``file:`` URIs are unwrapped; other schemes (hdfs://, s3://) cannot be
+    opened by the standard library, so such readers need a folder mounted on
+    every executor.
+    """
+    if path.startswith("file://"):
+        return path[len("file://"):]
+    if path.startswith("file:"):
+        return path[len("file:"):]
+    if "://" in path:
+        raise ValueError(f"needs a mounted POSIX path, got {path}")
+    return path
