@@ -82,3 +82,20 @@ def q_sqlite_customer(spark, sf_dir):
     out_dir = local_path(_scratch(spark, "sqlite"))
     sqlite.write_sqlite(c, out_dir, "customer").collect()  # one path per file
     return sqlite.read_sqlite(spark, f"{out_dir}/*.sqlite", "customer", rows_per_partition=500)
+
+
+@register("stream_event_anomalies")
+def q_stream_event_anomalies(spark, sf_dir):
+    """Anomaly checks of the events table arriving as a file stream, two
+    files per micro-batch; the per-batch reports are read back (rows only:
+    batch boundaries depend on file order)."""
+    from tablelens.streaming.monitor import monitor_files, read_reports
+
+    ev = table(spark, sf_dir, "events")
+    src = _scratch(spark, "stream-src")
+    ev.repartition(4).write.mode("overwrite").parquet(src)
+    report = _scratch(spark, "stream-report")
+    q = monitor_files(spark, src, ev.schema, "events", report, _scratch(spark, "stream-ckpt"),
+                      max_files_per_trigger=2)
+    q.awaitTermination()
+    return read_reports(spark, report)
