@@ -91,6 +91,34 @@ def qcol(name: str) -> Column:
     return F.col(_quote(name))
 
 
+def sql_ident(name: str) -> str:
+    """A column name as quoted SQL identifier."""
+    return _quote(name)
+
+
+def sql_str(value: str) -> str:
+    """A Python string as SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_double(x: float) -> str:
+    """A float as an exact SQL DOUBLE literal (round-trips through repr)."""
+    x = float(x)
+    if x != x:
+        return "CAST('NaN' AS DOUBLE)"
+    if x in (float("inf"), float("-inf")):
+        return f"CAST('{'-' if x < 0 else ''}Infinity' AS DOUBLE)"
+    return f"{x!r}D" if x >= 0 else f"({x!r}D)"
+
+
+def normalized_sql(df: DataFrame, name: str) -> str:
+    """SQL text of ``normalized``: NaN -> null for float columns."""
+    c = _quote(name)
+    if is_float_type(df.schema[name].dataType):
+        return f"CASE WHEN NOT isnan({c}) THEN {c} END"
+    return c
+
+
 # --------------------------------------------------------------------------
 # Filters (P3, P5)
 # --------------------------------------------------------------------------

@@ -24,7 +24,13 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.functions.columns import normalized, numeric_columns, union_all_names
+from tablelens.functions.columns import (
+    normalized_sql,
+    numeric_columns,
+    sql_double,
+    sql_str,
+    union_all_names,
+)
 from tablelens.operators.quantiles import approx_quantiles, exact_quantiles
 from tablelens.operators.stats import column_stats, groupable_columns
 
@@ -141,18 +147,18 @@ def outlier_counts(df: DataFrame, quartiles: DataFrame, columns: list[str]) -> D
     # them as literals so the counting scan stays in whole-stage codegen
     fence = {r["column"]: (r["lower"], r["upper"]) for r in fences.select("column", "lower", "upper").collect()}
     projected = df.select(
-        *[normalized(df, c).cast("double").alias(f"__c{k}") for k, c in enumerate(columns)]
+        *[F.expr(f"CAST({normalized_sql(df, c)} AS DOUBLE)").alias(f"__c{k}") for k, c in enumerate(columns)]
     )
     items = []
     for k, c in enumerate(columns):
         lo, hi = fence.get(c, (None, None))
-        x = F.col(f"__c{k}")
+        x = f"__c{k}"
         if lo is None or hi is None:
-            cnt = F.lit(None).cast("bigint")
+            cnt = "CAST(NULL AS BIGINT)"
         else:
-            cnt = F.count_if((x < F.lit(float(lo))) | (x > F.lit(float(hi))))
-        items.append(F.struct(F.lit(c).alias("column"), cnt.alias("outliers")))
-    counts = projected.agg(F.array(*items).alias("__a")).select(F.inline("__a"))
+            cnt = f"count_if({x} < {sql_double(lo)} OR {x} > {sql_double(hi)})"
+        items.append(f"named_struct('column', {sql_str(c)}, 'outliers', {cnt})")
+    counts = projected.agg(F.expr(f"array({', '.join(items)})").alias("__a")).selectExpr("inline(__a)")
     # both sides have one row per numeric column
     return fences.join(F.broadcast(counts), "column", "left")
 
@@ -213,30 +219,38 @@ def detect_ranked(
     need_stats = {"nulls", "outliers", "zero_variance"} & set(checks)
     parts = []
     stats = None
-    if need_stats:
-        stats = column_stats(
-            df,
-            distinct=None,
-            sample=False,
-            sketch_probs=QUARTILES if ("outliers" in checks and method == "exact") else None,
-            accuracy=accuracy,
-        )
-        stats = _materialize(stats, checkpoint)
-    if "nulls" in checks:
-        parts.append(check_nulls(stats, table))
-    if "duplicates" in checks:
-        parts.append(check_duplicates(df, table))
-    if "outliers" in checks and num:
-        if method == "exact":
-            q = exact_quantiles(df, stats, num, QUARTILES, accuracy)
-        elif method == "approx":
-            q = approx_quantiles(df, num, QUARTILES, accuracy)
-        else:
-            raise ValueError("method must be 'exact' or 'approx'")
-        q = _materialize(q, checkpoint)
-        parts.append(check_outliers(df, table, q, num))
-    if "zero_variance" in checks and num:
-        parts.append(check_zero_variance(stats, table, num))
+    # The duplicate grouping is independent of the statistics chain: run it
+    # concurrently (one row of counts comes back).
+    pool = ThreadPoolExecutor(max_workers=1) if ("duplicates" in checks and checkpoint) else None
+    dup_future = pool.submit(lambda: _materialize(check_duplicates(df, table), True)) if pool else None
+    try:
+        if need_stats:
+            stats = column_stats(
+                df,
+                distinct=None,
+                sample=False,
+                sketch_probs=QUARTILES if ("outliers" in checks and method == "exact") else None,
+                accuracy=accuracy,
+            )
+            stats = _materialize(stats, checkpoint)
+        if "nulls" in checks:
+            parts.append(check_nulls(stats, table))
+        if "duplicates" in checks:
+            parts.append(dup_future.result() if dup_future else check_duplicates(df, table))
+        if "outliers" in checks and num:
+            if method == "exact":
+                q = exact_quantiles(df, stats, num, QUARTILES, accuracy)
+            elif method == "approx":
+                q = approx_quantiles(df, num, QUARTILES, accuracy)
+            else:
+                raise ValueError("method must be 'exact' or 'approx'")
+            q = _materialize(q, checkpoint)
+            parts.append(check_outliers(df, table, q, num))
+        if "zero_variance" in checks and num:
+            parts.append(check_zero_variance(stats, table, num))
+    finally:
+        if pool:
+            pool.shutdown(wait=True)
     if not parts:
         return df.sparkSession.createDataFrame([], _RANKED_FIELDS)
     return union_all_names(parts)

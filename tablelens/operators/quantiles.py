@@ -31,7 +31,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablelens.functions.columns import normalized, qcol
+from tablelens.functions.columns import normalized, normalized_sql, sql_double
 
 QUANTILE_FIELDS = "pos int, column string, n bigint, q array<double>, bracket_ok boolean"
 
@@ -85,10 +85,9 @@ def exact_quantiles(
         r["column"]: r
         for r in mine.select("column", "non_null", "min", "max", "sketch").collect()
     }
-    projected_cols = []
-    for k, name in enumerate(cols):
-        projected_cols.append(normalized(df, name).cast("double").alias(f"__c{k}"))
-    projected = df.select(*projected_cols)
+    projected = df.select(
+        *[F.expr(f"CAST({normalized_sql(df, name)} AS DOUBLE)").alias(f"__c{k}") for k, name in enumerate(cols)]
+    )
 
     def bracket(name: str, j: int) -> tuple[float | None, float | None]:
         r = info.get(name)
@@ -104,32 +103,34 @@ def exact_quantiles(
     # has the all-null key, which the partial aggregate collapses map-side,
     # so only bracket values (about 6/accuracy of them) are shuffled.
     kj = [(k, j) for k in range(len(cols)) for j in range(len(probs))]
-    keys = []
-    below_aggs = []
+    keys, below_aggs = [], []
     for k, j in kj:
-        c = F.col(f"__c{k}")
+        c = f"__c{k}"
         lo, hi = bracket(cols[k], j)
         if lo is None:
-            keys.append(F.lit(None).cast("double").alias(f"v_{k}_{j}"))
-            below_aggs.append(F.lit(0).cast("long").alias(f"b_{k}_{j}"))
+            keys.append(F.expr("CAST(NULL AS DOUBLE)").alias(f"v_{k}_{j}"))
+            below_aggs.append(F.expr("CAST(0 AS BIGINT)").alias(f"b_{k}_{j}"))
             continue
-        inside = (c >= F.lit(float(lo))) & (c <= F.lit(float(hi)))
-        keys.append(F.when(inside, c).alias(f"v_{k}_{j}"))
-        below_aggs.append(F.count_if(c < F.lit(float(lo))).alias(f"b_{k}_{j}"))
+        keys.append(
+            F.expr(f"CASE WHEN {c} >= {sql_double(lo)} AND {c} <= {sql_double(hi)} THEN {c} END")
+            .alias(f"v_{k}_{j}")
+        )
+        below_aggs.append(F.expr(f"count_if({c} < {sql_double(lo)})").alias(f"b_{k}_{j}"))
     grouped = projected.groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt"), *below_aggs)
     # small from here on: unpivot to (column, j, v, cnt); v = null carries
     # the count below the bracket
     entries = []
     for k, j in kj:
-        v = F.col(f"v_{k}_{j}")
-        entries.append(F.when(v.isNotNull(), F.struct(
-            F.lit(k).alias("k"), F.lit(j).alias("j"), v.alias("v"), F.col("cnt").alias("cnt"))))
-        entries.append(F.when(F.col(f"b_{k}_{j}") > 0, F.struct(
-            F.lit(k).alias("k"), F.lit(j).alias("j"), F.lit(None).cast("double").alias("v"),
-            F.col(f"b_{k}_{j}").alias("cnt"))))
+        entries.append(
+            f"CASE WHEN v_{k}_{j} IS NOT NULL THEN named_struct('k', {k}, 'j', {j}, 'v', v_{k}_{j}, 'cnt', cnt) END"
+        )
+        entries.append(
+            f"CASE WHEN b_{k}_{j} > 0 THEN named_struct('k', {k}, 'j', {j}, 'v', CAST(NULL AS DOUBLE), "
+            f"'cnt', b_{k}_{j}) END"
+        )
     names = F.array(*[F.lit(n) for n in cols])
     counts = (
-        grouped.select(F.explode(F.array(*entries)).alias("m"))
+        grouped.select(F.expr(f"explode(array({', '.join(entries)}))").alias("m"))
         .filter(F.col("m").isNotNull())
         .groupBy("m.k", "m.j", "m.v")
         .agg(F.sum("m.cnt").alias("cnt"))

@@ -79,6 +79,17 @@ def _sketch_probs(probs: Sequence[float], accuracy: int) -> list[float]:
     return out
 
 
+def groupable_sql(df: DataFrame, name: str) -> str:
+    """SQL text of ``groupable``."""
+    from tablelens.functions.columns import normalized_sql, sql_ident
+
+    dt = df.schema[name].dataType
+    if _contains_map(dt):
+        c = sql_ident(name)
+        return f"to_json(array_sort(map_entries({c})))" if isinstance(dt, T.MapType) else f"to_json({c})"
+    return normalized_sql(df, name)
+
+
 def column_stats(
     df: DataFrame,
     *,
@@ -97,72 +108,63 @@ def column_stats(
     it the sample is any non-null value.
     ``sketch_probs``: if given, numeric columns carry a bracketing quantile
     sketch (two values per probability) for the exact quantile pass.
+
+    The per-column aggregates are written as SQL text (one expression per
+    column), which keeps building the plan cheap for wide tables.
     """
+    from tablelens.functions.columns import normalized_sql, sql_ident, sql_str
+
     names = list(columns) if columns is not None else df.columns
-    rows = F.count(F.lit(1))
+    if not names:
+        return df.sparkSession.createDataFrame([], STATS_FIELDS)
     probs = _sketch_probs(sketch_probs, accuracy) if sketch_probs else None
-    structs = []
+    texts = []
     for i, name in enumerate(names):
         f = df.schema[name]
-        c = normalized(df, name)
+        c = normalized_sql(df, name)
         numeric = is_numeric_type(f.dataType)
         if distinct == "approx":
-            uniq = F.approx_count_distinct(groupable(df, name), rsd)
+            uniq = f"approx_count_distinct({groupable_sql(df, name)}, {float(rsd)})"
         else:
-            uniq = F.lit(None).cast("bigint")
+            uniq = "CAST(NULL AS BIGINT)"
         if not sample:
-            samp = F.lit(None).cast("string")
+            samp = "CAST(NULL AS STRING)"
         elif order_by is not None:
-            samp = F.min_by(c.cast("string"), F.when(c.isNotNull(), qcol(order_by)))
+            samp = f"min_by(CAST({c} AS STRING), CASE WHEN {c} IS NOT NULL THEN {sql_ident(order_by)} END)"
         else:
-            samp = F.first(c.cast("string"), ignorenulls=True)
+            samp = f"first(CAST({c} AS STRING), true)"
         if numeric:
-            d = c.cast("double")
-            mn, mx, mean = F.min(d), F.max(d), F.avg(d)
-            mn_text = F.min(c).cast("string")
+            d = f"CAST({c} AS DOUBLE)"
+            mn, mx, mean = f"min({d})", f"max({d})", f"avg({d})"
+            mn_text = f"CAST(min({c}) AS STRING)"
             if probs:
-                sk = F.percentile_approx(d, probs, accuracy).cast("array<double>")
+                plist = ", ".join(repr(float(p)) for p in probs)
+                sk = f"CAST(percentile_approx({d}, array({plist}), {int(accuracy)}) AS ARRAY<DOUBLE>)"
             else:
-                sk = F.lit(None).cast("array<double>")
+                sk = "CAST(NULL AS ARRAY<DOUBLE>)"
         else:
-            mn = mx = mean = F.lit(None).cast("double")
-            mn_text = F.lit(None).cast("string")
-            sk = F.lit(None).cast("array<double>")
-        structs.append(
-            F.struct(
-                F.lit(i).cast("int").alias("pos"),
-                F.lit(name).alias("column"),
-                F.lit(f.dataType.simpleString()).alias("type"),
-                rows.alias("rows"),
-                F.count(c).alias("non_null"),
-                uniq.cast("bigint").alias("unique"),
-                samp.alias("sample_value"),
-                mn.alias("min"),
-                mx.alias("max"),
-                mean.alias("mean"),
-                mn_text.alias("min_text"),
-                sk.alias("sketch"),
-            ).alias(f"__s{i}")
+            mn = mx = mean = "CAST(NULL AS DOUBLE)"
+            mn_text = "CAST(NULL AS STRING)"
+            sk = "CAST(NULL AS ARRAY<DOUBLE>)"
+        texts.append(
+            f"named_struct('pos', {i}, 'column', {sql_str(name)}, "
+            f"'type', {sql_str(f.dataType.simpleString())}, 'rows', count(1), "
+            f"'non_null', count({c}), 'unique', CAST({uniq} AS BIGINT), 'sample_value', {samp}, "
+            f"'min', {mn}, 'max', {mx}, 'mean', {mean}, 'min_text', {mn_text}, 'sketch', {sk})"
         )
-    if not structs:
-        return df.sparkSession.createDataFrame([], STATS_FIELDS)
-    wide = df.agg(*structs)
-    out = wide.select(F.inline(F.array(*[F.col(f"__s{i}") for i in range(len(names))])))
+    wide = df.agg(*[F.expr(t).alias(f"__s{i}") for i, t in enumerate(texts)])
+    out = wide.selectExpr(f"inline(array({', '.join(f'__s{i}' for i in range(len(names)))}))")
     if distinct != "exact":
         return out
     # Exact distinct counts run as their own aggregate: Catalyst expands each
     # row once per column and hash-aggregates on (column, value).  Kept apart
     # from the sample values, whose string buffers would turn the expanded
     # aggregate into a sort-based one.
-    dist = df.agg(
-        F.array(
-            *[
-                F.struct(F.lit(i).cast("int").alias("pos"),
-                         F.count_distinct(groupable(df, name)).alias("__u"))
-                for i, name in enumerate(names)
-            ]
-        ).alias("__d")
-    ).select(F.inline("__d"))
+    items = ", ".join(
+        f"named_struct('pos', {i}, '__u', count(DISTINCT {groupable_sql(df, name)}))"
+        for i, name in enumerate(names)
+    )
+    dist = df.agg(F.expr(f"array({items})").alias("__d")).selectExpr("inline(__d)")
     # both sides have one row per column
     fields = [f.split()[0] for f in STATS_FIELDS.split(", ")]
     joined = out.join(F.broadcast(dist), "pos")
