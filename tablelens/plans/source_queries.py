@@ -99,3 +99,54 @@ def q_stream_event_anomalies(spark, sf_dir):
                       max_files_per_trigger=2)
     q.awaitTermination()
     return read_reports(spark, report)
+
+
+def _ingest(spark, sf_dir):
+    from tablelens.sources import catalog
+
+    base = _scratch(spark, "lake")
+    db = "tablelens_lake"
+    names = catalog.ingest(
+        spark, {"orders": table(spark, sf_dir, "orders"), "Order Items": table(spark, sf_dir, "lineitem")},
+        base, db,
+    )
+    return db, names
+
+
+@register(
+    "lake_revenue",
+    "select o_orderstatus, count(*) as lines, round(sum(l_extendedprice), 2) as revenue "
+    "from orders o join lineitem l on o.o_orderkey = l.l_orderkey group by 1",
+)
+def q_lake_revenue(spark, sf_dir):
+    """Tables written to the lake, registered in a database and
+    queried by catalog name."""
+    db, _ = _ingest(spark, sf_dir)
+    return spark.sql(
+        f"select o_orderstatus, count(*) as lines, round(sum(l_extendedprice), 2) as revenue "
+        f"from {db}.orders o join {db}.order_items l on o.o_orderkey = l.l_orderkey group by 1"
+    )
+
+
+@register("lake_tables")
+def q_lake_tables(spark, sf_dir):
+    """``SHOW TABLES IN`` the lake database (rows only)."""
+    from tablelens.sources import catalog
+
+    db, _ = _ingest(spark, sf_dir)
+    return catalog.list_tables(spark, db)
+
+
+@register(
+    "table_sample_count",
+    "select count(*) as sample_rows, (select count(*) from orders) as table_rows "
+    "from (select * from orders limit 5)",
+)
+def q_table_sample_count(spark, sf_dir):
+    """S12 + S14: a 5-row sample (any rows) and the full row count."""
+    from tablelens.sources import catalog
+
+    o = table(spark, sf_dir, "orders")
+    sample = catalog.sample_rows(o, 5)
+    return sample.agg(F.count(F.lit(1)).alias("sample_rows")).select(
+        "sample_rows", F.lit(catalog.row_count(o)).cast("bigint").alias("table_rows"))
