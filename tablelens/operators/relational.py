@@ -119,6 +119,26 @@ def union_reports(*frames: DataFrame) -> DataFrame:
     return out
 
 
+def skew_safe_left_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """``left LEFT JOIN right ON left_key = right_key``, robust to a hot key
+    on the right side.
+
+    AQE can split a skewed partition only on the preserved side of an outer
+    join, so a right-side key holding a third of all rows would land in one
+    task.  The same result is built as the inner join (both sides
+    splittable) plus the left rows without a match, found by an anti join
+    against the right side's distinct keys (pre-aggregated map-side, so the
+    hot key becomes one row).  Right columns of unmatched rows are null.
+    """
+    inner = left.join(right, qcol(left_key) == qcol(right_key), "inner")
+    keys = right.select(qcol(right_key).alias("__rk")).distinct()
+    unmatched = left.join(keys, qcol(left_key) == F.col("__rk"), "left_anti")
+    for f in right.schema.fields:
+        if f.name not in unmatched.columns:
+            unmatched = unmatched.withColumn(f.name, F.lit(None).cast(f.dataType))
+    return inner.unionByName(unmatched.select(*inner.columns))
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row ``(rows, distinct_rows, duplicate_rows)``.
 

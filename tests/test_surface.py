@@ -107,3 +107,13 @@ def test_chart_data_rules(spark):
     assert ask.chart_data(big)[0] == "line"
     assert ask.chart_data(spark.createDataFrame([("a",)], "k string")) is None
     assert ask.chart_data(spark.createDataFrame([], "k string, v int")) is None
+
+
+def test_skew_safe_left_join_equals_left_join(spark):
+    from tablelens.operators.relational import skew_safe_left_join
+
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (3, "c2"), (None, "n")], "k int, v string")
+    right = spark.createDataFrame([(1, 10.0)] * 5 + [(3, 1.0), (4, 2.0), (None, 0.0)], "rk int, x double")
+    got = sorted(map(tuple, skew_safe_left_join(left, right, "k", "rk").collect()), key=str)
+    exp = sorted(map(tuple, left.join(right, left.k == right.rk, "left").collect()), key=str)
+    assert got == exp
