@@ -19,9 +19,13 @@ column at scale.  ``exact_quantiles`` instead uses two passes:
    interpolated linearly (the same rule as DuckDB ``quantile_cont`` and
    pandas ``quantile``).
 
-A bracket holds about ``6 n / accuracy`` distinct values, so the per-column
-window is bounded by the accuracy, not by the table.  The output carries a
-``bracket_ok`` flag that checks the ranks really were inside the bracket.
+A bracket holds about ``6 n / accuracy`` values.  Up to
+``rank_partition_rows`` of them are ranked in one window partition per
+column; above that the bracket is cut into equi-width buckets ranked in
+parallel and shifted by the counts of the preceding buckets, so no task
+holds more than about ``rank_partition_rows`` values at any scale.  The
+output carries a ``bracket_ok`` flag that checks the ranks really were inside
+the bracket.
 """
 
 from __future__ import annotations
@@ -64,6 +68,7 @@ def exact_quantiles(
     columns: Sequence[str],
     probs: Sequence[float],
     accuracy: int = 10000,
+    rank_partition_rows: int = 250_000,
 ) -> DataFrame:
     """Exact interpolated quantiles of the numeric ``columns``.
 
@@ -140,12 +145,56 @@ def exact_quantiles(
     # one row per column: bounded by the schema, safe to broadcast
     n_by_col = F.broadcast(mine.select("column", F.col("non_null").alias("n")))
     probs_arr = F.array(*[F.lit(p) for p in probs])
-    w = Window.partitionBy("column", "j").orderBy(F.col("v").asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
+
+    # Ranks inside the brackets.  The GK guarantee bounds a bracket to about
+    # 6n/accuracy values; when that exceeds ``rank_partition_rows`` the
+    # bracket is cut into equi-width buckets, each ranked in its own window
+    # partition and shifted by the counts of the buckets before it.
+    params = []
+    for k, j in kj:
+        lo, hi = bracket(cols[k], j)
+        r = info.get(cols[k])
+        n = int(r["non_null"]) if r is not None and r["non_null"] else 0
+        expected = n if (n < accuracy) else int(6.0 * n / accuracy) + 2
+        nb = max(1, -(-expected // int(rank_partition_rows)))
+        params.append((cols[k], j, lo, hi, nb))
+    if max(p[4] for p in params) == 1:
+        w = Window.partitionBy("column", "j").orderBy(F.col("v").asc_nulls_first()).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow
+        )
+        with_cum = counts.withColumn("cum", F.sum("cnt").over(w))
+    else:
+        from tablelens.session import materialize
+
+        counts = materialize(counts)  # read twice below; written once
+        pf = F.broadcast(spark.createDataFrame(
+            params, "column string, j int, lo double, hi double, nb int"))
+        v = F.col("v")
+        bucket = (
+            F.when(v.isNull(), F.lit(-1))
+            .when((F.col("nb") == 1) | (F.col("hi") <= F.col("lo")), F.lit(0))
+            .otherwise(F.least(F.floor((v - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("nb")),
+                               F.col("nb") - 1).cast("int"))
+        )
+        cb = counts.join(pf, ["column", "j"]).withColumn("bucket", bucket).select(
+            "column", "j", "v", "cnt", "bucket")
+        w_local = Window.partitionBy("column", "j", "bucket").orderBy("v").rowsBetween(
+            Window.unboundedPreceding, Window.currentRow
+        )
+        # one row per bucket: at most rank-partition-sized many per column
+        totals = cb.groupBy("column", "j", "bucket").agg(F.sum("cnt").alias("btot"))
+        w_prefix = Window.partitionBy("column", "j").orderBy("bucket").rowsBetween(
+            Window.unboundedPreceding, Window.currentRow
+        )
+        offsets = totals.withColumn("prefix", F.sum("btot").over(w_prefix) - F.col("btot")).drop("btot")
+        with_cum = (
+            cb.withColumn("cum_local", F.sum("cnt").over(w_local))
+            .join(F.broadcast(offsets), ["column", "j", "bucket"])
+            .withColumn("cum", F.col("cum_local") + F.col("prefix"))
+            .select("column", "j", "v", "cnt", "cum")
+        )
     ranked = (
-        counts.withColumn("cum", F.sum("cnt").over(w))
-        .join(n_by_col, "column")
+        with_cum.join(n_by_col, "column")
         .withColumn("h", (F.col("n") - 1) * probs_arr[F.col("j")])
         .withColumn("r_lo", F.floor("h"))
         .withColumn("r_hi", F.least(F.col("r_lo") + 1, F.col("n") - 1))

@@ -62,3 +62,15 @@ def test_exact_quantiles_match_numpy(spark, values, accuracy):
     assert q["bracket_ok"]
     exp = np.percentile(np.array(values, dtype=float), [25, 75])
     assert np.allclose(q["q"], exp)
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.floats(-1e3, 1e3, allow_nan=False), min_size=30, max_size=400),
+       st.sampled_from([3, 7, 50]))
+def test_bucketed_ranks_match_numpy(spark, values, rows_per_part):
+    """Force the bucketed ranking path with a tiny rank partition."""
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    stats = column_stats(df, distinct=None, sample=False, sketch_probs=[0.25, 0.75], accuracy=10)
+    q = exact_quantiles(df, stats, ["x"], [0.25, 0.75], 10, rank_partition_rows=rows_per_part).collect()[0]
+    assert q["bracket_ok"]
+    assert np.allclose(q["q"], np.percentile(np.array(values), [25, 75]))
