@@ -51,7 +51,7 @@ def table_overview(df: DataFrame) -> DataFrame:
 def profile_table(
     df: DataFrame,
     *,
-    order_by: str | None = None,
+    order_by: str | Sequence[str] | None = None,
     exact: bool = True,
     stats: DataFrame | None = None,
 ) -> DataFrame:

@@ -96,7 +96,7 @@ def column_stats(
     columns: Sequence[str] | None = None,
     distinct: str | None = "exact",
     sample: bool = True,
-    order_by: str | None = None,
+    order_by: str | Sequence[str] | None = None,
     sketch_probs: Sequence[float] | None = None,
     accuracy: int = 10000,
     rsd: float = 0.01,
@@ -104,8 +104,8 @@ def column_stats(
     """One row per column with the fields of ``STATS_FIELDS``.
 
     ``distinct``: ``"exact"``, ``"approx"`` or ``None`` (skip).
-    ``order_by``: a key giving "first" a meaning for ``sample_value``; without
-    it the sample is any non-null value.
+    ``order_by``: key column(s) giving "first" a meaning for ``sample_value``;
+    without it the sample is any non-null value.
     ``sketch_probs``: if given, numeric columns carry a bracketing quantile
     sketch (two values per probability) for the exact quantile pass.
 
@@ -130,7 +130,10 @@ def column_stats(
         if not sample:
             samp = "CAST(NULL AS STRING)"
         elif order_by is not None:
-            samp = f"min_by(CAST({c} AS STRING), CASE WHEN {c} IS NOT NULL THEN {sql_ident(order_by)} END)"
+            keys = [order_by] if isinstance(order_by, str) else list(order_by)
+            okey = (sql_ident(keys[0]) if len(keys) == 1 else
+                    "named_struct(" + ", ".join(f"'k{n}', {sql_ident(k)}" for n, k in enumerate(keys)) + ")")
+            samp = f"min_by(CAST({c} AS STRING), CASE WHEN {c} IS NOT NULL THEN {okey} END)"
         else:
             samp = f"first(CAST({c} AS STRING), true)"
         if numeric:

@@ -265,7 +265,9 @@ def _sql_overview(inp: Input) -> str:
     )
 
 
-def _sql_profile(inp: Input, key: str) -> str:
+def _sql_profile(inp: Input, key) -> str:
+    if not isinstance(key, str):
+        key = "row(" + ", ".join(key) + ")"
     parts = []
     for c, t in inp.columns:
         if t in NUMERIC:
@@ -349,3 +351,53 @@ for _inp in (EVENTS, DOCUMENTS, LINEITEM):
     register(f"histogram_{_inp.name}", _sql_histogram(_inp))(
         (lambda inp: lambda spark, sf_dir: profile.histograms(inp.df(spark, sf_dir)))(_inp)
     )
+
+
+# ---------------------------------------------------------------------------
+# Text-heavy and nested tables: whole texts and arrays through the same checks
+# ---------------------------------------------------------------------------
+
+CONVERSATIONS = Input(
+    "conversations", lambda s, d: table(s, d, "conversations"),
+    "select * from conversations",
+    (("conv_id", "bigint"), ("turn", "bigint"), ("role", "string"), ("text", "string")),
+)
+PAGES = Input(
+    "pages", lambda s, d: table(s, d, "pages"),
+    "select * from pages",
+    (("page_id", "bigint"), ("url", "string"), ("html", "string")),
+)
+BENCHMARK = Input(
+    "benchmark", lambda s, d: table(s, d, "benchmark"),
+    "select * from benchmark",
+    (("item_id", "bigint"), ("text", "string")),
+)
+EMBEDDINGS = Input(
+    "embeddings", lambda s, d: table(s, d, "embeddings"),
+    "select * from embeddings",
+    (("vec_id", "bigint"), ("embedding", "array<float>"), ("label", "int")),
+)
+CONV_TEXT = Input(
+    "conversation_texts", lambda s, d: table(s, d, "conversations").select("role", "text"),
+    "select role, text from conversations",
+    (("role", "string"), ("text", "string")),
+)
+
+for _inp in (CONVERSATIONS, EMBEDDINGS, PAGES):
+    register(f"table_overview_{_inp.name}", _sql_overview(_inp))(
+        (lambda inp: lambda spark, sf_dir: profile.table_overview(inp.df(spark, sf_dir)))(_inp)
+    )
+
+for _inp, _key in ((PAGES, "page_id"), (CONVERSATIONS, ("conv_id", "turn")), (BENCHMARK, "item_id")):
+    register(f"column_profile_{_inp.name}", _sql_profile(_inp, _key))(
+        (lambda inp, key: lambda spark, sf_dir: profile.profile_table(
+            inp.df(spark, sf_dir), order_by=key))(_inp, _key)
+    )
+
+_TEXT_INPUTS = [CONVERSATIONS, PAGES, BENCHMARK, CONV_TEXT, EMBEDDINGS]
+
+
+@register("text_table_anomalies", sql_detect(_TEXT_INPUTS, _ALL))
+def q_text_table_anomalies(spark, sf_dir):
+    """D1-D4 over text and array tables (duplicate texts per role, ...)."""
+    return spark_detect(spark, sf_dir, _TEXT_INPUTS, _ALL)
