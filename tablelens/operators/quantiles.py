@@ -6,36 +6,39 @@ Spark's built-in exact ``percentile`` keeps a value -> count map of the whole
 column in one aggregation buffer, which does not survive a high-cardinality
 column at scale.  ``exact_quantiles`` instead uses two passes:
 
-1. (in ``column_stats``) a Greenwald-Khanna sketch, ``percentile_approx`` at
-   ``p - 3/accuracy`` and ``p + 3/accuracy``, which brackets the exact ranks
-   (Spark guarantees a rank error of at most ``n / accuracy``).  Columns with
-   fewer than ``accuracy`` values use ``[min, max]`` as bracket.
+1. (in ``column_stats``) a Greenwald-Khanna sketch (``percentile_approx``)
+   over a seeded sample of the rows, evaluated at ``p -/+ m`` for a ladder of
+   margins ``m``.  Once the column size n is known, the narrowest margin that
+   covers six standard deviations of the sampling error plus the sketch error
+   gives a bracket that holds the exact ranks.  Columns of at most
+   ``rank_partition_rows`` values simply use ``[min, max]``.
 2. one scan with one grouped aggregate whose key is, per column and
    probability, the value if it falls inside the bracket (else null), and
    whose aggregates count the values below each bracket; nearly all rows
    share the all-null key and collapse in the map-side partial aggregate.
-   A running sum over the (few) bracket values of one column then gives
-   their exact ranks, and the two values around ``h = (n - 1) * p`` are
-   interpolated linearly (the same rule as DuckDB ``quantile_cont`` and
-   pandas ``quantile``).
-
-A bracket holds about ``6 n / accuracy`` values.  Up to
-``rank_partition_rows`` of them are ranked in one window partition per
-column; above that the bracket is cut into equi-width buckets ranked in
-parallel and shifted by the counts of the preceding buckets, so no task
-holds more than about ``rank_partition_rows`` values at any scale.  The
-output carries a ``bracket_ok`` flag that checks the ranks really were inside
-the bracket.
+   A running sum over the bracket values then gives their exact ranks, and
+   the two values around ``h = (n - 1) * p`` are interpolated linearly (the
+   same rule as DuckDB ``quantile_cont`` and pandas ``quantile``).
+
+Up to ``rank_partition_rows`` bracket values are ranked in one window
+partition per column; above that the bracket is cut into equi-width buckets
+ranked in parallel and shifted by the counts of the preceding buckets, so no
+task holds more than about ``rank_partition_rows`` values at any scale.
+``bracket_ok`` checks that the ranks really were inside the bracket;
+``exact_quantiles_checked`` recomputes any column that missed with the
+``[min, max]`` bracket, so the result is always exact.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablelens.functions.columns import normalized, normalized_sql, sql_double
+from tablelens.operators.stats import SKETCH_MARGINS
 
 QUANTILE_FIELDS = "pos int, column string, n bigint, q array<double>, bracket_ok boolean"
 
@@ -69,12 +72,19 @@ def exact_quantiles(
     probs: Sequence[float],
     accuracy: int = 10000,
     rank_partition_rows: int = 250_000,
+    sketch_sample: float = 1.0,
+    margin_sigmas: float = 6.0,
+    full_range: Sequence[str] = (),
 ) -> DataFrame:
     """Exact interpolated quantiles of the numeric ``columns``.
 
-    ``stats`` is the (preferably checkpointed) output of ``column_stats``
-    computed with ``sketch_probs=probs`` and the same ``accuracy``; it must
-    contain a row for each of ``columns``.  Output: ``QUANTILE_FIELDS``.
+    ``stats`` is the (small, preferably local) output of ``column_stats``
+    computed with ``sketch_probs=probs`` and the same ``accuracy`` and
+    ``sketch_sample``; it must contain a row for each of ``columns``.
+    Columns of at most ``rank_partition_rows`` values, those in
+    ``full_range``, and those whose sketch cannot give a narrow enough
+    bracket use ``[min, max]``.  Output: ``QUANTILE_FIELDS``; check
+    ``bracket_ok`` (``exact_quantiles_checked`` does and repairs).
     """
     probs = [float(p) for p in probs]
     spark = df.sparkSession
@@ -94,13 +104,37 @@ def exact_quantiles(
         *[F.expr(f"CAST({normalized_sql(df, name)} AS DOUBLE)").alias(f"__c{k}") for k, name in enumerate(cols)]
     )
 
+    forced = set(full_range)
+    n_margins = len(SKETCH_MARGINS)
+
+    def rung(name: str, j: int) -> int | None:
+        """Index of the narrowest safe sketch margin, or None for [min, max]."""
+        r = info.get(name)
+        n = r["non_null"] if r is not None else 0
+        if not n or name in forced or n <= rank_partition_rows or r["sketch"] is None:
+            return None
+        p = probs[j]
+        need = (margin_sigmas * math.sqrt(p * (1 - p) / (n * sketch_sample))
+                + 3.0 / accuracy + 2.0 / n)
+        return next((i for i, m in enumerate(SKETCH_MARGINS) if m >= need), None)
+
     def bracket(name: str, j: int) -> tuple[float | None, float | None]:
         r = info.get(name)
         if r is None or not r["non_null"]:
             return None, None
-        if r["non_null"] < accuracy or r["sketch"] is None:
+        i = rung(name, j)
+        if i is None:
             return r["min"], r["max"]
-        return r["sketch"][2 * j], r["sketch"][2 * j + 1]
+        base = 2 * (j * n_margins + i)
+        return r["sketch"][base], r["sketch"][base + 1]
+
+    def expected_size(name: str, j: int) -> int:
+        r = info.get(name)
+        n = int(r["non_null"]) if r is not None and r["non_null"] else 0
+        i = rung(name, j)
+        if i is None:
+            return n
+        return int((2 * SKETCH_MARGINS[i] + 2.0 / accuracy) * n) + 2
 
     # One codegen'd grouped aggregate over the scan: the key holds, per
     # (column, p), the value if it lies inside the bracket, else null; the
@@ -153,9 +187,7 @@ def exact_quantiles(
     params = []
     for k, j in kj:
         lo, hi = bracket(cols[k], j)
-        r = info.get(cols[k])
-        n = int(r["non_null"]) if r is not None and r["non_null"] else 0
-        expected = n if (n < accuracy) else int(6.0 * n / accuracy) + 2
+        expected = expected_size(cols[k], j)
         nb = max(1, -(-expected // int(rank_partition_rows)))
         params.append((cols[k], j, lo, hi, nb))
     if max(p[4] for p in params) == 1:
@@ -222,3 +254,29 @@ def exact_quantiles(
         "pos", "column", "n", "q",
         F.coalesce(F.col("bracket_ok"), F.col("n") == 0).alias("bracket_ok"),
     )
+
+
+def exact_quantiles_checked(
+    df: DataFrame,
+    stats: DataFrame,
+    columns: Sequence[str],
+    probs: Sequence[float],
+    accuracy: int = 10000,
+    **kw,
+) -> DataFrame:
+    """``exact_quantiles`` with its bracket check enforced.
+
+    The result (one row per column) is computed once and kept as a local
+    relation; a column whose exact ranks fell outside its sketched bracket
+    (possible only through sampling, with probability of a six-sigma event)
+    is computed again with the ``[min, max]`` bracket, which is always exact.
+    """
+    q = exact_quantiles(df, stats, columns, probs, accuracy, **kw)
+    rows = q.collect()
+    bad = [r["column"] for r in rows if not r["bracket_ok"]]
+    if bad:
+        kw = dict(kw)
+        kw["full_range"] = tuple(bad)
+        redo = {r["column"]: r for r in exact_quantiles(df, stats, bad, probs, accuracy, **kw).collect()}
+        rows = [redo.get(r["column"], r) for r in rows]
+    return df.sparkSession.createDataFrame(rows, QUANTILE_FIELDS)

@@ -64,18 +64,19 @@ def groupable_columns(df: DataFrame) -> list[Column]:
     return [groupable(df, f.name).alias(f.name) for f in df.schema.fields]
 
 
-def _sketch_probs(probs: Sequence[float], accuracy: int) -> list[float]:
-    """Probabilities bracketing each target: ``p - 3/accuracy``, ``p + 3/accuracy``.
+# Distances from each target probability at which the quantile
+# sketch is evaluated; the exact pass picks the smallest one that covers the
+# sampling and sketch error for the column's size.
+SKETCH_MARGINS = (0.0005, 0.001, 0.002, 0.004, 0.008, 0.016, 0.032, 0.064)
 
-    Spark's ``percentile_approx`` guarantees a rank error of at most
-    ``n / accuracy``; a margin of three times that keeps the exact ranks
-    inside the bracket (see ``quantiles.exact_quantiles``).
-    """
-    eps = 3.0 / float(accuracy)
+
+def _sketch_probs(probs: Sequence[float]) -> list[float]:
+    """``p - m``, ``p + m`` for every target ``p`` and margin ``m``."""
     out = []
     for p in probs:
-        out.append(max(0.0, p - eps))
-        out.append(min(1.0, p + eps))
+        for m in SKETCH_MARGINS:
+            out.append(max(0.0, p - m))
+            out.append(min(1.0, p + m))
     return out
 
 
@@ -98,6 +99,8 @@ def column_stats(
     sample: bool = True,
     order_by: str | Sequence[str] | None = None,
     sketch_probs: Sequence[float] | None = None,
+    sketch_sample: float = 1.0,
+    sketch_seed: int = 17,
     accuracy: int = 10000,
     rsd: float = 0.01,
 ) -> DataFrame:
@@ -106,8 +109,9 @@ def column_stats(
     ``distinct``: ``"exact"``, ``"approx"`` or ``None`` (skip).
     ``order_by``: key column(s) giving "first" a meaning for ``sample_value``;
     without it the sample is any non-null value.
-    ``sketch_probs``: if given, numeric columns carry a bracketing quantile
-    sketch (two values per probability) for the exact quantile pass.
+    ``sketch_probs``: if given, numeric columns carry a quantile sketch at
+    ``p -/+ m`` for every margin of ``SKETCH_MARGINS``, built over a seeded
+    ``sketch_sample`` fraction of the rows, for the exact quantile pass.
 
     The per-column aggregates are written as SQL text (one expression per
     column), which keeps building the plan cheap for wide tables.
@@ -117,7 +121,12 @@ def column_stats(
     names = list(columns) if columns is not None else df.columns
     if not names:
         return df.sparkSession.createDataFrame([], STATS_FIELDS)
-    probs = _sketch_probs(sketch_probs, accuracy) if sketch_probs else None
+    probs = _sketch_probs(sketch_probs) if sketch_probs else None
+    sampled = bool(probs) and sketch_sample < 1.0
+    if sampled:
+        # one seeded draw per row (repeatable on task retry: same partition,
+        # same seed, same row order)
+        df = df.withColumn("__sketch_row", F.rand(int(sketch_seed)) < F.lit(float(sketch_sample)))
     texts = []
     for i, name in enumerate(names):
         f = df.schema[name]
@@ -142,7 +151,8 @@ def column_stats(
             mn_text = f"CAST(min({c}) AS STRING)"
             if probs:
                 plist = ", ".join(repr(float(p)) for p in probs)
-                sk = f"CAST(percentile_approx({d}, array({plist}), {int(accuracy)}) AS ARRAY<DOUBLE>)"
+                src = f"CASE WHEN __sketch_row THEN {d} END" if sampled else d
+                sk = f"CAST(percentile_approx({src}, array({plist}), {int(accuracy)}) AS ARRAY<DOUBLE>)"
             else:
                 sk = "CAST(NULL AS ARRAY<DOUBLE>)"
         else:

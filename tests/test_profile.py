@@ -74,3 +74,20 @@ def test_bucketed_ranks_match_numpy(spark, values, rows_per_part):
     q = exact_quantiles(df, stats, ["x"], [0.25, 0.75], 10, rank_partition_rows=rows_per_part).collect()[0]
     assert q["bracket_ok"]
     assert np.allclose(q["q"], np.percentile(np.array(values), [25, 75]))
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.floats(-1e3, 1e3, allow_nan=False), min_size=200, max_size=600))
+def test_sketch_ladder_and_repair_stay_exact(spark, values):
+    """Force the sketched bracket (tiny rank partition, no safety margin) with
+    and without sampling; the checked version repairs any missed bracket."""
+    from tablelens.operators.quantiles import exact_quantiles_checked
+
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    exp = np.percentile(np.array(values), [25, 75])
+    for sample in (1.0, 1 / 16):
+        stats = column_stats(df, distinct=None, sample=False, sketch_probs=[0.25, 0.75],
+                             sketch_sample=sample, accuracy=1000)
+        q = exact_quantiles_checked(df, stats, ["x"], [0.25, 0.75], 1000, sketch_sample=sample,
+                                    rank_partition_rows=5, margin_sigmas=0.0).collect()[0]
+        assert q["bracket_ok"] and np.allclose(q["q"], exp)
