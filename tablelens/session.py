@@ -58,6 +58,12 @@ def apply_required_conf(spark: SparkSession) -> None:
     """Set the runtime SQL settings the library's results depend on."""
     for key, value in REQUIRED_CONF.items():
         spark.conf.set(key, value)
+    # Building wide expression lists is cheaper without per-call origin
+    # capture; harmless if the setting is fixed in this session.
+    try:
+        spark.conf.set("spark.python.sql.dataFrameDebugging.enabled", "false")
+    except Exception:  # noqa: BLE001
+        pass
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

@@ -47,3 +47,17 @@ def test_detector_scans_at_most_four_times(spark, monkeypatch):
     rep = A.detect(df, "lineitem")
     rep.collect()
     assert sum(seen) <= 4, seen
+
+
+def test_no_cross_joins_or_row_udfs_in_any_registered_query(spark):
+    """Every registered query on the smallest fixtures: no cartesian product,
+    no nested-loop join, no row-at-a-time Python UDF."""
+    import __spark_entry__ as entry
+
+    bad = {}
+    for name, fn in entry.queries().items():
+        plan = _plan(fn(spark, "/root/testdata/sf0.001"))
+        hits = [t for t in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython") if t in plan]
+        if hits:
+            bad[name] = hits
+    assert not bad, bad
