@@ -232,7 +232,10 @@ def exact_quantiles(
         .withColumn("r_hi", F.least(F.col("r_lo") + 1, F.col("n") - 1))
     )
     vnn = F.col("v").isNotNull()
-    per_p = ranked.groupBy("column", "j", "n", "h", "r_lo", "r_hi").agg(
+    # grouped on the window's own keys, so the window's partitioning is reused
+    per_p = ranked.groupBy("column", "j").agg(
+        F.first("n").alias("n"), F.first("h").alias("h"),
+        F.first("r_lo").alias("r_lo"), F.first("r_hi").alias("r_hi"),
         F.min(F.when(vnn & (F.col("cum") > F.col("r_lo")), F.col("v"))).alias("v_lo"),
         F.min(F.when(vnn & (F.col("cum") > F.col("r_hi")), F.col("v"))).alias("v_hi"),
         F.coalesce(F.sum(F.when(~vnn, F.col("cnt"))), F.lit(0)).alias("below"),
