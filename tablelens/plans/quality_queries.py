@@ -87,10 +87,12 @@ LABELS = Input(
     "select * from labels",
     (("doc_id", "bigint"), ("quality", "int"), ("toxic", "int")),
 )
-SUPPLIER_N0 = Input(
-    "supplier_n0", lambda s, d: table(s, d, "supplier").filter(F.col("s_nationkey") == 0),
-    "select * from supplier where s_nationkey = 0",
-    (("s_suppkey", "bigint"), ("s_name", "string"), ("s_nationkey", "int"), ("s_acctbal", "double")),
+SUPPLIER_NAME_LEN = Input(
+    "supplier_name_len",
+    lambda s, d: table(s, d, "supplier").select(
+        "s_suppkey", "s_name", F.length("s_name").cast("int").alias("name_len"), "s_acctbal"),
+    "select s_suppkey, s_name, cast(length(s_name) as integer) as name_len, s_acctbal from supplier",
+    (("s_suppkey", "bigint"), ("s_name", "string"), ("name_len", "int"), ("s_acctbal", "double")),
 )
 ORDERS = Input(
     "orders", lambda s, d: table(s, d, "orders"),
@@ -200,8 +202,8 @@ def spark_detect(spark, sf_dir, inputs: list[Input], checks: tuple[str, ...], **
 _NULL_INPUTS = [DOCS_LABELS, LINEITEM_NULLFLAG]
 _DUP_INPUTS = [FLAGS, DOCUMENTS, EVENTS]
 _OUTLIER_INPUTS = [DOCUMENTS, EVENTS, LABELS, LINEITEM]
-_ZV_INPUTS = [SUPPLIER_N0, LABELS]
-_REPORT_INPUTS = [DOCS_LABELS, LINEITEM_NULLFLAG, FLAGS, DOCUMENTS, EVENTS, LABELS, SUPPLIER_N0]
+_ZV_INPUTS = [SUPPLIER_NAME_LEN, LABELS]
+_REPORT_INPUTS = [DOCS_LABELS, LINEITEM_NULLFLAG, FLAGS, DOCUMENTS, EVENTS, LABELS, SUPPLIER_NAME_LEN]
 _ALL = ("nulls", "duplicates", "outliers", "zero_variance")
 
 

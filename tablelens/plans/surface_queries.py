@@ -75,17 +75,17 @@ def q_schema_drift(spark, sf_dir):
 
 
 def _small_report(spark, sf_dir):
-    from tablelens.plans.quality_queries import DOCS_LABELS, LABELS, SUPPLIER_N0
+    from tablelens.plans.quality_queries import DOCS_LABELS, LABELS, SUPPLIER_NAME_LEN
 
     return anomaly.anomaly_report(
-        {i.name: i.df(spark, sf_dir) for i in (DOCS_LABELS, LABELS, SUPPLIER_N0)}
+        {i.name: i.df(spark, sf_dir) for i in (DOCS_LABELS, LABELS, SUPPLIER_NAME_LEN)}
     )
 
 
 def _small_report_sql():
-    from tablelens.plans.quality_queries import DOCS_LABELS, LABELS, SUPPLIER_N0, sql_detect
+    from tablelens.plans.quality_queries import DOCS_LABELS, LABELS, SUPPLIER_NAME_LEN, sql_detect
 
-    return sql_detect([DOCS_LABELS, LABELS, SUPPLIER_N0],
+    return sql_detect([DOCS_LABELS, LABELS, SUPPLIER_NAME_LEN],
                       ("nulls", "duplicates", "outliers", "zero_variance"))
 
 

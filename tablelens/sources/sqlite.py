@@ -182,14 +182,19 @@ def write_sqlite(df: DataFrame, out_dir: str, table: str) -> DataFrame:
     def write(it):
         import pandas as pd
 
-        path = None
+        from pyspark import TaskContext
+
+        path = tmp = None
         n = 0
         con = None
         for pdf in it:
             if con is None:
+                # named by partition, built under a temporary name and renamed:
+                # a retried task replaces its file instead of adding one
                 os.makedirs(out_dir, exist_ok=True)
-                path = os.path.join(out_dir, f"part-{uuid.uuid4().hex}.sqlite")
-                con = sqlite3.connect(path)
+                path = os.path.join(out_dir, f"part-{TaskContext.get().partitionId():05d}.sqlite")
+                tmp = f"{path}.{uuid.uuid4().hex}.tmp"
+                con = sqlite3.connect(tmp)
                 con.execute(f"CREATE TABLE {_q(table)} ({ddl})")
             rows = [
                 tuple(None if (v is None or (isinstance(v, float) and v != v)) else
@@ -201,6 +206,7 @@ def write_sqlite(df: DataFrame, out_dir: str, table: str) -> DataFrame:
         if con is not None:
             con.commit()
             con.close()
+            os.replace(tmp, path)
             yield pd.DataFrame({"path": [path], "rows": [n]})
 
     return df.mapInPandas(write, "path string, rows bigint")

@@ -299,9 +299,9 @@ def workbook_bytes(sheets: list[tuple[str, list[str], list[tuple]]]) -> bytes:
 
 
 def write_workbooks(df: DataFrame, out_dir: str, sheet: str) -> DataFrame:
-    """Write each partition of ``df`` as ``part-<id>.xlsx`` files with one
-    sheet each (a new file every ``MAX_SHEET_ROWS`` rows); returns a frame of
-    the written paths (evaluate it to write)."""
+    """Write each partition of ``df`` as ``part-<partition>-<chunk>.xlsx``
+    files with one sheet each (a new file every ``MAX_SHEET_ROWS`` rows);
+    returns a frame of the written paths (evaluate it to write)."""
     from tablelens.session import local_path
 
     out_dir = local_path(out_dir)
@@ -309,11 +309,18 @@ def write_workbooks(df: DataFrame, out_dir: str, sheet: str) -> DataFrame:
 
     header = df.columns
 
-    def flush(rows):
+    def flush(rows, chunk):
+        # named by partition and chunk, written under a temporary name and
+        # renamed: a retried task replaces its file instead of adding one
+        from pyspark import TaskContext
+
         os.makedirs(out_dir, exist_ok=True)
-        path = os.path.join(out_dir, f"part-{uuid.uuid4().hex}.xlsx")
-        with open(path, "wb") as fh:
+        pid = TaskContext.get().partitionId()
+        path = os.path.join(out_dir, f"part-{pid:05d}-{chunk:03d}.xlsx")
+        tmp = f"{path}.{uuid.uuid4().hex}.tmp"
+        with open(tmp, "wb") as fh:
             fh.write(workbook_bytes([(sheet, header, rows)]))
+        os.replace(tmp, path)
         return path
 
     def write(it):
@@ -324,11 +331,11 @@ def write_workbooks(df: DataFrame, out_dir: str, sheet: str) -> DataFrame:
             for r in pdf.astype(object).where(pdf.notna(), None).itertuples(index=False, name=None):
                 rows.append(r)
                 if len(rows) == MAX_SHEET_ROWS:
-                    paths.append(flush(rows))
+                    paths.append(flush(rows, len(paths)))
                     counts.append(len(rows))
                     rows = []
         if rows:
-            paths.append(flush(rows))
+            paths.append(flush(rows, len(paths)))
             counts.append(len(rows))
         if paths:
             yield pd.DataFrame({"path": paths, "rows": counts})
