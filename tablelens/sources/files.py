@@ -29,6 +29,7 @@ NA_TOKENS = (
 # Candidate types, tried in this order; text is the fallback.
 CANDIDATE_TYPES = ("bigint", "double", "boolean", "date", "timestamp")
 BOOLEAN_WORDS = ("true", "false")
+DATE_ONLY = r"^\s*\d{4}-\d{1,2}-\d{1,2}\s*$"
 
 CSV_SUFFIXES = (".csv",)
 PARQUET_SUFFIXES = (".parquet",)
@@ -56,6 +57,9 @@ def infer_types(df: DataFrame, candidates: Sequence[str] = CANDIDATE_TYPES) -> d
         for t in candidates:
             if t == "boolean":
                 ok = F.count_if(F.lower(c).isin(list(BOOLEAN_WORDS)))
+            elif t == "date":
+                # the date cast also accepts date-times; keep those for timestamp
+                ok = F.count_if(c.try_cast("date").isNotNull() & c.rlike(DATE_ONLY))
             else:
                 ok = F.count(c.try_cast(t))
             aggs.append(ok.alias(f"n{i}_{t}"))

@@ -86,3 +86,18 @@ def test_approx_method_runs(spark):
     df = spark.createDataFrame([(float(i),) for i in range(100)] + [(1e6,)] * 3, "x double")
     out = rows(anomaly.detect(df, "t", checks=("outliers",), method="approx"))
     assert len(out) == 1 and out[0]["anomaly_type"] == "Outliers Detected"
+
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.integers(-20, 20), min_size=25, max_size=120), st.sampled_from([3.0, 0.5, 1000.0]))
+def test_scaling_keeps_outlier_percentage(spark, values, factor):
+    vals = [float(v) for v in values] + [500.0, -700.0]
+    df = spark.createDataFrame([(v, v * factor) for v in vals], "x double, y double")
+    out = {r["column"]: r["value"] for r in anomaly.detect(df, "t", checks=("outliers",)).collect()}
+    assert set(out) in (set(), {"x", "y"})
+    if out:
+        assert math.isclose(out["x"], out["y"])

@@ -11,13 +11,13 @@ from tablelens.sources.sqlite import read_sqlite_tables
 def test_csv_tokens_and_types(spark, tmpdir_local):
     path = os.path.join(tmpdir_local, "My Data-1.csv")
     with open(path, "w") as fh:
-        fh.write('id,amount,flag,day,name\n1,2.5,true,2024-01-02,"Smith, J"\n'
-                 "2,NA,false,2024-01-03,null\n3,,TRUE,N/A,x\n")
+        fh.write('id,amount,flag,day,name,at\n1,2.5,true,2024-01-02,"Smith, J",2024-01-02 10:30:00\n'
+                 "2,NA,false,2024-01-03,null,2024-01-03\n3,,TRUE,N/A,x,\n")
     tables = files.load_files(spark, [path])
     assert list(tables) == ["My_Data_1"]
     df = tables["My_Data_1"]
     assert dict(df.dtypes) == {"id": "bigint", "amount": "double", "flag": "boolean",
-                               "day": "date", "name": "string"}
+                               "day": "date", "name": "string", "at": "timestamp"}
     rows = [tuple(r) for r in df.orderBy("id").collect()]
     assert rows[0][4] == "Smith, J" and rows[1][1] is None and rows[1][4] is None
     assert rows[2][2] is True and rows[2][3] is None
