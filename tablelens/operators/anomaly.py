@@ -109,18 +109,30 @@ def check_nulls(stats: DataFrame, table: str) -> DataFrame:
     )
 
 
-def duplicate_summary(df: DataFrame) -> DataFrame:
-    """One row ``(rows, duplicate_rows)``; nulls (and NaNs) compare equal."""
-    g = df.groupBy(*groupable_columns(df)).agg(F.count(F.lit(1)).alias("__n"))
+def duplicate_summary(df: DataFrame, hashed: bool = False) -> DataFrame:
+    """One row ``(rows, duplicate_rows)``; nulls (and NaNs) compare equal.
+
+    ``hashed=True`` groups on two independent hashes of the row (96 bits)
+    instead of the row itself, which keeps the shuffle to 12 bytes per
+    distinct row for very wide tables; equal rows always share the key, and
+    two different rows share it with probability about ``2**-96``.  Off by
+    default: the exact grouping is the reference behaviour.
+    """
+    keys = groupable_columns(df)
+    if hashed:
+        # the hashes skip nulls, so the null pattern is hashed along
+        mask = F.array(*[k.isNull() for k in groupable_columns(df)])
+        keys = [F.xxhash64(mask, *keys).alias("__h1"), F.hash(mask, *keys).alias("__h2")]
+    g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     return g.agg(
         F.coalesce(F.sum("__n"), F.lit(0)).cast("long").alias("rows"),
         (F.coalesce(F.sum("__n"), F.lit(0)) - F.count(F.lit(1))).cast("long").alias("duplicate_rows"),
     )
 
 
-def check_duplicates(df: DataFrame, table: str) -> DataFrame:
+def check_duplicates(df: DataFrame, table: str, hashed: bool = False) -> DataFrame:
     """Duplicate rows (beyond the first of each group) >= 5 % -> medium."""
-    d = duplicate_summary(df).withColumn(
+    d = duplicate_summary(df, hashed).withColumn(
         "__pct", F.try_divide(F.col("duplicate_rows"), F.col("rows")) * 100.0
     )
     return d.filter(F.col("__pct") >= DUPLICATE_PCT).select(
@@ -219,6 +231,7 @@ def detect_ranked(
     accuracy: int = 10000,
     checkpoint: bool = True,
     checks: tuple[str, ...] = ("nulls", "duplicates", "outliers", "zero_variance"),
+    hashed_duplicates: bool = False,
 ) -> DataFrame:
     """All checks of one table with ordering keys ``check_no, col_pos``."""
     num = numeric_columns(df)
@@ -228,7 +241,8 @@ def detect_ranked(
     # The duplicate grouping is independent of the statistics chain: run it
     # concurrently (one row of counts comes back).
     pool = ThreadPoolExecutor(max_workers=1) if ("duplicates" in checks and checkpoint) else None
-    dup_future = pool.submit(lambda: _materialize(check_duplicates(df, table), True)) if pool else None
+    dup_future = (pool.submit(lambda: _materialize(check_duplicates(df, table, hashed_duplicates), True))
+                  if pool else None)
     try:
         if need_stats:
             stats = column_stats(
@@ -243,7 +257,7 @@ def detect_ranked(
         if "nulls" in checks:
             parts.append(check_nulls(stats, table))
         if "duplicates" in checks:
-            parts.append(dup_future.result() if dup_future else check_duplicates(df, table))
+            parts.append(dup_future.result() if dup_future else check_duplicates(df, table, hashed_duplicates))
         if "outliers" in checks and num:
             if method == "exact":
                 q = exact_quantiles_checked(df, stats, num, QUARTILES, accuracy,

@@ -101,3 +101,16 @@ def test_scaling_keeps_outlier_percentage(spark, values, factor):
     assert set(out) in (set(), {"x", "y"})
     if out:
         assert math.isclose(out["x"], out["y"])
+
+
+def test_hashed_duplicates_agree(spark):
+    rows = [(i % 7, None if i % 3 else "a", float(i % 5)) for i in range(60)]
+    df = spark.createDataFrame(rows, "a int, b string, c double")
+    exact = anomaly.duplicate_summary(df).collect()[0]
+    hashed = anomaly.duplicate_summary(df, hashed=True).collect()[0]
+    assert tuple(exact) == tuple(hashed) == (60, 60 - len(set(rows)))
+
+
+def test_hashed_duplicates_respect_null_positions(spark):
+    df = spark.createDataFrame([(None, 1), (1, None)], "a int, b int")
+    assert anomaly.duplicate_summary(df, hashed=True).collect()[0]["duplicate_rows"] == 0
