@@ -211,7 +211,8 @@ def _ensure_registered(spark: SparkSession) -> None:
         _REGISTERED.add(key)
 
 
-def read_sheet(spark: SparkSession, paths: str | list[str], sheet: str, infer: bool = True) -> DataFrame:
+def read_sheet(spark: SparkSession, paths: str | list[str], sheet: str, infer: bool = True,
+               stage: bool = True) -> DataFrame:
     """One sheet of one or many workbooks (same header) as a typed table."""
     from tablelens.session import local_path
 
@@ -219,7 +220,16 @@ def read_sheet(spark: SparkSession, paths: str | list[str], sheet: str, infer: b
     _ensure_registered(spark)
     raw = spark.read.format(SOURCE_NAME).option("paths", json.dumps(files)).option("sheet", sheet).load()
     cleaned = raw.select(*[_missing_to_null(qcol(c), NA_TOKENS).alias(c) for c in raw.columns])
-    return apply_types(cleaned, infer_types(cleaned)) if infer else cleaned
+    if not infer:
+        return cleaned
+    if stage:
+        # Sheets are parsed once, in Python; the text rows are written below
+        # the checkpoint folder so inference and the typed read both scan the
+        # columnar copy instead of parsing the workbooks twice.
+        from tablelens.session import materialize
+
+        cleaned = materialize(cleaned)
+    return apply_types(cleaned, infer_types(cleaned))
 
 
 def read_workbooks(spark: SparkSession, path: str) -> dict[str, DataFrame]:
