@@ -24,6 +24,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablelens.session import local_frame
 from tablelens.functions.columns import (
     normalized_sql,
     numeric_columns,
@@ -73,7 +74,7 @@ def _materialize(df: DataFrame, checkpoint: bool) -> DataFrame:
     """
     if not checkpoint:
         return df
-    return df.sparkSession.createDataFrame(df.collect(), schema=df.schema)
+    return local_frame(df.sparkSession, df.collect(), df.schema)
 
 
 def _ranked(table: str, column: Column, kind: str, severity: Column, description: Column,
@@ -273,7 +274,7 @@ def detect_ranked(
         if pool:
             pool.shutdown(wait=True)
     if not parts:
-        return df.sparkSession.createDataFrame([], _RANKED_FIELDS)
+        return local_frame(df.sparkSession, [], _RANKED_FIELDS)
     return union_all_names(parts)
 
 
@@ -311,13 +312,13 @@ def anomaly_report(tables: Mapping[str, DataFrame], **kw) -> DataFrame:
 def _empty_report():
     from pyspark.sql import SparkSession
 
-    return SparkSession.getActiveSession().createDataFrame([], ANOMALY_FIELDS)
+    return local_frame(SparkSession.getActiveSession(), [], ANOMALY_FIELDS)
 
 
 def severity_summary(report: DataFrame) -> DataFrame:
     """Anomaly count per severity, zero included, high -> low."""
     spark = report.sparkSession
-    levels = spark.createDataFrame([(s, i) for i, s in enumerate(SEVERITIES)], "severity string, rank int")
+    levels = local_frame(spark, [(s, i) for i, s in enumerate(SEVERITIES)], "severity string, rank int")
     counts = report.groupBy("severity").agg(F.count(F.lit(1)).alias("count"))
     return (
         levels.join(counts, "severity", "left")

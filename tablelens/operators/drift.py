@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tablelens.session import local_frame
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +15,7 @@ def schema_frame(spark: SparkSession, schema: T.StructType | DataFrame) -> DataF
     """One row ``(position, column, type)`` per field of a schema."""
     st = schema.schema if isinstance(schema, DataFrame) else schema
     rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(st.fields)]
-    return spark.createDataFrame(rows, "position int, column string, type string")
+    return local_frame(spark, rows, "position int, column string, type string")
 
 
 def schema_drift(old: T.StructType | DataFrame, new: T.StructType | DataFrame,

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablelens.session import local_frame
 from tablelens.functions.columns import (
     coerce_timestamp,
     format_count,
@@ -146,7 +147,7 @@ def kpis(tables: Mapping[str, DataFrame], max_cards: int = 4) -> DataFrame:
     if not names:
         from pyspark.sql import SparkSession
 
-        return SparkSession.getActiveSession().createDataFrame([], KPI_FIELDS)
+        return local_frame(SparkSession.getActiveSession(), [], KPI_FIELDS)
     parts = [table_kpis(tables[n], n, i, len(names)) for i, n in enumerate(names)]
     cards = keep_first(union_reports(*parts), "label", F.col("pos"))
     return cards.orderBy("pos").limit(int(max_cards)).select("label", "value", "hint")

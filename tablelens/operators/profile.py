@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablelens.session import local_frame
 from tablelens.functions.columns import (
     is_missing,
     normalized,
@@ -34,7 +35,7 @@ def table_overview(df: DataFrame) -> DataFrame:
     """
     n_cols = len(df.columns)
     if n_cols == 0:
-        return df.sparkSession.createDataFrame([], "rows bigint, columns int, null_cells bigint, duplicate_rows bigint")
+        return local_frame(df.sparkSession, [], "rows bigint, columns int, null_cells bigint, duplicate_rows bigint")
     keys = groupable_columns(df)
     grouped = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     nulls_in_row = sum(
@@ -112,7 +113,7 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     """
     cols = list(columns) if columns is not None else numeric_columns(df)
     if not cols:
-        return df.sparkSession.createDataFrame(
+        return local_frame(df.sparkSession, 
             [], "column string, count bigint, mean double, stddev double, min double, max double"
         )
     structs = []
@@ -154,7 +155,7 @@ def histograms(
     spark = df.sparkSession
     schema = "column string, bin int, lo double, hi double, count bigint"
     if not cols:
-        return spark.createDataFrame([], schema)
+        return local_frame(spark, [], schema)
     bins = int(bins)
     values = [normalized(df, c).cast("double").alias(f"__c{k}") for k, c in enumerate(cols)]
     projected = df.select(*values)
@@ -176,7 +177,7 @@ def histograms(
         entries.append(F.when(x.isNotNull(), F.struct(F.lit(k).alias("k"), b.cast("int").alias("bin"))))
         frame_rows.append((k, c, float(lo), float(hi)))
     if not entries:
-        return spark.createDataFrame([], schema)
+        return local_frame(spark, [], schema)
     counts = (
         projected.select(F.explode(F.array(*entries)).alias("e"))
         .filter(F.col("e").isNotNull())
@@ -184,7 +185,7 @@ def histograms(
         .agg(F.count(F.lit(1)).alias("count"))
     )
     # columns x bins rows, built from the measured ranges
-    frame = spark.createDataFrame(frame_rows, "k int, column string, rlo double, rhi double").select(
+    frame = local_frame(spark, frame_rows, "k int, column string, rlo double, rhi double").select(
         "k", "column", "rlo", "rhi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
     )
     width = (F.col("rhi") - F.col("rlo")) / bins

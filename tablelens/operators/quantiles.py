@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from tablelens.functions.columns import normalized, normalized_sql, sql_double
 from tablelens.operators.stats import SKETCH_MARGINS
+from tablelens.session import local_frame
 
 QUANTILE_FIELDS = "pos int, column string, n bigint, q array<double>, bracket_ok boolean"
 
@@ -49,7 +50,7 @@ def approx_quantiles(
     """One aggregate: ``percentile_approx`` per column."""
     cols = list(columns)
     if not cols:
-        return df.sparkSession.createDataFrame([], QUANTILE_FIELDS)
+        return local_frame(df.sparkSession, [], QUANTILE_FIELDS)
     structs = []
     for i, name in enumerate(cols):
         d = normalized(df, name).cast("double")
@@ -90,7 +91,7 @@ def exact_quantiles(
     spark = df.sparkSession
     cols = list(columns)
     if not cols:
-        return spark.createDataFrame([], QUANTILE_FIELDS)
+        return local_frame(spark, [], QUANTILE_FIELDS)
     mine = stats.filter(F.col("column").isin(cols))
 
     # Bracket bounds: a few numbers per column (bounded by the schema, not by
@@ -199,7 +200,7 @@ def exact_quantiles(
         from tablelens.session import materialize
 
         counts = materialize(counts)  # read twice below; written once
-        pf = F.broadcast(spark.createDataFrame(
+        pf = F.broadcast(local_frame(spark, 
             params, "column string, j int, lo double, hi double, nb int"))
         v = F.col("v")
         bucket = (
@@ -282,4 +283,4 @@ def exact_quantiles_checked(
         kw["full_range"] = tuple(bad)
         redo = {r["column"]: r for r in exact_quantiles(df, stats, bad, probs, accuracy, **kw).collect()}
         rows = [redo.get(r["column"], r) for r in rows]
-    return df.sparkSession.createDataFrame(rows, QUANTILE_FIELDS)
+    return local_frame(df.sparkSession, rows, QUANTILE_FIELDS)

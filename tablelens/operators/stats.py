@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablelens.session import local_frame
 from tablelens.functions.columns import is_float_type, is_numeric_type, normalized, qcol
 
 STATS_FIELDS = (
@@ -120,7 +121,7 @@ def column_stats(
 
     names = list(columns) if columns is not None else df.columns
     if not names:
-        return df.sparkSession.createDataFrame([], STATS_FIELDS)
+        return local_frame(df.sparkSession, [], STATS_FIELDS)
     probs = _sketch_probs(sketch_probs) if sketch_probs else None
     sampled = bool(probs) and sketch_sample < 1.0
     if sampled:

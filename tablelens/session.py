@@ -119,3 +119,24 @@ def local_path(path: str) -> str:
     if "://" in path:
         raise ValueError(f"needs a mounted POSIX path, got {path}")
     return path
+
+
+def local_frame(spark: SparkSession, rows, schema) -> DataFrame:
+    """A small driver-side table as a JVM ``LocalRelation``.
+
+    ``createDataFrame`` on a Python list builds a Python RDD, whose every use
+    starts Python workers; going through pandas and Arrow gives a local
+    relation that lives in the plan itself.  Meant for frames bounded by the
+    schema (one row per column, levels, parameters), never for data.
+    """
+    import pandas as pd
+
+    if isinstance(schema, str):
+        schema = spark.createDataFrame([], schema).schema
+    names = [f.name for f in schema.fields]
+    data = [tuple(r) for r in rows]
+    pdf = pd.DataFrame(data, columns=names, dtype=object) if data else pd.DataFrame(
+        {n: pd.Series([], dtype=object) for n in names})
+    if spark.conf.get("spark.sql.execution.arrow.pyspark.enabled", "false").lower() != "true":
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    return spark.createDataFrame(pdf, schema)

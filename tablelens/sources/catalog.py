@@ -12,6 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablelens.session import local_frame
 from tablelens.functions.columns import qcol
 
 
@@ -39,7 +40,7 @@ def register_all(tables: Mapping[str, DataFrame]) -> list[str]:
 def list_tables(spark: SparkSession, database: str | None = None) -> DataFrame:
     """Table names in alphabetical order."""
     rows = [(t.name, t.isTemporary) for t in spark.catalog.listTables(database)]
-    return spark.createDataFrame(rows, "name string, is_temporary boolean").orderBy("name")
+    return local_frame(spark, rows, "name string, is_temporary boolean").orderBy("name")
 
 
 def catalog_digest(spark: SparkSession, names: list[str] | None = None, n: int = 3) -> DataFrame:
@@ -75,7 +76,7 @@ def catalog_digest(spark: SparkSession, names: list[str] | None = None, n: int =
             )
         )
     if not parts:
-        return spark.createDataFrame([], "table string, position int, column string, type string, samples array<string>")
+        return local_frame(spark, [], "table string, position int, column string, type string, samples array<string>")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
