@@ -51,6 +51,7 @@ def get_session(
     spark = builder.getOrCreate()
     apply_required_conf(spark)
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -140,3 +141,33 @@ def local_frame(spark: SparkSession, rows, schema) -> DataFrame:
     if spark.conf.get("spark.sql.execution.arrow.pyspark.enabled", "false").lower() != "true":
         spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
     return spark.createDataFrame(pdf, schema)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tablelens`` importable in Python workers (once per application).
+
+    Python data sources and ``mapInPandas`` functions are pickled by
+    reference, so executors must import the package; it is zipped on the
+    driver and distributed with ``addPyFile``.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    parent = os.path.dirname(pkg_dir)
+    fd, path = tempfile.mkstemp(prefix="tablelens-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, parent))
+    sc.addPyFile(path)
+    _SHIPPED.add(key)

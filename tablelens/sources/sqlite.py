@@ -141,6 +141,9 @@ def read_sqlite(spark: SparkSession, paths: str | list[str], table: str,
     from tablelens.session import local_path
 
     files = sorted(glob.glob(local_path(paths))) if isinstance(paths, str) else [local_path(p) for p in paths]
+    from tablelens.session import ship_package
+
+    ship_package(spark)
     _ensure_registered(spark)
     return (
         spark.read.format(SOURCE_NAME)
@@ -175,6 +178,9 @@ def write_sqlite(df: DataFrame, out_dir: str, table: str) -> DataFrame:
     out_dir = local_path(out_dir)
     import uuid
 
+    from tablelens.session import ship_package
+
+    ship_package(df.sparkSession)
     fields = df.schema.fields
     ddl = ", ".join(f"{_q(f.name)} {_decl(f.dataType)}" for f in fields)
     marks = ", ".join("?" for _ in fields)

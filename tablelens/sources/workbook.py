@@ -217,6 +217,9 @@ def read_sheet(spark: SparkSession, paths: str | list[str], sheet: str, infer: b
     from tablelens.session import local_path
 
     files = sorted(glob.glob(local_path(paths))) if isinstance(paths, str) else [local_path(p) for p in paths]
+    from tablelens.session import ship_package
+
+    ship_package(spark)
     _ensure_registered(spark)
     raw = spark.read.format(SOURCE_NAME).option("paths", json.dumps(files)).option("sheet", sheet).load()
     cleaned = raw.select(*[_missing_to_null(qcol(c), NA_TOKENS).alias(c) for c in raw.columns])
@@ -317,6 +320,9 @@ def write_workbooks(df: DataFrame, out_dir: str, sheet: str) -> DataFrame:
     out_dir = local_path(out_dir)
     import uuid
 
+    from tablelens.session import ship_package
+
+    ship_package(df.sparkSession)
     header = df.columns
 
     def flush(rows, chunk):
