@@ -16,7 +16,6 @@ from tablelens.functions.columns import (
     is_missing,
     normalized,
     numeric_columns,
-    qcol,
 )
 from tablelens.operators.stats import column_stats, groupable_columns
 
