@@ -45,3 +45,29 @@ def schema_drift(old: T.StructType | DataFrame, new: T.StructType | DataFrame,
         parts = parts.unionByName(changed)
         return parts.orderBy("change", "position").select("change", "column", "old_type", "new_type")
     return parts.orderBy("change", "position").select("change", "column")
+
+
+def batch_drift(spark: SparkSession, batches: list[tuple[str, DataFrame]], with_types: bool = False) -> DataFrame:
+    """Drift between consecutive batches ``[(label, frame), ...]``.
+
+    Rows ``(from_batch, to_batch, change, column[, old_type, new_type])``;
+    only schemas are compared (metadata, no data is read).
+    """
+    fields = DRIFT_TYPED_FIELDS if with_types else DRIFT_FIELDS
+    parts = []
+    for (a_name, a), (b_name, b) in zip(batches, batches[1:]):
+        d = schema_drift(a, b, spark, with_types)
+        parts.append(d.select(F.lit(a_name).alias("from_batch"), F.lit(b_name).alias("to_batch"), "*"))
+    if not parts:
+        return local_frame(spark, [], "from_batch string, to_batch string, " + fields)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def read_batches(spark: SparkSession, paths: list[str], fmt: str = "parquet") -> list[tuple[str, DataFrame]]:
+    """Each stored batch folder as ``(folder name, lazy frame)``."""
+    import os
+
+    return [(os.path.basename(p.rstrip("/")), spark.read.format(fmt).load(p)) for p in paths]

@@ -150,3 +150,22 @@ def q_table_sample_count(spark, sf_dir):
     sample = catalog.sample_rows(o, 5)
     return sample.agg(F.count(F.lit(1)).alias("sample_rows")).select(
         "sample_rows", F.lit(catalog.row_count(o)).cast("bigint").alias("table_rows"))
+
+
+@register(
+    "batch_schema_drift",
+    "select 'batch_1' as from_batch, 'batch_2' as to_batch, 'added' as change, 'discount_code' as \"column\" "
+    "union all select 'batch_2', 'batch_3', 'removed', 'o_orderpriority' "
+    "union all select 'batch_2', 'batch_3', 'removed', 'discount_code'",
+)
+def q_batch_schema_drift(spark, sf_dir):
+    """D9 over stored batches: the orders table written as three batch
+    folders whose columns change, compared batch to batch."""
+    from tablelens.operators.drift import batch_drift, read_batches
+
+    o = table(spark, sf_dir, "orders")
+    root = _scratch(spark, "batches")
+    o.write.mode("overwrite").parquet(f"{root}/batch_1")
+    o.withColumn("discount_code", F.lit("none")).write.mode("overwrite").parquet(f"{root}/batch_2")
+    o.drop("o_orderpriority").write.mode("overwrite").parquet(f"{root}/batch_3")
+    return batch_drift(spark, read_batches(spark, [f"{root}/batch_{i}" for i in (1, 2, 3)]))

@@ -27,3 +27,21 @@ def test_oracle_matches_at_sf0001(spark, name):
 
     res = compare(spark, "/root/testdata/sf0.001", [name], verbose=False)
     assert res[name] == "ok", res[name]
+
+
+def test_entry_from_another_directory(tmp_path):
+    """Python workers must import the package even when the driver runs
+    elsewhere (it is shipped with addPyFile)."""
+    import subprocess
+    import sys
+
+    root = __import__("os").path.dirname(__import__("os").path.dirname(__import__("os").path.abspath(__file__)))
+    code = (
+        "import sys; sys.path.insert(0, %r)\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "import __spark_entry__ as e\n"
+        "print('ROWS', e.queries()['sqlite_customer'](s, '/root/testdata/sf0.001').count())\n"
+    ) % root
+    out = subprocess.run([sys.executable, "-c", code], cwd=str(tmp_path), capture_output=True, text=True, timeout=600)
+    assert "ROWS 150" in out.stdout, out.stderr[-2000:]
