@@ -267,9 +267,14 @@ def issue_line(table: ColumnOrName = "table", column: ColumnOrName = "column",
 # line, the same rule as Python's ``re`` and RE2.
 # --------------------------------------------------------------------------
 
+# The whitespace characters of Java's ``\s`` class.
+WHITESPACE = " \t\n\x0b\x0c\r"
+
+
 def strip_ws(c: ColumnOrName) -> Column:
-    """Trim whitespace of any kind at both ends (``trim`` only drops spaces)."""
-    return F.regexp_replace(_col(c), r"^\s+|\s+$", "")
+    """Trim whitespace of any kind at both ends (plain ``trim`` only drops
+    spaces); a character-set trim, much cheaper than a regex on long texts."""
+    return F.trim(_col(c), F.lit(WHITESPACE))
 
 
 def strip_fences(c: ColumnOrName) -> Column:
