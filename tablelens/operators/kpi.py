@@ -86,7 +86,8 @@ def table_kpis(df: DataFrame, table: str, table_pos: int, n_tables: int) -> Data
     )
     money = money_column(df)
     if money is not None:
-        aggs.append(F.sum(qcol(money)).alias("__money"))
+        # an empty or all-null column sums to 0, as a pandas sum does
+        aggs.append(F.coalesce(F.sum(qcol(money)), F.lit(0)).alias("__money"))
         cards.append(
             F.struct(
                 F.lit(f"Total {title_label(money)}").alias("label"),

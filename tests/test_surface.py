@@ -117,3 +117,14 @@ def test_skew_safe_left_join_equals_left_join(spark):
     got = sorted(map(tuple, skew_safe_left_join(left, right, "k", "rk").collect()), key=str)
     exp = sorted(map(tuple, left.join(right, left.k == right.rk, "left").collect()), key=str)
     assert got == exp
+
+
+def test_kpis_and_profile_of_empty_table(spark):
+    from tablelens.operators import profile
+
+    df = spark.createDataFrame([], "order_id int, amount double, order_date timestamp")
+    cards = {r["label"]: r["value"] for r in kpi.kpis({"t": df}).collect()}
+    assert cards == {"Total Rows": "0", "Total Amount": "0.00"}
+    prof = profile.profile_table(df).collect()
+    assert [r["null_pct"] for r in prof] == [None, None, None]
+    assert [r["sample_value"] for r in prof] == ["N/A"] * 3
