@@ -143,9 +143,27 @@ def parse_date(c: ColumnOrName) -> Column:
     return _col(c).try_cast("date")
 
 
-def coerce_timestamp(c: ColumnOrName) -> Column:
-    """Cast to TIMESTAMP; unparseable values become null."""
-    return _col(c).try_cast("timestamp")
+# Date layouts tried, in this order, after the ISO cast.
+DATE_LAYOUTS = (
+    "M/d/yyyy H:mm:ss",
+    "M/d/yyyy H:mm",
+    "M/d/yyyy",
+    "yyyy/M/d",
+    "d.M.yyyy",
+    "MMM d, yyyy",
+    "MMMM d, yyyy",
+    "d MMM yyyy",
+    "d MMMM yyyy",
+)
+
+
+def coerce_timestamp(c: ColumnOrName, layouts=DATE_LAYOUTS) -> Column:
+    """Parse to TIMESTAMP: the ISO cast first, then common date layouts;
+    text that matches none becomes null instead of failing."""
+    col = _col(c)
+    text = col.cast("string")
+    tries = [col.try_cast("timestamp")] + [F.try_to_timestamp(text, F.lit(fmt)) for fmt in layouts]
+    return F.coalesce(*tries)
 
 
 def month_of(c: ColumnOrName) -> Column:

@@ -128,3 +128,9 @@ def test_kpis_and_profile_of_empty_table(spark):
     prof = profile.profile_table(df).collect()
     assert [r["null_pct"] for r in prof] == [None, None, None]
     assert [r["sample_value"] for r in prof] == ["N/A"] * 3
+
+
+def test_coerce_timestamp_layouts(spark):
+    df = spark.createDataFrame([("2024-01-05",), ("1/5/2024",), ("Jan 5, 2024",), ("5.1.2024",), ("soon",)], "s string")
+    got = [r["t"] for r in df.select(C.coerce_timestamp("s").alias("t")).collect()]
+    assert got[:4] == [dt.datetime(2024, 1, 5)] * 4 and got[4] is None
