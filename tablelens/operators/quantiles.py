@@ -245,7 +245,10 @@ def exact_quantiles(
     per_p = per_p.select(
         "column",
         "j",
-        (F.col("v_lo") + (F.col("h") - F.col("r_lo")) * (F.col("v_hi") - F.col("v_lo"))).alias("q"),
+        # an integral position is the value itself (no 0 * inf for infinite values)
+        F.when(F.col("h") == F.col("r_lo"), F.col("v_lo"))
+        .otherwise(F.col("v_lo") + (F.col("h") - F.col("r_lo")) * (F.col("v_hi") - F.col("v_lo")))
+        .alias("q"),
         ((F.col("below") <= F.col("r_lo")) & (F.col("below") + F.col("inside") > F.col("r_hi")))
         .alias("ok"),
     )
