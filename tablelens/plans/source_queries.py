@@ -169,3 +169,27 @@ def q_batch_schema_drift(spark, sf_dir):
     o.withColumn("discount_code", F.lit("none")).write.mode("overwrite").parquet(f"{root}/batch_2")
     o.drop("o_orderpriority").write.mode("overwrite").parquet(f"{root}/batch_3")
     return batch_drift(spark, read_batches(spark, [f"{root}/batch_{i}" for i in (1, 2, 3)]))
+
+
+@register(
+    "stream_null_rates",
+    "\nunion all\n".join(
+        f"select '{c}' as \"column\", count(*) as \"rows\", count(*) - count({c}) as nulls, "
+        f"round((count(*) - count({c})) / count(*) * 100, 2) as null_pct from events"
+        for c in ("event_id", "ts", "user_id", "event_type", "value", "props")
+    ),
+)
+def q_stream_null_rates(spark, sf_dir):
+    """Running null rates of the events table arriving as a file stream
+    (two files per micro-batch, stateful aggregation); after the stream has
+    drained, the rates equal those of the whole table."""
+    from tablelens.streaming.monitor import monitor_null_rates
+
+    ev = table(spark, sf_dir, "events")
+    src = _scratch(spark, "stream-src")
+    ev.repartition(4).write.mode("overwrite").parquet(src)
+    report = _scratch(spark, "stream-rates")
+    q = monitor_null_rates(spark, src, ev.schema, report, _scratch(spark, "stream-ckpt"),
+                           max_files_per_trigger=2)
+    q.awaitTermination()
+    return spark.read.parquet(report).select("column", "rows", "nulls", "null_pct")

@@ -68,3 +68,53 @@ def monitor_files(
 
 def read_reports(spark: SparkSession, report_path: str) -> DataFrame:
     return spark.read.parquet(report_path)
+
+
+def running_null_rates(stream: DataFrame) -> DataFrame:
+    """Null rate per column over everything the stream has delivered so far.
+
+    Each row becomes one ``(column, missing)`` pair per column, partially
+    aggregated per micro-batch before the state store; the state is one row
+    per column, whatever the stream length.  Use with output mode
+    ``complete`` (or ``update``).
+    """
+    from tablelens.functions.columns import is_missing
+
+    pairs = F.array(
+        *[F.struct(F.lit(c).alias("column"), is_missing(stream, c).cast("long").alias("missing"))
+          for c in stream.columns]
+    )
+    return (
+        stream.select(F.explode(pairs).alias("m"))
+        .groupBy(F.col("m.column").alias("column"))
+        .agg(F.count(F.lit(1)).alias("rows"), F.sum("m.missing").alias("nulls"))
+        .withColumn("null_pct", F.round(F.try_divide(F.col("nulls"), F.col("rows")) * 100.0, 2))
+    )
+
+
+def monitor_null_rates(
+    spark: SparkSession,
+    source_path: str,
+    schema: T.StructType | str,
+    report_path: str,
+    checkpoint_location: str,
+    *,
+    fmt: str = "parquet",
+    max_files_per_trigger: int | None = None,
+    available_now: bool = True,
+) -> StreamingQuery:
+    """Start ``running_null_rates`` over a file stream; after every batch the
+    current rates replace the table at ``report_path``."""
+    reader = spark.readStream.schema(schema).format(fmt)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
+    rates = running_null_rates(reader.load(source_path))
+    writer = (
+        rates.writeStream.outputMode("complete")
+        .foreachBatch(lambda df, bid: df.withColumn("batch_id", F.lit(int(bid)))
+                      .write.mode("overwrite").parquet(report_path))
+        .option("checkpointLocation", checkpoint_location)
+    )
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
