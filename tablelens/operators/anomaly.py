@@ -42,7 +42,8 @@ ANOMALY_FIELDS = (
 _RANKED_FIELDS = ANOMALY_FIELDS + ", check_no int, col_pos int"
 
 # Thresholds of the checks (percentages), the IQR multiplier,
-# the minimum number of values for the outlier check, and the labels.
+# the minimum number of values for the outlier check, the labels and the
+# description templates.
 NULL_HIGH_PCT = 50.0
 NULL_MEDIUM_PCT = 20.0
 DUPLICATE_PCT = 5.0
@@ -55,6 +56,10 @@ OUTLIERS = "Outliers Detected"
 ZERO_VARIANCE = "Zero Variance"
 ENTIRE_ROW = "(entire row)"
 SEVERITIES = ("high", "medium", "low")
+NULL_TEXT = "%.1f%% of values are null (%d rows)"
+DUPLICATE_TEXT = "%.1f%% of rows are exact duplicates (%d rows)"
+OUTLIER_TEXT = "%.1f%% outliers (IQR x%s). Expected range: [%.2f, %.2f]"
+ZERO_VARIANCE_TEXT = "All non-null values are identical: "
 
 QUARTILES = (0.25, 0.75)
 # Fraction of rows fed to the quartile sketch.  Sampling saves sketch CPU
@@ -104,7 +109,7 @@ def check_nulls(stats: DataFrame, table: str) -> DataFrame:
         *_ranked(
             table, F.col("column"), NULL_RATE,
             F.when(F.col("__pct") >= NULL_HIGH_PCT, "high").otherwise("medium"),
-            F.format_string("%.1f%% of values are null (%d rows)", F.col("__pct"), F.col("__nulls")),
+            F.format_string(NULL_TEXT, F.col("__pct"), F.col("__nulls")),
             F.col("__pct"), 1, F.col("pos"),
         )
     )
@@ -139,8 +144,7 @@ def check_duplicates(df: DataFrame, table: str, hashed: bool = False) -> DataFra
     return d.filter(F.col("__pct") >= DUPLICATE_PCT).select(
         *_ranked(
             table, F.lit(ENTIRE_ROW), DUPLICATE_ROWS, F.lit("medium"),
-            F.format_string("%.1f%% of rows are exact duplicates (%d rows)",
-                            F.col("__pct"), F.col("duplicate_rows")),
+            F.format_string(DUPLICATE_TEXT, F.col("__pct"), F.col("duplicate_rows")),
             F.col("__pct"), 2, F.lit(-1),
         )
     )
@@ -195,8 +199,7 @@ def check_outliers(df: DataFrame, table: str, quartiles: DataFrame, columns: lis
             *_ranked(
                 table, F.col("column"), OUTLIERS, F.lit("low"),
                 F.format_string(
-                    "%.1f%% outliers (IQR x%s). Expected range: [%.2f, %.2f]",
-                    F.col("__pct"), F.lit(str(IQR_MULTIPLIER)), F.col("lower"), F.col("upper"),
+                    OUTLIER_TEXT, F.col("__pct"), F.lit(str(IQR_MULTIPLIER)), F.col("lower"), F.col("upper"),
                 ),
                 F.col("__pct"), 3, F.col("pos"),
             )
@@ -214,7 +217,7 @@ def check_zero_variance(stats: DataFrame, table: str, columns: list[str]) -> Dat
     ).select(
         *_ranked(
             table, F.col("column"), ZERO_VARIANCE, F.lit("low"),
-            F.concat(F.lit("All non-null values are identical: "), F.col("min_text")),
+            F.concat(F.lit(ZERO_VARIANCE_TEXT), F.col("min_text")),
             F.lit(0.0), 4, F.col("pos"),
         )
     )

@@ -28,13 +28,18 @@ from tablelens.operators.relational import keep_first, union_reports
 
 KPI_FIELDS = "label string, value string, hint string"
 
-# Name fragments that mark a money column, a person-id column,
-# and a date column.
+# Name fragments that mark a money column, a person-id column
+# and a date column, and the card labels and hints.
 MONEY_WORDS = ("revenue", "amount", "total", "sales", "price", "spend")
 PERSON_WORDS = ("customer", "user", "client", "member")
 ID_WORD = "id"
 DATE_WORD = "date"
 DATE_SEPARATOR = " – "  # en dash
+ROWS_LABEL = "Total Rows"
+ROWS_HINT = "across {n} table(s)"
+MONEY_LABEL = "Total {title}"
+DATE_LABEL = "Date Range"
+PEOPLE_LABEL = "Unique {title}"
 
 
 def money_column(df: DataFrame) -> str | None:
@@ -78,9 +83,9 @@ def table_kpis(df: DataFrame, table: str, table_pos: int, n_tables: int) -> Data
     aggs = [F.count(F.lit(1)).alias("__rows")]
     cards.append(
         F.struct(
-            F.lit("Total Rows").alias("label"),
+            F.lit(ROWS_LABEL).alias("label"),
             format_count(F.col("__rows")).alias("value"),
-            F.lit(f"across {n_tables} table(s)").alias("hint"),
+            F.lit(ROWS_HINT.format(n=n_tables)).alias("hint"),
             F.lit(base + 1).alias("pos"),
         )
     )
@@ -90,7 +95,7 @@ def table_kpis(df: DataFrame, table: str, table_pos: int, n_tables: int) -> Data
         aggs.append(F.coalesce(F.sum(qcol(money)), F.lit(0)).alias("__money"))
         cards.append(
             F.struct(
-                F.lit(f"Total {title_label(money)}").alias("label"),
+                F.lit(MONEY_LABEL.format(title=title_label(money))).alias("label"),
                 format_measure(F.col("__money")).alias("value"),
                 F.lit(table).alias("hint"),
                 F.lit(base + 2).alias("pos"),
@@ -120,7 +125,7 @@ def table_kpis(df: DataFrame, table: str, table_pos: int, n_tables: int) -> Data
             F.when(
                 first.isNotNull(),
                 F.struct(
-                    F.lit("Date Range").alias("label"),
+                    F.lit(DATE_LABEL).alias("label"),
                     first["value"].alias("value"),
                     first["hint"].alias("hint"),
                     F.lit(base + 3).alias("pos"),
@@ -132,7 +137,7 @@ def table_kpis(df: DataFrame, table: str, table_pos: int, n_tables: int) -> Data
         aggs.append(F.count_distinct(qcol(person)).alias("__people"))
         cards.append(
             F.struct(
-                F.lit(f"Unique {title_label(person)}").alias("label"),
+                F.lit(PEOPLE_LABEL.format(title=title_label(person))).alias("label"),
                 format_count(F.col("__people")).alias("value"),
                 F.lit(table).alias("hint"),
                 F.lit(base + 4).alias("pos"),
