@@ -70,14 +70,14 @@ QUARTILES = (0.25, 0.75)
 SKETCH_SAMPLE = 1.0
 
 
-def _materialize(df: DataFrame, checkpoint: bool) -> DataFrame:
+def _materialize(df: DataFrame, keep: bool) -> DataFrame:
     """Compute a per-column summary once and keep it as a local relation.
 
     The frame has one row per column (bounded by the schema, not the data);
     holding it on the driver cuts its lineage to the table, so later steps
     never re-scan, and the next scan's bounds are read from it directly.
     """
-    if not checkpoint:
+    if not keep:
         return df
     return local_frame(df.sparkSession, df.collect(), df.schema)
 
@@ -233,7 +233,7 @@ def detect_ranked(
     *,
     method: str = "exact",
     accuracy: int = 10000,
-    checkpoint: bool = True,
+    keep_summaries: bool = True,
     checks: tuple[str, ...] = ("nulls", "duplicates", "outliers", "zero_variance"),
     hashed_duplicates: bool = False,
 ) -> DataFrame:
@@ -244,7 +244,7 @@ def detect_ranked(
     stats = None
     # The duplicate grouping is independent of the statistics chain: run it
     # concurrently (one row of counts comes back).
-    pool = ThreadPoolExecutor(max_workers=1) if ("duplicates" in checks and checkpoint) else None
+    pool = ThreadPoolExecutor(max_workers=1) if ("duplicates" in checks and keep_summaries) else None
     dup_future = (pool.submit(lambda: _materialize(check_duplicates(df, table, hashed_duplicates), True))
                   if pool else None)
     try:
@@ -257,7 +257,7 @@ def detect_ranked(
                 sketch_sample=SKETCH_SAMPLE,
                 accuracy=accuracy,
             )
-            stats = _materialize(stats, checkpoint)
+            stats = _materialize(stats, keep_summaries)
         if "nulls" in checks:
             parts.append(check_nulls(stats, table))
         if "duplicates" in checks:
@@ -267,7 +267,7 @@ def detect_ranked(
                 q = exact_quantiles_checked(df, stats, num, QUARTILES, accuracy,
                                             sketch_sample=SKETCH_SAMPLE)
             elif method == "approx":
-                q = _materialize(approx_quantiles(df, num, QUARTILES, accuracy), checkpoint)
+                q = _materialize(approx_quantiles(df, num, QUARTILES, accuracy), keep_summaries)
             else:
                 raise ValueError("method must be 'exact' or 'approx'")
             parts.append(check_outliers(df, table, q, num))
