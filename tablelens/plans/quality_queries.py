@@ -403,3 +403,41 @@ _TEXT_INPUTS = [CONVERSATIONS, PAGES, BENCHMARK, CONV_TEXT, EMBEDDINGS]
 def q_text_table_anomalies(spark, sf_dir):
     """D1-D4 over text and array tables (duplicate texts per role, ...)."""
     return spark_detect(spark, sf_dir, _TEXT_INPUTS, _ALL)
+
+
+# ---------------------------------------------------------------------------
+# T1 over the whole catalog: one plan, one union branch per table
+# ---------------------------------------------------------------------------
+
+REGION = Input("region", lambda s, d: table(s, d, "region"), "select * from region",
+               (("r_regionkey", "int"), ("r_name", "string")))
+NATION = Input("nation", lambda s, d: table(s, d, "nation"), "select * from nation",
+               (("n_nationkey", "int"), ("n_name", "string"), ("n_regionkey", "int")))
+CUSTOMER = Input("customer", lambda s, d: table(s, d, "customer"), "select * from customer",
+                 (("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"),
+                  ("c_acctbal", "double"), ("c_mktsegment", "string")))
+SUPPLIER = Input("supplier", lambda s, d: table(s, d, "supplier"), "select * from supplier",
+                 (("s_suppkey", "bigint"), ("s_name", "string"), ("s_nationkey", "int"),
+                  ("s_acctbal", "double")))
+PART = Input("part", lambda s, d: table(s, d, "part"), "select * from part",
+             (("p_partkey", "bigint"), ("p_name", "string"), ("p_brand", "string"),
+              ("p_type", "string"), ("p_size", "int"), ("p_retailprice", "double")))
+
+_CATALOG = [REGION, NATION, CUSTOMER, SUPPLIER, PART, ORDERS, LINEITEM, EVENTS, DOCUMENTS,
+            EMBEDDINGS, PAGES, BENCHMARK, LABELS, CONVERSATIONS]
+
+
+@register(
+    "table_overview_all",
+    "\nunion all\n".join(
+        f"select '{i.name}' as {q('table')}, * from ({_sql_overview(i)})" for i in _CATALOG
+    ),
+)
+def q_table_overview_all(spark, sf_dir):
+    """T1 for every fixture table; the branches are independent, so adaptive
+    execution runs their stages side by side."""
+    parts = [
+        profile.table_overview(i.df(spark, sf_dir)).select(F.lit(i.name).alias("table"), "*")
+        for i in _CATALOG
+    ]
+    return union_reports(*parts)
