@@ -441,3 +441,27 @@ def q_table_overview_all(spark, sf_dir):
         for i in _CATALOG
     ]
     return union_reports(*parts)
+
+
+_PROFILE_KEYS = [
+    (REGION, "r_regionkey"), (NATION, "n_nationkey"), (CUSTOMER, "c_custkey"),
+    (SUPPLIER, "s_suppkey"), (PART, "p_partkey"), (ORDERS, "o_orderkey"),
+    (LINEITEM, ("l_orderkey", "l_linenumber")), (EVENTS, "event_id"), (DOCUMENTS, "doc_id"),
+    (PAGES, "page_id"), (BENCHMARK, "item_id"), (LABELS, "doc_id"),
+    (CONVERSATIONS, ("conv_id", "turn")),
+]
+
+
+@register(
+    "column_profile_all",
+    "\nunion all\n".join(
+        f"select '{i.name}' as {q('table')}, * from ({_sql_profile(i, k)})" for i, k in _PROFILE_KEYS
+    ),
+)
+def q_column_profile_all(spark, sf_dir):
+    """T2 for every fixture table with a key (first sample by that key)."""
+    parts = [
+        profile.profile_table(i.df(spark, sf_dir), order_by=k).select(F.lit(i.name).alias("table"), "*")
+        for i, k in _PROFILE_KEYS
+    ]
+    return union_reports(*parts)
