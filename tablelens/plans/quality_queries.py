@@ -465,3 +465,10 @@ def q_column_profile_all(spark, sf_dir):
         for i, k in _PROFILE_KEYS
     ]
     return union_reports(*parts)
+
+
+@register("anomaly_report_all", sql_detect(_CATALOG, _ALL))
+def q_anomaly_report_all(spark, sf_dir):
+    """D6 over every fixture table: all four checks, tables checked
+    concurrently, sorted by severity."""
+    return anomaly.anomaly_report({i.name: i.df(spark, sf_dir) for i in _CATALOG})
