@@ -149,8 +149,19 @@ def iter_sheet_rows(path: str, sheet: str) -> Iterator[list[str | None]]:
 
 
 def sheet_header(path: str, sheet: str) -> list[str]:
+    """Header row; empty names become ``Unnamed: i`` and repeated names get
+    ``.1``, ``.2`` suffixes, so every column name is unique."""
     for r in iter_sheet_rows(path, sheet):
-        return [("" if c is None else str(c)) or f"Unnamed: {i}" for i, c in enumerate(r)]
+        names, seen = [], {}
+        for i, c in enumerate(r):
+            name = ("" if c is None else str(c)) or f"Unnamed: {i}"
+            if name in seen:
+                seen[name] += 1
+                name = f"{name}.{seen[name]}"
+            else:
+                seen[name] = 0
+            names.append(name)
+        return names
     return []
 
 

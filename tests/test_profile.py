@@ -91,3 +91,9 @@ def test_sketch_ladder_and_repair_stay_exact(spark, values):
         q = exact_quantiles_checked(df, stats, ["x"], [0.25, 0.75], 1000, sketch_sample=sample,
                                     rank_partition_rows=5, margin_sigmas=0.0).collect()[0]
         assert q["bracket_ok"] and np.allclose(q["q"], exp)
+
+
+def test_profile_with_approximate_distinct(spark):
+    df = spark.range(5000).selectExpr("id", "id % 7 as m", "cast(id as string) as s")
+    out = {r["column"]: r["unique"] for r in profile.profile_table(df, exact=False).collect()}
+    assert out["m"] == 7 and abs(out["id"] - 5000) <= 150 and abs(out["s"] - 5000) <= 150

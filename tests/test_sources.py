@@ -58,3 +58,12 @@ def test_sqlite_two_tables(spark, tmpdir_local):
     from tablelens.sources.sqlite import read_sqlite
 
     assert read_sqlite(spark, [path], "a", rows_per_partition=4).rdd.getNumPartitions() == 7
+
+
+def test_workbook_duplicate_and_empty_headers(spark, tmpdir_local):
+    path = os.path.join(tmpdir_local, "dups.xlsx")
+    with open(path, "wb") as fh:
+        fh.write(workbook.workbook_bytes([("s", ["a", "a", None, "b"], [(1, 2, 3, "x")])]))
+    df = workbook.read_sheet(spark, [path], "s")
+    assert df.columns == ["a", "a.1", "Unnamed: 2", "b"]
+    assert tuple(df.collect()[0]) == (1, 2, 3, "x")
