@@ -97,3 +97,14 @@ def test_profile_with_approximate_distinct(spark):
     df = spark.range(5000).selectExpr("id", "id % 7 as m", "cast(id as string) as s")
     out = {r["column"]: r["unique"] for r in profile.profile_table(df, exact=False).collect()}
     assert out["m"] == 7 and abs(out["id"] - 5000) <= 150 and abs(out["s"] - 5000) <= 150
+
+
+def test_variant_and_map_columns(spark):
+    from tablelens.operators import anomaly
+
+    df = spark.createDataFrame([(1, '{"a":1}'), (2, '{"a":1}'), (2, '{"a":1}')], "k int, j string").select(
+        F.parse_json("j").alias("v"), F.create_map(F.lit("x"), F.col("k")).alias("m"))
+    out = {r["column"]: r["unique"] for r in profile.profile_table(df).collect()}
+    assert out == {"v": 1, "m": 2}
+    assert profile.table_overview(df).collect()[0]["duplicate_rows"] == 1
+    assert [r["anomaly_type"] for r in anomaly.detect(df, "t").collect()] == ["Duplicate Rows"]
