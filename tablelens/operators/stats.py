@@ -69,6 +69,8 @@ def groupable_columns(df: DataFrame) -> list[Column]:
 # sketch is evaluated; the exact pass picks the smallest one that covers the
 # sampling and sketch error for the column's size.
 SKETCH_MARGINS = (0.0005, 0.001, 0.002, 0.004, 0.008, 0.016, 0.032, 0.064)
+# Columns per exact distinct-count aggregate.
+DISTINCT_GROUP = 16
 
 
 def _sketch_probs(probs: Sequence[float]) -> list[float]:
@@ -174,11 +176,19 @@ def column_stats(
     # row once per column and hash-aggregates on (column, value).  Kept apart
     # from the sample values, whose string buffers would turn the expanded
     # aggregate into a sort-based one.
-    items = ", ".join(
-        f"named_struct('pos', {i}, '__u', count(DISTINCT {groupable_sql(df, name)}))"
-        for i, name in enumerate(names)
-    )
-    dist = df.agg(F.expr(f"array({items})").alias("__d")).selectExpr("inline(__d)")
+    # Expanded rows carry one slot per distinct column, so the work per input
+    # row grows with the square of the width; columns are counted in groups of
+    # DISTINCT_GROUP (a union of independent aggregates, each reading only its
+    # own columns, so the bytes read stay those of one scan).
+    groups = [list(enumerate(names))[a:a + DISTINCT_GROUP] for a in range(0, len(names), DISTINCT_GROUP)]
+    dist = None
+    for group in groups:
+        items = ", ".join(
+            f"named_struct('pos', {i}, '__u', count(DISTINCT {groupable_sql(df, name)}))"
+            for i, name in group
+        )
+        part = df.agg(F.expr(f"array({items})").alias("__d")).selectExpr("inline(__d)")
+        dist = part if dist is None else dist.unionByName(part)
     # both sides have one row per column
     fields = [f.split()[0] for f in STATS_FIELDS.split(", ")]
     joined = out.join(F.broadcast(dist), "pos")

@@ -108,3 +108,9 @@ def test_variant_and_map_columns(spark):
     assert out == {"v": 1, "m": 2}
     assert profile.table_overview(df).collect()[0]["duplicate_rows"] == 1
     assert [r["anomaly_type"] for r in anomaly.detect(df, "t").collect()] == ["Duplicate Rows"]
+
+
+def test_wide_table_distinct_counts_in_groups(spark):
+    df = spark.range(300).selectExpr(*[f"id % {k + 2} as c{k}" for k in range(40)])
+    out = {r["column"]: r["unique"] for r in column_stats(df, sample=False).collect()}
+    assert out == {f"c{k}": k + 2 for k in range(40)}
