@@ -42,6 +42,8 @@ from tablelens.operators.stats import SKETCH_MARGINS
 from tablelens.session import local_frame
 
 QUANTILE_FIELDS = "pos int, column string, n bigint, q array<double>, bracket_ok boolean"
+# Numeric columns per grouped aggregate of the exact pass.
+QUANTILE_GROUP = 8
 
 
 def approx_quantiles(
@@ -141,37 +143,50 @@ def exact_quantiles(
     # (column, p), the value if it lies inside the bracket, else null; the
     # aggregates count rows and values below each bracket.  Almost every row
     # has the all-null key, which the partial aggregate collapses map-side,
-    # so only bracket values (about 6/accuracy of them) are shuffled.
+    # so only bracket values (about 6/accuracy of them) are shuffled.  Wide
+    # tables are split into groups of QUANTILE_GROUP columns (a union of
+    # independent aggregates over disjoint columns), so the share of rows
+    # with some value inside some bracket stays small.
     kj = [(k, j) for k in range(len(cols)) for j in range(len(probs))]
-    keys, below_aggs = [], []
-    for k, j in kj:
-        c = f"__c{k}"
-        lo, hi = bracket(cols[k], j)
-        if lo is None:
-            keys.append(F.expr("CAST(NULL AS DOUBLE)").alias(f"v_{k}_{j}"))
-            below_aggs.append(F.expr("CAST(0 AS BIGINT)").alias(f"b_{k}_{j}"))
-            continue
-        keys.append(
-            F.expr(f"CASE WHEN {c} >= {sql_double(lo)} AND {c} <= {sql_double(hi)} THEN {c} END")
-            .alias(f"v_{k}_{j}")
-        )
-        below_aggs.append(F.expr(f"count_if({c} < {sql_double(lo)})").alias(f"b_{k}_{j}"))
-    grouped = projected.groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt"), *below_aggs)
-    # small from here on: unpivot to (column, j, v, cnt); v = null carries
-    # the count below the bracket
-    entries = []
-    for k, j in kj:
-        entries.append(
-            f"CASE WHEN v_{k}_{j} IS NOT NULL THEN named_struct('k', {k}, 'j', {j}, 'v', v_{k}_{j}, 'cnt', cnt) END"
-        )
-        entries.append(
-            f"CASE WHEN b_{k}_{j} > 0 THEN named_struct('k', {k}, 'j', {j}, 'v', CAST(NULL AS DOUBLE), "
-            f"'cnt', b_{k}_{j}) END"
-        )
     names = F.array(*[F.lit(n) for n in cols])
+
+    def group_counts(ks: list[int]) -> DataFrame:
+        gkj = [(k, j) for k, j in kj if k in ks]
+        keys, below_aggs = [], []
+        for k, j in gkj:
+            c = f"__c{k}"
+            lo, hi = bracket(cols[k], j)
+            if lo is None:
+                keys.append(F.expr("CAST(NULL AS DOUBLE)").alias(f"v_{k}_{j}"))
+                below_aggs.append(F.expr("CAST(0 AS BIGINT)").alias(f"b_{k}_{j}"))
+                continue
+            keys.append(
+                F.expr(f"CASE WHEN {c} >= {sql_double(lo)} AND {c} <= {sql_double(hi)} THEN {c} END")
+                .alias(f"v_{k}_{j}")
+            )
+            below_aggs.append(F.expr(f"count_if({c} < {sql_double(lo)})").alias(f"b_{k}_{j}"))
+        grouped = projected.select(*[f"__c{k}" for k in ks]).groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("cnt"), *below_aggs)
+        # small from here on: unpivot to (column, j, v, cnt); v = null
+        # carries the count below the bracket
+        entries = []
+        for k, j in gkj:
+            entries.append(
+                f"CASE WHEN v_{k}_{j} IS NOT NULL THEN named_struct('k', {k}, 'j', {j}, 'v', v_{k}_{j}, 'cnt', cnt) END"
+            )
+            entries.append(
+                f"CASE WHEN b_{k}_{j} > 0 THEN named_struct('k', {k}, 'j', {j}, 'v', CAST(NULL AS DOUBLE), "
+                f"'cnt', b_{k}_{j}) END"
+            )
+        return grouped.select(F.expr(f"explode(array({', '.join(entries)}))").alias("m"))
+
+    ks_all = list(range(len(cols)))
+    exploded = None
+    for a in range(0, len(ks_all), QUANTILE_GROUP):
+        part = group_counts(ks_all[a:a + QUANTILE_GROUP])
+        exploded = part if exploded is None else exploded.unionByName(part)
     counts = (
-        grouped.select(F.expr(f"explode(array({', '.join(entries)}))").alias("m"))
-        .filter(F.col("m").isNotNull())
+        exploded.filter(F.col("m").isNotNull())
         .groupBy("m.k", "m.j", "m.v")
         .agg(F.sum("m.cnt").alias("cnt"))
         .select(names[F.col("k")].alias("column"), "j", "v", "cnt")

@@ -114,3 +114,16 @@ def test_wide_table_distinct_counts_in_groups(spark):
     df = spark.range(300).selectExpr(*[f"id % {k + 2} as c{k}" for k in range(40)])
     out = {r["column"]: r["unique"] for r in column_stats(df, sample=False).collect()}
     assert out == {f"c{k}": k + 2 for k in range(40)}
+
+
+def test_exact_quantiles_wide_table_groups(spark):
+    from tablelens.operators.quantiles import exact_quantiles_checked
+
+    df = spark.range(400).selectExpr(*[f"cast((id * {k + 3}) % 97 as double) as c{k}" for k in range(20)])
+    stats = column_stats(df, distinct=None, sample=False, sketch_probs=[0.25, 0.75], accuracy=50)
+    rows = {r["column"]: r for r in exact_quantiles_checked(df, stats, df.columns, [0.25, 0.75], 50,
+                                                             rank_partition_rows=100).collect()}
+    pdf = df.toPandas()
+    for c in df.columns:
+        assert rows[c]["bracket_ok"]
+        assert np.allclose(rows[c]["q"], np.percentile(pdf[c], [25, 75]))
