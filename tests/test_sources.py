@@ -67,3 +67,12 @@ def test_workbook_duplicate_and_empty_headers(spark, tmpdir_local):
     df = workbook.read_sheet(spark, [path], "s")
     assert df.columns == ["a", "a.1", "Unnamed: 2", "b"]
     assert tuple(df.collect()[0]) == (1, 2, 3, "x")
+
+
+def test_csv_with_given_schema(spark, tmpdir_local):
+    path = os.path.join(tmpdir_local, "given.csv")
+    with open(path, "w") as fh:
+        fh.write("a,b\n1,x\nNA,y\nbad,z\n")
+    df = files.read_csv(spark, path, schema="a int, b string")
+    assert dict(df.dtypes) == {"a": "int", "b": "string"}
+    assert [tuple(r) for r in df.collect()] == [(1, "x"), (None, "y"), (None, "z")]

@@ -134,3 +134,24 @@ def test_coerce_timestamp_layouts(spark):
     df = spark.createDataFrame([("2024-01-05",), ("1/5/2024",), ("Jan 5, 2024",), ("5.1.2024",), ("soon",)], "s string")
     got = [r["t"] for r in df.select(C.coerce_timestamp("s").alias("t")).collect()]
     assert got[:4] == [dt.datetime(2024, 1, 5)] * 4 and got[4] is None
+
+
+def test_spines(spark):
+    from tablelens.sources import spines
+
+    days = spines.date_spine_between(spark, "2023-01-01", "2024-12-31")
+    assert days.count() == 731
+    b = spark.range(1).selectExpr("date'2023-01-01' as start", "date'2024-12-31' as end")
+    assert spines.business_days(b).count() == 522
+    ts = [r["ts"] for r in spines.timestamp_spine(spark, "2024-01-01 00:00:00", "2024-01-02 00:00:00", 5).collect()]
+    assert ts[0] == dt.datetime(2024, 1, 1) and ts[-1] == dt.datetime(2024, 1, 2) and len(ts) == 5
+    assert ts[2] == dt.datetime(2024, 1, 1, 12)
+
+
+def test_sample_n_is_reproducible(spark):
+    from tablelens.sources import spines
+
+    df = spark.range(1000).selectExpr("id as k")
+    a = [r["k"] for r in spines.sample_n(df, ["k"], 10, seed=7).collect()]
+    b = [r["k"] for r in spines.sample_n(df.repartition(5), ["k"], 10, seed=7).collect()]
+    assert a == b and len(set(a)) == 10
