@@ -76,3 +76,17 @@ def test_csv_with_given_schema(spark, tmpdir_local):
     df = files.read_csv(spark, path, schema="a int, b string")
     assert dict(df.dtypes) == {"a": "int", "b": "string"}
     assert [tuple(r) for r in df.collect()] == [(1, "x"), (None, "y"), (None, "z")]
+
+
+def test_ingest_and_read_lake(spark, tmpdir_local):
+    from tablelens.sources import catalog
+
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "id int, v string")
+    names = catalog.ingest(spark, {"My Table": a}, os.path.join(tmpdir_local, "lake"), "test_lake_db")
+    assert names == ["test_lake_db.my_table"]
+    assert spark.table("test_lake_db.my_table").count() == 2
+    listed = catalog.list_tables(spark, "test_lake_db").collect()
+    assert [r["name"] for r in listed if not r["is_temporary"]] == ["my_table"]
+    assert catalog.read_lake(spark, os.path.join(tmpdir_local, "lake"), "my_table").count() == 2
+    catalog.ingest(spark, {"My Table": a.limit(1)}, os.path.join(tmpdir_local, "lake"), "test_lake_db")
+    assert spark.table("test_lake_db.my_table").count() == 1  # overwritten, not appended

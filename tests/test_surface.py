@@ -155,3 +155,15 @@ def test_sample_n_is_reproducible(spark):
     a = [r["k"] for r in spines.sample_n(df, ["k"], 10, seed=7).collect()]
     b = [r["k"] for r in spines.sample_n(df.repartition(5), ["k"], 10, seed=7).collect()]
     assert a == b and len(set(a)) == 10
+
+
+def test_query_log_counts_rows_during_write(spark, tmp_path):
+    spark.range(7).createOrReplaceTempView("seven")
+    log = str(tmp_path / "log")
+    res = str(tmp_path / "res")
+    n = ask.log_query(spark, "how many?", "select * from seven", ask.run_sql(spark, "select * from seven"),
+                      log_path=log, result_root=res)
+    ask.log_query(spark, "again", "select 1", ask.run_sql(spark, "select 1"), log_path=log, result_root=res)
+    recent = ask.recent_queries(spark, log, n=10).collect()
+    assert n == 7 and [r["question"] for r in recent] == ["again", "how many?"]
+    assert [r["rows"] for r in recent] == [1, 7]
