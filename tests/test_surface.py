@@ -167,3 +167,21 @@ def test_query_log_counts_rows_during_write(spark, tmp_path):
     recent = ask.recent_queries(spark, log, n=10).collect()
     assert n == 7 and [r["question"] for r in recent] == ["again", "how many?"]
     assert [r["rows"] for r in recent] == [1, 7]
+
+
+def test_column_helpers(spark):
+    df = spark.createDataFrame(
+        [(1, 2.5, True, "2024-02-10", "total_amount"), (2, None, False, "oops", "x")],
+        "Order_ID int, Total_Price double, flag boolean, d string, n string")
+    assert C.numeric_columns(df) == ["Order_ID", "Total_Price"]
+    assert C.other_columns(df) == ["flag", "d", "n"]
+    assert C.columns_matching(df, ["price", "order"]) == ["Order_ID", "Total_Price"]
+    r = df.select(
+        C.equals("Order_ID", 1).alias("eq"), C.outside("Total_Price", 0.0, 2.0).alias("out"),
+        C.parse_date("d").alias("pd"), C.month_of("d").alias("mo"), C.month_year(C.parse_date("d")).alias("my"),
+        C.add_days_if(F.col("flag"), "d", 3).alias("plus3"), C.days_between(F.lit("2024-03-01"), "d").alias("gap"),
+    ).collect()
+    assert (r[0]["eq"], r[0]["out"], r[0]["pd"], r[0]["mo"], r[0]["my"]) == (
+        True, True, dt.date(2024, 2, 10), dt.date(2024, 2, 1), "Feb 2024")
+    assert r[0]["plus3"] == dt.date(2024, 2, 13) and r[0]["gap"] == 20
+    assert (r[1]["eq"], r[1]["pd"], r[1]["plus3"]) == (False, None, None)
