@@ -472,3 +472,16 @@ def q_anomaly_report_all(spark, sf_dir):
     """D6 over every fixture table: all four checks, tables checked
     concurrently, sorted by severity."""
     return anomaly.anomaly_report({i.name: i.df(spark, sf_dir) for i in _CATALOG})
+
+
+@register("duplicate_anomalies_hashed", sql_detect(_DUP_INPUTS, ("duplicates",)))
+def q_duplicate_anomalies_hashed(spark, sf_dir):
+    """D2 with rows grouped on two hashes plus their null pattern (the
+    wide-table option); same result as the exact grouping."""
+    return spark_detect(spark, sf_dir, _DUP_INPUTS, ("duplicates",), hashed_duplicates=True)
+
+
+@register("column_profile_orders_approx")
+def q_column_profile_orders_approx(spark, sf_dir):
+    """T2 with HyperLogLog distinct counts (wide-table option; rows only)."""
+    return profile.profile_table(ORDERS.df(spark, sf_dir), order_by="o_orderkey", exact=False)
