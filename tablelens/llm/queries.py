@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tablelens.llm import langid, mixing, packing
+from tablelens.llm import langid, line_dedup, mixing, packing
 from tablelens.llm.util import read
 
 QUERIES = {}
@@ -37,3 +37,12 @@ def op10_source_mixing(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     named = docs.withColumn("__rid", F.monotonically_increasing_id())
     return mixing.mix(named).drop("rid")
+
+
+@query
+def op4_line_dedup(spark, sf_dir):
+    """Lines that every document loses: repeated ones, and those within one
+    word of an earlier line."""
+    # a plain file scan names its rows alike each time it is read
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.line_dedup(docs.withColumn("rid", F.monotonically_increasing_id())).drop("rid")
