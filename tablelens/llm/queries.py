@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tablelens.llm import langid, line_dedup, mixing, packing
+from tablelens.llm import langid, line_dedup, mixing, near_dedup, packing
 from tablelens.llm.util import read
 
 QUERIES = {}
@@ -46,3 +46,9 @@ def op4_line_dedup(spark, sf_dir):
     # a plain file scan names its rows alike each time it is read
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.line_dedup(docs.withColumn("rid", F.monotonically_increasing_id())).drop("rid")
+
+
+@query
+def op7_minhash_near_dedup(spark, sf_dir):
+    """Near-duplicate class of every document."""
+    return near_dedup.near_dedup(read(spark, sf_dir, "documents"))
