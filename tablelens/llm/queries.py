@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tablelens.llm import langid, line_dedup, mixing, near_dedup, packing
+from tablelens.llm import embed_dedup, langid, line_dedup, mixing, near_dedup, packing
 from tablelens.llm.util import read
 
 QUERIES = {}
@@ -52,3 +52,9 @@ def op4_line_dedup(spark, sf_dir):
 def op7_minhash_near_dedup(spark, sf_dir):
     """Near-duplicate class of every document."""
     return near_dedup.near_dedup(read(spark, sf_dir, "documents"))
+
+
+@query
+def op2_embedding_near_dedup(spark, sf_dir):
+    """Links and component of every embedding."""
+    return embed_dedup.embedding_dedup(read(spark, sf_dir, "embeddings"))
