@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tablelens.llm import embed_dedup, langid, line_dedup, mixing, near_dedup, packing
+from tablelens.llm import embed_dedup, langid, line_dedup, mixing, near_dedup, packing, pii, quality
+from tablelens.llm.spans import joined
 from tablelens.llm.util import read
 
 QUERIES = {}
@@ -58,3 +59,20 @@ def op7_minhash_near_dedup(spark, sf_dir):
 def op2_embedding_near_dedup(spark, sf_dir):
     """Links and component of every embedding."""
     return embed_dedup.embedding_dedup(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op3_pii(spark, sf_dir):
+    """Personal data in every document, and the terms that reveal it."""
+    found = pii.find(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = pii.all_spans(pii.KINDS)
+    return found.select(
+        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(pii.all_spans()).alias("spans"),
+        F.size(pii.TERM).cast("long").alias("n_terms"))
+
+
+@query
+def op5_quality_rules(spark, sf_dir):
+    """Base counts, base verdict and learned verdict of every document."""
+    return quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
