@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tablelens.llm import embed_dedup, langid, line_dedup, mixing, near_dedup, packing, pii, quality
+from tablelens.llm import embed_dedup, langid, line_dedup, mixing, near_dedup, packing, pii, quality, secret_scan
 from tablelens.llm.spans import joined
 from tablelens.llm.util import read
 
@@ -76,3 +76,18 @@ def op3_pii(spark, sf_dir):
 def op5_quality_rules(spark, sf_dir):
     """Base counts, base verdict and learned verdict of every document."""
     return quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op6_secret_scan(spark, sf_dir):
+    """Secrets in every document, and tokens of a credential's format."""
+    found = secret_scan.scan_secrets(read(spark, sf_dir, "documents"))
+    named = lambda spans: F.transform(spans, lambda s: F.struct(
+        s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"),
+        F.element_at(F.array(*[F.lit(k) for k in (*secret_scan.KINDS, secret_scan.FORMAT)]), s["rank"] + 1).alias("kind")))
+    counts = [F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long").alias(f"n_{kind}")
+              for rank, kind in enumerate(secret_scan.KINDS)]
+    return found.select(
+        "doc_id", *counts, F.sha2(joined(named(F.col("base"))).cast("binary"), 256).alias("base_sha256"),
+        joined(F.concat(named(F.col("base")), named(F.col("formats")))).alias("spans"),
+        F.size("formats").cast("long").alias("n_format"))
