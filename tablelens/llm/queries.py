@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tablelens.llm import embed_dedup, langid, line_dedup, mixing, near_dedup, packing, pii, quality, secret_scan
+from tablelens.llm import embed_dedup, langid, line_dedup, mixing, near_dedup, packing, pii, quality, secret_scan, suffix_dedup
 from tablelens.llm.spans import joined
 from tablelens.llm.util import read
 
@@ -91,3 +91,11 @@ def op6_secret_scan(spark, sf_dir):
         "doc_id", *counts, F.sha2(joined(named(F.col("base"))).cast("binary"), 256).alias("base_sha256"),
         joined(F.concat(named(F.col("base")), named(F.col("formats")))).alias("spans"),
         F.size("formats").cast("long").alias("n_format"))
+
+
+@query
+def op9_suffix_array_dedup(spark, sf_dir):
+    """Bytes of every document that repeated passages of 400 bytes cover."""
+    # a plain file scan names its rows alike each time it is read
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.without_repeats(docs.withColumn("rid", F.monotonically_increasing_id())).drop("spans")
