@@ -175,14 +175,18 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", length_col: str | N
     keeps its first words of that lap, joined by single spaces (at most one
     per source)."""
     columns = docs.columns
-    named = with_row_names(docs, columns)
-    placed, pieces = mix_blocks(named, text_col=text_col, **options)
+    inner = {c: f"c{i}" for i, c in enumerate(columns)}
+    named = with_row_names(docs.select(*[F.col(c).alias(k) for c, k in inner.items()]), list(inner.values()))
+    roles = {"id_col": "doc_id", "source_col": "source"} | {k: v for k, v in options.items() if k.endswith("_col")}
+    options = {k: v for k, v in options.items() if k not in roles} | {k: inner[v] for k, v in roles.items()}
+    text = inner[text_col]
+    placed, pieces = mix_blocks(named, text_col=text, **options)
     laps = pieces.groupBy("rid", "epoch").agg(F.sum("words").alias("__words"))
     laps = laps.join(placed.select("rid", "size"), "rid").select(
         F.col("rid").alias("__rid"), "__words", F.col("size").alias("__size"))
     out = named.join(laps, "__rid")
-    part = F.array_join(F.slice(words_of(F.col(text_col)), 1, F.col("__words").cast("int")), " ")
-    out = out.withColumn(text_col, F.when(F.col("__words") < F.col("__size"), part).otherwise(F.col(text_col)))
+    part = F.array_join(F.slice(words_of(F.col(text)), 1, F.col("__words").cast("int")), " ")
+    out = out.withColumn(text, F.when(F.col("__words") < F.col("__size"), part).otherwise(F.col(text)))
     if length_col in columns:
-        out = out.withColumn(length_col, F.char_length(text_col).cast(docs.schema[length_col].dataType))
-    return out.select(*columns)
+        out = out.withColumn(inner[length_col], F.char_length(text).cast(docs.schema[length_col].dataType))
+    return out.select(*[F.col(k).alias(c) for c, k in inner.items()])

@@ -13,9 +13,11 @@ similarity of their multisets is at least 0.8.
    (``t = floor(ln w / r + b)``, ``a = c / exp(r (t - b) + r)``, least ``a``);
    empty bins borrow from hashed ones.
 3. ``BAND`` samples make a band key.  Members of a bucket are compared with
-   the bucket's smallest member; what is then still in different components
-   of one bucket is compared across components, so no candidate pair goes
-   unjudged while pairs inside a component are never listed.
+   the bucket's smallest member.  Members of buckets that then still hold
+   several components are compared exactly by a prefix filter: two documents
+   that similar share one of the rarest shingles that make up a fifth of their
+   weight.  Pairs inside a component are never listed, and common passages,
+   being frequent, bring no documents together here.
 4. Links are verified on the shingles; components are classes.
 
 Defined cases: null text is an empty text; texts without a word link to equal
@@ -198,6 +200,30 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(sets, "node long, elements binary")
 
 
+def rarest(sets: DataFrame, slot_weights: np.ndarray, least: float) -> DataFrame:
+    """(element, node, weight): of each node the rarest elements that weigh more
+    than 1 - ``least`` of it, in one order for all nodes; weight is the node's."""
+    shared = sets.sparkSession.sparkContext.broadcast(slot_weights)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for raw in batch.column("elements").to_pylist():
+                element = np.frombuffer(raw, np.uint64)
+                w = shared.value[slot_of(element)]
+                order = np.lexsort((scramble(element), -w))
+                upto = np.cumsum(w[order])
+                n = int(np.searchsorted(upto, (1 - least) * upto[-1] + 1e-9, side="right")) + 1 if len(w) else 0
+                found.append((element[order[:n]].view(np.int64), upto[-1] if len(w) else 0.0))
+            many = np.array([len(f[0]) for f in found], np.int64)
+            yield pa.record_batch(
+                [pa.array(np.concatenate([f[0] for f in found] or [np.zeros(0, np.int64)])),
+                 pa.array(np.repeat(batch.column("node").to_numpy(), many)),
+                 pa.array(np.repeat(np.array([f[1] for f in found]), many))], names=["element", "node", "weight"])
+
+    return sets.select("node", "elements").mapInArrow(rows, "element long, node long, weight double")
+
+
 def linked(pairs: DataFrame, sets: DataFrame, slot_weights: np.ndarray, least: float) -> DataFrame:
     """The pairs (a, b) whose weighted Jaccard similarity is at least ``least``."""
     shared = pairs.sparkSession.sparkContext.broadcast(slot_weights)
@@ -220,8 +246,9 @@ def linked(pairs: DataFrame, sets: DataFrame, slot_weights: np.ndarray, least: f
 
 
 def classes(docs: DataFrame, id_col="doc_id", text_col="text", least: float = 0.8) -> DataFrame:
-    """(node, class_id): the class of every distinct text, named by the
-    smallest document id in it.  ``node`` is ``text_node`` of the text."""
+    """(node, part, class_id, class_size): the class of every distinct text;
+    part tells classes apart, class_id is the smallest document id in one.
+    ``node`` is ``text_node`` of the text."""
     texts = docs.select(text_node(F.col(text_col)).alias("node"),
                         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     ids = docs.select(F.col(id_col).alias("doc_id"), text_node(F.col(text_col)).alias("node"))
@@ -237,15 +264,18 @@ def classes(docs: DataFrame, id_col="doc_id", text_col="text", least: float = 0.
     star = met.where("node <> top").select(F.col("top").alias("a"), F.col("node").alias("b")).distinct()
     links = materialize(linked(star, sets, w, least))
     parts = materialize(connected_components(links))
-    # buckets that still hold several components: every pair across them
+    # members of buckets that still hold several components
     placed = met.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
-    per = placed.groupBy("key", "part").agg(F.count("*").alias("m"))
-    mixed = per.groupBy("key").agg(F.count("*").alias("parts")).where("parts > 1").select("key")
-    held = materialize(placed.join(mixed, "key", "left_semi"))
-    some = held.select("key", "part").distinct()
-    across = (some.join(some.select("key", F.col("part").alias("other")), "key").where("part < other")
-              .join(held.select("key", "part", F.col("node").alias("x")), ["key", "part"])
-              .join(held.select("key", F.col("part").alias("other"), F.col("node").alias("y")), ["key", "other"])
+    mixed = (placed.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("key"))
+    rest = materialize(placed.join(materialize(mixed), "key", "left_semi").select("node", "part").distinct())
+    held = materialize(rarest(sets.join(rest.select("node"), "node"), w, least).join(rest, "node"))
+    several = (held.groupBy("element").agg(F.min("part").alias("a"), F.max("part").alias("b"))
+               .where("a < b").select("element"))
+    held = materialize(held.join(materialize(several), "element", "left_semi"))
+    across = (held.select("element", F.col("node").alias("x"), F.col("part").alias("px"), F.col("weight").alias("wx"))
+              .join(held.select("element", F.col("node").alias("y"), F.col("part").alias("py"), F.col("weight").alias("wy")),
+                    "element")
+              .where((F.col("px") < F.col("py")) & (F.col("wx") >= least * F.col("wy")) & (F.col("wy") >= least * F.col("wx")))
               .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
               .join(star, ["a", "b"], "left_anti"))
     more = materialize(linked(across, sets, w, least))
@@ -254,7 +284,7 @@ def classes(docs: DataFrame, id_col="doc_id", text_col="text", least: float = 0.
     nodes = ids.groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
     nodes = materialize(nodes.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")))
     low = nodes.groupBy("part").agg(F.min("low").alias("class_id"), F.sum("copies").alias("class_size"))
-    return materialize(nodes.join(low, "part").select("node", "class_id", "class_size"))
+    return materialize(nodes.join(low, "part").select("node", "part", "class_id", "class_size"))
 
 
 def text_node(text):
@@ -279,8 +309,7 @@ def one_per_class(docs: DataFrame, id_col="doc_id", text_col="text", least: floa
     ident, text = f"c{columns.index(id_col)}", f"c{columns.index(text_col)}"
     found = classes(named, ident, text, least)
     first = (named.select(F.col(ident).alias("doc_id"), "rid", text_node(F.col(text)).alias("node"))
-             .join(found.select("node", "class_id"), "node")
-             .withColumn("cls", F.coalesce(F.col("class_id").cast("string"), F.concat(F.lit("n"), F.col("node"))))
-             .groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rid")).alias("f")))
+             .join(found.select("node", "part"), "node")
+             .groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rid")).alias("f")))
     return (named.join(first.select(F.col("f.rid").alias("rid")), "rid", "left_semi")
             .select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)]))
