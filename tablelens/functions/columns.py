@@ -42,18 +42,6 @@ def other_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if not is_numeric_type(f.dataType)]
 
 
-def columns_matching(df: DataFrame, words: Iterable[str], numeric_only: bool = False) -> list[str]:
-    """Columns whose lower-cased name contains any of ``words`` (table order)."""
-    words = [w.lower() for w in words]
-    out = []
-    for f in df.schema.fields:
-        if numeric_only and not is_numeric_type(f.dataType):
-            continue
-        name = f.name.lower()
-        if any(w in name for w in words):
-            out.append(f.name)
-    return out
-
 
 # --------------------------------------------------------------------------
 # Missing values (P4, P7; rule N1: NaN counts as missing for float columns)
@@ -74,12 +62,6 @@ def is_missing(df: DataFrame, name: str) -> Column:
     return c.isNull()
 
 
-def not_missing(df: DataFrame, name: str) -> Column:
-    return ~is_missing(df, name)
-
-
-def count_missing(df: DataFrame, name: str) -> Column:
-    return F.count_if(is_missing(df, name))
 
 
 def _quote(name: str) -> str:
@@ -295,16 +277,23 @@ def strip_ws(c: ColumnOrName) -> Column:
     return F.trim(_col(c), F.lit(WHITESPACE))
 
 
+# Patterns that define what a code fence, a heading and emphasis are.
+FENCE = r"```(?:sql)?\n?"
+LAST_BACKTICKS = r"`+$"
+HEADING = r"(?md)^#+\s*.+\n?"
+EMPHASIS = r"(?d)\*{1,2}(.+?)\*{1,2}"
+
+
 def strip_fences(c: ColumnOrName) -> Column:
     """Drop Markdown code fences and trailing backticks around a snippet."""
-    no_fence = F.regexp_replace(_col(c), r"```(?:sql)?\n?", "")
-    return strip_ws(F.regexp_replace(strip_ws(no_fence), r"`+$", ""))
+    no_fence = F.regexp_replace(_col(c), FENCE, "")
+    return strip_ws(F.regexp_replace(strip_ws(no_fence), LAST_BACKTICKS, ""))
 
 
 def strip_markdown(c: ColumnOrName) -> Column:
     """Drop ``#`` heading lines, unwrap ``*``/``**`` emphasis, drop backticks."""
-    no_heads = F.regexp_replace(_col(c), r"(?md)^#+\s*.+\n?", "")
-    unwrapped = F.regexp_replace(no_heads, r"(?d)\*{1,2}(.+?)\*{1,2}", "$1")
+    no_heads = F.regexp_replace(_col(c), HEADING, "")
+    unwrapped = F.regexp_replace(no_heads, EMPHASIS, "$1")
     return strip_ws(F.replace(unwrapped, F.lit("`"), F.lit("")))
 
 

@@ -13,13 +13,13 @@ from tablelens.functions.columns import STRFTIME_TO_JAVA
 
 
 def _pattern_sql(arg: str) -> str:
-    """SQL text turning a C format held in ``arg`` into a Java pattern."""
-    expr = arg
-    for c_fmt, java in STRFTIME_TO_JAVA.items():
-        if c_fmt == "%%":
-            continue
-        expr = f"replace({expr}, '{c_fmt}', '{java}')"
-    return expr
+    """SQL text turning a C format held in ``arg`` into a Java pattern: known
+    directives are looked up, everything between them is quoted."""
+    known = "".join(sorted(d[1] for d in STRFTIME_TO_JAVA))
+    tokens = f"regexp_extract_all({arg}, '%[{known}]|(?:[^%]|%(?![{known}]))+', 0)"
+    pairs = ", ".join(f"'{c}', '{java}'" for c, java in STRFTIME_TO_JAVA.items())
+    quoted = "concat('\\'', replace(x, '\\'', '\\'\\''), '\\'')"
+    return f"array_join(transform({tokens}, x -> coalesce(try_element_at(map({pairs}), x), {quoted})), '')"
 
 
 def register_sql_functions(spark: SparkSession) -> None:

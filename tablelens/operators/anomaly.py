@@ -1,7 +1,7 @@
 """Data-quality checks and the anomaly report.
 
-Per table the detector runs at most four scans, whatever the number of
-columns:
+Per table the detector runs five scans for up to eight numeric columns; every
+further eight add one scan of their own columns for their quartiles:
 
 1. ``column_stats``: null counts, min / max and a quantile sketch for every
    column in one aggregate (kept: one row per column);
@@ -9,7 +9,8 @@ columns:
    (kept: one row per numeric column);
 3. one aggregate counting values outside the IQR fences of every numeric
    column (the fences, two numbers per column, are inlined as literals);
-4. one grouping by all columns for duplicate rows.
+4. row hashes counted for duplicate rows, then the rows with a repeated hash
+   grouped by all columns.
 
 The kept frames have one row per column, whatever the table size; they are
 held as local relations, which cuts their lineage, so later steps never
@@ -23,11 +24,13 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tablelens.session import local_frame
+from tablelens.session import local_frame, materialize
 from tablelens.functions.columns import (
     normalized_sql,
     numeric_columns,
+    qcol,
     sql_double,
     sql_str,
     union_all_names,
@@ -115,30 +118,45 @@ def check_nulls(stats: DataFrame, table: str) -> DataFrame:
     )
 
 
-def duplicate_summary(df: DataFrame, hashed: bool = False) -> DataFrame:
-    """One row ``(rows, duplicate_rows)``; nulls (and NaNs) compare equal.
+def _with_row_hashes(df: DataFrame) -> DataFrame:
+    """Groupable columns of ``df`` and two independent 64-bit hashes of the
+    row.  Values are hashed with their nulls: the null pattern goes along, and
+    nested values as their JSON text, since the hash functions skip nulls
+    inside arrays and structs."""
+    flat = df.select(*groupable_columns(df))
+    keys = [
+        F.to_json(F.struct(qcol(f.name).alias("v")), {"ignoreNullFields": "false"})
+        if isinstance(f.dataType, (T.ArrayType, T.StructType)) else qcol(f.name)
+        for f in flat.schema.fields
+    ]
+    mask = F.array(*[qcol(c).isNull() for c in flat.columns])
+    return flat.withColumns({"__h1": F.xxhash64(mask, *keys), "__h2": F.xxhash64(F.lit(1), *keys[::-1], mask)})
 
-    ``hashed=True`` groups on two independent hashes of the row (96 bits)
-    instead of the row itself, which keeps the shuffle to 12 bytes per
-    distinct row for very wide tables; equal rows always share the key, and
-    two different rows share it with probability about ``2**-96``.  Off by
-    default: the exact grouping is the reference behaviour.
-    """
-    keys = groupable_columns(df)
-    if hashed:
-        # the hashes skip nulls, so the null pattern is hashed along
-        mask = F.array(*[k.isNull() for k in groupable_columns(df)])
-        keys = [F.xxhash64(mask, *keys).alias("__h1"), F.hash(mask, *keys).alias("__h2")]
-    g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    return g.agg(
-        F.coalesce(F.sum("__n"), F.lit(0)).cast("long").alias("rows"),
-        (F.coalesce(F.sum("__n"), F.lit(0)) - F.count(F.lit(1))).cast("long").alias("duplicate_rows"),
-    )
 
+def duplicate_summary(df: DataFrame) -> DataFrame:
+    """One row ``(rows, duplicate_rows)``; nulls (and NaNs) compare equal.
 
-def check_duplicates(df: DataFrame, table: str, hashed: bool = False) -> DataFrame:
+    Rows are counted by a 128-bit hash, so unique rows move as 16 bytes.  Only
+    rows whose hash repeats are then grouped by all their columns, which makes
+    the count exact.
+    """
+    full = _with_row_hashes(df)
+    hashed = full.groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("__n"))
+    # one row for all unique hashes together, one for every repeated hash
+    hashed = materialize(hashed.groupBy(F.when(F.col("__n") > 1, F.struct("__h1", "__h2")).alias("__h"))
+                         .agg(F.sum("__n").alias("__n")))
+    again = hashed.where("__h is not null").select("__h.*")
+    keys = [qcol(c) for c in full.columns if c not in ("__h1", "__h2")]
+    groups = full.join(again, ["__h1", "__h2"], "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    zero = F.lit(0).cast("long")
+    parts = hashed.select(F.col("__n").alias("rows"), zero.alias("duplicate_rows")).union(
+        groups.select(zero, F.col("__n") - 1))
+    return parts.agg(*[F.coalesce(F.sum(c), zero).cast("long").alias(c) for c in ("rows", "duplicate_rows")])
+
+
+def check_duplicates(df: DataFrame, table: str) -> DataFrame:
     """Duplicate rows (beyond the first of each group) >= 5 % -> medium."""
-    d = duplicate_summary(df, hashed).withColumn(
+    d = duplicate_summary(df).withColumn(
         "__pct", F.try_divide(F.col("duplicate_rows"), F.col("rows")) * 100.0
     )
     return d.filter(F.col("__pct") >= DUPLICATE_PCT).select(
@@ -210,10 +228,11 @@ def check_outliers(df: DataFrame, table: str, quartiles: DataFrame, columns: lis
 def check_zero_variance(stats: DataFrame, table: str, columns: list[str]) -> DataFrame:
     """Numeric column whose non-null values are all equal -> low.
 
-    ``min = max`` over at least one value; all-null columns are not flagged.
+    ``min = max`` in the column's own type over at least one value; all-null
+    columns are not flagged.
     """
     return stats.filter(
-        F.col("column").isin(columns) & (F.col("non_null") > 0) & (F.col("min") == F.col("max"))
+        F.col("column").isin(columns) & (F.col("non_null") > 0) & F.col("constant")
     ).select(
         *_ranked(
             table, F.col("column"), ZERO_VARIANCE, F.lit("low"),
@@ -235,7 +254,6 @@ def detect_ranked(
     accuracy: int = 10000,
     keep_summaries: bool = True,
     checks: tuple[str, ...] = ("nulls", "duplicates", "outliers", "zero_variance"),
-    hashed_duplicates: bool = False,
 ) -> DataFrame:
     """All checks of one table with ordering keys ``check_no, col_pos``."""
     num = numeric_columns(df)
@@ -245,7 +263,7 @@ def detect_ranked(
     # The duplicate grouping is independent of the statistics chain: run it
     # concurrently (one row of counts comes back).
     pool = ThreadPoolExecutor(max_workers=1) if ("duplicates" in checks and keep_summaries) else None
-    dup_future = (pool.submit(lambda: _materialize(check_duplicates(df, table, hashed_duplicates), True))
+    dup_future = (pool.submit(lambda: _materialize(check_duplicates(df, table), True))
                   if pool else None)
     try:
         if need_stats:
@@ -261,7 +279,7 @@ def detect_ranked(
         if "nulls" in checks:
             parts.append(check_nulls(stats, table))
         if "duplicates" in checks:
-            parts.append(dup_future.result() if dup_future else check_duplicates(df, table, hashed_duplicates))
+            parts.append(dup_future.result() if dup_future else check_duplicates(df, table))
         if "outliers" in checks and num:
             if method == "exact":
                 q = exact_quantiles_checked(df, stats, num, QUARTILES, accuracy,
@@ -301,8 +319,9 @@ def detect_many(tables: Mapping[str, DataFrame], **kw) -> list[DataFrame]:
 
 
 def anomaly_report(tables: Mapping[str, DataFrame], **kw) -> DataFrame:
-    """D5 for every table, sorted high -> medium -> low, then table order,
+    """D5 for every table, sorted high -> medium -> low, then table name,
     check order and column position (a stable order)."""
+    tables = dict(sorted(tables.items()))
     parts = [p.withColumn("__t", F.lit(i)) for i, p in enumerate(detect_many(tables, **kw))]
     if not parts:
         return _empty_report()

@@ -20,6 +20,7 @@ from tablelens.functions.columns import (
     format_count,
     format_measure,
     is_numeric_type,
+    normalized,
     month_year,
     qcol,
     title_label,
@@ -92,7 +93,7 @@ def table_kpis(df: DataFrame, table: str, table_pos: int, n_tables: int) -> Data
     money = money_column(df)
     if money is not None:
         # an empty or all-null column sums to 0, as a pandas sum does
-        aggs.append(F.coalesce(F.sum(qcol(money)), F.lit(0)).alias("__money"))
+        aggs.append(F.coalesce(F.sum(normalized(df, money)), F.lit(0)).alias("__money"))
         cards.append(
             F.struct(
                 F.lit(MONEY_LABEL.format(title=title_label(money))).alias("label"),
@@ -134,7 +135,7 @@ def table_kpis(df: DataFrame, table: str, table_pos: int, n_tables: int) -> Data
         )
     person = person_id_column(df)
     if person is not None:
-        aggs.append(F.count_distinct(qcol(person)).alias("__people"))
+        aggs.append(F.count_distinct(normalized(df, person)).alias("__people"))
         cards.append(
             F.struct(
                 F.lit(PEOPLE_LABEL.format(title=title_label(person))).alias("label"),
@@ -148,8 +149,9 @@ def table_kpis(df: DataFrame, table: str, table_pos: int, n_tables: int) -> Data
 
 
 def kpis(tables: Mapping[str, DataFrame], max_cards: int = 4) -> DataFrame:
-    """K5: the cards of all tables in order, first of each label, first ``max_cards``."""
-    names = list(tables)
+    """K5: the cards of all tables in alphabetical order, first of each label;
+    ``max_cards`` is the number of cards shown."""
+    names = sorted(tables)
     if not names:
         from pyspark.sql import SparkSession
 

@@ -17,7 +17,7 @@ from tablelens.functions.columns import (
     normalized,
     numeric_columns,
 )
-from tablelens.operators.stats import column_stats, groupable_columns
+from tablelens.operators.stats import DISTINCT_GROUP, column_stats, groupable_columns
 
 PROFILE_FIELDS = (
     "column string, type string, non_null bigint, null_pct double, unique bigint, "
@@ -91,17 +91,19 @@ def null_rates(df: DataFrame, digits: int = 2) -> DataFrame:
     )
 
 
-def null_counts(df: DataFrame) -> DataFrame:
-    """One wide row: number of missing values per column."""
-    return df.agg(*[F.count_if(is_missing(df, c)).alias(c) for c in df.columns])
-
-
 def distinct_counts(df: DataFrame, exact: bool = True) -> DataFrame:
     """One wide row: distinct non-null values per column (A3)."""
     from tablelens.operators.stats import groupable
 
-    fn = F.count_distinct if exact else F.approx_count_distinct
-    return df.agg(*[fn(groupable(df, c)).alias(c) for c in df.columns])
+    if not exact:
+        return df.agg(*[F.approx_count_distinct(groupable(df, c)).alias(c) for c in df.columns])
+    # groups of columns, as in column_stats: an expanded row has a slot a column
+    parts = [df.agg(*[F.count_distinct(groupable(df, c)).alias(c) for c in df.columns[a:a + DISTINCT_GROUP]])
+             for a in range(0, len(df.columns), DISTINCT_GROUP)]
+    out = parts[0]
+    for part in parts[1:]:  # one row each
+        out = out.join(F.broadcast(part))
+    return out
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -139,9 +141,10 @@ def histograms(
     df: DataFrame,
     columns: Sequence[str] | None = None,
     bins: int = 30,
-    max_cols: int = 4,
+    max_cols: int | None = None,
 ) -> DataFrame:
-    """Rows ``(column, bin, lo, hi, count)`` with exactly ``bins`` bins per column.
+    """Rows ``(column, bin, lo, hi, count)`` with exactly ``bins`` bins per column,
+    for ``columns`` or all numeric ones (``max_cols``: only the first so many).
 
     Two scans for all columns together: a min/max aggregate, whose result
     (two numbers per column) is inlined as literals, and a grouped count on
@@ -150,7 +153,7 @@ def histograms(
     in the last bin; a constant column has all values in bin 0.  Empty bins
     are reported with count 0.
     """
-    cols = list(columns) if columns is not None else numeric_columns(df)[: int(max_cols)]
+    cols = list(columns) if columns is not None else numeric_columns(df)[:max_cols]
     spark = df.sparkSession
     schema = "column string, bin int, lo double, hi double, count bigint"
     if not cols:

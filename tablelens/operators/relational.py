@@ -3,9 +3,8 @@
 All of these are compositions of DataFrame operators.  Two scale rules apply
 throughout:
 
-* a "whole result" aggregate (share of total) only uses a whole-frame window
-  over a grouped frame with a bounded key domain; otherwise it is a
-  distributed global aggregate attached as a scalar subquery;
+* a "whole result" aggregate (share of total) is a distributed global
+  aggregate attached as a scalar subquery, never a whole-frame window;
 * ranking windows are always partitioned by a key, and top-k uses
   ``orderBy().limit()`` which Spark plans as a per-partition top-k plus a
   merge (TakeOrderedAndProject) instead of a full sort.
@@ -30,21 +29,14 @@ def share_of_total(
     measure: str,
     alias: str = "share_pct",
     digits: int = 2,
-    few_groups: bool = False,
 ) -> DataFrame:
     """Add ``round(measure / sum(measure) * 100, digits)``.
 
-    ``few_groups=True`` is for an already aggregated frame whose row count is
-    bounded by a small key domain (categories, months): the total is a window
-    over the whole frame, so the input is evaluated once and only the grouped
-    rows meet in one partition.  Otherwise the total is a distributed global
-    aggregate attached as a scalar subquery, so no row moves to a single task
-    (the input is evaluated twice; checkpoint it first if it is costly).
+    The total is a distributed global aggregate attached as a scalar subquery,
+    so no row moves to a single task whatever the number of groups.  The input
+    is evaluated twice; write it first (``materialize``) if it is costly.
     """
-    if few_groups:
-        total = F.sum(qcol(measure)).over(Window.partitionBy())
-    else:
-        total = df.agg(F.sum(qcol(measure)).alias("__total")).scalar()
+    total = df.agg(F.sum(qcol(measure)).alias("__total")).scalar()
     return df.withColumn(
         alias, F.round(F.try_divide(qcol(measure), total) * F.lit(100.0), digits)
     )
@@ -63,11 +55,6 @@ def keep_first(df: DataFrame, key: Sequence[str] | str, order: Sequence[Column]
     return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == 1).drop("__rn")
 
 
-def latest(df: DataFrame, seq: str, k: int = 10) -> DataFrame:
-    """Last ``k`` rows by ``seq``, newest first."""
-    return df.orderBy(qcol(seq).desc()).limit(int(k))
-
-
 def with_group_total(
     df: DataFrame,
     items: DataFrame,
@@ -137,20 +124,3 @@ def skew_safe_left_join(left: DataFrame, right: DataFrame, left_key: str, right_
         if f.name not in unmatched.columns:
             unmatched = unmatched.withColumn(f.name, F.lit(None).cast(f.dataType))
     return inner.unionByName(unmatched.select(*inner.columns))
-
-
-def duplicate_rows(df: DataFrame) -> DataFrame:
-    """One row ``(rows, distinct_rows, duplicate_rows)``.
-
-    Groups by every column (nulls and NaNs compare equal in grouping), with
-    map-side partial aggregation, so a value held by a third of all rows is
-    collapsed on the map side before the shuffle.  Map columns cannot be
-    grouped; they are replaced by their key-sorted JSON text.
-    """
-    from tablelens.operators.stats import groupable_columns
-
-    g = df.groupBy(*groupable_columns(df)).agg(F.count(F.lit(1)).alias("__n"))
-    return g.agg(
-        F.coalesce(F.sum("__n"), F.lit(0)).cast("long").alias("rows"),
-        F.count(F.lit(1)).alias("distinct_rows"),
-    ).withColumn("duplicate_rows", F.col("rows") - F.col("distinct_rows"))

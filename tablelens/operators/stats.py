@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablelens.session import local_frame
-from tablelens.functions.columns import is_float_type, is_numeric_type, normalized, qcol
+from tablelens.functions.columns import is_numeric_type, normalized, qcol
 
 STATS_FIELDS = (
     "pos int, column string, type string, rows bigint, non_null bigint, "
     "unique bigint, sample_value string, min double, max double, mean double, "
-    "min_text string, sketch array<double>"
+    "min_text string, constant boolean, sketch array<double>"
 )
 
 
@@ -152,6 +152,7 @@ def column_stats(
             d = f"CAST({c} AS DOUBLE)"
             mn, mx, mean = f"min({d})", f"max({d})", f"avg({d})"
             mn_text = f"CAST(min({c}) AS STRING)"
+            constant = f"(min({c}) = max({c}))"  # in the column's own type
             if probs:
                 plist = ", ".join(repr(float(p)) for p in probs)
                 src = f"CASE WHEN __sketch_row THEN {d} END" if sampled else d
@@ -161,12 +162,14 @@ def column_stats(
         else:
             mn = mx = mean = "CAST(NULL AS DOUBLE)"
             mn_text = "CAST(NULL AS STRING)"
+            constant = "CAST(NULL AS BOOLEAN)"
             sk = "CAST(NULL AS ARRAY<DOUBLE>)"
         texts.append(
             f"named_struct('pos', {i}, 'column', {sql_str(name)}, "
             f"'type', {sql_str(f.dataType.simpleString())}, 'rows', count(1), "
             f"'non_null', count({c}), 'unique', CAST({uniq} AS BIGINT), 'sample_value', {samp}, "
-            f"'min', {mn}, 'max', {mx}, 'mean', {mean}, 'min_text', {mn_text}, 'sketch', {sk})"
+            f"'min', {mn}, 'max', {mx}, 'mean', {mean}, 'min_text', {mn_text}, "
+            f"'constant', {constant}, 'sketch', {sk})"
         )
     wide = df.agg(*[F.expr(t).alias(f"__s{i}") for i, t in enumerate(texts)])
     out = wide.selectExpr(f"inline(array({', '.join(f'__s{i}' for i in range(len(names)))}))")
@@ -193,7 +196,3 @@ def column_stats(
     fields = [f.split()[0] for f in STATS_FIELDS.split(", ")]
     joined = out.join(F.broadcast(dist), "pos")
     return joined.select(*[F.col("__u").alias("unique") if f == "unique" else F.col(f) for f in fields])
-
-
-def float_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if is_float_type(f.dataType)]

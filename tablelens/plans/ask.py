@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import time
 import uuid
 
@@ -13,25 +12,44 @@ from tablelens.functions.columns import is_numeric_type, qcol
 from tablelens.functions.sql import register_sql_functions
 from tablelens.session import shared_dir
 
-# First keywords of a read-only statement.
-QUERY_KEYWORDS = ("select", "with", "values", "from", "table", "(")
-RESULT_LIMIT = 500
 CHART_BAR_MAX_ROWS = 30
 
-_COMMENT = re.compile(r"(--[^\n]*\n?)|(/\*.*?\*/)", re.S)
-
-
-def is_query(sql: str) -> bool:
-    """True if the statement is a query (leading keyword check, comments skipped)."""
-    text = _COMMENT.sub(" ", sql).strip().lower()
-    return text.startswith(QUERY_KEYWORDS)
+# The plan nodes of statements that only show something.
+SHOWING = ("DescribeRelation", "DescribeColumn", "DescribeQueryCommand", "DescribeFunction", "ExplainCommand",
+           "ShowTables", "ShowColumns", "ShowNamespaces", "ShowViews", "ShowFunctions", "ShowPartitions",
+           "ShowTableProperties", "ShowTablesExtended", "ShowTablesCommand")
+
+
+def _kinds(cls) -> set[str]:
+    """Simple names of a JVM class and everything above it."""
+    out = {cls.getSimpleName()}
+    above = list(cls.getInterfaces())
+    if cls.getSuperclass() is not None:
+        above.append(cls.getSuperclass())
+    for c in above:
+        out |= _kinds(c)
+    return out
+
+
+def refuse_writes(spark: SparkSession, sql: str) -> None:
+    """Raise ``ValueError`` unless the parsed statement is a query or only
+    shows something; nothing is run or analysed."""
+    waiting = [spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)]
+    while waiting:
+        node = waiting.pop()
+        kinds = _kinds(node.getClass())
+        if kinds & {"Command", "ParsedStatement", "CompoundBody", "CompoundPlanStatement"}:
+            if node.getClass().getSimpleName() not in SHOWING:
+                raise ValueError(f"only queries are accepted, not {node.getClass().getSimpleName()}")
+            continue
+        for more in (node.children(), node.innerChildren()):
+            waiting += [more.apply(i) for i in range(more.size()) if hasattr(more.apply(i), "innerChildren")]
 
 
 def run_sql(spark: SparkSession, sql: str, limit: int | None = None) -> DataFrame:
-    """Q1: run a query over the registered tables; statements that are not
-    queries are refused (no DDL or DML through this entry point)."""
-    if not is_query(sql):
-        raise ValueError("only queries (SELECT / WITH / VALUES / FROM / TABLE) are accepted")
+    """Q1: run a query, DESCRIBE, SHOW or EXPLAIN over the registered tables;
+    any statement whose plan writes or changes something is refused first."""
+    refuse_writes(spark, sql)
     register_sql_functions(spark)
     df = spark.sql(sql)
     return df.limit(int(limit)) if limit is not None else df
@@ -42,9 +60,6 @@ def preview(df: DataFrame, n: int = 5) -> DataFrame:
     return df.limit(int(n))
 
 
-QUERY_LOG_FIELDS = "seq bigint, logged_at timestamp, question string, sql string, rows bigint, result_path string"
-
-
 def log_query(spark: SparkSession, question: str, sql: str, result: DataFrame,
               log_path: str | None = None, result_root: str | None = None) -> int:
     """Q3: save the result, count its rows while it is written, append a log row.

@@ -37,32 +37,29 @@ class Input:
 
 
 def _docs_labels(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
+    docs = table(spark, d, "documents")
     lab = table(spark, d, "labels").select("doc_id", "quality", "toxic")
     return docs.join(lab, "doc_id", "left")
 
 
 def _lineitem_nullflag(spark, d):
     li = table(spark, d, "lineitem")
-    return li.select(
-        "l_orderkey", "l_quantity",
-        F.nullif(F.col("l_returnflag"), F.lit("A")).alias("l_returnflag"),
-        "l_linestatus", "l_shipdate",
-    )
+    return li.withColumn("l_returnflag", F.nullif(F.col("l_returnflag"), F.lit("A")))
 
 
 DOCS_LABELS = Input(
     "docs_labels", _docs_labels,
-    "select d.doc_id, d.lang, d.n_chars, l.quality, l.toxic from documents d "
+    "select d.*, l.quality, l.toxic from documents d "
     "left join labels l on d.doc_id = l.doc_id",
-    (("doc_id", "bigint"), ("lang", "string"), ("n_chars", "bigint"),
-     ("quality", "int"), ("toxic", "int")),
+    (("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"),
+     ("n_chars", "bigint"), ("quality", "int"), ("toxic", "int")),
 )
 LINEITEM_NULLFLAG = Input(
     "lineitem_nullflag", _lineitem_nullflag,
-    "select l_orderkey, l_quantity, nullif(l_returnflag, 'A') as l_returnflag, "
-    "l_linestatus, l_shipdate from lineitem",
-    (("l_orderkey", "bigint"), ("l_quantity", "double"), ("l_returnflag", "string"),
+    "select * replace (nullif(l_returnflag, 'A') as l_returnflag) from lineitem",
+    (("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"),
+     ("l_linenumber", "int"), ("l_quantity", "double"), ("l_extendedprice", "double"),
+     ("l_discount", "double"), ("l_tax", "double"), ("l_returnflag", "string"),
      ("l_linestatus", "string"), ("l_shipdate", "timestamp_ntz")),
 )
 FLAGS = Input(
@@ -90,9 +87,9 @@ LABELS = Input(
 SUPPLIER_NAME_LEN = Input(
     "supplier_name_len",
     lambda s, d: table(s, d, "supplier").select(
-        "s_suppkey", "s_name", F.length("s_name").cast("int").alias("name_len"), "s_acctbal"),
-    "select s_suppkey, s_name, cast(length(s_name) as integer) as name_len, s_acctbal from supplier",
-    (("s_suppkey", "bigint"), ("s_name", "string"), ("name_len", "int"), ("s_acctbal", "double")),
+        "s_suppkey", "s_name", "s_nationkey", F.length("s_name").cast("int").alias("name_len"), "s_acctbal"),
+    "select s_suppkey, s_name, s_nationkey, cast(length(s_name) as integer) as name_len, s_acctbal from supplier",
+    (("s_suppkey", "bigint"), ("s_name", "string"), ("s_nationkey", "int"), ("name_len", "int"), ("s_acctbal", "double")),
 )
 ORDERS = Input(
     "orders", lambda s, d: table(s, d, "orders"),
@@ -331,9 +328,9 @@ def q_numeric_summary(spark, sf_dir):
     return s.select("column", "count", *[F.round(c, 4).alias(c) for c in ("mean", "stddev", "min", "max")])
 
 
-def _sql_histogram(inp: Input, bins: int = 30, max_cols: int = 4) -> str:
+def _sql_histogram(inp: Input, bins: int = 30) -> str:
     parts = []
-    for c in inp.numeric[:max_cols]:
+    for c in inp.numeric:
         parts.append(
             f"select '{c}' as {q('column')}, g.bin::integer as bin, "
             f"r.lo + g.bin * ((r.hi - r.lo) / {bins}) as lo, "
@@ -476,9 +473,40 @@ def q_anomaly_report_all(spark, sf_dir):
 
 @register("duplicate_anomalies_hashed", sql_detect(_DUP_INPUTS, ("duplicates",)))
 def q_duplicate_anomalies_hashed(spark, sf_dir):
-    """D2 with rows grouped on two hashes plus their null pattern (the
-    wide-table option); same result as the exact grouping."""
-    return spark_detect(spark, sf_dir, _DUP_INPUTS, ("duplicates",), hashed_duplicates=True)
+    """Rows counted by hash, repeated ones grouped in full (as every check does)."""
+    return spark_detect(spark, sf_dir, _DUP_INPUTS, ("duplicates",))
+
+
+def _nested_nulls(spark, d):
+    e = table(spark, d, "embeddings")
+    # nulls put into the arrays at places that differ by row
+    v = F.transform(F.slice("embedding", 1, 3), lambda x, i: F.when(i != F.col("vec_id") % 4, F.lit(1)))
+    return e.select((F.col("vec_id") % 200).alias("grp"), v.alias("v"))
+
+
+NESTED_NULLS = Input(
+    "nested_nulls", _nested_nulls,
+    "select vec_id % 200 as grp, [case when vec_id % 4 <> 0 then 1 end, case when vec_id % 4 <> 1 then 1 end, "
+    "case when vec_id % 4 <> 2 then 1 end] as v from embeddings",
+    (("grp", "bigint"), ("v", "array<int>")),
+)
+LARGE_KEYS = Input(
+    "large_keys",
+    lambda s, d: table(s, d, "supplier").select((F.col("s_suppkey") % 2 + 9007199254740992).alias("big"),
+                                                F.lit(9007199254740993).alias("same")),
+    "select (s_suppkey % 2 + 9007199254740992)::bigint as big, 9007199254740993::bigint as same from supplier",
+    (("big", "bigint"), ("same", "bigint")),
+)
+
+
+@register("duplicate_anomalies_nested", sql_detect([NESTED_NULLS], ("duplicates",)))
+def q_duplicate_anomalies_nested(spark, sf_dir):
+    return spark_detect(spark, sf_dir, [NESTED_NULLS], ("duplicates",))
+
+
+@register("zero_variance_large_keys", sql_detect([LARGE_KEYS], ("zero_variance",)))
+def q_zero_variance_large_keys(spark, sf_dir):
+    return spark_detect(spark, sf_dir, [LARGE_KEYS], ("zero_variance",))
 
 
 @register("column_profile_orders_approx")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablelens.plans import reports
+from tablelens.session import materialize
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -98,6 +99,39 @@ def q_revenue_by_category(spark, sf_dir):
     )
 
 
+def _twice_f(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return orders.unionByName(orders.where("o_orderstatus = 'F'"))
+
+
+@register(
+    "revenue_by_category_dup_orders",
+    """
+    select p.p_type as category, round(sum(l.l_extendedprice), 2) as total_revenue,
+      count(*) as total_orders
+    from (select * from orders union all select * from orders where o_orderstatus = 'F') o
+    join lineitem l on o.o_orderkey = l.l_orderkey
+    join part p on l.l_partkey = p.p_partkey
+    where o.o_orderstatus = 'F'
+    group by p.p_type
+    """,
+)
+def q_revenue_by_category_dup_orders(spark, sf_dir):
+    """R4 where every delivered order occurs twice: its lines count twice."""
+    return reports.revenue_by_category(
+        _twice_f(spark, sf_dir), items_with_category(spark, sf_dir),
+        order_key="o_orderkey", items_order_key="l_orderkey",
+        status_col="o_orderstatus", status_value="F",
+        category_col="category", amount_col="l_extendedprice",
+    )
+
+
+@register("revenue_by_category_saved", ORACLE_SQL["revenue_by_category"])
+def q_revenue_by_category_saved(spark, sf_dir):
+    """R4 with its save step: written below the shared root and read back."""
+    return materialize(q_revenue_by_category(spark, sf_dir))
+
+
 @register(
     "monthly_order_trend",
     """
@@ -189,3 +223,30 @@ def q_top_group_in_period(spark, sf_dir):
         df, "n_name", "o_totalprice", "o_orderdate", "1998-10-01", "1999-01-01", k=1,
         key_alias="nation", measure_alias="spend",
     )
+
+
+@register(
+    "customer_segments_1997",
+    """
+    select n.n_name as state, c.c_mktsegment as tier,
+      count(distinct c.c_custkey) as customer_count,
+      count(distinct o.o_orderkey) as total_orders,
+      round(avg(o.o_totalprice), 6) as aov
+    from customer c join nation n on c.c_nationkey = n.n_nationkey
+    left join (select * from orders where year(o_orderdate) = 1997) o on c.c_custkey = o.o_custkey
+    group by 1, 2
+    """,
+)
+def q_customer_segments_1997(spark, sf_dir):
+    """R3 over one year's orders, which leave many customers without any."""
+    cust = table(spark, sf_dir, "customer")
+    nation = table(spark, sf_dir, "nation")
+    c = cust.join(nation, cust.c_nationkey == nation.n_nationkey, "inner").select(
+        "c_custkey", "c_mktsegment", F.col("n_name").alias("state")
+    )
+    return reports.customer_segments(
+        c, table(spark, sf_dir, "orders").where(F.year("o_orderdate") == 1997),
+        customer_key="c_custkey", orders_customer_key="o_custkey",
+        segment_cols=("state", "c_mktsegment"), segment_aliases=("state", "tier"),
+        order_key="o_orderkey", amount_col="o_totalprice", k=1_000_000, digits=6,
+    )

@@ -5,8 +5,8 @@ role, so the same plan serves any schema (the defaults are the e-commerce
 names: orders / order_items / customers).  Everything is declarative; the
 joins, filters and aggregates are left to Catalyst and AQE:
 
-* the order-status filter is a ``left_semi`` join, so the orders side only
-  ships its key column and the line items are never widened;
+* the order-status filter joins the key column of the matching orders only,
+  so the line items are never widened; a repeated order repeats its lines;
 * distinct counts are a single distinct aggregate per query, which Spark
   plans as a partial aggregate on ``(group, value)`` before the shuffle, so a
   hot group is spread over the ``value`` hash instead of landing in one task;
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tablelens.functions.columns import month_of, qcol
 from tablelens.operators.relational import share_of_total, skew_safe_left_join, top_k
+from tablelens.session import materialize
 
 
 def delivered_items(
@@ -33,14 +34,15 @@ def delivered_items(
 ) -> DataFrame:
     """Items whose order has ``status_col = status_value`` (J1 + P3).
 
-    ``orders`` is reduced to the key of matching orders and used as a semi
-    join, which keeps the item rows and columns as they are.
+    ``orders`` is reduced to the key column of matching orders and joined, so
+    a key that occurs twice keeps its items twice; adaptive execution can
+    split a hot key on either side.
     """
     ik = items_order_key or order_key
     keys = orders.filter(qcol(status_col) == F.lit(status_value)).select(
         qcol(order_key).alias(ik)
     )
-    return items.join(keys, on=ik, how="left_semi")
+    return items.join(keys, on=ik, how="inner")
 
 
 def revenue_by_category_share(
@@ -65,9 +67,8 @@ def revenue_by_category_share(
         F.sum(qcol(amount_col)).alias("__revenue"),
         F.avg(qcol(amount_col)).alias("__avg"),
     )
-    # one row per category: the total is a window over the grouped rows
-    out = share_of_total(agg, "__revenue", alias="revenue_share_pct", digits=digits,
-                         few_groups=True)
+    # the grouped rows are written once; their total is a scalar of them
+    out = share_of_total(materialize(agg), "__revenue", alias="revenue_share_pct", digits=digits)
     return out.select(
         "category",
         "total_orders",

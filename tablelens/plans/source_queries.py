@@ -42,6 +42,32 @@ def q_csv_customer(spark, sf_dir):
     return files.read_table(spark, path)
 
 
+@register("csv_documents", "select * from documents")
+def q_csv_documents(spark, sf_dir):
+    """Whole documents with line breaks and quotes, in plain RFC 4180 form."""
+    docs = table(spark, sf_dir, "documents")
+    path = _scratch(spark, "csv") + "/documents.csv"
+    docs.write.mode("overwrite").options(header="true", escape='"', ignoreLeadingWhiteSpace="false",
+                                         ignoreTrailingWhiteSpace="false").csv(path)
+    return files.read_table(spark, path)
+
+
+@register(
+    "csv_codes",
+    "select o_orderkey, printf('%02d:00:00', o_orderkey % 24) as clock, (o_orderkey % 9) || 'D' as code, "
+    "strftime(o_orderdate, '%Y-%m') as month, cast(o_orderdate as date) as day from orders",
+)
+def q_csv_codes(spark, sf_dir):
+    """Clock times, months and suffixed codes stay text; dates are dates."""
+    o = table(spark, sf_dir, "orders")
+    path = _scratch(spark, "csv") + "/codes.csv"
+    o.select("o_orderkey", F.format_string("%02d:00:00", F.col("o_orderkey") % 24).alias("clock"),
+             F.concat((F.col("o_orderkey") % 9).cast("string"), F.lit("D")).alias("code"),
+             F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.to_date("o_orderdate").alias("day")
+             ).write.mode("overwrite").option("header", "true").csv(path)
+    return files.read_table(spark, path)
+
+
 @register(
     "load_files_tables",
     "select 'customer' as \"table\", count(*) as \"rows\", 5 as \"columns\" from customer "
@@ -128,13 +154,17 @@ def q_lake_revenue(spark, sf_dir):
     )
 
 
-@register("lake_tables")
+@register(
+    "lake_tables",
+    "select 'order_items' as name, false as is_temporary, count(*) as \"rows\" from lineitem "
+    "union all select 'orders', false, count(*) from orders",
+)
 def q_lake_tables(spark, sf_dir):
-    """``SHOW TABLES IN`` the lake database (rows only)."""
+    """The tables of the lake database with their row counts."""
     from tablelens.sources import catalog
 
     db, _ = _ingest(spark, sf_dir)
-    return catalog.list_tables(spark, db)
+    return catalog.list_tables(spark, db, ("orders", "order_items")).where("not is_temporary")
 
 
 @register(

@@ -3,6 +3,9 @@ calendar spines, sampling and the catalog."""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tablelens.functions import columns as C
@@ -10,6 +13,7 @@ from tablelens.operators import anomaly, drift, kpi
 from tablelens.operators.relational import group_summary, with_group_total
 from tablelens.plans import ask
 from tablelens.plans.registry import register, table
+from tablelens.session import shared_dir
 from tablelens.sources import catalog, spines
 
 FIXTURE_TABLES = (
@@ -36,10 +40,10 @@ def _money_sql(expr: str) -> str:
 @register(
     "kpis",
     "select label, value, hint from ("
-    "select 'Total Rows' as label, format('{:,}', count(*)) as value, 'across 3 table(s)' as hint, 1 as pos from orders "
-    f"union all select 'Total O Totalprice', {_money_sql('sum(o_totalprice)')}, 'orders', 2 from orders "
-    "union all select 'Date Range', strftime(min(o_orderdate), '%b %Y') || ' – ' || strftime(max(o_orderdate), '%b %Y'), "
-    "'o_orderdate', 3 from orders "
+    "select 'Total Rows' as label, format('{:,}', count(*)) as value, 'across 3 table(s)' as hint, 1 as pos from events "
+    "union all select 'Date Range', strftime(min(ts), '%b %Y') || ' – ' || strftime(max(ts), '%b %Y'), "
+    "'ts', 3 from events "
+    "union all select 'Unique User Id', format('{:,}', count(distinct user_id)), 'events', 4 from events "
     f"union all select 'Total L Extendedprice', {_money_sql('sum(l_extendedprice)')}, 'lineitem', 12 from lineitem"
     ") order by pos",
 )
@@ -57,6 +61,23 @@ def q_kpis_people(spark, sf_dir):
     return cards.filter(F.col("label").startswith("Unique ")).select("label", "value", "hint")
 
 
+@register(
+    "kpis_nan",
+    "select label, value, hint from ("
+    "select 'Total Rows' as label, format('{:,}', count(*)) as value, 'across 1 table(s)' as hint, 1 as pos from events "
+    f"union all select 'Total Price', {_money_sql('sum(case when event_id % 3 <> 0 then value end)')}, 'events', 2 from events "
+    "union all select 'Unique User Id', format('{:,}', count(distinct case when event_id % 5 <> 0 then user_id end)), "
+    "'events', 4 from events) order by pos",
+)
+def q_kpis_nan(spark, sf_dir):
+    """K2, K4: NaN is a missing value in sums and in numbers of people."""
+    nan = F.lit(float("nan"))
+    events = table(spark, sf_dir, "events").select(
+        F.when(F.col("event_id") % 3 != 0, F.col("value")).otherwise(nan).alias("price"),
+        F.when(F.col("event_id") % 5 != 0, F.col("user_id").cast("double")).otherwise(nan).alias("user_id"))
+    return kpi.kpis({"events": events})
+
+
 # ---------------------------------------------------------------------------
 # D8/D9, A17, P22
 # ---------------------------------------------------------------------------
@@ -106,12 +127,11 @@ def q_issue_lines(spark, sf_dir):
     return _small_report(spark, sf_dir).select(C.issue_line().alias("line"))
 
 
-@register("saved_anomaly_report")
+@register("saved_anomaly_report", _small_report_sql())
 def q_saved_report(spark, sf_dir):
-    """The report written to the lake and read back (rows only)."""
-    from tablelens.session import shared_dir
-
-    base = shared_dir(spark, "lake")
+    """The report written to the lake and read back; each run has a
+    folder of its own."""
+    base = shared_dir(spark, f"lake-{uuid.uuid4().hex}")
     catalog.save_report(_small_report(spark, sf_dir), base, "anomaly_report")
     return catalog.read_lake(spark, base, "anomaly_report")
 
@@ -161,13 +181,33 @@ def q_chart_data(spark, sf_dir):
     return frame.select(F.lit(kind).alias("kind"), "x", "y")
 
 
-@register("query_log")
+SQL_STRFTIME = (
+    "select o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M') as stamp, strftime(o_orderdate, '%Y week %j') as day, "
+    "strftime(o_orderdate, '%Y%%') as share from orders"
+)
+
+
+@register("sql_strftime_literals", SQL_STRFTIME)
+def q_sql_strftime_literals(spark, sf_dir):
+    """P11 in SQL: letters and doubled percent signs are literal."""
+    register_fixtures(spark, sf_dir, ("orders",))
+    return ask.run_sql(spark, SQL_STRFTIME)
+
+
+@register(
+    "query_log",
+    "select 2 as nth, 'customers per nation' as question, count(*) as \"rows\" from "
+    f"({SQL_NATIONS}) union all select 1, 'orders by priority', count(*) from ({SQL_PRIORITIES})",
+)
 def q_query_log(spark, sf_dir):
-    """Q3: log a query (result saved, rows counted during the write), then
-    read the newest 10 entries (rows only: timestamps differ)."""
-    register_fixtures(spark, sf_dir, ("customer", "nation"))
-    ask.log_query(spark, "customers per nation", SQL_NATIONS, ask.run_sql(spark, SQL_NATIONS))
-    return ask.recent_queries(spark, n=10).select("seq", "question", "sql", "rows")
+    """Q3: log two queries (result saved, rows counted during the write), then
+    read the newest 10 entries, newest first, without their times."""
+    register_fixtures(spark, sf_dir, ("customer", "nation", "orders"))
+    log = shared_dir(spark, f"query_log-{uuid.uuid4().hex}")
+    for question, sql in (("orders by priority", SQL_PRIORITIES), ("customers per nation", SQL_NATIONS)):
+        ask.log_query(spark, question, sql, ask.run_sql(spark, sql), log_path=log)
+    nth = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("seq"))  # at most 10 rows
+    return ask.recent_queries(spark, log, n=10).select(nth.alias("nth"), "question", "rows")
 
 
 @register("catalog_digest")
@@ -177,11 +217,14 @@ def q_catalog_digest(spark, sf_dir):
     return catalog.catalog_digest(spark, list(FIXTURE_TABLES), n=3)
 
 
-@register("list_tables")
+@register(
+    "list_tables",
+    "\nunion all\n".join(f"select '{t}' as name, true as is_temporary, count(*) as \"rows\" from {t}" for t in FIXTURE_TABLES),
+)
 def q_list_tables(spark, sf_dir):
-    """Registered tables in alphabetical order (rows only)."""
+    """Registered tables in alphabetical order, with their row counts."""
     register_fixtures(spark, sf_dir)
-    return catalog.list_tables(spark).filter(F.col("name").isin(FIXTURE_TABLES))
+    return catalog.list_tables(spark, names=FIXTURE_TABLES)
 
 
 # ---------------------------------------------------------------------------
@@ -311,7 +354,7 @@ def q_business_days(spark, sf_dir):
     return spines.business_days(spines.data_bounds(table(spark, sf_dir, "events"), "ts"))
 
 
-@register("sample_orders")
+@register("sample_orders", "select * from orders order by md5('42|' || o_orderkey), o_orderkey limit 100")
 def q_sample_orders(spark, sf_dir):
-    """100 orders, reproducible for the seed (rows only: hash differs)."""
+    """100 orders, reproducible for the seed."""
     return spines.sample_n(table(spark, sf_dir, "orders"), ["o_orderkey"], 100, seed=42)

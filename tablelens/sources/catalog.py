@@ -7,7 +7,7 @@ so a clean run never leaves an old report behind.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +21,6 @@ def safe_table_name(name: str) -> str:
     return name.replace("-", "_").replace(" ", "_").lower()
 
 
-def safe_name_col(c):
-    """The same cleaning as a Column expression."""
-    return F.lower(F.translate(c, "- ", "__"))
-
-
 def register(df: DataFrame, name: str) -> str:
     """Register ``df`` under its cleaned name, replacing any old one."""
     safe = safe_table_name(name)
@@ -37,17 +32,28 @@ def register_all(tables: Mapping[str, DataFrame]) -> list[str]:
     return [register(df, name) for name, df in tables.items()]
 
 
-def list_tables(spark: SparkSession, database: str | None = None) -> DataFrame:
-    """Table names in alphabetical order."""
-    rows = [(t.name, t.isTemporary) for t in spark.catalog.listTables(database)]
-    return local_frame(spark, rows, "name string, is_temporary boolean").orderBy("name")
+def list_tables(spark: SparkSession, database: str | None = None, names: Iterable[str] | None = None) -> DataFrame:
+    """Tables with their row counts, in alphabetical order (S10, S17); with
+    ``names`` only these.  One count per table, as one plan."""
+    found = sorted((t.name, t.isTemporary) for t in spark.catalog.listTables(database))
+    if names is not None:
+        found = [f for f in found if f[0] in set(names)]
+    parts = [spark.table(n if temporary or database is None else f"{database}.{n}").agg(F.count(F.lit(1)).alias("rows"))
+             .select(F.lit(n).alias("name"), F.lit(temporary).alias("is_temporary"), "rows") for n, temporary in found]
+    if not parts:
+        return local_frame(spark, [], "name string, is_temporary boolean, rows bigint")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.orderBy("name")
 
 
 def catalog_digest(spark: SparkSession, names: list[str] | None = None, n: int = 3) -> DataFrame:
     """Per table and column: position, type and up to ``n`` sample values.
 
     The samples come from ``limit(n)`` of each table: a few rows per table,
-    whatever the table size.
+    whatever the table size.  Nulls are samples too, so the samples of one row
+    have one place in every column.
     """
     names = names if names is not None else sorted(t.name for t in spark.catalog.listTables())
     parts = []
@@ -56,7 +62,7 @@ def catalog_digest(spark: SparkSession, names: list[str] | None = None, n: int =
         sample = df.limit(int(n))
         fields = df.schema.fields
         agg = sample.agg(
-            *[F.collect_list(qcol(f.name).cast("string")).alias(f"s{i}") for i, f in enumerate(fields)]
+            *[F.transform(F.collect_list(F.struct(qcol(f.name).cast("string").alias("v"))), lambda r: r["v"]).alias(f"s{i}") for i, f in enumerate(fields)]
         )
         parts.append(
             agg.select(

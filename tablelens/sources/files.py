@@ -1,11 +1,17 @@
 """File sources: CSV with missing-value tokens and inferred types, Parquet,
 and extension dispatch over several files (S1, S2, S5, S7).
 
-CSV type inference is one aggregate over the file: for every column it
-counts how many non-missing values survive ``try_cast`` to each candidate
-type; the first type that keeps them all wins.  The counts (a few numbers per
-column) pick the casts of the second, final read.  Files stay splittable
-(no multi-line records), so a large CSV is read by many tasks.
+CSV follows RFC 4180: quotes inside quoted fields are doubled, quoted fields
+may hold line breaks, a record with more fields than the header is an error.
+One pass over the text lines looks for a line with an odd number of quotes;
+only then are the files read with multi-line records, which cannot be split
+(one task per file), so files without quoted line breaks stay splittable.
+
+Type inference is one aggregate over the file: for every column it counts how
+many non-missing values have the form of each candidate type and survive
+``try_cast`` to it; the first type that keeps them all wins.  Numbers need a
+numeric form and timestamps a date part, so ``1D`` and ``08:00:00`` stay text.
+The counts (a few numbers per column) pick the casts of the final read.
 """
 
 from __future__ import annotations
@@ -29,8 +35,16 @@ NA_TOKENS = (
 # Candidate types, tried in this order; text is the fallback.
 CANDIDATE_TYPES = ("bigint", "double", "boolean", "date", "timestamp")
 BOOLEAN_WORDS = ("true", "false")
-DATE_ONLY = r"^\s*\d{4}-\d{1,2}-\d{1,2}\s*$"
-
+# The forms that text of each candidate type has.
+FORMS = {
+    "bigint": r"^\s*[+-]?\d+\s*$",
+    "double": r"(?i)^\s*[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|inf(?:inity)?)\s*$",
+    "date": r"^\s*\d{4}-\d{1,2}-\d{1,2}\s*$",
+    "timestamp": r"^\s*\d{4}-\d{1,2}-\d{1,2}(?:[ T]\d.*)?$",
+}
+SPARE_FIELDS = 16  # places for fields beyond the header, which must stay empty
+
+# File suffixes by kind.
 CSV_SUFFIXES = (".csv",)
 PARQUET_SUFFIXES = (".parquet",)
 WORKBOOK_SUFFIXES = (".xlsx",)
@@ -57,11 +71,8 @@ def infer_types(df: DataFrame, candidates: Sequence[str] = CANDIDATE_TYPES) -> d
         for t in candidates:
             if t == "boolean":
                 ok = F.count_if(F.lower(c).isin(list(BOOLEAN_WORDS)))
-            elif t == "date":
-                # the date cast also accepts date-times; keep those for timestamp
-                ok = F.count_if(c.try_cast("date").isNotNull() & c.rlike(DATE_ONLY))
             else:
-                ok = F.count(c.try_cast(t))
+                ok = F.count_if(c.rlike(FORMS[t]) & c.try_cast(t).isNotNull())
             aggs.append(ok.alias(f"n{i}_{t}"))
     if not aggs:
         return {}
@@ -90,6 +101,26 @@ def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
     return df.select(*cols)
 
 
+def header_names(first: Sequence[str | None]) -> list[str]:
+    """Column names of a header record: empty ones are numbered, a repeated
+    name gets ``.1``, ``.2`` (the rule of the workbook reader)."""
+    out: list[str] = []
+    for i, name in enumerate(first):
+        base = name if name else f"Unnamed: {i}"
+        unique, n = base, 0
+        while unique in out:
+            n += 1
+            unique = f"{base}.{n}"
+        out.append(unique)
+    return out
+
+
+def has_quoted_breaks(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether some line holds an odd number of quotes (one cheap pass)."""
+    quotes = F.char_length("value") - F.char_length(F.translate("value", '"', ""))
+    return bool(spark.read.text(path).where(quotes % 2 == 1).take(1))
+
+
 def read_csv(
     spark: SparkSession,
     path: str | list[str],
@@ -98,10 +129,26 @@ def read_csv(
     infer: bool = True,
     **options,
 ) -> DataFrame:
-    """Header row, missing-value tokens as null, inferred (or given) types."""
-    reader = spark.read.options(header="true", inferSchema="false", mode="PERMISSIVE", **options)
-    raw = reader.csv(path)
-    cleaned = raw.select(*[_missing_to_null(qcol(c), na_tokens).alias(c) for c in raw.columns])
+    """Header row, missing-value tokens as null, inferred (or given) types.
+
+    Raises ``ValueError`` if a record has more fields than the header.
+    """
+    given = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "inferSchema": "false"} | options
+    if "multiLine" not in options:
+        given["multiLine"] = str(has_quoted_breaks(spark, path)).lower()
+    some_file = sorted(spark.read.text(path).inputFiles())[:1]
+    if not some_file:
+        return spark.createDataFrame([], schema or "`Unnamed: 0` double")
+    first = spark.read.options(**given, header="false").csv(some_file).first()
+    names = header_names(list(first) if first else [])
+    inner = [f"f{i}" for i in range(len(names))]
+    spare = [f"spare{i}" for i in range(SPARE_FIELDS)]
+    text = T.StructType([T.StructField(n, T.StringType()) for n in inner + spare])
+    raw = spark.read.options(**given, header="true", enforceSchema="true").schema(text).csv(path)
+    over = F.coalesce(*[F.col(c) for c in spare]).isNotNull()
+    if raw.where(over).take(1):
+        raise ValueError(f"a record of {path} has more than the header's {len(names)} fields")
+    cleaned = raw.select(*[_missing_to_null(F.col(i), na_tokens).alias(n) for i, n in zip(inner, names)])
     if schema is not None:
         st = spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema
         return cleaned.select(*[qcol(f.name).try_cast(f.dataType).alias(f.name) for f in st.fields])

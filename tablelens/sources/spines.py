@@ -63,9 +63,9 @@ def data_bounds(df: DataFrame, column: str) -> DataFrame:
 def sample_n(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> DataFrame:
     """``n`` rows without replacement, reproducible for a seed.
 
-    Rows are ranked by a seeded hash of their keys and the ``n`` smallest are
-    kept; Spark plans this as a per-partition top-n plus a merge, so no
-    partition is sorted in full and only ``n`` rows per task move.
+    Rows are ranked by a seeded hash (md5 of the seed and the keys as text) and
+    the ``n`` smallest are kept; Spark plans this as a per-partition top-n plus
+    a merge, so no partition is sorted in full and only ``n`` rows per task move.
     """
-    h = F.xxhash64(F.lit(int(seed)), *[qcol(k) for k in keys])
+    h = F.md5(F.concat_ws("|", F.lit(str(int(seed))), *[qcol(k).cast("string") for k in keys]).cast("binary"))
     return df.orderBy(h, *[qcol(k) for k in keys]).limit(int(n))

@@ -18,15 +18,16 @@ from tablelens.operators import anomaly
 
 
 def report_batch(batch: DataFrame, batch_id: int, table: str, report_path: str, **detect_kw) -> None:
-    """Checks of one micro-batch, appended to ``report_path``.
+    """Checks of one micro-batch, written to ``report_path/batch_id=<n>``: a
+    retried batch replaces its own folder.
 
-    The batch is persisted while the checks run (they scan it up to four
+    The batch is persisted while the checks run (they scan it several
     times) and released afterwards.
     """
     batch.persist()
     try:
-        rep = anomaly.detect(batch, table, **detect_kw).withColumn("batch_id", F.lit(int(batch_id)))
-        rep.write.mode("append").parquet(report_path)
+        rep = anomaly.detect(batch, table, **detect_kw)
+        rep.write.mode("overwrite").parquet(f"{report_path.rstrip('/')}/batch_id={int(batch_id)}")
     finally:
         batch.unpersist()
 

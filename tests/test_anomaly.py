@@ -107,10 +107,22 @@ def test_hashed_duplicates_agree(spark):
     rows = [(i % 7, None if i % 3 else "a", float(i % 5)) for i in range(60)]
     df = spark.createDataFrame(rows, "a int, b string, c double")
     exact = anomaly.duplicate_summary(df).collect()[0]
-    hashed = anomaly.duplicate_summary(df, hashed=True).collect()[0]
+    hashed = anomaly.duplicate_summary(df).collect()[0]
     assert tuple(exact) == tuple(hashed) == (60, 60 - len(set(rows)))
 
 
 def test_hashed_duplicates_respect_null_positions(spark):
     df = spark.createDataFrame([(None, 1), (1, None)], "a int, b int")
-    assert anomaly.duplicate_summary(df, hashed=True).collect()[0]["duplicate_rows"] == 0
+    assert anomaly.duplicate_summary(df).collect()[0]["duplicate_rows"] == 0
+
+
+def test_duplicates_with_nulls_inside_arrays(spark):
+    rows = [([1, None, 2],), ([1, 2],), ([None, 1, 2],), ([],), ([None],), ([None],)]
+    df = spark.createDataFrame(rows, "v array<int>")
+    assert tuple(anomaly.duplicate_summary(df).collect()[0]) == (6, 1)
+    assert tuple(anomaly.duplicate_summary(df.where("false")).collect()[0]) == (0, 0)
+
+
+def test_large_integers_are_not_constant(spark):
+    df = spark.createDataFrame([(9007199254740992 + i % 2,) for i in range(30)], "k bigint")
+    assert anomaly.detect(df, "t", checks=("zero_variance",)).count() == 0

@@ -45,33 +45,24 @@ def test_schema_drift_mirrors(spark):
     assert [(r["change"], r["column"]) for r in typed] == [("type_changed", "a")]
 
 
-def _py_fences(s):
-    s = re.sub(r"```(?:sql)?\n?", "", s).strip().rstrip("`").strip()
-    return s
-
-
-def _py_markdown(s):
-    s = re.sub(r"^#+\s*.+\n?", "", s, flags=re.MULTILINE)
-    return re.sub(r"\*{1,2}(.+?)\*{1,2}", r"\1", s).replace("`", "").strip()
-
-
-TEXTS = [
-    "```sql\nSELECT 1\n```",
-    "  ```\nselect *\nfrom t``` \n",
-    "# Title\nSome **bold** and *it* text `code`\n## Sub\nend  ",
-    "\n\n  line one  \n\nline two\n   \nthree\nfour\nfive\nsix\n",
-    "",
+# (text, without fences, without markdown, its first five lines)
+CLEANED = [
+    ("```sql\nSELECT 1\n```", "SELECT 1", "sql\nSELECT 1", ["```sql", "SELECT 1", "```"]),
+    ("  ```\nselect *\nfrom t``` \n", "select *\nfrom t", "select *\nfrom t", ["```", "select *", "from t```"]),
+    ("# Title\nSome **bold** and *it* text `code`\n## Sub\nend  ", "# Title\nSome **bold** and *it* text `code`\n## Sub\nend",
+     "Some bold and it text code\nend", ["# Title", "Some **bold** and *it* text `code`", "## Sub", "end"]),
+    ("\n\n  line one  \n\nline two\n   \nthree\nfour\nfive\nsix\n", "line one  \n\nline two\n   \nthree\nfour\nfive\nsix",
+     "line one  \n\nline two\n   \nthree\nfour\nfive\nsix", ["line one", "line two", "three", "four", "five"]),
+    ("", "", "", []),
 ]
 
 
-@pytest.mark.parametrize("text", TEXTS)
-def test_text_cleaning_matches_python(spark, text):
+@pytest.mark.parametrize("text, fences, markdown, lines", CLEANED)
+def test_text_cleaning(spark, text, fences, markdown, lines):
     df = spark.createDataFrame([(text,)], "t string")
     r = df.select(C.strip_fences("t").alias("f"), C.strip_markdown("t").alias("m"),
                   C.first_lines("t", 5).alias("l")).collect()[0]
-    assert r["f"] == _py_fences(text)
-    assert r["m"] == _py_markdown(text)
-    assert r["l"] == [x.strip() for x in text.split("\n") if x.strip()][:5]
+    assert (r["f"], r["m"], r["l"]) == (fences, markdown, lines)
 
 
 def test_formatting_helpers(spark):
@@ -94,7 +85,12 @@ def test_run_sql_refuses_non_queries(spark):
     assert ask.run_sql(spark, "-- c\n select a from tq").collect()[0]["a"] == 1
     r = ask.run_sql(spark, "select strftime(ts, '%Y-%m') as ym from tq").collect()[0]
     assert r["ym"] == "2024-05"
-    for bad in ("drop table tq", "insert into tq values (1, null)", "create table x (a int)"):
+    assert ask.run_sql(spark, "describe tq").count() == 2
+    assert ask.run_sql(spark, "show tables").where("tableName = 'tq'").count() == 1
+    assert ask.run_sql(spark, "explain select a from tq").count() == 1
+    for bad in ("drop table tq", "insert into tq values (1, null)", "create table x (a int)", "set a = 1", "cache table tq",
+                "with c as (select 1 as a) insert into tq select a, null from c",
+                "from values (5) as v(a) insert into tq select a, null"):
         with pytest.raises(ValueError):
             ask.run_sql(spark, bad)
 
@@ -175,7 +171,6 @@ def test_column_helpers(spark):
         "Order_ID int, Total_Price double, flag boolean, d string, n string")
     assert C.numeric_columns(df) == ["Order_ID", "Total_Price"]
     assert C.other_columns(df) == ["flag", "d", "n"]
-    assert C.columns_matching(df, ["price", "order"]) == ["Order_ID", "Total_Price"]
     r = df.select(
         C.equals("Order_ID", 1).alias("eq"), C.outside("Total_Price", 0.0, 2.0).alias("out"),
         C.parse_date("d").alias("pd"), C.month_of("d").alias("mo"), C.month_year(C.parse_date("d")).alias("my"),
@@ -185,3 +180,34 @@ def test_column_helpers(spark):
         True, True, dt.date(2024, 2, 10), dt.date(2024, 2, 1), "Feb 2024")
     assert r[0]["plus3"] == dt.date(2024, 2, 13) and r[0]["gap"] == 20
     assert (r[1]["eq"], r[1]["pd"], r[1]["plus3"]) == (False, None, None)
+
+
+def test_csv_records(spark, tmp_path):
+    from tablelens.sources import files
+
+    def read(text, **kw):
+        (tmp_path / "t.csv").write_text(text)
+        return files.read_csv(spark, str(tmp_path / "t.csv"), **kw)
+
+    df = read('a,b\n"x ""y"" z",1\n"two\nlines",2\nshort\n')
+    assert [tuple(r) for r in df.collect()] == [('x "y" z', 1), ("two\nlines", 2), ("short", None)]
+    with pytest.raises(ValueError):
+        read("a,b\n1,2\n3,4,5\n")
+    df = read("a,a,t,m,c,d,s\n1,2.5,08:00:00,2024-05,1D,2024-05-01,2024-05-01 10:00:00\n")
+    assert df.columns == ["a", "a.1", "t", "m", "c", "d", "s"]
+    assert [t for _, t in df.dtypes] == ["bigint", "double", "string", "string", "string", "date", "timestamp"]
+
+
+def test_nan_is_no_money_and_no_person(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0, 1.0), (nan, nan), (nan, 2.0)], "price double, user_id double")
+    cards = {r["label"]: r["value"] for r in kpi.kpis({"t": df}).collect()}
+    assert cards["Total Price"] == "1.00" and cards["Unique User Id"] == "2"
+
+
+def test_share_of_total_has_no_single_task(spark):
+    from tablelens.operators.relational import share_of_total
+
+    df = share_of_total(spark.createDataFrame([("a", 1.0), ("b", 3.0)], "k string, v double"), "v")
+    assert sorted(r["share_pct"] for r in df.collect()) == [25.0, 75.0]
+    assert "Window" not in df._jdf.queryExecution().executedPlan().toString()
