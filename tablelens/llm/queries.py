@@ -5,12 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tablelens.llm import embed_dedup, langid, line_dedup, mixing, near_dedup, packing, pii, quality, secret_scan, suffix_dedup
+from tablelens.llm import (embed_dedup, langid, line_dedup, mixing, near_dedup, packing, pii, quality, secret_scan,
+                           suffix_dedup)
+from tablelens.llm.oracles import EMBEDDINGS, LINES
 from tablelens.llm.spans import joined
 from tablelens.llm.util import read
 
 QUERIES = {}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_embedding_near_dedup": EMBEDDINGS, "op4_line_dedup": LINES}
 TOKENIZER = "word_bpe_49k.json"
 
 
