@@ -1,10 +1,11 @@
 """Data-quality checks and the anomaly report.
 
-Per table the detector runs five scans for up to eight numeric columns; every
+Per table the detector runs six scans for up to eight numeric columns; every
 further eight add one scan of their own columns for their quartiles:
 
-1. ``column_stats``: null counts, min / max and a quantile sketch for every
-   column in one aggregate (kept: one row per column);
+1. ``column_stats``: null counts, min and max of every column in one aggregate
+   and quantile sketches of the numeric ones in a second, merged in two levels
+   (kept: one row per column);
 2. ``exact_quantiles``: exact quartiles of all numeric columns together
    (kept: one row per numeric column);
 3. one aggregate counting values outside the IQR fences of every numeric
@@ -66,10 +67,9 @@ ZERO_VARIANCE_TEXT = "All non-null values are identical: "
 
 QUARTILES = (0.25, 0.75)
 # Fraction of rows fed to the quartile sketch.  Sampling saves sketch CPU
-# (which spreads over all executors) but widens the exact pass's brackets
-# for the sampling error, and the bracket rows are what gets shuffled: with
-# the full sketch about 0.1 % of the values per bracket move, with a 1/16
-# sample about 3 %.  Shuffle volume is the scarcer resource, so no sampling.
+# (which spreads over all executors) but widens the exact pass's brackets for
+# the sampling error, and the bracket rows are what gets shuffled: so no
+# sampling.
 SKETCH_SAMPLE = 1.0
 
 
@@ -273,7 +273,6 @@ def detect_ranked(
                 sample=False,
                 sketch_probs=QUARTILES if ("outliers" in checks and method == "exact") else None,
                 sketch_sample=SKETCH_SAMPLE,
-                accuracy=accuracy,
             )
             stats = _materialize(stats, keep_summaries)
         if "nulls" in checks:
@@ -282,7 +281,7 @@ def detect_ranked(
             parts.append(dup_future.result() if dup_future else check_duplicates(df, table))
         if "outliers" in checks and num:
             if method == "exact":
-                q = exact_quantiles_checked(df, stats, num, QUARTILES, accuracy,
+                q = exact_quantiles_checked(df, stats, num, QUARTILES,
                                             sketch_sample=SKETCH_SAMPLE)
             elif method == "approx":
                 q = _materialize(approx_quantiles(df, num, QUARTILES, accuracy), keep_summaries)

@@ -6,10 +6,11 @@ Spark's built-in exact ``percentile`` keeps a value -> count map of the whole
 column in one aggregation buffer, which does not survive a high-cardinality
 column at scale.  ``exact_quantiles`` instead uses two passes:
 
-1. (in ``column_stats``) a Greenwald-Khanna sketch (``percentile_approx``)
-   over a seeded sample of the rows, evaluated at ``p -/+ m`` for a ladder of
+1. (in ``column_stats``) a KLL sketch, merged in two levels, over all rows (or
+   a seeded sample of them), evaluated at ``p -/+ m`` for a ladder of
    margins ``m``.  Once the column size n is known, the narrowest margin that
-   covers six standard deviations of the sampling error plus the sketch error
+   covers twice the sketch error (and six standard deviations of the sampling
+   error)
    gives a bracket that holds the exact ranks.  Columns of at most
    ``rank_partition_rows`` values simply use ``[min, max]``.
 2. one scan with one grouped aggregate whose key is, per column and
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablelens.functions.columns import normalized, normalized_sql, sql_double
-from tablelens.operators.stats import SKETCH_MARGINS
+from tablelens.operators.stats import SKETCH_ERROR, SKETCH_MARGINS
 from tablelens.session import local_frame
 
 QUANTILE_FIELDS = "pos int, column string, n bigint, q array<double>, bracket_ok boolean"
@@ -73,7 +74,6 @@ def exact_quantiles(
     stats: DataFrame,
     columns: Sequence[str],
     probs: Sequence[float],
-    accuracy: int = 10000,
     rank_partition_rows: int = 250_000,
     sketch_sample: float = 1.0,
     margin_sigmas: float = 6.0,
@@ -82,8 +82,7 @@ def exact_quantiles(
     """Exact interpolated quantiles of the numeric ``columns``.
 
     ``stats`` is the (small, preferably local) output of ``column_stats``
-    computed with ``sketch_probs=probs`` and the same ``accuracy`` and
-    ``sketch_sample``; it must contain a row for each of ``columns``.
+    computed with ``sketch_probs=probs`` and the same ``sketch_sample``; it must contain a row for each of ``columns``.
     Columns of at most ``rank_partition_rows`` values, those in
     ``full_range``, and those whose sketch cannot give a narrow enough
     bracket use ``[min, max]``.  Output: ``QUANTILE_FIELDS``; check
@@ -117,8 +116,8 @@ def exact_quantiles(
         if not n or name in forced or n <= rank_partition_rows or r["sketch"] is None:
             return None
         p = probs[j]
-        need = (margin_sigmas * math.sqrt(p * (1 - p) / (n * sketch_sample))
-                + 3.0 / accuracy + 2.0 / n)
+        sampling = margin_sigmas * math.sqrt(p * (1 - p) / (n * sketch_sample)) if sketch_sample < 1 else 0.0
+        need = sampling + 2 * SKETCH_ERROR + 2.0 / n
         return next((i for i, m in enumerate(SKETCH_MARGINS) if m >= need), None)
 
     def bracket(name: str, j: int) -> tuple[float | None, float | None]:
@@ -137,13 +136,13 @@ def exact_quantiles(
         i = rung(name, j)
         if i is None:
             return n
-        return int((2 * SKETCH_MARGINS[i] + 2.0 / accuracy) * n) + 2
+        return int((2 * SKETCH_MARGINS[i] + 2 * SKETCH_ERROR) * n) + 2
 
     # One codegen'd grouped aggregate over the scan: the key holds, per
     # (column, p), the value if it lies inside the bracket, else null; the
     # aggregates count rows and values below each bracket.  Almost every row
     # has the all-null key, which the partial aggregate collapses map-side,
-    # so only bracket values (about 6/accuracy of them) are shuffled.  Wide
+    # so only bracket values (twice the margin and the sketch error of them) are shuffled.  Wide
     # tables are split into groups of QUANTILE_GROUP columns (a union of
     # independent aggregates over disjoint columns), so the share of rows
     # with some value inside some bracket stays small.
@@ -197,7 +196,7 @@ def exact_quantiles(
     probs_arr = F.array(*[F.lit(p) for p in probs])
 
     # Ranks inside the brackets.  The GK guarantee bounds a bracket to about
-    # 6n/accuracy values; when that exceeds ``rank_partition_rows`` the
+    # twice the margin of the values; when that exceeds ``rank_partition_rows`` the
     # bracket is cut into equi-width buckets, each ranked in its own window
     # partition and shifted by the counts of the buckets before it.
     params = []
@@ -283,7 +282,6 @@ def exact_quantiles_checked(
     stats: DataFrame,
     columns: Sequence[str],
     probs: Sequence[float],
-    accuracy: int = 10000,
     **kw,
 ) -> DataFrame:
     """``exact_quantiles`` with its bracket check enforced.
@@ -293,12 +291,12 @@ def exact_quantiles_checked(
     (possible only through sampling, with probability of a six-sigma event)
     is computed again with the ``[min, max]`` bracket, which is always exact.
     """
-    q = exact_quantiles(df, stats, columns, probs, accuracy, **kw)
+    q = exact_quantiles(df, stats, columns, probs, **kw)
     rows = q.collect()
     bad = [r["column"] for r in rows if not r["bracket_ok"]]
     if bad:
         kw = dict(kw)
         kw["full_range"] = tuple(bad)
-        redo = {r["column"]: r for r in exact_quantiles(df, stats, bad, probs, accuracy, **kw).collect()}
+        redo = {r["column"]: r for r in exact_quantiles(df, stats, bad, probs, **kw).collect()}
         rows = [redo.get(r["column"], r) for r in rows]
     return local_frame(df.sparkSession, rows, QUANTILE_FIELDS)

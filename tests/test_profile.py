@@ -54,11 +54,11 @@ def test_duplicates_equal_rows_minus_distinct(spark, data):
 
 
 @settings(max_examples=6, deadline=None)
-@given(st.lists(st.integers(-50, 50), min_size=1, max_size=300), st.sampled_from([10, 50, 10000]))
-def test_exact_quantiles_match_numpy(spark, values, accuracy):
+@given(st.lists(st.integers(-50, 50), min_size=1, max_size=300))
+def test_exact_quantiles_match_numpy(spark, values):
     df = spark.createDataFrame([(float(v),) for v in values], "x double")
-    stats = column_stats(df, distinct=None, sample=False, sketch_probs=[0.25, 0.75], accuracy=accuracy)
-    q = exact_quantiles(df, stats, ["x"], [0.25, 0.75], accuracy).collect()[0]
+    stats = column_stats(df, distinct=None, sample=False, sketch_probs=[0.25, 0.75])
+    q = exact_quantiles(df, stats, ["x"], [0.25, 0.75]).collect()[0]
     assert q["bracket_ok"]
     exp = np.percentile(np.array(values, dtype=float), [25, 75])
     assert np.allclose(q["q"], exp)
@@ -70,8 +70,8 @@ def test_exact_quantiles_match_numpy(spark, values, accuracy):
 def test_bucketed_ranks_match_numpy(spark, values, rows_per_part):
     """Force the bucketed ranking path with a tiny rank partition."""
     df = spark.createDataFrame([(v,) for v in values], "x double")
-    stats = column_stats(df, distinct=None, sample=False, sketch_probs=[0.25, 0.75], accuracy=10)
-    q = exact_quantiles(df, stats, ["x"], [0.25, 0.75], 10, rank_partition_rows=rows_per_part).collect()[0]
+    stats = column_stats(df, distinct=None, sample=False, sketch_probs=[0.25, 0.75])
+    q = exact_quantiles(df, stats, ["x"], [0.25, 0.75], rank_partition_rows=rows_per_part).collect()[0]
     assert q["bracket_ok"]
     assert np.allclose(q["q"], np.percentile(np.array(values), [25, 75]))
 
@@ -87,8 +87,8 @@ def test_sketch_ladder_and_repair_stay_exact(spark, values):
     exp = np.percentile(np.array(values), [25, 75])
     for sample in (1.0, 1 / 16):
         stats = column_stats(df, distinct=None, sample=False, sketch_probs=[0.25, 0.75],
-                             sketch_sample=sample, accuracy=1000)
-        q = exact_quantiles_checked(df, stats, ["x"], [0.25, 0.75], 1000, sketch_sample=sample,
+                             sketch_sample=sample)
+        q = exact_quantiles_checked(df, stats, ["x"], [0.25, 0.75], sketch_sample=sample,
                                     rank_partition_rows=5, margin_sigmas=0.0).collect()[0]
         assert q["bracket_ok"] and np.allclose(q["q"], exp)
 
@@ -120,8 +120,8 @@ def test_exact_quantiles_wide_table_groups(spark):
     from tablelens.operators.quantiles import exact_quantiles_checked
 
     df = spark.range(400).selectExpr(*[f"cast((id * {k + 3}) % 97 as double) as c{k}" for k in range(20)])
-    stats = column_stats(df, distinct=None, sample=False, sketch_probs=[0.25, 0.75], accuracy=50)
-    rows = {r["column"]: r for r in exact_quantiles_checked(df, stats, df.columns, [0.25, 0.75], 50,
+    stats = column_stats(df, distinct=None, sample=False, sketch_probs=[0.25, 0.75])
+    rows = {r["column"]: r for r in exact_quantiles_checked(df, stats, df.columns, [0.25, 0.75],
                                                              rank_partition_rows=100).collect()}
     pdf = df.toPandas()
     for c in df.columns:
