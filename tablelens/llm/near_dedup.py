@@ -13,11 +13,12 @@ similarity of their multisets is at least 0.8.
    (``t = floor(ln w / r + b)``, ``a = c / exp(r (t - b) + r)``, least ``a``);
    empty bins borrow from hashed ones.
 3. ``BAND`` samples make a band key.  Members of a bucket are compared with
-   the bucket's smallest member.  Members of buckets that then still hold
-   several components are compared exactly by a prefix filter: two documents
-   that similar share one of the rarest shingles that make up a fifth of their
-   weight.  Pairs inside a component are never listed, and common passages,
-   being frequent, bring no documents together here.
+   the bucket's hub, the member that shares buckets with most others, which is
+   the original among its copies.  Members of buckets that then still hold
+   several components are clumped by a prefix filter (two documents that
+   similar share one of the rarest shingles that make up a fifth of their
+   weight) and judged exactly, block against block inside tasks, so that only
+   similar pairs become rows.
 4. Links are verified on the shingles; components are classes.
 
 Defined cases: null text is an empty text; texts without a word link to equal
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablelens.llm.util import connected_components, materialize, slices, utf8
@@ -44,6 +45,7 @@ BAND = 4
 SKETCH_BITS = 16
 IDF_SHARE = 0.25
 LOW = (1 << 44) - 1
+BLOCK_WEIGHT = 60_000  # of the documents that are judged together
 
 
 def elements(piece: pa.RecordBatch):
@@ -200,30 +202,38 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(sets, "node long, elements binary")
 
 
-def rarest(sets: DataFrame, slot_weights: np.ndarray, least: float) -> DataFrame:
-    """(element, node, weight): of each node the rarest elements that weigh more
-    than 1 - ``least`` of it, in one order for all nodes; weight is the node's."""
+def weighted_elements(sets: DataFrame, slot_weights: np.ndarray) -> DataFrame:
+    """(element, node, weight) of every element of every node."""
     shared = sets.sparkSession.sparkContext.broadcast(slot_weights)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for raw in batch.column("elements").to_pylist():
+            for raw, node in zip(batch.column("elements").to_pylist(), batch.column("node").to_pylist()):
                 element = np.frombuffer(raw, np.uint64)
-                w = shared.value[slot_of(element)]
-                order = np.lexsort((scramble(element), -w))
-                upto = np.cumsum(w[order])
-                n = int(np.searchsorted(upto, (1 - least) * upto[-1] + 1e-9, side="right")) + 1 if len(w) else 0
-                found.append((element[order[:n]].view(np.int64), upto[-1] if len(w) else 0.0))
-            many = np.array([len(f[0]) for f in found], np.int64)
-            yield pa.record_batch(
-                [pa.array(np.concatenate([f[0] for f in found] or [np.zeros(0, np.int64)])),
-                 pa.array(np.repeat(batch.column("node").to_numpy(), many)),
-                 pa.array(np.repeat(np.array([f[1] for f in found]), many))], names=["element", "node", "weight"])
+                yield pa.record_batch([pa.array(element.view(np.int64)), pa.array(np.full(len(element), node, np.int64)),
+                                       pa.array(shared.value[slot_of(element)])], names=["element", "node", "weight"])
 
     return sets.select("node", "elements").mapInArrow(rows, "element long, node long, weight double")
 
 
+def rarest(sets: DataFrame, slot_weights: np.ndarray, least: float) -> DataFrame:
+    """(element, node, weight): of each node the rarest elements that weigh more
+    than 1 - ``least`` of it, as far as other nodes have them too; weight is
+    the node's.  Rarity is the number of nodes among ``sets``, ties by value.
+    A node whose own elements alone weigh that much has no partner and no row."""
+    rows = materialize(weighted_elements(sets, slot_weights))
+    count = rows.groupBy("element").agg(F.count("*").alias("df")).where("df > 1")
+    common = materialize(rows.join(materialize(count), "element"))
+    whole = rows.groupBy("node").agg(F.sum("weight").alias("whole"))
+    spare = (common.groupBy("node").agg(F.sum("weight").alias("common")).join(whole, "node")
+             .withColumn("spare", F.col("common") - least * F.col("whole") + 1e-9).where("spare >= 0")
+             .select("node", "whole", "spare"))
+    before = Window.partitionBy("node").orderBy("df", "element").rowsBetween(Window.unboundedPreceding, -1)
+    return (common.join(materialize(spare), "node")
+            .withColumn("before", F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
+            .where("before <= spare").select("element", "node", F.col("whole").alias("weight")))
+
+
 def linked(pairs: DataFrame, sets: DataFrame, slot_weights: np.ndarray, least: float) -> DataFrame:
     """The pairs (a, b) whose weighted Jaccard similarity is at least ``least``."""
     shared = pairs.sparkSession.sparkContext.broadcast(slot_weights)
@@ -245,6 +255,85 @@ def linked(pairs: DataFrame, sets: DataFrame, slot_weights: np.ndarray, least: f
     return both.select("a", "b", "ea", "eb").mapInPandas(judge, "a long, b long")
 
 
+def clumped(rest: DataFrame, sets: DataFrame, slot_weights: np.ndarray, least: float) -> DataFrame:
+    """The similar pairs (a, b) of different parts among ``rest`` (node, part).
+
+    Nodes that share a prefix element are clumped together.  A clump is cut
+    into blocks of bounded weight by weight class and hash; blocks of one or
+    neighbouring classes are judged against each other, and only similar pairs
+    leave a task.
+    """
+    spark = rest.sparkSession
+    held = materialize(rarest(sets.join(rest.select("node"), "node"), slot_weights, least))
+    lows = materialize(held.groupBy("element").agg(F.min("node").alias("low")))
+    clumps = connected_components(held.join(lows, "element").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct())
+    heavy = held.select("node", "weight").distinct()
+    mine = (materialize(clumps.withColumnRenamed("component", "clump")).join(rest, "node").join(heavy, "node")
+            .withColumn("cls", F.floor(F.log("weight") / -F.log(F.lit(float(least)))).cast("int")))
+    mine = materialize(mine)
+    sizes = mine.groupBy("clump", "cls").agg(F.sum("weight").alias("w"), F.min("part").alias("p"), F.max("part").alias("q"))
+    sizes = materialize(sizes.withColumn("subs", F.ceil(F.col("w") / BLOCK_WEIGHT).cast("long")).drop("w"))
+    several = materialize(sizes.groupBy("clump").agg(F.min("p").alias("p"), F.max("q").alias("q")).where("p < q").select("clump"))
+    dealt = (mine.join(sizes.select("clump", "cls", "subs"), ["clump", "cls"]).join(several, "clump")
+             .withColumn("sub", F.pmod(F.xxhash64("node", F.lit(3)), F.col("subs"))))
+    blocks = (dealt.join(sets, "node").groupBy("clump", "cls", "sub")
+              .agg(F.collect_list(F.struct("node", "part", "elements")).alias("docs")))
+    blocks = materialize(blocks)
+    one = blocks.select("clump", F.col("cls").alias("ca"), F.col("sub").alias("sa"))
+    two = blocks.select("clump", F.col("cls").alias("cb"), F.col("sub").alias("sb"))
+    pairs = one.join(two, "clump").where("cb = ca + 1 or (cb = ca and sa <= sb)")
+    pairs = materialize(pairs.repartition("clump", "ca", "sa", "cb", "sb"))
+    wide = (pairs.join(blocks.select("clump", F.col("cls").alias("ca"), F.col("sub").alias("sa"), F.col("docs").alias("da")),
+                       ["clump", "ca", "sa"])
+            .join(blocks.select("clump", F.col("cls").alias("cb"), F.col("sub").alias("sb"), F.col("docs").alias("db")),
+                  ["clump", "cb", "sb"]).select("da", "db"))
+    shared = spark.sparkContext.broadcast(slot_weights)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for da, db in zip(batch.column("da").to_pylist(), batch.column("db").to_pylist()):
+                found = similar_pairs(da, db, shared.value, least)
+                yield pa.record_batch([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())],
+                                      names=["a", "b"])
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4")  # a row holds two blocks
+    try:
+        return materialize(wide.mapInArrow(judge, "a long, b long"))
+    finally:
+        spark.conf.set(key, before)
+
+
+def similar_pairs(da: list, db: list, slot_weights: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs (smaller, larger node) of different parts across two blocks."""
+    def incidence(docs):
+        each = [np.frombuffer(d["elements"], np.uint64) for d in docs]
+        return each, np.array([slot_weights[slot_of(e)].sum() for e in each])
+
+    (ea, wa), (eb, wb) = incidence(da), incidence(db)
+    both = np.intersect1d(np.concatenate(ea), np.concatenate(eb))
+    if not len(both):
+        return []
+
+    def matrix(each):
+        out = np.zeros((len(each), len(both)), np.float32)
+        for i, e in enumerate(each):
+            at = np.minimum(np.searchsorted(both, e), len(both) - 1)
+            out[i, at[both[at] == e]] = 1.0
+        return out
+
+    common = (matrix(ea) * slot_weights[slot_of(both)].astype(np.float32)) @ matrix(eb).T
+    likely = common >= (least - 1e-3) * (wa[:, None] + wb[None, :] - common)
+    out = set()
+    for i, j in zip(*np.nonzero(likely)):
+        if da[i]["part"] != db[j]["part"]:
+            exact = slot_weights[slot_of(np.intersect1d(ea[i], eb[j], assume_unique=True))].sum()
+            if exact >= least * (wa[i] + wb[j] - exact) - 1e-9:
+                out.add((min(da[i]["node"], db[j]["node"]), max(da[i]["node"], db[j]["node"])))
+    return sorted(out)
+
+
 def classes(docs: DataFrame, id_col="doc_id", text_col="text", least: float = 0.8) -> DataFrame:
     """(node, part, class_id, class_size): the class of every distinct text;
     part tells classes apart, class_id is the smallest document id in one.
@@ -257,28 +346,23 @@ def classes(docs: DataFrame, id_col="doc_id", text_col="text", least: float = 0.
     # equal texts have equal keys: one row per node
     bands = materialize(keyed.groupBy("node").agg(F.first("keys").alias("keys"))
                         .select("node", F.explode("keys").alias("key")))
-    tops = bands.groupBy("key").agg(F.min("node").alias("top"), F.count("*").alias("m")).where("m > 1")
-    met = materialize(bands.join(tops, "key").select("key", "node", "top"))
+    shared = bands.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    shared = materialize(bands.join(materialize(shared), "key"))
+    # a bucket is compared with its hub, the member that meets most others anywhere
+    hubs = materialize(shared.groupBy("node").agg(F.sum("m").alias("met")))
+    shared = materialize(shared.join(hubs, "node").select("key", "node", F.struct("met", "node").alias("rank")))
+    tops = materialize(shared.groupBy("key").agg(F.max("rank").alias("rank")).select("key", F.col("rank.node").alias("top")))
+    met = materialize(shared.join(tops, "key").select("key", "node", "top"))
     wanted = materialize(met.select("node").distinct())
     sets = materialize(shingle_sets(texts.join(wanted, "node").groupBy("node").agg(F.first("text").alias("text"))))
-    star = met.where("node <> top").select(F.col("top").alias("a"), F.col("node").alias("b")).distinct()
+    star = met.where("node <> top").select(F.least("top", "node").alias("a"), F.greatest("top", "node").alias("b")).distinct()
     links = materialize(linked(star, sets, w, least))
     parts = materialize(connected_components(links))
     # members of buckets that still hold several components
     placed = met.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
     mixed = (placed.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("key"))
     rest = materialize(placed.join(materialize(mixed), "key", "left_semi").select("node", "part").distinct())
-    held = materialize(rarest(sets.join(rest.select("node"), "node"), w, least).join(rest, "node"))
-    several = (held.groupBy("element").agg(F.min("part").alias("a"), F.max("part").alias("b"))
-               .where("a < b").select("element"))
-    held = materialize(held.join(materialize(several), "element", "left_semi"))
-    across = (held.select("element", F.col("node").alias("x"), F.col("part").alias("px"), F.col("weight").alias("wx"))
-              .join(held.select("element", F.col("node").alias("y"), F.col("part").alias("py"), F.col("weight").alias("wy")),
-                    "element")
-              .where((F.col("px") < F.col("py")) & (F.col("wx") >= least * F.col("wy")) & (F.col("wy") >= least * F.col("wx")))
-              .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-              .join(star, ["a", "b"], "left_anti"))
-    more = materialize(linked(across, sets, w, least))
+    more = clumped(rest, sets, w, least)
     if more.take(1):
         parts = materialize(connected_components(links.union(more)))
     nodes = ids.groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
