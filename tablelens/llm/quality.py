@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.llm.util import WS, materialize, words_of
+from tablelens.llm.util import WS, hash_sample, materialize, words_of
 
 # The symbol characters, the window of repeated words and the base rules' limits.
 SYMBOLS = "#*$%&|<>"
@@ -84,10 +84,9 @@ def base_failed() -> Column:
 def labelled(measured: DataFrame, labels: DataFrame, id_col: str, label_col: str, max_rows: int) -> list:
     """At most ``max_rows`` labelled rows that pass the base rules: (bad, part, features)."""
     marks = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("doc_id"), (F.col(label_col) == 0).alias("bad"))
-    rows = measured.where(~base_failed()).join(marks, "doc_id")
-    h = F.xxhash64("doc_id")
-    return rows.orderBy(h, "doc_id").limit(max_rows).select(
-        "bad", F.pmod(F.xxhash64(h), F.lit(3)).alias("part"), *FEATURES).collect()
+    rows = materialize(measured.where(~base_failed()).join(marks, "doc_id").select("doc_id", "bad", *FEATURES))
+    part = F.pmod(F.xxhash64(F.xxhash64("doc_id")), F.lit(3))
+    return hash_sample(rows, ["doc_id"], max_rows).select("bad", part.alias("part"), *FEATURES).collect()
 
 
 def thresholds(rows: list, steps: int = 24) -> list[tuple[str, float]]:

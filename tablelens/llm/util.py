@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tablelens.session import materialize
 
-__all__ = ["materialize", "read", "words_of", "word_count", "global_rank", "slices", "utf8",
+__all__ = ["materialize", "read", "words_of", "word_count", "global_rank", "hash_sample", "slices", "utf8",
            "connected_components", "WS"]
 
 # The white space that separates words (space, \x09 to \x0D).
@@ -57,6 +57,17 @@ def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
             .drop("__r", "__before", "__part"))
 
 
+def hash_sample(df: DataFrame, columns: list[str], n: int) -> DataFrame:
+    """At most ``n`` rows, those of least hash of ``columns``.  A threshold on
+    the hash leaves about 1.5 n rows before they are sorted, so what meets in
+    one place does not grow with the table or its number of tasks."""
+    total = df.count()
+    u = F.shiftrightunsigned(F.xxhash64(*columns), 32)
+    if total > 2 * n:
+        df = df.where(u < int(1.5 * n / total * (1 << 32)))
+    return df.orderBy(u, *columns).limit(n)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (n + 1) of an Arrow string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
