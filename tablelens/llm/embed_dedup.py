@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablelens.llm.cover_tree import Tree, join
-from tablelens.llm.util import connected_components, materialize
+from tablelens.llm.util import connected_components, hash_sample, materialize
 
 BLOCK = 1024
 REFERENCES = 64
@@ -63,7 +63,7 @@ def dealt(nodes: DataFrame) -> DataFrame:
     per = nodes.groupBy("label", "dim").count()
     hot = per.agg(F.max("count")).first()[0] or 0
     wanted = int(min(REFERENCES, max(1, hot // (BLOCK // 2))))
-    picked = nodes.orderBy(F.xxhash64("node"), "node").limit(wanted).select("dim", "v").collect()
+    picked = hash_sample(nodes, ["node"], wanted).select("dim", "v").collect()
     references: dict[int, np.ndarray] = {}
     for dim in {r["dim"] for r in picked}:
         references[dim] = unit_rows([r["v"] for r in picked if r["dim"] == dim])
