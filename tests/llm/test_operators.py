@@ -361,6 +361,29 @@ def test_large_group_of_near_copies(spark):
     assert all(r["kept"] for r in got if r["doc_id"] >= 1000)
 
 
+def test_chain_of_near_copies_is_one_class(spark):
+    w = [f"w{i}" for i in range(700)]
+    rows = [(i, " ".join(w[8 * i:8 * i + 200])) for i in range(60)] + [(100, " ".join(w[:100])), (101, " ".join(w[300:420]))]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {got[i] for i in range(60)} == {0} and got[100] == 100 and got[101] == 101
+
+
+def test_blocks_of_documents_give_all_similar_pairs():
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 44, 60, dtype=np.uint64)
+    docs = []
+    for i in range(40):
+        e = base.copy()
+        e[:int(rng.integers(0, 16))] = rng.integers(0, 1 << 44, 16, dtype=np.uint64)[:1]
+        docs.append({"node": i, "part": i % 7, "elements": np.unique(e).tobytes()})
+    w = 1 + rng.random(1 << near_dedup.SKETCH_BITS)
+    sets = [set(np.frombuffer(d["elements"], np.uint64).tolist()) for d in docs]
+    weigh = lambda x: sum(w[v & 0xFFFF] for v in x)
+    want = sorted((i, j) for j in range(20, 40) for i in range(20) if docs[i]["part"] != docs[j]["part"]
+                  and weigh(sets[i] & sets[j]) >= 0.8 * weigh(sets[i] | sets[j]))
+    assert want and near_dedup.similar_pairs(docs[:20], docs[20:], w, 0.8) == want
+
+
 def test_near_duplicates_odd_rows(odd, empty):
     got = collections.defaultdict(list)
     for r in near_dedup.near_dedup(odd).collect():
