@@ -45,6 +45,7 @@ BAND = 4
 SKETCH_BITS = 16
 IDF_SHARE = 0.25
 LOW = (1 << 44) - 1
+FILTER_BITS = 23
 BLOCK_WEIGHT = 60_000  # of the documents that are judged together
 
 
@@ -354,7 +355,8 @@ def classes(docs: DataFrame, id_col="doc_id", text_col="text", least: float = 0.
     tops = materialize(shared.groupBy("key").agg(F.max("rank").alias("rank")).select("key", F.col("rank.node").alias("top")))
     met = materialize(shared.join(tops, "key").select("key", "node", "top"))
     wanted = materialize(met.select("node").distinct())
-    sets = materialize(shingle_sets(texts.join(wanted, "node").groupBy("node").agg(F.first("text").alias("text"))))
+    sets = materialize(shingle_sets(
+        likely(texts, wanted).join(wanted, "node").groupBy("node").agg(F.first("text").alias("text"))))
     star = met.where("node <> top").select(F.least("top", "node").alias("a"), F.greatest("top", "node").alias("b")).distinct()
     links = materialize(linked(star, sets, w, least))
     parts = materialize(connected_components(links))
@@ -371,6 +373,19 @@ def classes(docs: DataFrame, id_col="doc_id", text_col="text", least: float = 0.
     return materialize(nodes.join(low, "part").select("node", "part", "class_id", "class_size"))
 
 
+def likely(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose node may be among ``wanted``: a bitmap of
+    2**FILTER_BITS hashed nodes (at most 2 MB as rows of 64 bits) is broadcast,
+    so that other texts are not shuffled for the join that follows."""
+    slot = F.shiftrightunsigned(F.xxhash64("node", F.lit(5)), 64 - FILTER_BITS)
+    bit = F.expr("shiftleft(1L, cast(__slot % 64 as int))")
+    bits = (wanted.select(slot.alias("__slot")).select(F.floor(F.col("__slot") / 64).alias("__word"), bit.alias("__bit"))
+            .groupBy("__word").agg(F.bit_or("__bit").alias("__bits")))
+    return (texts.withColumn("__slot", slot).withColumn("__word", F.floor(F.col("__slot") / 64))
+            .join(F.broadcast(bits), "__word").where(F.col("__bits").bitwiseAND(bit) != 0)
+            .drop("__slot", "__word", "__bits"))
+
+
 def text_node(text):
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
