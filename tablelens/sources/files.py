@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,7 +137,7 @@ def read_csv(
     given = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "inferSchema": "false"} | options
     if "multiLine" not in options:
         given["multiLine"] = str(has_quoted_breaks(spark, path)).lower()
-    some_file = sorted(spark.read.text(path).inputFiles())[:1]
+    some_file = [unquote(f) for f in sorted(spark.read.text(path).inputFiles())[:1]]  # they come as URIs
     if not some_file:
         return spark.createDataFrame([], schema or "`Unnamed: 0` double")
     first = spark.read.options(**given, header="false").csv(some_file).first()
