@@ -11,9 +11,10 @@ that disclose at least ``generalise_at`` are generalised to their kind, from
 ``remove_at`` on they are removed.  A context with an entity is counted once
 per entity value, so copies of a document add no evidence.
 
-A term needs at least ``min_support`` entity values and ``min_share`` of its
-kind's values, so a kind has at most (terms per context) / min_share terms,
-whatever the corpus: they are literals of the last pass.
+A term needs at least ``min_support`` entity values, whatever the size of the
+corpus.  The learned terms stay a table, which grows with the corpus; the
+distinct terms of every text are joined to it, and texts get theirs back by
+the SHA-256 of the text, so equal texts are looked up once.
 
 Everything is DataFrame expressions.  Long runs of digits, dots or address
 characters are matched with possessive loops in linear time and constant
@@ -84,8 +85,7 @@ def terms_in(line: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(line), "[^\\p{L}\\p{N}]+"), lambda t: t != ""))
 
 
-def disclosing_terms(texts: DataFrame, min_support: int = 5, min_share: float = 0.002,
-                     generalise_at: float = 0.8) -> DataFrame:
+def disclosing_terms(texts: DataFrame, min_support: int = 5, generalise_at: float = 0.8) -> DataFrame:
     """(kind, term, disclosure) over the column ``text`` of ``texts``."""
     lines = texts.select(F.explode(F.split("text", "\n", -1)).alias("line"))
     marked = base_spans(lines.where(F.col("line").rlike("@|[0-9]")), "line")
@@ -100,8 +100,7 @@ def disclosing_terms(texts: DataFrame, min_support: int = 5, min_share: float =
     pairs = each.select("kind", "value", F.explode("terms").alias("term"))
     seen = (pairs.groupBy("kind", "term", "value").agg(F.count("*").alias("m"))
             .groupBy("kind", "term").agg(F.count("*").alias("n"), F.sum("m").alias("lines_both")))
-    support = F.greatest(F.lit(min_support), F.ceil(F.col("n_kind") * min_share))
-    candidates = materialize(seen.join(kinds, "kind").where(F.col("n") >= support))
+    candidates = materialize(seen.join(F.broadcast(kinds), "kind").where(F.col("n") >= min_support))
     names = materialize(candidates.select("term").distinct())
     counted = (lines.select(F.explode(terms_in(F.col("line"))).alias("term"))
                .join(names, "term", "left_semi").groupBy("term").agg(F.count("*").alias("lines_term")))
@@ -120,13 +119,12 @@ def find(docs: DataFrame, text_col: str = "text", generalise_at: float = 0.8, **
     columns of those names replaced, and __text, the text with null as empty."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     learned = disclosing_terms(docs.select(text.alias("text")), generalise_at=generalise_at, **options)
-    # bounded by (terms per context) / min_share a kind
-    terms = sorted({r["term"] for r in learned.select("term").collect()})
-    out = base_spans(docs.withColumn("__text", text), "__text")
-    if not terms:
-        return out.withColumn(TERM, F.array().cast("array<struct<start:bigint,end:bigint,found:string>>"))
-    mine = F.array_intersect(terms_in(F.col("__text")), F.array(*[F.lit(t) for t in terms]))
-    out = out.withColumn("__mine", mine)
+    learned = materialize(learned.select("term").distinct())
+    keyed = docs.withColumn("__text", text).withColumn("__key", F.unhex(F.sha2(F.col("__text").cast("binary"), 256)))
+    mine = (keyed.select("__key", F.explode(terms_in(F.col("__text"))).alias("term")).join(learned, "term")
+            .groupBy("__key").agg(F.array_sort(F.collect_set("term")).alias("__mine")))
+    keyed = keyed.join(mine, "__key", "left").drop("__key")
+    out = base_spans(keyed, "__text").withColumn("__mine", F.coalesce("__mine", F.array().cast("array<string>")))
     pattern = F.concat(F.lit("(?<![\\p{L}\\p{N}])(?iu:"), F.array_join("__mine", "|"), F.lit(")(?![\\p{L}\\p{N}])"))
     pattern = F.when(F.size("__mine") > 0, pattern).otherwise(F.lit("(?!)"))
     return add_matches(out.withColumn("__pattern", pattern), "__text", TERM, F.col("__pattern"),

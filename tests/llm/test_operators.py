@@ -215,6 +215,15 @@ def test_copies_of_a_document_are_no_evidence(spark):
     assert pii.disclosing_terms(spark.createDataFrame(rows, "text string")).count() == 0
 
 
+def test_rare_terms_stay_when_the_corpus_grows(spark):
+    rows = [(f"rareword person{i}@mail.example.com",) for i in range(6)] + [("a rareword alone",)]
+    rows += [(f"common user{i}@mail.example.com",) for i in range(6000)] + [(f"line{i}",) for i in range(30_000)]
+    found = pii.find(spark.createDataFrame(rows, "text string"))
+    got = {r["text"]: [s["found"] for s in r["term"]] for r in found.select("text", "term").collect()}
+    assert len(got) == len(rows) and got["a rareword alone"] == ["rareword"] and got[rows[0][0]] == ["rareword"]
+    assert got["line1"] == []
+
+
 # -- 4 lines --------------------------------------------------------------------------------
 
 def check_lines(df):
