@@ -10,8 +10,9 @@ is asked, down to a flat 8 bits.  A text's code length is the exact sum over
 its bytes; the shortest code names the language, and ``score`` is that
 language's share of the probability (1 / sum of 2 ** -(excess bits)).
 
-The model holds at most ``max_grams`` contexts per language (most frequent
-first, ties by value), so its size does not grow with the corpus.
+The model holds every context of every language.  It is gathered on the driver
+and sent to the tasks, so both grow with the distinct ORDER + 1 bytes of the
+labelled texts, not with their length.
 
 Defined cases: null, empty and letterless texts are ``und`` with score 0, as
 is every text when nothing was learned; rows without language are not learned
@@ -26,10 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.llm.util import materialize, slices, utf8
+from tablelens.llm.util import slices, utf8
 
 ORDER = 3
 UND = "und"
@@ -168,20 +169,9 @@ class Trees:
         return out
 
 
-def train(rows: DataFrame, max_grams: int = 250_000) -> Trees | None:
-    """Trees over the rows (text, lang); ``max_grams`` contexts per language."""
-    by_use = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    counts = materialize(gram_counts(rows))
-    most = counts.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
-    if most > max_grams:
-        # the cut is found on counts of counts, then ties at the cut are ranked
-        per = counts.groupBy("lang", "n").agg(F.count("*").alias("m"))
-        upto = Window.partitionBy("lang").orderBy(F.desc("n"))
-        cut = per.withColumn("upto", F.sum("m").over(upto)).where(F.col("upto") >= max_grams).groupBy("lang").agg(
-            F.max("n").alias("cut"))
-        held = counts.join(cut, "lang", "left").where("cut is null or n >= cut")
-        counts = held.withColumn("r", F.row_number().over(by_use)).where(F.col("r") <= max_grams)
-    frame = counts.select("lang", "gram", "n").toPandas()
+def train(rows: DataFrame) -> Trees | None:
+    """Trees over the rows (text, lang), of all their contexts."""
+    frame = gram_counts(rows).toPandas()
     return Trees(frame) if len(frame) else None
 
 

@@ -438,6 +438,16 @@ def test_language_odd_rows(odd, empty, spark):
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {1, 2, None, 7, 8, 9, 11}
 
 
+def test_language_model_holds_all_contexts(spark):
+    rng = np.random.default_rng(5)
+    text = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), 300_000))
+    trees = langid.train(spark.createDataFrame([(text, "x"), ("plain words", "y")], "text string, lang string"))
+    distinct = {text[i:i + 4] for i in range(len(text) - 3)}
+    assert len(distinct) > 250_000 and len(trees.levels[langid.ORDER]["keys"]) >= len(distinct)
+    grams = np.array([int.from_bytes(g.encode(), "big") for g in sorted(distinct)], np.uint32)
+    assert np.isin(grams, trees.levels[langid.ORDER]["keys"]).all()
+
+
 def test_code_lengths_are_those_of_the_tree():
     import pandas as pd
 
