@@ -332,6 +332,18 @@ def test_tokens_of_a_credentials_format(spark):
     assert len(got[500]) == 1 and not got[501] and not any(got[i] for i in range(120))
 
 
+@pytest.mark.parametrize("chars, n", [("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 12), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 14)])
+def test_short_tokens_and_tokens_of_letters_are_candidates(spark, monkeypatch, chars, n):
+    monkeypatch.setattr(secret_scan, "BACKGROUND_DOCS", 40)  # document 500 is not among them: a token of letters would teach the background
+    rng = np.random.default_rng(3)
+    token = lambda: "".join(rng.choice(list(chars), n))
+    prose = "words and more words of ordinary prose with some longer ordinarily written sentences too "
+    rows = [(i, f"{prose * 3} secret={token()} {prose}") for i in range(120)] + [(500, f"{prose} see {token()} here"), (501, prose * 9)]
+    got = {r["doc_id"]: r["formats"] for r in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert len(got[500]) == 1 and not got[501] and not any(got[i] for i in range(120))
+    assert secret_scan.scan("ab.c-d=1 abcde")[1] == [(0, 8, "ab.c-d=1")]
+
+
 def test_automaton_learns_a_format():
     values = [f"ab-{i:04d}" for i in range(0, 4000, 13)]
     model = grammar.Automaton(values)
