@@ -5,14 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tablelens.llm import (embed_dedup, langid, line_dedup, mixing, near_dedup, packing, pii, quality, secret_scan,
-                           suffix_dedup)
-from tablelens.llm.oracles import EMBEDDINGS, LINES
+from tablelens.llm import (centroid_clusters, embed_dedup, importance, langid, line_dedup, mixing, near_dedup, packing,
+                           pii, pivot_index, quality, secret_scan, suffix_dedup)
+from tablelens.llm.oracles import CLUSTERS, EMBEDDINGS, IMPORTANCE, LINES
 from tablelens.llm.spans import joined
 from tablelens.llm.util import read
 
 QUERIES = {}
-ORACLE_SQL: dict[str, str] = {"op2_embedding_near_dedup": EMBEDDINGS, "op4_line_dedup": LINES}
+ORACLE_SQL: dict[str, str] = {"op2_embedding_near_dedup": EMBEDDINGS, "op4_line_dedup": LINES,
+                              "op11_importance_resampling": IMPORTANCE, "op12_centroid_clustering": CLUSTERS}
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -101,3 +102,21 @@ def op9_suffix_array_dedup(spark, sf_dir):
     # a plain file scan names its rows alike each time it is read
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup.without_repeats(docs.withColumn("rid", F.monotonically_increasing_id())).drop("spans")
+
+
+@query
+def op11_importance_resampling(spark, sf_dir):
+    """A tenth of the documents, drawn by importance for the benchmark texts."""
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_centroid_clustering(spark, sf_dir):
+    """Cluster of every embedding after five rounds from 40 centroids."""
+    return centroid_clusters.cluster(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_nearest_neighbours(spark, sf_dir):
+    """The 10 nearest found of every embedding whose id is divisible by 100."""
+    return pivot_index.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
