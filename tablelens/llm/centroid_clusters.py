@@ -49,7 +49,8 @@ def scaled(rows: DataFrame, dim: int, scale: float) -> DataFrame:
     """(vec_id, v): whole components, 4 bytes each."""
     def scale_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.floor(matrix(batch.column("v"), dim) * scale)
+            with np.errstate(over="ignore"):
+                x = np.floor(matrix(batch.column("v"), dim) * scale)
             x = np.clip(x, -LIMIT, LIMIT).astype(np.int32)
             yield pa.record_batch([batch.column("vec_id"), binaries(x)], names=["vec_id", "v"])
 

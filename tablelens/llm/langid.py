@@ -8,11 +8,14 @@ after its context costs ``-log2(n / (total + distinct))``; otherwise the
 escape ``distinct / (total + distinct)`` is paid and the next shorter context
 is asked, down to a flat 8 bits.  A text's code length is the exact sum over
 its bytes; the shortest code names the language, and ``score`` is that
-language's share of the probability (1 / sum of 2 ** -(excess bits)).
+language's share when each is weighed by 2 ** -(bits per byte), so that it does
+not saturate with the length of the text.
 
-The model holds every context of every language.  It is gathered on the driver
-and sent to the tasks, so both grow with the distinct ORDER + 1 bytes of the
-labelled texts, not with their length.
+The classifier is fitted on whole labelled texts of at most about ``FIT_BYTES``
+bytes, shared equally by the languages (a language with less gives all it has;
+rows are taken by a hash of id and text, never cut).  So the model, which goes through the
+driver to the tasks, is bounded by that parameter: its contexts are at most as
+many as the bytes it was fitted on.  Scoring covers all texts in whole.
 
 Defined cases: null, empty and letterless texts are ``und`` with score 0, as
 is every text when nothing was learned; rows without language are not learned
@@ -34,6 +37,10 @@ from tablelens.llm.util import slices, utf8
 
 ORDER = 3
 UND = "und"
+# Bytes of labelled text to fit on, over all languages.
+FIT_BYTES = 24 << 20
+# Bits a byte beyond which no learned language explains a text: those of a flat code.
+MOST_BITS = 8.0
 
 
 def padded(batch: pa.RecordBatch, column: str):
@@ -86,11 +93,26 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                pa.array(counts.astype(np.int64))], names=["lang", "gram", "n"])
 
 
-def gram_counts(train: DataFrame) -> DataFrame:
-    """(lang, gram, n) over the rows (text, lang) of ``train``."""
-    parts = train.where("text is not null and lang is not null").select(
-        F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    return (parts.mapInArrow(_count_grams, "lang string, gram long, n long")
+def fit_sample(labelled: DataFrame, fit_bytes: int) -> DataFrame:
+    """Rows (id, text, lang) whose texts hold about ``fit_bytes`` bytes at most,
+    the same share of them for every language."""
+    per = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(
+        F.sum(F.octet_length("text")).alias("n")).collect()}  # a row a language
+    left, share = fit_bytes, {}
+    for i, lang in enumerate(sorted(per, key=per.get)):  # what small ones leave goes to the others
+        most = left / (len(per) - i)
+        share[lang] = min(1.0, most / max(1, per[lang]))
+        left -= share[lang] * per[lang]
+    u = F.shiftrightunsigned(F.xxhash64("id", "text"), 32)
+    keep = F.lit(False)
+    for lang, part in share.items():
+        keep = keep | ((F.col("lang") == lang) & (u < int(part * (1 << 32))))
+    return labelled.where(keep) if any(part < 1 for part in share.values()) else labelled
+
+
+def gram_counts(parts: DataFrame) -> DataFrame:
+    """(lang, gram, n) over the rows (text, lang)."""
+    return (parts.select("text", "lang").mapInArrow(_count_grams, "lang string, gram long, n long")
             .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
 
 
@@ -169,18 +191,21 @@ class Trees:
         return out
 
 
-def train(rows: DataFrame) -> Trees | None:
-    """Trees over the rows (text, lang), of all their contexts."""
-    frame = gram_counts(rows).toPandas()
+def train(rows: DataFrame, fit_bytes: int = FIT_BYTES) -> Trees | None:
+    """Trees over the rows (id, text, lang), or over a sample of ``fit_bytes``."""
+    labelled = rows.where("text is not null and lang is not null").select(
+        "id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    frame = gram_counts(fit_sample(labelled, fit_bytes)).toPandas()  # at most fit_bytes rows
     return Trees(frame) if len(frame) else None
 
 
 def predict(docs: DataFrame, trees: Trees | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score in place of columns of those names."""
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    """``docs`` with lang_pred, score and bits (of the best code, per byte) in
+    place of columns of those names."""
+    keep = [c for c in docs.columns if c not in ("lang_pred", "score", "bits")]
     letter = F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False))
     if trees is None:
-        return docs.select(*keep, F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*keep, F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(8.0).alias("bits"))
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,14 +216,17 @@ def predict(docs: DataFrame, trees: Trees | None, text_col: str = "text") -> Dat
                 grams, off = padded(piece, text_col)
                 bits = model.bits(grams, off)
                 best = bits.argmin(axis=1)
-                share = 1.0 / np.exp2(-(bits - bits.min(axis=1, keepdims=True))).sum(axis=1)
+                bits = bits / np.maximum(1, np.diff(off))[:, None]
+                least = bits.min(axis=1, keepdims=True)
+                share = 1.0 / np.exp2(least - bits).sum(axis=1)
                 has = np.asarray(piece.column("__letter").to_numpy(zero_copy_only=False), bool)
                 pred = np.where(has, names[best], UND)
                 cols = [piece.column(c) for c in keep]
                 yield pa.record_batch([*cols, pa.array(pred.tolist(), pa.string()),
-                                       pa.array(np.where(has, share, 0.0))], names=[*keep, "lang_pred", "score"])
+                                       pa.array(np.where(has, share, 0.0)), pa.array(least[:, 0])],
+                                      names=[*keep, "lang_pred", "score", "bits"])
 
-    fields = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    fields = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("bits", "double")
     return docs.select(*keep, letter.alias("__letter")).mapInArrow(scored, fields)
 
 
@@ -206,22 +234,36 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def taught(docs: DataFrame, id_col: str, text_col: str, lang_col: str, fit_bytes: int) -> Trees | None:
+    """Trees learned from the rows that are not held out."""
+    rows = docs.where(~held_out(F.col(id_col)))
+    return train(rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")),
+                 fit_bytes)
+
+
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+             fit_bytes: int = FIT_BYTES) -> DataFrame:
     """Learn from the rows that are not held out, predict all: id, held_out,
-    lang_pred, score.  Language, source and id are no inputs of a prediction."""
-    rows = docs.where(~held_out(F.col(id_col))).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    lang_pred, score, bits.  Language, source and id are no inputs of a prediction."""
     mine = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"),
                        F.col(text_col).alias("text"))
-    return predict(mine, train(rows)).select("doc_id", "held_out", "lang_pred", "score")
+    trees = taught(docs, id_col, text_col, lang_col, fit_bytes)
+    return predict(mine, trees).select("doc_id", "held_out", "lang_pred", "score", "bits")
 
 
 def known_language(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
-                   min_score: float = 0.0) -> DataFrame:
-    """Documents whose language is recognised, with the columns of ``docs``:
-    ``und`` (no text, no letter) goes, and so does a score below ``min_score``."""
-    rows = docs.where(~held_out(F.col(id_col))).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    trees = train(rows)
+                   most_bits: float = MOST_BITS, fit_bytes: int = FIT_BYTES) -> DataFrame:
+    """Documents whose language is recognised, with the columns of ``docs``.
+
+    ``und`` (no text, no letter) goes, and so does a text for which the best
+    language's code takes more than ``most_bits`` bits a byte.  Where no row
+    teaches a language, every text with a letter stays.
+    """
+    trees = taught(docs, id_col, text_col, lang_col, fit_bytes)
     renamed = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
     text = f"c{docs.columns.index(text_col)}"
-    out = predict(renamed, trees, text).where((F.col("lang_pred") != UND) & (F.col("score") >= min_score))
+    if trees is None:
+        out = renamed.where(F.col(text).rlike("\\p{L}"))
+    else:
+        out = predict(renamed, trees, text).where((F.col("lang_pred") != UND) & (F.col("bits") <= most_bits))
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -72,7 +72,8 @@ def entries_of(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame
 
 def postings(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """(vector, pivot): prefix less the pivot's place in the vector's order."""
-    away = (pivots ** 2).sum(axis=1) - 2 * (x @ pivots.T)
+    size = max(np.abs(pivots).max(), np.abs(x).max())  # squares of any double stay finite
+    away = ((pivots / size) ** 2).sum(axis=1) - 2 * ((x / size) @ (pivots / size).T)
     order = np.argsort(away, axis=1, kind="stable")[:, :prefix]
     out = np.zeros((len(x), len(pivots)), np.uint8)
     np.put_along_axis(out, order, (prefix - np.arange(order.shape[1])).astype(np.uint8)[None, :], axis=1)
@@ -103,13 +104,24 @@ def blocks_of(entries: DataFrame, pivots: np.ndarray, prefix: int, size: int, by
     return materialize(dealt.mapInArrow(post, "block long, entries binary, vectors binary, posted binary")), n
 
 
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows to ``q``; scaled only where squares overflow."""
+    with np.errstate(over="ignore"):
+        gap = x - q
+        away = np.sqrt((gap ** 2).sum(axis=1))
+    for i in np.flatnonzero(~np.isfinite(away)):
+        size = np.abs(gap[i]).max()
+        away[i] = size * np.sqrt(((gap[i] / size) ** 2).sum()) if np.isfinite(size) else np.inf
+    return away
+
+
 def nearest_in_block(files: np.ndarray, x: np.ndarray, own: np.ndarray, q: np.ndarray, depth: int, k: int):
     """Numbers in the block and distances of the ``k`` exactly nearest among
     the ``depth`` of least footrule distance; ``files`` is pivot by vector."""
     at = np.flatnonzero(own)
     shared = np.minimum(files[at], own[at][:, None]).sum(axis=0, dtype=np.int32)
     near = np.argpartition(-shared, depth - 1)[:depth] if depth < len(x) else np.arange(len(x))
-    away = np.sqrt(((x[near] - q) ** 2).sum(axis=1))
+    away = distances(x[near], q)
     if len(near) > k:
         limit = np.partition(away, k - 1)[k - 1]
         keep = away <= limit  # ties are settled by id, later

@@ -9,7 +9,7 @@ from tablelens.llm import (centroid_clusters, embed_dedup, importance, langid, l
                            pii, pivot_index, quality, secret_scan, suffix_dedup)
 from tablelens.llm.oracles import CLUSTERS, EMBEDDINGS, IMPORTANCE, LINES
 from tablelens.llm.spans import joined
-from tablelens.llm.util import read
+from tablelens.llm.util import read, row_names
 
 QUERIES = {}
 ORACLE_SQL: dict[str, str] = {"op2_embedding_near_dedup": EMBEDDINGS, "op4_line_dedup": LINES,
@@ -47,9 +47,8 @@ def op10_source_mixing(spark, sf_dir):
 def op4_line_dedup(spark, sf_dir):
     """Lines that every document loses: repeated ones, and those within one
     word of an earlier line."""
-    # a plain file scan names its rows alike each time it is read
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.line_dedup(docs.withColumn("rid", F.monotonically_increasing_id())).drop("rid")
+    docs = row_names(read(spark, sf_dir, "documents")).select("doc_id", "text", "rid")
+    return line_dedup.line_dedup(docs).drop("rid")
 
 
 @query
@@ -99,9 +98,8 @@ def op6_secret_scan(spark, sf_dir):
 @query
 def op9_suffix_array_dedup(spark, sf_dir):
     """Bytes of every document that repeated passages of 400 bytes cover."""
-    # a plain file scan names its rows alike each time it is read
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffix_dedup.without_repeats(docs.withColumn("rid", F.monotonically_increasing_id())).drop("spans")
+    docs = row_names(read(spark, sf_dir, "documents")).select("doc_id", "text", "rid")
+    return suffix_dedup.without_repeats(docs).drop("spans")
 
 
 @query

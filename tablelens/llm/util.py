@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tablelens.session import materialize
 
-__all__ = ["materialize", "read", "words_of", "word_count", "global_rank", "hash_sample", "slices", "utf8",
+__all__ = ["materialize", "read", "words_of", "word_count", "global_rank", "hash_sample", "row_names", "slices", "utf8",
            "connected_components", "WS"]
 
 # The white space that separates words (space, \x09 to \x0D).
@@ -68,6 +68,19 @@ def hash_sample(df: DataFrame, columns: list[str], n: int) -> DataFrame:
     return df.orderBy(u, *columns).limit(n)
 
 
+def row_names(table: DataFrame, name: str = "rid") -> DataFrame:
+    """Add ``name``, a number of every row of a table read from files, the same
+    in every job whatever splits the files are read in: the hash of its file
+    plus its place in the file.  The files' hashes are checked to lie further
+    apart than a file has rows."""
+    path = F.col("_metadata.file_path")
+    for salt in range(64):
+        starts = sorted(r[0] for r in table.select(F.xxhash64(path, F.lit(salt))).distinct().collect())  # a row a file
+        if all(b - a >= 1 << 28 for a, b in zip(starts, starts[1:])) and (not starts or starts[-1] < (1 << 63) - (1 << 28)):
+            return table.withColumn(name, F.xxhash64(path, F.lit(salt)) + F.col("_metadata.row_index"))
+    raise RuntimeError("files cannot be told apart")
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (n + 1) of an Arrow string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -453,13 +453,38 @@ def test_language_odd_rows(odd, empty, spark):
 def test_language_model_holds_all_contexts(spark):
     rng = np.random.default_rng(5)
     text = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), 300_000))
-    trees = langid.train(spark.createDataFrame([(text, "x"), ("plain words", "y")], "text string, lang string"))
+    trees = langid.train(spark.createDataFrame([(1, text, "x"), (2, "plain words", "y")], "id int, text string, lang string"))
     distinct = {text[i:i + 4] for i in range(len(text) - 3)}
     assert len(distinct) > 250_000 and len(trees.levels[langid.ORDER]["keys"]) >= len(distinct)
     grams = np.array([int.from_bytes(g.encode(), "big") for g in sorted(distinct)], np.uint32)
     assert np.isin(grams, trees.levels[langid.ORDER]["keys"]).all()
 
 
+def test_language_sample_is_bounded_and_shared(spark):
+    rows = [(i, f"some text number {i} of a large language", "big") for i in range(4000)]
+    rows += [(10_000 + i, f"kleiner text nummer {i}", "small") for i in range(50)]
+    sample = langid.fit_sample(spark.createDataFrame(rows, "id int, text string, lang string"), 40_000).collect()
+    size = sum(len(r["text"]) for r in sample)
+    assert sum(r["lang"] == "small" for r in sample) == 50 and 30_000 < size < 50_000
+
+
+def test_language_stage_without_labels_keeps_texts_with_letters(odd):
+    unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
+    kept = langid.known_language(unlabelled)
+    assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {1, 2, None, 7, 8, 9, 11}
+
+
+def test_language_stage_drops_what_no_language_explains(spark):
+    rng = np.random.default_rng(8)
+    prose = "the old house near the river has a small garden and the children play in the garden every day "
+    rows = [(i, prose * 3, "en") for i in range(40)]
+    rows += [(100, "".join(chr(c) for c in rng.integers(0x4E00, 0x9FFF, 400)), "en"), (101, "the river and the garden", None)]
+    docs = spark.createDataFrame([r for r in rows if r[0] != 102], "doc_id bigint, text string, lang string")
+    held = docs.withColumn("lang", F.when(F.col("doc_id") < 100, F.col("lang")))
+    ids = {r["doc_id"] for r in langid.known_language(held).collect()}
+    assert 100 not in ids and 101 in ids and 5 in ids
+
+
 def test_code_lengths_are_those_of_the_tree():
     import pandas as pd
 
