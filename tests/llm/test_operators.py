@@ -446,8 +446,8 @@ def test_language_odd_rows(odd, empty, spark):
     assert langid.identify(empty).count() == 0
     unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
     assert {r["lang_pred"] for r in langid.identify(unlabelled).collect()} == {"und"}
-    kept = langid.known_language(odd)
-    assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {1, 2, None, 7, 8, 9, 11}
+    kept = langid.known_language(odd)  # 7, a held-out run of one letter, costs more than a flat code in every language
+    assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {1, 2, None, 8, 9, 11}
 
 
 def test_language_model_holds_all_contexts(spark):
