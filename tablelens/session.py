@@ -8,8 +8,11 @@ convenience for tests, the benchmark and local use.
 
 from __future__ import annotations
 
+import functools
 import os
+import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -102,12 +105,76 @@ def materialize(df: DataFrame) -> DataFrame:
     written files, so its lineage is cut and it survives the loss of
     executors.  ``DataFrame.checkpoint(eager=True)`` would compute the plan
     twice (once to count, once to write), which this avoids.
+
+    The table stays until an enclosing ``tidied`` function or ``sweep`` removes
+    it; what neither removes can go with the folder ``tablelens`` below the
+    checkpoint root once no result that reads it is wanted any more.
     """
     path = shared_dir(df.sparkSession, f"mat-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
+    open_scopes = _scopes()
+    if open_scopes:
+        open_scopes[-1].append(path)
     return df.sparkSession.read.parquet(path)
 
 
+_LOCAL = threading.local()
+
+
+def _scopes() -> list[list[str]]:
+    if not hasattr(_LOCAL, "scopes"):
+        _LOCAL.scopes = []
+    return _LOCAL.scopes
+
+
+def _tables_read(frames) -> set[str]:
+    """Names of the written tables that the frames' plans read."""
+    return {m[0] for df in frames for f in df.inputFiles() for m in [re.search(r"mat-[0-9a-f]{32}", f)] if m}
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        target = hadoop(path)
+        target.getFileSystem(conf).delete(target, True)
+
+
+def tidied(fn, left: list[str] | None = None):
+    """A function that returns a DataFrame and removes, when it returns, the
+    tables it wrote on the way and that the result does not read.  The others
+    are left to an enclosing ``tidied`` function, or listed in ``left`` for a
+    later ``sweep``.  The result must not read a written table inside a scalar
+    subquery alone."""
+    @functools.wraps(fn)
+    def run(*args, **kwargs):
+        scopes = _scopes()
+        scopes.append([])
+        try:
+            out = fn(*args, **kwargs)
+        finally:
+            written = scopes.pop()
+        used = _tables_read([out]) if written else set()
+        kept = [p for p in written if os.path.basename(p) in used]
+        if scopes:
+            scopes[-1].extend(kept)
+        elif left is not None:
+            left.extend(kept)
+        _remove(out.sparkSession, [p for p in written if p not in kept])
+        return out
+
+    return run
+
+
+def sweep(spark: SparkSession, left: list[str], *wanted: DataFrame) -> None:
+    """Remove the tables listed in ``left`` that ``wanted`` do not read: for a
+    caller that has written every other result elsewhere."""
+    used = _tables_read(wanted) if left else set()
+    gone = [p for p in left if os.path.basename(p) not in used]
+    _remove(spark, gone)
+    left[:] = [p for p in left if p not in gone]
+
+
 def local_path(path: str) -> str:
     """A POSIX path for Python-side file I/O (workbooks, SQLite files).
 
