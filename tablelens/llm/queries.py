@@ -10,6 +10,7 @@ from tablelens.llm import (centroid_clusters, embed_dedup, importance, langid, l
 from tablelens.llm.oracles import CLUSTERS, EMBEDDINGS, IMPORTANCE, LINES
 from tablelens.llm.spans import joined
 from tablelens.llm.util import read, row_names
+from tablelens.session import tidied
 
 QUERIES = {}
 ORACLE_SQL: dict[str, str] = {"op2_embedding_near_dedup": EMBEDDINGS, "op4_line_dedup": LINES,
@@ -18,7 +19,7 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
+    QUERIES[fn.__name__] = tidied(fn)
     return fn
 
 
