@@ -1,13 +1,11 @@
 """Data-quality checks and the anomaly report.
 
-Per table the detector runs six scans for up to eight numeric columns; every
-further eight add one scan of their own columns for their quartiles:
+Per table the detector runs six to eight scans, whatever the number of columns:
 
 1. ``column_stats``: null counts, min and max of every column in one aggregate
-   and quantile sketches of the numeric ones in a second, merged in two levels
    (kept: one row per column);
-2. ``exact_quantiles``: exact quartiles of all numeric columns together
-   (kept: one row per numeric column);
+2. ``exact_quantiles``: exact quartiles of all numeric columns together, by two
+   to four passes of radix selection (kept: one row per numeric column);
 3. one aggregate counting values outside the IQR fences of every numeric
    column (the fences, two numbers per column, are inlined as literals);
 4. row hashes counted for duplicate rows, then the rows with a repeated hash
@@ -25,19 +23,18 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tablelens.session import local_frame, materialize
+from tablelens.session import local_frame
 from tablelens.functions.columns import (
     normalized_sql,
     numeric_columns,
-    qcol,
     sql_double,
     sql_str,
     union_all_names,
 )
-from tablelens.operators.quantiles import approx_quantiles, exact_quantiles_checked
-from tablelens.operators.stats import column_stats, groupable_columns
+from tablelens.operators.quantiles import SKETCH_K, approx_quantiles, exact_quantiles
+from tablelens.operators.rows import row_summary
+from tablelens.operators.stats import column_stats
 
 ANOMALY_FIELDS = (
     "table string, column string, anomaly_type string, severity string, "
@@ -66,11 +63,6 @@ OUTLIER_TEXT = "%.1f%% outliers (IQR x%s). Expected range: [%.2f, %.2f]"
 ZERO_VARIANCE_TEXT = "All non-null values are identical: "
 
 QUARTILES = (0.25, 0.75)
-# Fraction of rows fed to the quartile sketch.  Sampling saves sketch CPU
-# (which spreads over all executors) but widens the exact pass's brackets for
-# the sampling error, and the bracket rows are what gets shuffled: so no
-# sampling.
-SKETCH_SAMPLE = 1.0
 
 
 def _materialize(df: DataFrame, keep: bool) -> DataFrame:
@@ -118,40 +110,9 @@ def check_nulls(stats: DataFrame, table: str) -> DataFrame:
     )
 
 
-def _with_row_hashes(df: DataFrame) -> DataFrame:
-    """Groupable columns of ``df`` and two independent 64-bit hashes of the
-    row.  Values are hashed with their nulls: the null pattern goes along, and
-    nested values as their JSON text, since the hash functions skip nulls
-    inside arrays and structs."""
-    flat = df.select(*groupable_columns(df))
-    keys = [
-        F.to_json(F.struct(qcol(f.name).alias("v")), {"ignoreNullFields": "false"})
-        if isinstance(f.dataType, (T.ArrayType, T.StructType)) else qcol(f.name)
-        for f in flat.schema.fields
-    ]
-    mask = F.array(*[qcol(c).isNull() for c in flat.columns])
-    return flat.withColumns({"__h1": F.xxhash64(mask, *keys), "__h2": F.xxhash64(F.lit(1), *keys[::-1], mask)})
-
-
 def duplicate_summary(df: DataFrame) -> DataFrame:
-    """One row ``(rows, duplicate_rows)``; nulls (and NaNs) compare equal.
-
-    Rows are counted by a 128-bit hash, so unique rows move as 16 bytes.  Only
-    rows whose hash repeats are then grouped by all their columns, which makes
-    the count exact.
-    """
-    full = _with_row_hashes(df)
-    hashed = full.groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("__n"))
-    # one row for all unique hashes together, one for every repeated hash
-    hashed = materialize(hashed.groupBy(F.when(F.col("__n") > 1, F.struct("__h1", "__h2")).alias("__h"))
-                         .agg(F.sum("__n").alias("__n")))
-    again = hashed.where("__h is not null").select("__h.*")
-    keys = [qcol(c) for c in full.columns if c not in ("__h1", "__h2")]
-    groups = full.join(again, ["__h1", "__h2"], "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    zero = F.lit(0).cast("long")
-    parts = hashed.select(F.col("__n").alias("rows"), zero.alias("duplicate_rows")).union(
-        groups.select(zero, F.col("__n") - 1))
-    return parts.agg(*[F.coalesce(F.sum(c), zero).cast("long").alias(c) for c in ("rows", "duplicate_rows")])
+    """One row ``(rows, duplicate_rows)``; nulls (and NaNs) compare equal."""
+    return row_summary(df).select("rows", "duplicate_rows")
 
 
 def check_duplicates(df: DataFrame, table: str) -> DataFrame:
@@ -251,7 +212,7 @@ def detect_ranked(
     table: str,
     *,
     method: str = "exact",
-    accuracy: int = 10000,
+    accuracy: int = SKETCH_K,
     keep_summaries: bool = True,
     checks: tuple[str, ...] = ("nulls", "duplicates", "outliers", "zero_variance"),
 ) -> DataFrame:
@@ -271,8 +232,6 @@ def detect_ranked(
                 df,
                 distinct=None,
                 sample=False,
-                sketch_probs=QUARTILES if ("outliers" in checks and method == "exact") else None,
-                sketch_sample=SKETCH_SAMPLE,
             )
             stats = _materialize(stats, keep_summaries)
         if "nulls" in checks:
@@ -281,8 +240,7 @@ def detect_ranked(
             parts.append(dup_future.result() if dup_future else check_duplicates(df, table))
         if "outliers" in checks and num:
             if method == "exact":
-                q = exact_quantiles_checked(df, stats, num, QUARTILES,
-                                            sketch_sample=SKETCH_SAMPLE)
+                q = exact_quantiles(df, num, QUARTILES)
             elif method == "approx":
                 q = _materialize(approx_quantiles(df, num, QUARTILES, accuracy), keep_summaries)
             else:

@@ -16,8 +16,10 @@ from tablelens.functions.columns import (
     is_missing,
     normalized,
     numeric_columns,
+    qcol,
 )
-from tablelens.operators.stats import DISTINCT_GROUP, column_stats, groupable_columns
+from tablelens.operators.rows import row_summary
+from tablelens.operators.stats import DISTINCT_GROUP, column_stats, distinct_key_sql
 
 PROFILE_FIELDS = (
     "column string, type string, non_null bigint, null_pct double, unique bigint, "
@@ -26,26 +28,12 @@ PROFILE_FIELDS = (
 
 
 def table_overview(df: DataFrame) -> DataFrame:
-    """One row: ``rows, columns, null_cells, duplicate_rows`` (T1) in one scan.
-
-    Rows are grouped by all columns once (partial aggregation collapses
-    repeated rows map-side); rows, distinct rows and null cells all follow
-    from the grouped counts, because equal rows have equal null cells.
-    """
+    """One row: ``rows, columns, null_cells, duplicate_rows`` (T1), by row
+    hashes; only rows whose hash repeats are compared in full."""
     n_cols = len(df.columns)
     if n_cols == 0:
         return local_frame(df.sparkSession, [], "rows bigint, columns int, null_cells bigint, duplicate_rows bigint")
-    keys = groupable_columns(df)
-    grouped = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    nulls_in_row = sum(
-        (F.col(f"`{f.name}`").isNull().cast("long") for f in df.schema.fields), F.lit(0).cast("long")
-    )
-    return grouped.agg(
-        F.coalesce(F.sum("__n"), F.lit(0)).cast("long").alias("rows"),
-        F.lit(n_cols).alias("columns"),
-        F.coalesce(F.sum(F.col("__n") * nulls_in_row), F.lit(0)).cast("long").alias("null_cells"),
-        (F.coalesce(F.sum("__n"), F.lit(0)) - F.count(F.lit(1))).cast("long").alias("duplicate_rows"),
-    )
+    return row_summary(df).select("rows", F.lit(n_cols).alias("columns"), "null_cells", "duplicate_rows")
 
 
 def profile_table(
@@ -98,12 +86,12 @@ def distinct_counts(df: DataFrame, exact: bool = True) -> DataFrame:
     if not exact:
         return df.agg(*[F.approx_count_distinct(groupable(df, c)).alias(c) for c in df.columns])
     # groups of columns, as in column_stats: an expanded row has a slot a column
-    parts = [df.agg(*[F.count_distinct(groupable(df, c)).alias(c) for c in df.columns[a:a + DISTINCT_GROUP]])
-             for a in range(0, len(df.columns), DISTINCT_GROUP)]
-    out = parts[0]
-    for part in parts[1:]:  # one row each
-        out = out.join(F.broadcast(part))
-    return out
+    out = None
+    for a in range(0, len(df.columns), DISTINCT_GROUP):
+        part = df.agg(*[F.expr(f"count(DISTINCT {distinct_key_sql(df, c)})").alias(c) if c in df.columns[a:a + DISTINCT_GROUP]
+                        else F.lit(None).cast("bigint").alias(c) for c in df.columns])
+        out = part if out is None else out.unionByName(part)
+    return out.agg(*[F.max(qcol(c)).alias(c) for c in df.columns])  # one row a group
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -1,302 +1,67 @@
 """Quantiles of many numeric columns: exact (interpolated) and approximate.
 
-Exact quantiles without holding a column in one task
-----------------------------------------------------
-Spark's built-in exact ``percentile`` keeps a value -> count map of the whole
-column in one aggregation buffer, which does not survive a high-cardinality
-column at scale.  ``exact_quantiles`` instead uses two passes:
-
-1. (in ``column_stats``) a KLL sketch, merged in two levels, over all rows (or
-   a seeded sample of them), evaluated at ``p -/+ m`` for a ladder of
-   margins ``m``.  Once the column size n is known, the narrowest margin that
-   covers twice the sketch error (and six standard deviations of the sampling
-   error)
-   gives a bracket that holds the exact ranks.  Columns of at most
-   ``rank_partition_rows`` values simply use ``[min, max]``.
-2. one scan with one grouped aggregate whose key is, per column and
-   probability, the value if it falls inside the bracket (else null), and
-   whose aggregates count the values below each bracket; nearly all rows
-   share the all-null key and collapse in the map-side partial aggregate.
-   A running sum over the bracket values then gives their exact ranks, and
-   the two values around ``h = (n - 1) * p`` are interpolated linearly (the
-   same rule as DuckDB ``quantile_cont`` and pandas ``quantile``).
-
-Up to ``rank_partition_rows`` bracket values are ranked in one window
-partition per column; above that the bracket is cut into equi-width buckets
-ranked in parallel and shifted by the counts of the preceding buckets, so no
-task holds more than about ``rank_partition_rows`` values at any scale.
-``bracket_ok`` checks that the ranks really were inside the bracket;
-``exact_quantiles_checked`` recomputes any column that missed with the
-``[min, max]`` bracket, so the result is always exact.
+``exact_quantiles`` finds order statistics by radix selection
+(``operators/selection.py``): two to four scans of the numeric columns, in
+which only counts are shuffled, at most 65 536 a task and target.  The two
+values around ``h = (n - 1) * p`` are interpolated linearly (the same rule as
+DuckDB ``quantile_cont`` and pandas ``quantile``).
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.functions.columns import normalized, normalized_sql, sql_double
-from tablelens.operators.stats import SKETCH_ERROR, SKETCH_MARGINS
+from tablelens.functions.columns import normalized_sql
+from tablelens.operators.selection import interpolated
 from tablelens.session import local_frame
 
-QUANTILE_FIELDS = "pos int, column string, n bigint, q array<double>, bracket_ok boolean"
-# Numeric columns per grouped aggregate of the exact pass.
-QUANTILE_GROUP = 8
+QUANTILE_FIELDS = "pos int, column string, n bigint, q array<double>"
+# Groups in which the tasks' sketches are merged before the last merge, and
+# columns of one such aggregate.
+SKETCH_GROUPS = 64
+SKETCH_COLUMNS = 16
+# KLL sketches of size k have a rank error of about 2.3 / k ** 0.9.
+SKETCH_K = 4000
 
 
-def approx_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int = 10000
-) -> DataFrame:
-    """One aggregate: ``percentile_approx`` per column."""
-    cols = list(columns)
-    if not cols:
-        return local_frame(df.sparkSession, [], QUANTILE_FIELDS)
-    structs = []
-    for i, name in enumerate(cols):
-        d = normalized(df, name).cast("double")
-        structs.append(
-            F.struct(
-                F.lit(i).cast("int").alias("pos"),
-                F.lit(name).alias("column"),
-                F.count(d).alias("n"),
-                F.percentile_approx(d, list(probs), accuracy).cast("array<double>").alias("q"),
-                F.lit(True).alias("bracket_ok"),
-            )
-        )
-    return df.agg(F.array(*structs).alias("__a")).select(F.inline("__a"))
+def rank_error(k: int = SKETCH_K) -> float:
+    """Bound on a KLL sketch's error, as a share of the values."""
+    return 2.3 / k ** 0.9
 
 
-def exact_quantiles(
-    df: DataFrame,
-    stats: DataFrame,
-    columns: Sequence[str],
-    probs: Sequence[float],
-    rank_partition_rows: int = 250_000,
-    sketch_sample: float = 1.0,
-    margin_sigmas: float = 6.0,
-    full_range: Sequence[str] = (),
-) -> DataFrame:
-    """Exact interpolated quantiles of the numeric ``columns``.
+def approx_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], k: int = SKETCH_K) -> DataFrame:
+    """Quantiles from KLL sketches (A9): true ranks are within ``rank_error(k)``.
 
-    ``stats`` is the (small, preferably local) output of ``column_stats``
-    computed with ``sketch_probs=probs`` and the same ``sketch_sample``; it must contain a row for each of ``columns``.
-    Columns of at most ``rank_partition_rows`` values, those in
-    ``full_range``, and those whose sketch cannot give a narrow enough
-    bracket use ``[min, max]``.  Output: ``QUANTILE_FIELDS``; check
-    ``bracket_ok`` (``exact_quantiles_checked`` does and repairs).
+    Sketches (some 15 bytes a ``k``) are merged in two levels, the tasks' into
+    groups and one per group at last, for ``SKETCH_COLUMNS`` columns at a time,
+    so no task merges the sketches of all tasks or of all columns.
     """
-    probs = [float(p) for p in probs]
-    spark = df.sparkSession
     cols = list(columns)
-    if not cols:
-        return local_frame(spark, [], QUANTILE_FIELDS)
-    mine = stats.filter(F.col("column").isin(cols))
-
-    # Bracket bounds: a few numbers per column (bounded by the schema, not by
-    # the data) are fetched from the small stats frame and inlined as
-    # literals, which keeps the scan below inside whole-stage codegen.
-    info = {
-        r["column"]: r
-        for r in mine.select("column", "non_null", "min", "max", "sketch").collect()
-    }
-    projected = df.select(
-        *[F.expr(f"CAST({normalized_sql(df, name)} AS DOUBLE)").alias(f"__c{k}") for k, name in enumerate(cols)]
-    )
-
-    forced = set(full_range)
-    n_margins = len(SKETCH_MARGINS)
-
-    def rung(name: str, j: int) -> int | None:
-        """Index of the narrowest safe sketch margin, or None for [min, max]."""
-        r = info.get(name)
-        n = r["non_null"] if r is not None else 0
-        if not n or name in forced or n <= rank_partition_rows or r["sketch"] is None:
-            return None
-        p = probs[j]
-        sampling = margin_sigmas * math.sqrt(p * (1 - p) / (n * sketch_sample)) if sketch_sample < 1 else 0.0
-        need = sampling + 2 * SKETCH_ERROR + 2.0 / n
-        return next((i for i, m in enumerate(SKETCH_MARGINS) if m >= need), None)
-
-    def bracket(name: str, j: int) -> tuple[float | None, float | None]:
-        r = info.get(name)
-        if r is None or not r["non_null"]:
-            return None, None
-        i = rung(name, j)
-        if i is None:
-            return r["min"], r["max"]
-        base = 2 * (j * n_margins + i)
-        return r["sketch"][base], r["sketch"][base + 1]
-
-    def expected_size(name: str, j: int) -> int:
-        r = info.get(name)
-        n = int(r["non_null"]) if r is not None and r["non_null"] else 0
-        i = rung(name, j)
-        if i is None:
-            return n
-        return int((2 * SKETCH_MARGINS[i] + 2 * SKETCH_ERROR) * n) + 2
-
-    # One codegen'd grouped aggregate over the scan: the key holds, per
-    # (column, p), the value if it lies inside the bracket, else null; the
-    # aggregates count rows and values below each bracket.  Almost every row
-    # has the all-null key, which the partial aggregate collapses map-side,
-    # so only bracket values (twice the margin and the sketch error of them) are shuffled.  Wide
-    # tables are split into groups of QUANTILE_GROUP columns (a union of
-    # independent aggregates over disjoint columns), so the share of rows
-    # with some value inside some bracket stays small.
-    kj = [(k, j) for k in range(len(cols)) for j in range(len(probs))]
-    names = F.array(*[F.lit(n) for n in cols])
-
-    def group_counts(ks: list[int]) -> DataFrame:
-        gkj = [(k, j) for k, j in kj if k in ks]
-        keys, below_aggs = [], []
-        for k, j in gkj:
-            c = f"__c{k}"
-            lo, hi = bracket(cols[k], j)
-            if lo is None:
-                keys.append(F.expr("CAST(NULL AS DOUBLE)").alias(f"v_{k}_{j}"))
-                below_aggs.append(F.expr("CAST(0 AS BIGINT)").alias(f"b_{k}_{j}"))
-                continue
-            keys.append(
-                F.expr(f"CASE WHEN {c} >= {sql_double(lo)} AND {c} <= {sql_double(hi)} THEN {c} END")
-                .alias(f"v_{k}_{j}")
-            )
-            below_aggs.append(F.expr(f"count_if({c} < {sql_double(lo)})").alias(f"b_{k}_{j}"))
-        grouped = projected.select(*[f"__c{k}" for k in ks]).groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("cnt"), *below_aggs)
-        # small from here on: unpivot to (column, j, v, cnt); v = null
-        # carries the count below the bracket
-        entries = []
-        for k, j in gkj:
-            entries.append(
-                f"CASE WHEN v_{k}_{j} IS NOT NULL THEN named_struct('k', {k}, 'j', {j}, 'v', v_{k}_{j}, 'cnt', cnt) END"
-            )
-            entries.append(
-                f"CASE WHEN b_{k}_{j} > 0 THEN named_struct('k', {k}, 'j', {j}, 'v', CAST(NULL AS DOUBLE), "
-                f"'cnt', b_{k}_{j}) END"
-            )
-        return grouped.select(F.expr(f"explode(array({', '.join(entries)}))").alias("m"))
-
-    ks_all = list(range(len(cols)))
-    exploded = None
-    for a in range(0, len(ks_all), QUANTILE_GROUP):
-        part = group_counts(ks_all[a:a + QUANTILE_GROUP])
-        exploded = part if exploded is None else exploded.unionByName(part)
-    counts = (
-        exploded.filter(F.col("m").isNotNull())
-        .groupBy("m.k", "m.j", "m.v")
-        .agg(F.sum("m.cnt").alias("cnt"))
-        .select(names[F.col("k")].alias("column"), "j", "v", "cnt")
-    )
-
-    # one row per column: bounded by the schema, safe to broadcast
-    n_by_col = F.broadcast(mine.select("column", F.col("non_null").alias("n")))
-    probs_arr = F.array(*[F.lit(p) for p in probs])
-
-    # Ranks inside the brackets.  The GK guarantee bounds a bracket to about
-    # twice the margin of the values; when that exceeds ``rank_partition_rows`` the
-    # bracket is cut into equi-width buckets, each ranked in its own window
-    # partition and shifted by the counts of the buckets before it.
-    params = []
-    for k, j in kj:
-        lo, hi = bracket(cols[k], j)
-        expected = expected_size(cols[k], j)
-        nb = max(1, -(-expected // int(rank_partition_rows)))
-        params.append((cols[k], j, lo, hi, nb))
-    if max(p[4] for p in params) == 1:
-        w = Window.partitionBy("column", "j").orderBy(F.col("v").asc_nulls_first()).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
-        )
-        with_cum = counts.withColumn("cum", F.sum("cnt").over(w))
-    else:
-        from tablelens.session import materialize
-
-        counts = materialize(counts)  # read twice below; written once
-        pf = F.broadcast(local_frame(spark, 
-            params, "column string, j int, lo double, hi double, nb int"))
-        v = F.col("v")
-        bucket = (
-            F.when(v.isNull(), F.lit(-1))
-            .when((F.col("nb") == 1) | (F.col("hi") <= F.col("lo")), F.lit(0))
-            .otherwise(F.least(F.floor((v - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("nb")),
-                               F.col("nb") - 1).cast("int"))
-        )
-        cb = counts.join(pf, ["column", "j"]).withColumn("bucket", bucket).select(
-            "column", "j", "v", "cnt", "bucket")
-        w_local = Window.partitionBy("column", "j", "bucket").orderBy("v").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
-        )
-        # one row per bucket: at most rank-partition-sized many per column
-        totals = cb.groupBy("column", "j", "bucket").agg(F.sum("cnt").alias("btot"))
-        w_prefix = Window.partitionBy("column", "j").orderBy("bucket").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
-        )
-        offsets = totals.withColumn("prefix", F.sum("btot").over(w_prefix) - F.col("btot")).drop("btot")
-        with_cum = (
-            cb.withColumn("cum_local", F.sum("cnt").over(w_local))
-            .join(F.broadcast(offsets), ["column", "j", "bucket"])
-            .withColumn("cum", F.col("cum_local") + F.col("prefix"))
-            .select("column", "j", "v", "cnt", "cum")
-        )
-    ranked = (
-        with_cum.join(n_by_col, "column")
-        .withColumn("h", (F.col("n") - 1) * probs_arr[F.col("j")])
-        .withColumn("r_lo", F.floor("h"))
-        .withColumn("r_hi", F.least(F.col("r_lo") + 1, F.col("n") - 1))
-    )
-    vnn = F.col("v").isNotNull()
-    # grouped on the window's own keys, so the window's partitioning is reused
-    per_p = ranked.groupBy("column", "j").agg(
-        F.first("n").alias("n"), F.first("h").alias("h"),
-        F.first("r_lo").alias("r_lo"), F.first("r_hi").alias("r_hi"),
-        F.min(F.when(vnn & (F.col("cum") > F.col("r_lo")), F.col("v"))).alias("v_lo"),
-        F.min(F.when(vnn & (F.col("cum") > F.col("r_hi")), F.col("v"))).alias("v_hi"),
-        F.coalesce(F.sum(F.when(~vnn, F.col("cnt"))), F.lit(0)).alias("below"),
-        F.coalesce(F.sum(F.when(vnn, F.col("cnt"))), F.lit(0)).alias("inside"),
-    )
-    per_p = per_p.select(
-        "column",
-        "j",
-        # an integral position is the value itself (no 0 * inf for infinite values)
-        F.when(F.col("h") == F.col("r_lo"), F.col("v_lo"))
-        .otherwise(F.col("v_lo") + (F.col("h") - F.col("r_lo")) * (F.col("v_hi") - F.col("v_lo")))
-        .alias("q"),
-        ((F.col("below") <= F.col("r_lo")) & (F.col("below") + F.col("inside") > F.col("r_hi")))
-        .alias("ok"),
-    )
-    per_col = per_p.groupBy("column").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("j", "q"))), lambda x: x["q"]).alias("q"),
-        F.bool_and("ok").alias("bracket_ok"),
-    )
-    base = mine.select("pos", "column", F.col("non_null").alias("n"))
-    return base.join(per_col, "column", "left").select(
-        "pos", "column", "n", "q",
-        F.coalesce(F.col("bracket_ok"), F.col("n") == 0).alias("bracket_ok"),
-    )
-
-
-def exact_quantiles_checked(
-    df: DataFrame,
-    stats: DataFrame,
-    columns: Sequence[str],
-    probs: Sequence[float],
-    **kw,
-) -> DataFrame:
-    """``exact_quantiles`` with its bracket check enforced.
-
-    The result (one row per column) is computed once and kept as a local
-    relation; a column whose exact ranks fell outside its sketched bracket
-    (possible only through sampling, with probability of a six-sigma event)
-    is computed again with the ``[min, max]`` bracket, which is always exact.
-    """
-    q = exact_quantiles(df, stats, columns, probs, **kw)
-    rows = q.collect()
-    bad = [r["column"] for r in rows if not r["bracket_ok"]]
-    if bad:
-        kw = dict(kw)
-        kw["full_range"] = tuple(bad)
-        redo = {r["column"]: r for r in exact_quantiles(df, stats, bad, probs, **kw).collect()}
-        rows = [redo.get(r["column"], r) for r in rows]
+    plist = ", ".join(f"{float(p)!r}D" for p in probs)
+    out = None
+    for a in range(0, len(cols), SKETCH_COLUMNS):
+        part = list(enumerate(cols))[a:a + SKETCH_COLUMNS]
+        merged = (
+            df.groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("__group"))
+            .agg(*[F.expr(f"kll_sketch_agg_double(CAST({normalized_sql(df, c)} AS DOUBLE), {k})").alias(f"k{i}") for i, c in part])
+            .agg(*[F.expr(f"kll_merge_agg_double(k{i}, {k})").alias(f"k{i}") for i, _ in part]))
+        n = lambda i: f"coalesce(kll_sketch_get_n_double(k{i}), 0)"
+        items = [F.struct(
+            F.lit(df.columns.index(c)).alias("pos"), F.lit(c).alias("column"), F.expr(n(i)).cast("long").alias("n"),
+            F.expr(f"CASE WHEN {n(i)} > 0 THEN kll_sketch_get_quantile_double(k{i}, array({plist})) END").alias("q"))
+            for i, c in part]
+        rows = merged.select(F.inline(F.array(*items)))
+        out = rows if out is None else out.unionByName(rows)
+    return local_frame(df.sparkSession, [], QUANTILE_FIELDS) if out is None else out
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Exact interpolated quantiles of the numeric ``columns``: one row per
+    column, in a local relation (``q`` is null for a column without values)."""
+    cols = list(columns)
+    found = interpolated(df, [f"CAST({normalized_sql(df, c)} AS DOUBLE)" for c in cols], [float(p) for p in probs])
+    rows = [(df.columns.index(c), c, n, q) for c, (n, q) in zip(cols, found)]
     return local_frame(df.sparkSession, rows, QUANTILE_FIELDS)

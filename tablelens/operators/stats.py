@@ -2,8 +2,8 @@
 
 ``column_stats`` computes, for every column of a table, in one aggregate
 over one scan (plus a second one for exact distinct counts): row count, non-null count (NaN counts as missing, rule N1),
-exact or approximate distinct count, a sample value, numeric min / max /
-mean, and optionally a quantile sketch.  The wide one-row aggregate is then
+exact or approximate distinct count, a sample value and numeric min / max /
+mean.  The wide one-row aggregate is then
 unpivoted with ``inline(array(struct...))`` to one row per column, so the
 output size is bounded by the number of columns, never by the data.
 
@@ -12,8 +12,9 @@ Scale notes
   buffer per column, merged map-side: no shuffle of data at all.
 * Exact distinct counts are a second aggregate over the same columns,
   planned by Catalyst with one ``Expand`` branch per column and a partial
-  hash aggregate on ``(branch, value)`` before the shuffle, so repeated
-  values (even one value in a third of all rows) collapse map-side.  ``distinct="approx"`` switches to HyperLogLog++
+  hash aggregate on ``(branch, key)`` before the shuffle, so repeated
+  values (even one value in a third of all rows) collapse map-side; the key
+  of a text or nested value is a 128-bit hash, never the value.  ``distinct="approx"`` switches to HyperLogLog++
   (no data shuffle) for very wide tables.
 """
 
@@ -31,7 +32,7 @@ from tablelens.functions.columns import is_numeric_type, normalized, qcol
 STATS_FIELDS = (
     "pos int, column string, type string, rows bigint, non_null bigint, "
     "unique bigint, sample_value string, min double, max double, mean double, "
-    "min_text string, constant boolean, sketch array<double>"
+    "min_text string, constant boolean"
 )
 
 
@@ -65,51 +66,10 @@ def groupable_columns(df: DataFrame) -> list[Column]:
     return [groupable(df, f.name).alias(f.name) for f in df.schema.fields]
 
 
-# Distances from each target probability at which the quantile
-# sketch is evaluated; the exact pass picks the smallest one that covers the
-# sampling and sketch error for the column's size.
-SKETCH_MARGINS = (0.0005, 0.001, 0.002, 0.004, 0.008, 0.016, 0.032, 0.064)
-# Size of the quantile sketches (about 56 kB, rank error about 0.13 %) and the
-# number of groups in which the tasks' sketches are merged first.
-SKETCH_K = 4000
-SKETCH_ERROR = 2.3 / SKETCH_K ** 0.9
-SKETCH_BUCKETS = 256
 # Columns per exact distinct-count aggregate.
 DISTINCT_GROUP = 16
 
 
-def _sketch_probs(probs: Sequence[float]) -> list[float]:
-    """``p - m``, ``p + m`` for every target ``p`` and margin ``m``."""
-    out = []
-    for p in probs:
-        for m in SKETCH_MARGINS:
-            out.append(max(0.0, p - m))
-            out.append(min(1.0, p + m))
-    return out
-
-
-def _sketches(df: DataFrame, numeric: Sequence[tuple[int, str]], probs: Sequence[float], sampled: bool) -> DataFrame:
-    """(pos, __q): the values of each numeric column at ``probs``, from KLL
-    sketches merged in two levels: the tasks' sketches in ``SKETCH_BUCKETS``
-    groups, then one per group, so no task merges the sketches of all tasks."""
-    from tablelens.functions.columns import normalized_sql
-
-    def source(name):
-        d = f"CAST({normalized_sql(df, name)} AS DOUBLE)"
-        return f"CASE WHEN __sketch_row THEN {d} END" if sampled else d
-
-    merged = (
-        df.groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCH_BUCKETS)).alias("__bucket"))
-        .agg(*[F.expr(f"kll_sketch_agg_double({source(n)}, {SKETCH_K})").alias(f"__k{i}") for i, n in numeric])
-        .agg(*[F.expr(f"kll_merge_agg_double(__k{i}, {SKETCH_K})").alias(f"__k{i}") for i, _ in numeric])
-    )
-    plist = ", ".join(f"{float(p)!r}D" for p in probs)
-    items = ", ".join(
-        f"named_struct('pos', {i}, '__q', CASE WHEN kll_sketch_get_n_double(__k{i}) > 0 THEN "
-        f"kll_sketch_get_quantile_double(__k{i}, array({plist})) END)" for i, _ in numeric)
-    return merged.selectExpr(f"inline(array({items}))")
-
-
 def groupable_sql(df: DataFrame, name: str) -> str:
     """SQL text of ``groupable``."""
     from tablelens.functions.columns import normalized_sql, sql_ident
@@ -121,6 +81,20 @@ def groupable_sql(df: DataFrame, name: str) -> str:
     return normalized_sql(df, name)
 
 
+def distinct_key_sql(df: DataFrame, name: str) -> str:
+    """SQL text of what ``count(DISTINCT ...)`` tells values apart by: fixed-size
+    types by value, texts and nested values by two 64-bit hashes (one wrong
+    merge is expected in 10 ** 19 distinct values), so no text is shuffled."""
+    dt = df.schema[name].dataType
+    c = groupable_sql(df, name)
+    if not isinstance(dt, (T.StringType, T.BinaryType, T.ArrayType, T.StructType)) and not _contains_map(dt):
+        return c
+    text = c
+    if isinstance(dt, (T.ArrayType, T.StructType)) and not _contains_map(dt):  # hashes skip nulls inside
+        text = f"to_json(named_struct('v', {c}), map('ignoreNullFields', 'false'))"
+    return ", ".join(f"CASE WHEN {c} IS NOT NULL THEN xxhash64({salt}{text}) END" for salt in ("", "1, "))
+
+
 def column_stats(
     df: DataFrame,
     *,
@@ -128,9 +102,6 @@ def column_stats(
     distinct: str | None = "exact",
     sample: bool = True,
     order_by: str | Sequence[str] | None = None,
-    sketch_probs: Sequence[float] | None = None,
-    sketch_sample: float = 1.0,
-    sketch_seed: int = 17,
     rsd: float = 0.01,
 ) -> DataFrame:
     """One row per column with the fields of ``STATS_FIELDS``.
@@ -138,9 +109,6 @@ def column_stats(
     ``distinct``: ``"exact"``, ``"approx"`` or ``None`` (skip).
     ``order_by``: key column(s) giving "first" a meaning for ``sample_value``;
     without it the sample is any non-null value.
-    ``sketch_probs``: if given, numeric columns carry a quantile sketch at
-    ``p -/+ m`` for every margin of ``SKETCH_MARGINS``, built over a seeded
-    ``sketch_sample`` fraction of the rows, for the exact quantile pass.
 
     The per-column aggregates are written as SQL text (one expression per
     column), which keeps building the plan cheap for wide tables.
@@ -150,12 +118,6 @@ def column_stats(
     names = list(columns) if columns is not None else df.columns
     if not names:
         return local_frame(df.sparkSession, [], STATS_FIELDS)
-    probs = _sketch_probs(sketch_probs) if sketch_probs else None
-    sampled = bool(probs) and sketch_sample < 1.0
-    if sampled:
-        # one seeded draw per row (repeatable on task retry: same partition,
-        # same seed, same row order)
-        df = df.withColumn("__sketch_row", F.rand(int(sketch_seed)) < F.lit(float(sketch_sample)))
     texts = []
     for i, name in enumerate(names):
         f = df.schema[name]
@@ -188,16 +150,11 @@ def column_stats(
             f"'type', {sql_str(f.dataType.simpleString())}, 'rows', count(1), "
             f"'non_null', count({c}), 'unique', CAST({uniq} AS BIGINT), 'sample_value', {samp}, "
             f"'min', {mn}, 'max', {mx}, 'mean', {mean}, 'min_text', {mn_text}, "
-            f"'constant', {constant}, 'sketch', CAST(NULL AS ARRAY<DOUBLE>))"
+            f"'constant', {constant})"
         )
     wide = df.agg(*[F.expr(t).alias(f"__s{i}") for i, t in enumerate(texts)])
     out = wide.selectExpr(f"inline(array({', '.join(f'__s{i}' for i in range(len(names)))}))")
     fields = [f.split()[0] for f in STATS_FIELDS.split(", ")]
-    numeric = [(i, n) for i, n in enumerate(names) if is_numeric_type(df.schema[n].dataType)]
-    if probs and numeric:
-        sketches = _sketches(df, numeric, probs, sampled)
-        out = out.join(F.broadcast(sketches), "pos", "left").select(  # one row per column on both sides
-            *[F.col("__q").alias("sketch") if f == "sketch" else F.col(f) for f in fields])
     if distinct != "exact":
         return out
     # Exact distinct counts run as their own aggregate: Catalyst expands each
@@ -212,7 +169,7 @@ def column_stats(
     dist = None
     for group in groups:
         items = ", ".join(
-            f"named_struct('pos', {i}, '__u', count(DISTINCT {groupable_sql(df, name)}))"
+            f"named_struct('pos', {i}, '__u', count(DISTINCT {distinct_key_sql(df, name)}))"
             for i, name in group
         )
         part = df.agg(F.expr(f"array({items})").alias("__d")).selectExpr("inline(__d)")

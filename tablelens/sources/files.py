@@ -3,9 +3,9 @@ and extension dispatch over several files (S1, S2, S5, S7).
 
 CSV follows RFC 4180: quotes inside quoted fields are doubled, quoted fields
 may hold line breaks, a record with more fields than the header is an error.
-One pass over the text lines looks for a line with an odd number of quotes;
-only then are the files read with multi-line records, which cannot be split
-(one task per file), so files without quoted line breaks stay splittable.
+One pass over the text lines looks for a line with an odd number of quotes and
+for the most separators outside quotes; only where quotes are odd are lines
+joined to records first (``csv_records``).  Files are read in splits either way.
 
 Type inference is one aggregate over the file: for every column it counts how
 many non-missing values have the form of each candidate type and survive
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablelens.functions.columns import qcol
+from tablelens.sources.csv_records import field_count, records
 
 # Text that counts as a missing value in CSV input (the
 # defaults of the pandas CSV reader).
@@ -43,7 +44,6 @@ FORMS = {
     "date": r"^\s*\d{4}-\d{1,2}-\d{1,2}\s*$",
     "timestamp": r"^\s*\d{4}-\d{1,2}-\d{1,2}(?:[ T]\d.*)?$",
 }
-SPARE_FIELDS = 16  # places for fields beyond the header, which must stay empty
 
 # File suffixes by kind.
 CSV_SUFFIXES = (".csv",)
@@ -116,10 +116,13 @@ def header_names(first: Sequence[str | None]) -> list[str]:
     return out
 
 
-def has_quoted_breaks(spark: SparkSession, path: str | list[str]) -> bool:
-    """Whether some line holds an odd number of quotes (one cheap pass)."""
-    quotes = F.char_length("value") - F.char_length(F.translate("value", '"', ""))
-    return bool(spark.read.text(path).where(quotes % 2 == 1).take(1))
+def line_shape(spark: SparkSession, path: str | list[str], sep: str) -> tuple[bool, int]:
+    """Whether some line holds an odd number of quotes, and the most fields of
+    a line (one pass, one row)."""
+    value = F.col("value")
+    quotes = F.char_length(value) - F.char_length(F.translate(value, '"', ""))
+    odd, most = spark.read.text(path).agg(F.bool_or(quotes % 2 == 1), F.max(field_count(value, sep))).first()
+    return bool(odd), most or 0
 
 
 def read_csv(
@@ -135,20 +138,24 @@ def read_csv(
     Raises ``ValueError`` if a record has more fields than the header.
     """
     given = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "inferSchema": "false"} | options
-    if "multiLine" not in options:
-        given["multiLine"] = str(has_quoted_breaks(spark, path)).lower()
+    sep = given.get("sep", ",")
     some_file = [unquote(f) for f in sorted(spark.read.text(path).inputFiles())[:1]]  # they come as URIs
     if not some_file:
         return spark.createDataFrame([], schema or "`Unnamed: 0` double")
-    first = spark.read.options(**given, header="false").csv(some_file).first()
+    broken, most = line_shape(spark, path, sep)
+    first = spark.read.options(**given, header="false", multiLine=str(broken).lower()).csv(some_file).limit(1).first()
     names = header_names(list(first) if first else [])
     inner = [f"f{i}" for i in range(len(names))]
-    spare = [f"spare{i}" for i in range(SPARE_FIELDS)]
-    text = T.StructType([T.StructField(n, T.StringType()) for n in inner + spare])
-    raw = spark.read.options(**given, header="true", enforceSchema="true").schema(text).csv(path)
-    over = F.coalesce(*[F.col(c) for c in spare]).isNotNull()
-    if raw.where(over).take(1):
-        raise ValueError(f"a record of {path} has more than the header's {len(names)} fields")
+    text = T.StructType([T.StructField(n, T.StringType()) for n in inner])
+    if broken:
+        whole = records(spark, path, sep)
+        most = whole.agg(F.max(field_count(F.col("value"), sep))).first()[0] or 0
+        parsed = F.from_csv("value", ", ".join(f"{n} string" for n in inner), given)
+        raw = whole.select(parsed.alias("r")).select("r.*")
+    else:
+        raw = spark.read.options(**given, header="true", enforceSchema="true").schema(text).csv(path)
+    if most > len(names):
+        raise ValueError(f"a record of {path} has {most} fields, the header has {len(names)}")
     cleaned = raw.select(*[_missing_to_null(F.col(i), na_tokens).alias(n) for i, n in zip(inner, names)])
     if schema is not None:
         st = spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema

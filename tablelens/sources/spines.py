@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablelens.operators.selection import smallest
 from tablelens.functions.columns import qcol
 
 
@@ -63,9 +64,10 @@ def data_bounds(df: DataFrame, column: str) -> DataFrame:
 def sample_n(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> DataFrame:
     """``n`` rows without replacement, reproducible for a seed.
 
-    Rows are ranked by a seeded hash (md5 of the seed and the keys as text) and
-    the ``n`` smallest are kept; Spark plans this as a per-partition top-n plus
-    a merge, so no partition is sorted in full and only ``n`` rows per task move.
+    Rows are ordered by a seeded 64-bit hash of the keys as text, and the rank
+    threshold of the ``n``-th is found by radix selection, so the sample is a
+    filter: no rows are sorted and no task holds the sample, however large.
     """
-    h = F.md5(F.concat_ws("|", F.lit(str(int(seed))), *[qcol(k).cast("string") for k in keys]).cast("binary"))
-    return df.orderBy(h, *[qcol(k) for k in keys]).limit(int(n))
+    text = F.concat_ws("|", F.lit(str(int(seed))), *[qcol(k).cast("string") for k in keys])
+    h = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+    return smallest(df.withColumn("__h", h), "__h", int(n)).drop("__h")
