@@ -513,3 +513,46 @@ def q_zero_variance_large_keys(spark, sf_dir):
 def q_column_profile_orders_approx(spark, sf_dir):
     """T2 with HyperLogLog distinct counts (wide-table option; rows only)."""
     return profile.profile_table(ORDERS.df(spark, sf_dir), order_by="o_orderkey", exact=False)
+
+
+# -- order statistics -----------------------------------------------------------
+
+_QUANTILES = (0.0, 0.01, 0.25, 0.5, 0.9, 1.0)
+
+
+@register("quantile_large_keys", "\nunion all\n".join(
+    f"select '{c}' as column_name, {p!r}::double as p, quantile_cont({c}, {p!r})::double as q from ("
+    "select o_orderkey + 9007199254740993 as big, o_custkey * 1000003 as spread, "
+    "o_totalprice::double * case when o_orderkey % 3 = 0 then 1e200 else 1e-200 end as wide from orders)"
+    for c in ("big", "spread", "wide") for p in _QUANTILES))
+def q_quantile_large_keys(spark, sf_dir):
+    """Quantiles of keys above 2 ** 53 and of a column over 400 powers of ten."""
+    from tablelens.operators.quantiles import exact_quantiles
+
+    far = F.when(F.col("o_orderkey") % 3 == 0, F.lit(1e200)).otherwise(F.lit(1e-200))
+    df = table(spark, sf_dir, "orders").select(
+        (F.col("o_orderkey") + F.lit(9007199254740993)).alias("big"), (F.col("o_custkey") * 1000003).alias("spread"),
+        (F.col("o_totalprice").cast("double") * far).alias("wide"))
+    each = F.posexplode(F.arrays_zip(F.array(*[F.lit(p) for p in _QUANTILES]).alias("p"), F.col("q")))
+    return exact_quantiles(df, df.columns, _QUANTILES).select(F.col("column").alias("column_name"), each.alias("j", "r")).select(
+        "column_name", F.col("r.p").alias("p"), F.col("r.q").alias("q"))
+
+
+@register("approx_quantile_ranks", "\nunion all\n".join(
+    f"select '{c}' as column_name, {p!r}::double as p, count({c}) as n, true as within_error from lineitem"
+    for c in ("l_quantity", "l_extendedprice", "l_discount") for p in (0.25, 0.75)))
+def q_approx_quantile_ranks(spark, sf_dir):
+    """The true ranks of sketched quartiles lie within the stated error of
+    the aim (the share of values below, and up to, the quartile)."""
+    from tablelens.operators.quantiles import approx_quantiles, rank_error
+
+    columns, probs = ["l_quantity", "l_extendedprice", "l_discount"], [0.25, 0.75]
+    df = table(spark, sf_dir, "lineitem").select(*columns)
+    found = {r["column"]: r["q"] for r in approx_quantiles(df, columns, probs).collect()}  # a row a column
+    error = rank_error()
+    items = [F.struct(
+        F.lit(c).alias("column_name"), F.lit(p).alias("p"), F.count(c).alias("n"),
+        ((F.count_if(F.col(c) < F.lit(q)) <= (p + error) * F.count(c))
+         & (F.count_if(F.col(c) <= F.lit(q)) >= (p - error) * F.count(c))).alias("within_error"))
+        for c in columns for p, q in zip(probs, found[c])]
+    return df.agg(F.array(*items).alias("a")).select(F.inline("a"))

@@ -127,15 +127,14 @@ def q_stream_event_anomalies(spark, sf_dir):
     return read_reports(spark, report)
 
 
-def _ingest(spark, sf_dir):
+def _ingest(spark, sf_dir, buckets=None):
     from tablelens.sources import catalog
 
     base = _scratch(spark, "lake")
-    db = "tablelens_lake"
+    db = f"tablelens_lake_{uuid.uuid4().hex[:12]}"  # runs at the same time do not meet
     names = catalog.ingest(
         spark, {"orders": table(spark, sf_dir, "orders"), "Order Items": table(spark, sf_dir, "lineitem")},
-        base, db,
-    )
+        base, db, buckets=buckets)
     return db, names
 
 
@@ -154,6 +153,52 @@ def q_lake_revenue(spark, sf_dir):
     )
 
 
+@register(
+    "lake_revenue_bucketed",
+    "select o_orderstatus, count(*) as lines, round(sum(l_extendedprice), 2) as revenue "
+    "from orders o join lineitem l on o.o_orderkey = l.l_orderkey group by 1",
+)
+def q_lake_revenue_bucketed(spark, sf_dir):
+    """S16 with J1: both tables stored in buckets of the order key, joined
+    where they lie (no exchange below the join)."""
+    db, _ = _ingest(spark, sf_dir, {"orders": (8, ["o_orderkey"]), "Order Items": (8, ["l_orderkey"])})
+    return spark.sql(
+        f"select /*+ merge(o, l) */ o_orderstatus, count(*) as lines, round(sum(l_extendedprice), 2) as revenue "
+        f"from {db}.orders o join {db}.order_items l on o.o_orderkey = l.l_orderkey group by 1"
+    )
+
+
+@register(
+    "lake_replaced",
+    "select o_orderpriority, count(*) as orders, round(sum(o_totalprice), 2) as total from orders "
+    "where o_orderstatus = 'F' group by 1",
+)
+def q_lake_replaced(spark, sf_dir):
+    """A stored table replaced by some of its own rows, then read."""
+    from tablelens.sources import catalog
+
+    base = _scratch(spark, "lake")
+    catalog.write_lake(table(spark, sf_dir, "orders"), base, "orders")
+    mine = catalog.read_lake(spark, base, "orders").where(F.col("o_orderstatus") == "F")
+    catalog.write_lake(mine, base, "orders")  # reads the old version while it writes the new one
+    return catalog.read_lake(spark, base, "orders").groupBy("o_orderpriority").agg(
+        F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@register("csv_broken_lines",
+          "select conv_id, turn, role, text || chr(10) || '\"' || role || '\", said' as text from conversations "
+          "where text is not null")
+def q_csv_broken_lines(spark, sf_dir):
+    """One large CSV file whose every record holds a quoted line break."""
+    said = table(spark, sf_dir, "conversations").where("text is not null").select(
+        "conv_id", "turn", "role", F.concat("text", F.lit('\n"'), "role", F.lit('", said')).alias("text"))
+    path = _scratch(spark, "csv") + "/said.csv"
+    said.coalesce(1).write.mode("overwrite").options(header="true", escape='"', ignoreLeadingWhiteSpace="false",
+                                                     ignoreTrailingWhiteSpace="false").csv(path)
+    kinds = said.schema  # types as they were; the reader infers BIGINT for whole numbers
+    return files.read_table(spark, path).select(*[F.col(f.name).cast(f.dataType) for f in kinds])
+
+
 @register(
     "lake_tables",
     "select 'order_items' as name, false as is_temporary, count(*) as \"rows\" from lineitem "

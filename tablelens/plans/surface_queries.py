@@ -358,3 +358,11 @@ def q_business_days(spark, sf_dir):
 def q_sample_orders(spark, sf_dir):
     """100 orders, reproducible for the seed."""
     return spines.sample_n(table(spark, sf_dir, "orders"), ["o_orderkey"], 100, seed=42)
+
+
+@register("sample_orders_half",
+          "select * from orders order by md5('7|' || o_orderkey), o_orderkey limit (select count(*) // 2 from orders)")
+def q_sample_orders_half(spark, sf_dir):
+    """Half of all orders; a filter below a rank threshold, nothing is sorted."""
+    orders = table(spark, sf_dir, "orders")
+    return spines.sample_n(orders, ["o_orderkey"], orders.count() // 2, seed=7)

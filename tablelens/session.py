@@ -132,7 +132,8 @@ def _tables_read(frames) -> set[str]:
     return {m[0] for df in frames for f in df.inputFiles() for m in [re.search(r"mat-[0-9a-f]{32}", f)] if m}
 
 
-def _remove(spark: SparkSession, paths: list[str]) -> None:
+def remove_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders on whatever file system they are."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
@@ -160,7 +161,7 @@ def tidied(fn, left: list[str] | None = None):
             scopes[-1].extend(kept)
         elif left is not None:
             left.extend(kept)
-        _remove(out.sparkSession, [p for p in written if p not in kept])
+        remove_paths(out.sparkSession, [p for p in written if p not in kept])
         return out
 
     return run
@@ -171,7 +172,7 @@ def sweep(spark: SparkSession, left: list[str], *wanted: DataFrame) -> None:
     caller that has written every other result elsewhere."""
     used = _tables_read(wanted) if left else set()
     gone = [p for p in left if os.path.basename(p) not in used]
-    _remove(spark, gone)
+    remove_paths(spark, gone)
     left[:] = [p for p in left if p not in gone]
 
 

@@ -90,3 +90,46 @@ def test_ingest_and_read_lake(spark, tmpdir_local):
     assert catalog.read_lake(spark, os.path.join(tmpdir_local, "lake"), "my_table").count() == 2
     catalog.ingest(spark, {"My Table": a.limit(1)}, os.path.join(tmpdir_local, "lake"), "test_lake_db")
     assert spark.table("test_lake_db.my_table").count() == 1  # overwritten, not appended
+
+
+def test_a_failed_replace_leaves_the_old_rows(spark, tmpdir_local):
+    import pytest
+    from pyspark.sql import functions as F
+    from tablelens.sources import catalog
+
+    base = os.path.join(tmpdir_local, "lake2")
+    old = spark.range(100)
+    catalog.write_lake(old, base, "t")
+    reader = catalog.read_lake(spark, base, "t")
+    bad = spark.range(1000).repartition(8).select(
+        F.when(F.col("id") == 999, F.raise_error(F.lit("midway")).cast("bigint")).otherwise(F.col("id") + 1000).alias("id"))
+    with pytest.raises(Exception, match="midway"):
+        catalog.write_lake(bad, base, "t")
+    assert catalog.read_lake(spark, base, "t").agg(F.sum("id")).first()[0] == 4950
+    catalog.write_lake(spark.range(5), base, "t")
+    assert catalog.read_lake(spark, base, "t").count() == 5 and reader.count() == 100  # an earlier reader goes on
+    assert catalog.drop_old_versions(spark, base, "t") == []
+    assert len(catalog.drop_old_versions(spark, base, "t", keep_seconds=0)) == 1
+    assert catalog.read_lake(spark, base, "t").count() == 5
+
+
+def test_catalog_tables_change_by_location(spark, tmpdir_local):
+    from tablelens.sources import catalog
+
+    base, db = os.path.join(tmpdir_local, "lake3"), "test_swap_db"
+    a = spark.range(50).selectExpr("id as k", "id * 2 as v")
+    for n in (50, 20):
+        catalog.ingest(spark, {"t": a.limit(n), "b": a.limit(n)}, base, db, buckets={"b": (4, ["k"])})
+        assert spark.table(f"{db}.t").count() == n == spark.table(f"{db}.b").count()
+    catalog.ingest(spark, {"t": a.selectExpr("k", "cast(v as string) as v", "1 as more")}, base, db)
+    assert spark.table(f"{db}.t").columns == ["k", "v", "more"]
+    assert sorted(t.name for t in spark.catalog.listTables(db) if not t.isTemporary) == ["b", "t"]
+
+
+def test_bucketed_join_needs_no_exchange_below_it(spark):
+    import __spark_entry__ as entry
+
+    df = entry.queries()["lake_revenue_bucketed"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("SortMergeJoin"):]
+    assert "Exchange" not in below.split("Initial Plan")[0]
