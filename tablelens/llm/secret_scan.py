@@ -3,20 +3,26 @@
 Base spans are assignments of secrets, access keys and long hexadecimal runs.
 Their values are the labelled credentials: at most ``max_credentials`` per
 kind (least hash first) teach one probabilistic automaton per kind, by merging
-compatible states of their prefix tree; at most ``max_words`` ordinary words
-teach a background.  Then every run of 6 or more characters that an assigned
-value can hold, outside base spans, is scored: the most likely automaton must
-beat the background by ``least_bits``, and the token must be as likely per
-character as all but the least likely ``tail`` of the credentials of that kind.
+compatible states of their prefix tree (``grammar``); at most ``max_words`` of
+the words of letters that all documents hold more than once teach a background.  Then every
+run of 6 or more characters that an assigned value can hold, outside base
+spans, is scored.  It is marked when, for some automaton, an example ends where
+it ends, it is ``least_bits`` likelier than as an ordinary word, and it is as
+likely as all but the least likely ``tail`` of that kind's examples of its
+length (of any length, per character, where fewer than ``SAME`` have it).  An
+example is rated without its own counts.
 
 Texts are read twice, for the values that teach and for the spans, so that
-candidates are scored where they are found and never stored.
-
-Defined cases: null text is empty text; empty texts have no spans; without
-credentials no automaton is learned and base spans stand alone; spans of
-different kinds may overlap and all are returned, by start, then kind; very
-long tokens are scored whole; repeated rows are separate rows; an empty table
-gives no rows; extra columns are ignored.
+candidates are scored where they are found and never stored.  Words are
+counted out in a distributed distinct; only the sample of them is gathered.
+
+Defined cases: null text is empty text; empty texts have no spans; a null id
+stays null; with fewer than ``LEAST_EXAMPLES`` credentials a kind has no
+automaton, and without any base spans stand alone; spans of different kinds
+may overlap and all are returned, by start, then kind; of equal hashes the
+smaller value or word teaches; very long tokens are scored whole; repeated
+rows are separate rows; an empty table gives no rows; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -43,7 +49,8 @@ LEAST = {"assign": 6, "access": 20}
 TOKEN = re.compile(f"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{{{LEAST['assign']},}}+")
 MEMO = 1 << 17  # verdicts that a task keeps of tokens it has met
 FORMAT = "format"
-BACKGROUND_DOCS = 500  # documents whose words teach the background
+LEAST_EXAMPLES = 5  # distinct credentials that a kind needs for a format
+SAME = 5  # examples of a length that make a scale of their own
 ORDINARY = "^\\p{L}{1,40}\\p{P}*$"  # letters, then punctuation
 
 
@@ -110,6 +117,15 @@ def scanned(docs: DataFrame, id_col: str, text_col: str, verdict=None) -> DataFr
     return mine.mapInArrow(rows, fields)
 
 
+def least_likely(bits: list[float], tail: float) -> float:
+    """The ``tail`` quantile; beyond the least of examples too few to have one,
+    by up to three of their standard deviations."""
+    bits = sorted(bits)
+    mean = sum(bits) / len(bits)
+    spread = (sum((x - mean) ** 2 for x in bits) / len(bits)) ** 0.5
+    return bits[int(tail * len(bits))] - 3 * spread * max(0.0, 1 - tail * len(bits))
+
+
 class Scorer:
     def __init__(self, credentials: dict[str, list[str]], words: list[str], least_bits: float, tail: float):
         self.background = Background(words)
@@ -117,40 +133,51 @@ class Scorer:
         self.automata = {}
         for kind, values in credentials.items():
             model = Automaton(values)
-            rates = sorted(model.log2(v) / (len(v) + 1) for v in values)
-            self.automata[kind] = (model, rates[int(tail * len(rates))])
+            of_length: dict[int, list[float]] = {}
+            for v in values:
+                of_length.setdefault(len(v), []).append(model.score(v, known=True)[0])
+            cut = lambda bits: least_likely(bits, tail)
+            limits = {n: cut(bits) for n, bits in of_length.items() if len(bits) >= SAME}
+            rate = cut([x / (n + 1) for n, bits in of_length.items() for x in bits])
+            self.automata[kind] = (model, limits, rate)
 
     def __call__(self, token: str) -> bool:
-        plain = self.background.log2(token)
-        for model, rate in self.automata.values():
-            bits = model.log2(token)
-            if bits - plain >= self.least_bits and bits / (len(token) + 1) >= rate:
+        plain = None
+        for model, limits, rate in self.automata.values():
+            bits, ends = model.score(token)
+            if not ends or bits < limits.get(len(token), rate * (len(token) + 1)):
+                continue
+            plain = self.background.log2(token) if plain is None else plain
+            if bits - plain >= self.least_bits:
                 return True
         return False
 
 
-def train(found: DataFrame, docs: DataFrame, id_col: str, text_col: str, max_credentials: int = 2000,
+def ordinary_words(docs: DataFrame, text_col: str) -> DataFrame:
+    """The words of letters that all texts hold more than once (w); what stands
+    in one place only may be a credential itself."""
+    words = docs.select(F.explode(words_of(F.col(text_col).cast("string"))).alias("w"))
+    return words.groupBy("w").agg(F.count("*").alias("n")).where((F.col("n") > 1) & F.col("w").rlike(ORDINARY)).select("w")
+
+
+def train(found: DataFrame, docs: DataFrame, text_col: str, max_credentials: int = 500,
           max_words: int = 20_000, least_bits: float = 16.0, tail: float = 0.02) -> Scorer | None:
     values = materialize(found.select(F.explode("base").alias("s")).select("s.rank", "s.value").distinct())
     credentials = {}
     for rank, kind in enumerate(KINDS):
         rows = hash_sample(values.where(F.col("rank") == rank), ["value"], max_credentials).collect()
-        if len(rows) >= 20:
+        if len(rows) >= LEAST_EXAMPLES:
             credentials[kind] = [r["value"] for r in rows]
     if not credentials:
         return None
-    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    some = F.broadcast(hash_sample(named.where("doc_id is not null").select("doc_id"), ["doc_id"], BACKGROUND_DOCS).distinct())
-    words = (named.join(some, "doc_id").select(F.explode(words_of(F.col("text"))).alias("w"))
-             .where(F.col("w").rlike(ORDINARY)).distinct())
-    words = hash_sample(materialize(words), ["w"], max_words).collect()
+    words = hash_sample(materialize(ordinary_words(docs, text_col)), ["w"], max_words).collect()
     return Scorer(credentials, [r["w"] for r in words], least_bits, tail)
 
 
 def scan_secrets(docs: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
     """One row per document: doc_id, base and formats (arrays of start, rank,
     end, value)."""
-    model = train(scanned(docs, id_col, text_col), docs, id_col, text_col, **options)
+    model = train(scanned(docs, id_col, text_col), docs, text_col, **options)
     shared = model and docs.sparkSession.sparkContext.broadcast(model)
     return scanned(docs, id_col, text_col, shared)
 

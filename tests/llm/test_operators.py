@@ -2,6 +2,7 @@
 defined results on odd rows, empty tables and clashing columns."""
 
 import collections
+import re
 import zlib
 
 import numpy as np
@@ -16,7 +17,7 @@ from tablelens.llm.spans import joined
 from tablelens.llm.suffix_order import suffix_order
 from tablelens.llm.util import connected_components, global_rank
 from tests.llm import brute
-from tests.llm.conftest import LONG_WORD, odd_rows
+from tests.llm.conftest import LONG_WORD, PROSE, odd_rows
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -204,10 +205,56 @@ def test_pii_terms_that_reveal_are_marked_and_others_are_not(spark):
     learned = {r["term"] for r in pii.disclosing_terms(spark.createDataFrame(rows, "text string")).collect()}
     assert learned == {"hotline", "mailto"}
     found = pii.find(spark.createDataFrame(rows, "text string"))
-    got = {r["text"]: r for r in pii.sanitised(found).select("text", "term", "sanitised").collect()}
+    got = {r["text"]: r for r in pii.sanitised(found, remove_at=1.5).select("text", "term", "sanitised").collect()}
     assert [(s["start"], s["end"]) for s in got["Mailto, us"]["term"]] == [(0, 6)]
-    assert got["Mailto, us"]["sanitised"] == "<TERM>, us"
-    assert got[rows[3][0]]["sanitised"] == "the <TERM> <TERM> <EMAIL> now"
+    assert got["Mailto, us"]["sanitised"] == "<EMAIL>, us"
+    assert got[rows[3][0]]["sanitised"] == "the <EMAIL> <EMAIL> <EMAIL> now"
+    told = {r["term"]: r["disclosure"] for r in pii.disclosing_terms(spark.createDataFrame(rows, "text string")).collect()}
+    assert told["hotline"] > told["mailto"]  # only one of them also stands elsewhere
+    between = (told["hotline"] + told["mailto"]) / 2
+    got = {r["text"]: r["sanitised"] for r in pii.sanitised(found, remove_at=between).collect()}
+    assert got[rows[3][0]] == "the  <EMAIL> <EMAIL> now"
+
+
+def plain_disclosures(texts, support=5):
+    """Disclosure by counting: a term once per entity value, elsewhere always."""
+    words = lambda t: [w for w in re.split(r"[\W_]+", t.lower()) if w]
+    values, contexts, total = collections.defaultdict(set), collections.Counter(), collections.Counter()
+    for t in texts:
+        total.update(words(t))
+        for kind, pattern in brute.PII.items():
+            for m in pattern.finditer(t):
+                if brute.pii_passes(kind, m):
+                    sides = [t[:m.start()], t[m.end():]]
+                    for k, p in brute.PII.items():  # a run of few digits is a word, not an entity
+                        sides = [p.sub(lambda g: " " if k != "card" or len(re.sub("[ -]", "", g[0])) >= 14 else g[0], x) for x in sides]
+                    for w in set(words(sides[0])[-pii.WINDOW:] + words(sides[1])[:pii.WINDOW]):
+                        values[kind, w].add(m[0])
+                        contexts[kind, w] += 1
+    out = {}
+    for (kind, w), v in values.items():
+        n_kind = sum(len(x) for (k, _), x in values.items() if k == kind)
+        plain = max(sum(total.values()) - sum(n for (k, _), n in contexts.items() if k == kind), 1)
+        p, q = n_kind / (n_kind + plain), len(v) / (len(v) + max(total[w] - contexts[kind, w], 0))
+        if len(v) >= support:
+            out[kind, w] = (len(v), np.log2(q / p) / -np.log2(p))
+    return out
+
+
+def test_disclosures_against_plain_counts(spark):
+    rng = np.random.default_rng(6)
+    vocabulary = [f"w{i}" for i in range(40)] + ["contact", "called"]
+    rows = []
+    for i in range(400):
+        w = rng.choice(vocabulary, int(rng.integers(3, 12))).tolist()
+        extra = [f"contact user{i % 90}@mail.example.com", f"Server 10.0.{i % 7}.{i % 50}", "", f"called +1 (555) 010-{i % 60:04d}"][i % 4]
+        w.insert(int(rng.integers(0, len(w))), extra)
+        rows.append((" ".join(w),))
+    got = {(r["kind"], r["term"]): (r["n"], r["disclosure"]) for r in pii.disclosures(spark.createDataFrame(rows, "text string")).collect()}
+    want = plain_disclosures([r[0] for r in rows])
+    assert got.keys() == want.keys() and len(want) > 40
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+    assert {t for k, t in want if want[k, t][1] >= 0.8} >= {"server"}
 
 
 def test_copies_of_a_document_are_no_evidence(spark):
@@ -333,8 +380,7 @@ def test_tokens_of_a_credentials_format(spark):
 
 
 @pytest.mark.parametrize("chars, n", [("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 12), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 14)])
-def test_short_tokens_and_tokens_of_letters_are_candidates(spark, monkeypatch, chars, n):
-    monkeypatch.setattr(secret_scan, "BACKGROUND_DOCS", 40)  # document 500 is not among them: a token of letters would teach the background
+def test_short_tokens_and_tokens_of_letters_are_candidates(spark, chars, n):
     rng = np.random.default_rng(3)
     token = lambda: "".join(rng.choice(list(chars), n))
     prose = "words and more words of ordinary prose with some longer ordinarily written sentences too "
@@ -347,10 +393,71 @@ def test_short_tokens_and_tokens_of_letters_are_candidates(spark, monkeypatch, c
 def test_automaton_learns_a_format():
     values = [f"ab-{i:04d}" for i in range(0, 4000, 13)]
     model = grammar.Automaton(values)
-    assert model.log2("ab-7777") > model.log2("xy-7777") + 5 and len(model.steps) < 40
+    assert model.log2("ab-7777") > model.log2("xy-7777") + 5 and len(model.states) < 40
     assert secret_scan.masked("a secret b", [(2, 8), (4, 8)]) == "a <SECRET> b"
 
 
+def formats(seed):
+    rng = np.random.default_rng(seed)
+    draw = lambda chars, n: "".join(rng.choice(list(chars), n))
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    return {"access": lambda: "AKIA" + draw(upper + digits, 16), "hex": lambda: draw(digits + "abcdef", 40),
+            "assign": lambda: "sk_live_" + draw(lower + upper + digits, 24)}
+
+
+ORDINARY_WORDS = [w for w in brute.words(PROSE)] + ["internationally", "Re-established", "well-known.", "2024-01-02", "version2", "QWERTY12345"]
+
+
+@pytest.mark.parametrize("kind", ["access", "hex", "assign"])
+@pytest.mark.parametrize("n", [200, 5])
+def test_formats_are_found_unseen_and_words_are_not(kind, n):
+    make = formats(n)[kind]
+    values = sorted({make() for _ in range(n)})
+    scorer = secret_scan.Scorer({kind: values}, ORDINARY_WORDS, 16.0, 0.02)
+    assert sum(scorer(make()) for _ in range(100)) >= 95
+    rng = np.random.default_rng(9)
+    words = {"".join(rng.choice(list("etaoinshrdlu"), int(rng.integers(6, 16)))) for _ in range(10_000)}
+    assert not any(map(scorer, words)) and not any(map(scorer, ORDINARY_WORDS))
+    assert not scorer("AKIA" + "A" * 30) and not scorer(make()[:-1]) and not scorer(make() + "x")
+
+
+def test_chain_keeps_prefix_and_length():
+    make = formats(1)["access"]
+    model = grammar.Automaton([make() for _ in range(200)])
+    assert model.chain() == ["A", "K", "I", "A"] + model.chain()[4:] and len(model.chain()) == 20 and not model.loops
+    assert len(model.states) == 21
+
+
+def test_runs_that_may_end_anywhere_become_loops():
+    rng = np.random.default_rng(2)
+    values = ["v" + "".join(rng.choice(list("0123456789"), int(n))) for n in rng.geometric(0.12, 1500)]
+    model = grammar.Automaton(values)
+    assert model.loops and len(model.states) < 25 and model.score("v" + "1" * 70)[1]
+
+
+def test_scores_are_products_of_shares_along_the_tree():
+    """Against shares counted over all examples, for a format of fixed length."""
+    values = [a + b for a in "xy" for b in "0123456789" for _ in range(3)]
+    model = grammar.Automaton(values)
+
+    def share(counts, c, chars):
+        total, k = sum(counts.values()), grammar.class_of(c)
+        of_class = (sum(n for o, n in counts.items() if grammar.class_of(o) == k) + 0.25) / (total + 1.5) / grammar.SIZE.get(k, 1)
+        trust = total / (total + 4 + 2 * len(counts))
+        return trust * counts[c] / total + (1 - trust) * of_class
+
+    first, second = collections.Counter(v[0] for v in values), collections.Counter(v[1] for v in values)
+    want = np.log2(share(first, "x", 2)) + np.log2(share(second, "7", 10)) + np.log2((60 + 0.25) / (60 + 0.5))
+    assert model.log2("x7") == pytest.approx(want)
+
+
+def test_secrets_odd_rows(odd, empty):
+    rows = secret_scan.scan_secrets(odd).collect()
+    assert len(rows) == odd.count() and secret_scan.scan_secrets(empty).count() == 0
+    assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(r["doc_id"]) for r in odd.select("doc_id").collect())
+    assert not any(r["base"] or r["formats"] for r in rows)
+
+
 # -- 7 near duplicates ------------------------------------------------------------------------------
 
 def test_near_duplicates_against_all_pairs(small):
