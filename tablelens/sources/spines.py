@@ -66,8 +66,9 @@ def sample_n(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> Data
 
     Rows are ordered by a seeded 64-bit hash of the keys as text, and the rank
     threshold of the ``n``-th is found by radix selection, so the sample is a
-    filter: no rows are sorted and no task holds the sample, however large.
+    filter: no task holds it, however large.  It comes in the order of the hash
+    (sorted by ranges).
     """
     text = F.concat_ws("|", F.lit(str(int(seed))), *[qcol(k).cast("string") for k in keys])
     h = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
-    return smallest(df.withColumn("__h", h), "__h", int(n)).drop("__h")
+    return smallest(df.withColumn("__h", h), "__h", int(n)).orderBy("__h", *[qcol(k) for k in keys]).drop("__h")
