@@ -1,19 +1,19 @@
 """Data-quality checks and the anomaly report.
 
-Per table the detector runs six to eight scans, whatever the number of columns:
+A table's report is one lazy plan; building it runs only the passes of the
+exact quartiles and the row hashes.  Six to eight scans a table, whatever the
+number of columns:
 
-1. ``column_stats``: null counts, min and max of every column in one aggregate
-   (kept: one row per column);
+1. ``column_stats``: null counts and constancy of every column in one
+   aggregate, from which both column checks are read;
 2. ``exact_quantiles``: exact quartiles of all numeric columns together, by two
    to four passes of radix selection (kept: one row per numeric column);
+   approximate or stored quartiles need none;
 3. one aggregate counting values outside the IQR fences of every numeric
-   column (the fences, two numbers per column, are inlined as literals);
+   column; the fences reach it as one scalar subquery (an array with a struct
+   a column);
 4. row hashes counted for duplicate rows, then the rows with a repeated hash
    grouped by all columns.
-
-The kept frames have one row per column, whatever the table size; they are
-held as local relations, which cuts their lineage, so later steps never
-re-scan the table for them and an executor loss cannot force a recompute.
 """
 
 from __future__ import annotations
@@ -28,8 +28,6 @@ from tablelens.session import local_frame
 from tablelens.functions.columns import (
     normalized_sql,
     numeric_columns,
-    sql_double,
-    sql_str,
     union_all_names,
 )
 from tablelens.operators.quantiles import SKETCH_K, approx_quantiles, exact_quantiles
@@ -65,18 +63,6 @@ ZERO_VARIANCE_TEXT = "All non-null values are identical: "
 QUARTILES = (0.25, 0.75)
 
 
-def _materialize(df: DataFrame, keep: bool) -> DataFrame:
-    """Compute a per-column summary once and keep it as a local relation.
-
-    The frame has one row per column (bounded by the schema, not the data);
-    holding it on the driver cuts its lineage to the table, so later steps
-    never re-scan, and the next scan's bounds are read from it directly.
-    """
-    if not keep:
-        return df
-    return local_frame(df.sparkSession, df.collect(), df.schema)
-
-
 def _ranked(table: str, column: Column, kind: str, severity: Column, description: Column,
             value: Column, check_no: int, col_pos: Column) -> list[Column]:
     return [
@@ -95,19 +81,38 @@ def _ranked(table: str, column: Column, kind: str, severity: Column, description
 # individual checks (each returns the ranked anomaly schema)
 # --------------------------------------------------------------------------
 
-def check_nulls(stats: DataFrame, table: str) -> DataFrame:
-    """Per column, missing >= 20 % -> medium, >= 50 % -> high."""
+def null_finding(table: str) -> tuple[Column, list[Column]]:
+    """D1 over a row of ``column_stats``: when it holds, and what is reported."""
     nulls = F.col("rows") - F.col("non_null")
     pct = F.try_divide(nulls, F.col("rows")) * 100.0
-    s = stats.withColumn("__pct", pct).withColumn("__nulls", nulls)
-    return s.filter(F.col("__pct") >= NULL_MEDIUM_PCT).select(
-        *_ranked(
-            table, F.col("column"), NULL_RATE,
-            F.when(F.col("__pct") >= NULL_HIGH_PCT, "high").otherwise("medium"),
-            F.format_string(NULL_TEXT, F.col("__pct"), F.col("__nulls")),
-            F.col("__pct"), 1, F.col("pos"),
-        )
-    )
+    return pct >= NULL_MEDIUM_PCT, _ranked(
+        table, F.col("column"), NULL_RATE, F.when(pct >= NULL_HIGH_PCT, "high").otherwise("medium"),
+        F.format_string(NULL_TEXT, pct, nulls), pct, 1, F.col("pos"))
+
+
+def zero_variance_finding(table: str, columns: list[str]) -> tuple[Column, list[Column]]:
+    """D4 over a row of ``column_stats`` (as ``null_finding``): ``min = max`` in
+    the column's own type over at least one value; all-null columns are not
+    flagged."""
+    return F.col("column").isin(columns) & (F.col("non_null") > 0) & F.col("constant"), _ranked(
+        table, F.col("column"), ZERO_VARIANCE, F.lit("low"),
+        F.concat(F.lit(ZERO_VARIANCE_TEXT), F.col("min_text")), F.lit(0.0), 4, F.col("pos"))
+
+
+def check_columns(stats: DataFrame, findings: list[tuple[Column, list[Column]]]) -> DataFrame:
+    """The findings that hold, all from one pass over the column statistics."""
+    found = F.array(*[F.when(holds, F.struct(*fields)) for holds, fields in findings])
+    return stats.select(F.inline(F.array_compact(found)))
+
+
+def check_nulls(stats: DataFrame, table: str) -> DataFrame:
+    """Per column, missing >= 20 % -> medium, >= 50 % -> high."""
+    return check_columns(stats, [null_finding(table)])
+
+
+def check_zero_variance(stats: DataFrame, table: str, columns: list[str]) -> DataFrame:
+    """Numeric column whose non-null values are all equal -> low."""
+    return check_columns(stats, [zero_variance_finding(table, columns)])
 
 
 def duplicate_summary(df: DataFrame) -> DataFrame:
@@ -130,39 +135,34 @@ def check_duplicates(df: DataFrame, table: str) -> DataFrame:
 
 
 def outlier_counts(df: DataFrame, quartiles: DataFrame, columns: list[str]) -> DataFrame:
-    """Per numeric column: ``n, q1, q3, lower, upper, outliers`` (one scan).
+    """Per numeric column: ``pos, column, n, q1, q3, iqr, lower, upper,
+    outliers`` (one scan); columns without a row in ``quartiles``, and all columns
+    of a table without rows, have nulls.
 
-    The fences of all columns come from the (small, materialised) quartile
-    frame; the count is strict: values below ``lower`` or above ``upper``.
+    The fences reach the scan as one scalar subquery over the quartile frame,
+    an array in the order of ``columns``, so nothing is gathered on the driver.
+    The count is strict: values below ``lower`` or above ``upper``.
     """
-    fences = quartiles.select(
-        "pos", "column", "n",
-        F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"),
-    ).withColumn("iqr", F.col("q3") - F.col("q1")).select(
-        "*",
-        (F.col("q1") - IQR_MULTIPLIER * F.col("iqr")).alias("lower"),
-        (F.col("q3") + IQR_MULTIPLIER * F.col("iqr")).alias("upper"),
-    )
+    fields = ("n", "q1", "q3", "iqr", "lower", "upper")
     if not columns:
-        return fences.withColumn("outliers", F.lit(None).cast("bigint"))
-    # the fences are two numbers per column (bounded by the schema): inline
-    # them as literals so the counting scan stays in whole-stage codegen
-    fence = {r["column"]: (r["lower"], r["upper"]) for r in fences.select("column", "lower", "upper").collect()}
-    projected = df.select(
-        *[F.expr(f"CAST({normalized_sql(df, c)} AS DOUBLE)").alias(f"__c{k}") for k, c in enumerate(columns)]
-    )
-    items = []
-    for k, c in enumerate(columns):
-        lo, hi = fence.get(c, (None, None))
-        x = f"__c{k}"
-        if lo is None or hi is None:
-            cnt = "CAST(NULL AS BIGINT)"
-        else:
-            cnt = f"count_if({x} < {sql_double(lo)} OR {x} > {sql_double(hi)})"
-        items.append(f"named_struct('column', {sql_str(c)}, 'outliers', {cnt})")
-    counts = projected.agg(F.expr(f"array({', '.join(items)})").alias("__a")).selectExpr("inline(__a)")
-    # both sides have one row per numeric column
-    return fences.join(F.broadcast(counts), "column", "left")
+        return local_frame(df.sparkSession, [], "pos int, column string, n bigint, " + ", ".join(
+            f"{f} double" for f in fields[1:]) + ", outliers bigint")
+    q1, q3 = F.col("q")[0], F.col("q")[1]
+    iqr = q3 - q1
+    fence = F.struct(F.col("n"), q1.alias("q1"), q3.alias("q3"), iqr.alias("iqr"),
+                     (q1 - IQR_MULTIPLIER * iqr).alias("lower"), (q3 + IQR_MULTIPLIER * iqr).alias("upper"))
+    fences = quartiles.agg(F.array(*[F.max(F.when(F.col("column") == c, fence)) for c in columns]).alias("fences"))
+    x, own = F.col, lambda k: F.col("__f")[k]
+    counted = df.select(
+        *[F.expr(f"CAST({normalized_sql(df, c)} AS DOUBLE)").alias(f"__c{k}") for k, c in enumerate(columns)],
+        fences.scalar().alias("__f"),
+    ).agg(F.first("__f").alias("__f"), *[
+        F.count_if((x(f"__c{k}") < own(k)["lower"]) | (x(f"__c{k}") > own(k)["upper"])).alias(f"__o{k}")
+        for k in range(len(columns))])
+    return counted.select(F.inline(F.array(*[
+        F.struct(F.lit(df.columns.index(c)).alias("pos"), F.lit(c).alias("column"), *[own(k)[f].alias(f) for f in fields],
+                 F.when(own(k)["lower"].isNotNull(), x(f"__o{k}")).alias("outliers"))
+        for k, c in enumerate(columns)])))
 
 
 def check_outliers(df: DataFrame, table: str, quartiles: DataFrame, columns: list[str]) -> DataFrame:
@@ -186,23 +186,6 @@ def check_outliers(df: DataFrame, table: str, quartiles: DataFrame, columns: lis
     )
 
 
-def check_zero_variance(stats: DataFrame, table: str, columns: list[str]) -> DataFrame:
-    """Numeric column whose non-null values are all equal -> low.
-
-    ``min = max`` in the column's own type over at least one value; all-null
-    columns are not flagged.
-    """
-    return stats.filter(
-        F.col("column").isin(columns) & (F.col("non_null") > 0) & F.col("constant")
-    ).select(
-        *_ranked(
-            table, F.col("column"), ZERO_VARIANCE, F.lit("low"),
-            F.concat(F.lit(ZERO_VARIANCE_TEXT), F.col("min_text")),
-            F.lit(0.0), 4, F.col("pos"),
-        )
-    )
-
-
 # --------------------------------------------------------------------------
 # D5-D7
 # --------------------------------------------------------------------------
@@ -213,44 +196,33 @@ def detect_ranked(
     *,
     method: str = "exact",
     accuracy: int = SKETCH_K,
-    keep_summaries: bool = True,
+    quartiles: DataFrame | None = None,
     checks: tuple[str, ...] = ("nulls", "duplicates", "outliers", "zero_variance"),
 ) -> DataFrame:
-    """All checks of one table with ordering keys ``check_no, col_pos``."""
+    """All checks of one table with ordering keys ``check_no, col_pos``, as one
+    lazy plan.
+
+    ``quartiles`` (``column, n, q``) replaces the quartiles of ``method``, for
+    instance those of stored sketches (``operators/sketches.py``).
+    """
+    if method not in ("exact", "approx"):
+        raise ValueError("method must be 'exact' or 'approx'")
     num = numeric_columns(df)
-    need_stats = {"nulls", "outliers", "zero_variance"} & set(checks)
     parts = []
-    stats = None
-    # The duplicate grouping is independent of the statistics chain: run it
-    # concurrently (one row of counts comes back).
-    pool = ThreadPoolExecutor(max_workers=1) if ("duplicates" in checks and keep_summaries) else None
-    dup_future = (pool.submit(lambda: _materialize(check_duplicates(df, table), True))
-                  if pool else None)
-    try:
-        if need_stats:
-            stats = column_stats(
-                df,
-                distinct=None,
-                sample=False,
-            )
-            stats = _materialize(stats, keep_summaries)
-        if "nulls" in checks:
-            parts.append(check_nulls(stats, table))
-        if "duplicates" in checks:
-            parts.append(dup_future.result() if dup_future else check_duplicates(df, table))
+    findings = ([null_finding(table)] if "nulls" in checks else []) + (
+        [zero_variance_finding(table, num)] if "zero_variance" in checks and num else [])
+    if findings:
+        parts.append(check_columns(column_stats(df, distinct=None, sample=False), findings))
+    # the row hashes do not depend on the quartiles: both run at the same time
+    with ThreadPoolExecutor(max_workers=1) as pool:
+        duplicates = pool.submit(check_duplicates, df, table) if "duplicates" in checks else None
         if "outliers" in checks and num:
-            if method == "exact":
-                q = exact_quantiles(df, num, QUARTILES)
-            elif method == "approx":
-                q = _materialize(approx_quantiles(df, num, QUARTILES, accuracy), keep_summaries)
-            else:
-                raise ValueError("method must be 'exact' or 'approx'")
-            parts.append(check_outliers(df, table, q, num))
-        if "zero_variance" in checks and num:
-            parts.append(check_zero_variance(stats, table, num))
-    finally:
-        if pool:
-            pool.shutdown(wait=True)
+            if quartiles is None:
+                quartiles = (exact_quantiles(df, num, QUARTILES) if method == "exact"
+                             else approx_quantiles(df, num, QUARTILES, accuracy))
+            parts.append(check_outliers(df, table, quartiles, num))
+        if duplicates:
+            parts.append(duplicates.result())
     if not parts:
         return local_frame(df.sparkSession, [], _RANKED_FIELDS)
     return union_all_names(parts)

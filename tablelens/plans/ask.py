@@ -35,8 +35,8 @@ def refuse_writes(spark: SparkSession, sql: str) -> None:
 def run_sql(spark: SparkSession, sql: str, limit: int | None = None) -> DataFrame:
     """Q1: run a query, DESCRIBE, SHOW or EXPLAIN over the registered tables;
     any statement whose plan writes or changes something is refused first."""
+    register_sql_functions(spark)  # the check analyses the statement
     refuse_writes(spark, sql)
-    register_sql_functions(spark)
     df = spark.sql(sql)
     return df.limit(int(limit)) if limit is not None else df
 

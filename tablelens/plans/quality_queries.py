@@ -8,15 +8,18 @@ oracle can be written out per column.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelens.operators import anomaly, profile
+from tablelens.operators import anomaly, profile, sketches
 from tablelens.operators.relational import union_reports
+from tablelens.operators.sketches import rank_margin
 from tablelens.plans.registry import register, table
+from tablelens.session import shared_dir
 
 NUMERIC = {"tinyint", "smallint", "int", "bigint", "float", "double"}
 
@@ -556,3 +559,37 @@ def q_approx_quantile_ranks(spark, sf_dir):
          & (F.count_if(F.col(c) <= F.lit(q)) >= (p - error) * F.count(c))).alias("within_error"))
         for c in columns for p, q in zip(probs, found[c])]
     return df.agg(F.array(*items).alias("a")).select(F.inline("a"))
+
+
+# -- stored sketches --------------------------------------------------------------
+
+_SKETCHED = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+_SKETCH_MARGIN = rank_margin()
+
+
+@register("stored_sketch_quartiles", "\nunion all\n".join(
+    f"select '{c}' as column_name, {p!r}::double as p, count(distinct year(l_shipdate)) as parts, count({c}) as n, "
+    f"greatest(0, ceil(({p!r}::double - {_SKETCH_MARGIN!r}::double) * count({c})))::bigint as rank_low, "
+    f"least(count({c}), floor(({p!r}::double + {_SKETCH_MARGIN!r}::double) * count({c})))::bigint as rank_high, "
+    "true as inside from lineitem" for c in _SKETCHED for p in (0.25, 0.75)))
+def q_stored_sketch_quartiles(spark, sf_dir):
+    """Sketches stored per shipping year in two loads, the second of which
+    replaces a year that the first had loaded in part; the merged quartiles are
+    held against the true ranks."""
+    df = table(spark, sf_dir, "lineitem").select("l_shipdate", *_SKETCHED)
+    base, year = shared_dir(spark, f"lake-{uuid.uuid4().hex}"), F.year("l_shipdate")
+    for load in (df.where((year < 1996) & ((year < 1995) | (F.month("l_shipdate") < 4))), df.where(year >= 1995)):
+        sketches.store_sketches(spark, base, "lineitem_sketches", sketches.part_sketches(load, year, _SKETCHED))
+    probs = (0.25, 0.75)
+    found = sketches.merged_quantiles(sketches.read_lake(spark, base, "lineitem_sketches"), probs)
+    own = F.struct("parts", "n", "q", "rank_low", "rank_high")
+    wide = found.agg(F.array(*[F.max(F.when(F.col("column") == c, own)) for c in _SKETCHED]).alias("f")).scalar()
+    each = [(c, i, p, F.col("f")[k]) for k, c in enumerate(_SKETCHED) for i, p in enumerate(probs)]
+    ranks = df.select(*_SKETCHED, wide.alias("f")).agg(F.first("f").alias("f"), *[
+        F.struct(F.count_if(F.col(c) < f["q"][i]).alias("below"), F.count_if(F.col(c) <= f["q"][i]).alias("upto"))
+        .alias(f"r_{c}_{i}") for c, i, _, f in each])
+    return ranks.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.lit(p).alias("p"), f["parts"].alias("parts"), f["n"].alias("n"),
+                 f["rank_low"][i].alias("rank_low"), f["rank_high"][i].alias("rank_high"),
+                 ((F.col(f"r_{c}_{i}.below") <= f["rank_high"][i]) & (F.col(f"r_{c}_{i}.upto") >= f["rank_low"][i])).alias("inside"))
+        for c, i, p, f in each])))

@@ -14,7 +14,7 @@ from tablelens.operators.relational import group_summary, with_group_total
 from tablelens.plans import ask
 from tablelens.plans.registry import register, table
 from tablelens.session import shared_dir
-from tablelens.sources import catalog, spines
+from tablelens.sources import catalog, files, spines
 
 FIXTURE_TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -217,6 +217,72 @@ def q_catalog_digest(spark, sf_dir):
     return catalog.catalog_digest(spark, list(FIXTURE_TABLES), n=3)
 
 
+# (table, key columns, other columns) of tables whose values print alike everywhere
+_DIGESTED = (("region", ("r_regionkey",), ("r_name",)), ("nation", ("n_nationkey",), ("n_name", "n_regionkey")),
+             ("conversations", ("conv_id", "turn"), ("role", "text")), ("labels", ("doc_id",), ("quality", "toxic")),
+             ("pages", ("page_id",), ("url", "html")))
+
+
+@register("catalog_digest_keyed", "\nunion all\n".join(
+    f"select '{t}' as table_name, {i} as position, '{c}' as column_name, "
+    f"array_to_string(list(coalesce({c}::varchar, '?') order by {', '.join(k)}), '|') as samples "
+    f"from (select * from {t} order by {', '.join(k)} limit 3)"
+    for t, k, more in _DIGESTED for i, c in enumerate((*k, *more))))
+def q_catalog_digest_keyed(spark, sf_dir):
+    """The samples are the first three rows by key."""
+    names = [t for t, _, _ in _DIGESTED]
+    register_fixtures(spark, sf_dir, names)
+    d = catalog.catalog_digest(spark, names, n=3, order_by={t: list(k) for t, k, _ in _DIGESTED})
+    samples = F.array_join(F.transform("samples", lambda v: F.coalesce(v, F.lit("?"))), "|")
+    return d.select(F.col("table").alias("table_name"), "position", F.col("column").alias("column_name"), samples.alias("samples"))
+
+
+@register(
+    "text_order_dates",
+    "select date_trunc('month', o_orderdate)::date as month, count(*) as orders, "
+    "count_if(o_orderkey % 5 = 4) as unreadable, "
+    "count(distinct case when o_orderkey % 5 <> 4 then o_orderdate::date end) as days from orders group by 1",
+)
+def q_text_order_dates(spark, sf_dir):
+    """Order dates as text in four layouts, one in five spoilt."""
+    layouts = ["yyyy-MM-dd", "M/d/yyyy", "d MMM yyyy", "MMMM d, yyyy"]
+    kind = F.col("o_orderkey") % 5
+    text = F.lit("no date")
+    for i, layout in enumerate(layouts):
+        text = F.when(kind == i, F.date_format("o_orderdate", layout)).otherwise(text)
+    read = table(spark, sf_dir, "orders").select(
+        C.month_of("o_orderdate").alias("month"), C.coerce_timestamp(text).cast("date").alias("day"))
+    return read.groupBy("month").agg(F.count("*").alias("orders"), F.count_if(F.col("day").isNull()).alias("unreadable"),
+                                     F.count_distinct("day").alias("days"))
+
+
+_DUTIES = (("BUILDING", 0.5), ("MACHINERY", 0.25), ("ELSEWHERE", 0.0))
+
+
+@register(
+    "segment_duties",
+    "select segment, count(c_custkey) as customers, round(sum(c_acctbal * duty), 4) as due from "
+    f"(values {', '.join(map(str, _DUTIES))}) t(segment, duty) left join customer on c_mktsegment = segment group by 1",
+)
+def q_segment_duties(spark, sf_dir):
+    """A local table of rates joined to the customers."""
+    duties = files.from_rows(spark, list(_DUTIES), "segment string, duty double")
+    c = table(spark, sf_dir, "customer")
+    return (duties.join(c, c.c_mktsegment == duties.segment, "left").groupBy("segment")
+            .agg(F.count("c_custkey").alias("customers"), F.round(F.sum(F.col("c_acctbal") * F.col("duty")), 4).alias("due")))
+
+
+SQL_DAYS = "select strftime(o_orderdate, '%Y-%m-%d') as day, count(*) as n from orders group by 1"
+
+
+@register("chart_line", f"select 'line' as kind, day as x, n as y from ({SQL_DAYS})")
+def q_chart_line(spark, sf_dir):
+    """Q4: more than 30 points make a line."""
+    register_fixtures(spark, sf_dir, ("orders",))
+    kind, frame = ask.chart_data(ask.run_sql(spark, SQL_DAYS))
+    return frame.select(F.lit(kind).alias("kind"), "x", "y")
+
+
 @register(
     "list_tables",
     "\nunion all\n".join(f"select '{t}' as name, true as is_temporary, count(*) as \"rows\" from {t}" for t in FIXTURE_TABLES),

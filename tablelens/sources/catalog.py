@@ -53,22 +53,27 @@ def list_tables(spark: SparkSession, database: str | None = None, names: Iterabl
     return out.orderBy("name")
 
 
-def catalog_digest(spark: SparkSession, names: list[str] | None = None, n: int = 3) -> DataFrame:
+def catalog_digest(spark: SparkSession, names: list[str] | None = None, n: int = 3,
+                   order_by: Mapping[str, list[str]] | None = None) -> DataFrame:
     """Per table and column: position, type and up to ``n`` sample values.
 
     The samples come from ``limit(n)`` of each table: a few rows per table,
     whatever the table size.  Nulls are samples too, so the samples of one row
-    have one place in every column.
+    have one place in every column.  ``order_by`` gives key columns of some
+    tables: their samples are the first rows by these, in that order.
     """
     names = names if names is not None else sorted(t.name for t in spark.catalog.listTables())
     parts = []
     for t in names:
-        df = spark.table(t)
-        sample = df.limit(int(n))
+        df = table(spark, t)
+        keys = [qcol(k) for k in (order_by or {}).get(t, [])]
+        sample = (df.orderBy(*keys) if keys else df).limit(int(n))
         fields = df.schema.fields
-        agg = sample.agg(
-            *[F.transform(F.collect_list(F.struct(qcol(f.name).cast("string").alias("v"))), lambda r: r["v"]).alias(f"s{i}") for i, f in enumerate(fields)]
-        )
+        place = F.struct(*[k.alias(f"k{j}") for j, k in enumerate(keys)]) if keys else F.lit(0)
+        agg = sample.agg(*[F.transform(
+            F.array_sort(F.collect_list(F.struct(place.alias("k"), qcol(f.name).cast("string").alias("v")))) if keys
+            else F.collect_list(F.struct(qcol(f.name).cast("string").alias("v"))), lambda r: r["v"]).alias(f"s{i}")
+            for i, f in enumerate(fields)])
         parts.append(
             agg.select(
                 F.inline(

@@ -126,3 +126,52 @@ def test_duplicates_with_nulls_inside_arrays(spark):
 def test_large_integers_are_not_constant(spark):
     df = spark.createDataFrame([(9007199254740992 + i % 2,) for i in range(30)], "k bigint")
     assert anomaly.detect(df, "t", checks=("zero_variance",)).count() == 0
+
+
+def test_report_gathers_nothing_but_the_selection(spark, monkeypatch):
+    """Only the passes of the exact quartiles collect; with given quartiles nothing does."""
+    from tablelens.operators.quantiles import exact_quantiles
+
+    df = spark.createDataFrame([(i, float(i % 9), None) for i in range(100)], "a int, b double, c int")
+    quartiles = exact_quantiles(df, ["a", "b", "c"], anomaly.QUARTILES)
+    want = rows(anomaly.detect(df, "t"))
+
+    def no_collect(self):
+        raise AssertionError("collected")
+
+    with monkeypatch.context() as m:
+        m.setattr(type(df), "collect", no_collect)
+        lazy = anomaly.detect(df, "t", quartiles=quartiles)
+    assert rows(lazy) == want and want
+
+
+def test_outlier_counts_of_empty_and_valueless_columns(spark):
+    from tablelens.operators.quantiles import exact_quantiles
+
+    df = spark.createDataFrame([(None, 1.0)] * 3, "a int, b double")
+    for frame in (df, df.where("false")):
+        q = exact_quantiles(frame, ["a", "b"], anomaly.QUARTILES)
+        got = {r["column"]: (r["n"], r["outliers"]) for r in anomaly.outlier_counts(frame, q, ["a", "b"]).collect()}
+        assert got == ({"a": (0, None), "b": (3, 0)} if frame is df else {"a": (None, None), "b": (None, None)})
+        assert rows(anomaly.detect(frame, "t", checks=("outliers",))) == []
+
+
+def test_stored_sketches(spark, tmpdir_local):
+    from tablelens.operators import sketches
+
+    data = [(None if i % 10 == 9 else i % 3, float(i), None, float("nan") if i % 2 else 1.0) for i in range(300)]
+    df = spark.createDataFrame(data + [(7, 1e6, None, 1.0)] * 6, "p int, x double, e int, f double")
+    cols, part = ["x", "e", "f"], F.col("p")
+    for load in (df.where("p < 2 and x < 50"), df):  # the second load replaces two parts
+        sketches.store_sketches(spark, tmpdir_local, "s", sketches.part_sketches(load, part, cols))
+    stored = sketches.read_lake(spark, tmpdir_local, "s")
+    assert stored.count() == 5 * 3  # parts null, 0, 1, 2, 7
+    found = {r["column"]: r for r in sketches.merged_quantiles(stored, (0.0, 0.5, 1.0)).collect()}
+    assert (found["x"]["n"], found["e"]["n"], found["f"]["n"]) == (306, 0, 156)
+    assert found["e"]["q"] is None and found["x"]["parts"] == 5 and list(found["x"]["q"])[::2] == [0.0, 1e6]
+    assert found["x"]["rank_low"][1] <= 153 <= found["x"]["rank_high"][1]
+    quartiles = sketches.merged_quantiles(stored, anomaly.QUARTILES)
+    out = rows(anomaly.detect(df.select("x", "e", "f"), "t", checks=("outliers",), quartiles=quartiles))
+    assert [(r["column"], round(r["value"], 3)) for r in out] == [("x", round(600 / 306, 3))]
+    none = sketches.part_sketches(df.where("false"), part, cols)
+    assert none.count() == 0 and sketches.merged_quantiles(none, (0.5,)).count() == 0

@@ -211,3 +211,9 @@ def test_share_of_total_has_no_single_task(spark):
     df = share_of_total(spark.createDataFrame([("a", 1.0), ("b", 3.0)], "k string, v double"), "v")
     assert sorted(r["share_pct"] for r in df.collect()) == [25.0, 75.0]
     assert "Window" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sql_functions_are_known_in_a_new_session(spark):
+    fresh = spark.newSession()
+    got = ask.run_sql(fresh, "select strftime(timestamp '2024-03-01 00:00:00', '%Y-%m') as ym").collect()
+    assert got[0]["ym"] == "2024-03"
