@@ -47,6 +47,7 @@ IDF_SHARE = 0.25
 LOW = (1 << 44) - 1
 FILTER_BITS = 23
 BLOCK_WEIGHT = 60_000  # of the documents that are judged together
+MATRIX_CELLS = 2 ** 22  # of documents by elements at a time, 4 bytes each
 
 
 def elements(piece: pa.RecordBatch):
@@ -317,14 +318,30 @@ def similar_pairs(da: list, db: list, slot_weights: np.ndarray, least: float) ->
     if not len(both):
         return []
 
-    def matrix(each):
-        out = np.zeros((len(each), len(both)), np.float32)
-        for i, e in enumerate(each):
-            at = np.minimum(np.searchsorted(both, e), len(both) - 1)
-            out[i, at[both[at] == e]] = 1.0
+    def places(each):
+        row = np.repeat(np.arange(len(each)), [len(e) for e in each])
+        all_e = np.concatenate(each)
+        at = np.minimum(np.searchsorted(both, all_e), len(both) - 1)
+        row, at = row[both[at] == all_e], at[both[at] == all_e]
+        order = np.argsort(at, kind="stable")
+        return row[order], at[order]
+
+    def matrix(each, found, start, width):
+        out = np.zeros((len(each), width), np.float32)
+        row, at = found
+        lo, hi = np.searchsorted(at, (start, start + width))
+        out[row[lo:hi], at[lo:hi] - start] = 1.0
         return out
 
-    common = (matrix(ea) * slot_weights[slot_of(both)].astype(np.float32)) @ matrix(eb).T
+    # the elements in slices, so that the matrices stay small whatever the blocks hold
+    at_a, at_b = places(ea), places(eb)
+    step = max(64, MATRIX_CELLS // max(len(ea), len(eb)))
+    common = np.zeros((len(ea), len(eb)), np.float32)
+    for start in range(0, len(both), step):
+        w = slot_weights[slot_of(both[start:start + step])].astype(np.float32)
+        left = matrix(ea, at_a, start, len(w))
+        left *= w
+        common += left @ matrix(eb, at_b, start, len(w)).T
     likely = common >= (least - 1e-3) * (wa[:, None] + wb[None, :] - common)
     out = set()
     for i, j in zip(*np.nonzero(likely)):

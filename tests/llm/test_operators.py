@@ -496,7 +496,7 @@ def test_chain_of_near_copies_is_one_class(spark):
     assert {got[i] for i in range(60)} == {0} and got[100] == 100 and got[101] == 101
 
 
-def test_blocks_of_documents_give_all_similar_pairs():
+def test_blocks_of_documents_give_all_similar_pairs(monkeypatch):
     rng = np.random.default_rng(7)
     base = rng.integers(0, 1 << 44, 60, dtype=np.uint64)
     docs = []
@@ -510,6 +510,8 @@ def test_blocks_of_documents_give_all_similar_pairs():
     want = sorted((i, j) for j in range(20, 40) for i in range(20) if docs[i]["part"] != docs[j]["part"]
                   and weigh(sets[i] & sets[j]) >= 0.8 * weigh(sets[i] | sets[j]))
     assert want and near_dedup.similar_pairs(docs[:20], docs[20:], w, 0.8) == want
+    monkeypatch.setattr(near_dedup, "MATRIX_CELLS", 1)  # many slices of elements
+    assert near_dedup.similar_pairs(docs[:20], docs[20:], w, 0.8) == want
 
 
 def test_near_duplicates_odd_rows(odd, empty):
