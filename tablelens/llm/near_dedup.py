@@ -371,7 +371,7 @@ def classes(docs: DataFrame, id_col="doc_id", text_col="text", least: float = 0.
     shared = materialize(shared.join(hubs, "node").select("key", "node", F.struct("met", "node").alias("rank")))
     tops = materialize(shared.groupBy("key").agg(F.max("rank").alias("rank")).select("key", F.col("rank.node").alias("top")))
     met = materialize(shared.join(tops, "key").select("key", "node", "top"))
-    wanted = materialize(met.select("node").distinct())
+    wanted = hubs.select("node")
     sets = materialize(shingle_sets(
         likely(texts, wanted).join(wanted, "node").groupBy("node").agg(F.first("text").alias("text"))))
     star = met.where("node <> top").select(F.least("top", "node").alias("a"), F.greatest("top", "node").alias("b")).distinct()
@@ -383,7 +383,9 @@ def classes(docs: DataFrame, id_col="doc_id", text_col="text", least: float = 0.
     rest = materialize(placed.join(materialize(mixed), "key", "left_semi").select("node", "part").distinct())
     more = clumped(rest, sets, w, least)
     if more.take(1):
-        parts = materialize(connected_components(links.union(more)))
+        # the components found are stars already, which settles in fewer rounds
+        stars = parts.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        parts = materialize(connected_components(stars.union(more)))
     nodes = ids.groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
     nodes = materialize(nodes.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")))
     low = nodes.groupBy("part").agg(F.min("low").alias("class_id"), F.sum("copies").alias("class_size"))

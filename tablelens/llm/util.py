@@ -114,17 +114,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     Large-star / small-star rounds; each round is two grouped minima with
     map-side combining, joined back (adaptive execution splits hot nodes), and
     its links are written below the checkpoint folder.  Nodes without an edge
-    are not listed.  Rounds stop when the links no longer change.
+    are not listed.  Repeated links stay until the end of a round, which never
+    has more than twice its input.  Rounds stop when the links no longer change.
     """
     links = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    links = materialize(links.where("a <> b").distinct())
+    links = materialize(links.where("a <> b"))
     last = None
     for _ in range(max_rounds):
         # large star: every larger neighbour of a node links to the node's smallest neighbour
         both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = (both.join(low, "a").where("b > a")
-                 .select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+                 .select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b"))
         # small star: every smaller neighbour (and the node) links to the smallest
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
