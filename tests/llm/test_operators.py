@@ -656,6 +656,17 @@ def test_repeats_odd_rows(spark, empty, monkeypatch):
     assert suffix_dedup.without_repeats(named(empty)).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, suffix_dedup.MOST])
+def test_repeats_under_negative_row_names(spark, monkeypatch, most):
+    plain = named
+    monkeypatch.setitem(globals(), "named", lambda df: plain(df).withColumn("rid", F.col("rid") - (1 << 62)))
+    rng = np.random.default_rng(12)
+    passage = "".join(rng.choice(list("abcdef "), 300))
+    rows = [(i, "".join(rng.choice(list("abcdef "), int(rng.integers(0, 90)))) + passage[int(rng.integers(0, 80)):int(rng.integers(120, 300))]
+             + "".join(rng.choice(list("abcdef "), int(rng.integers(0, 90))))) for i in range(60)]
+    check_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), 40, 24, most)
+
+
 def test_suffix_order():
     rng = np.random.default_rng(9)
     for _ in range(400):
