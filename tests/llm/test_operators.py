@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -667,6 +668,13 @@ def test_repeats_under_negative_row_names(spark, monkeypatch, most):
     check_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), 40, 24, most)
 
 
+def test_long_texts_are_looked_at_in_bounded_parts():
+    batch = pa.record_batch([pa.array(["ab" * (3 << 20)])], names=["text"])
+    found = list(suffix_dedup.parts(batch, 400))
+    assert max(len(data) for data, *_ in found) <= (1 << 19) + 399
+    assert sum(len(data) - 399 for data, *_ in found) == (6 << 20) - 399  # every start once
+
+
 def test_suffix_order():
     rng = np.random.default_rng(9)
     for _ in range(400):
