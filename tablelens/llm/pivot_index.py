@@ -11,8 +11,11 @@ of these minima ranks a block's vectors by footrule.  The best ``RERANK`` share
 of every block (``RERANK_LEAST`` vectors at least) is compared exactly.
 
 Queries are dealt to groups the same way, and every block meets every group:
-the stated query set against all rows, in blocks.  A task holds one block and
-one group (about 0.5 and 1 MB) and returns a query's nearest of its blocks.
+the stated query set against all rows, in blocks.  ``RUN`` blocks and ``TEAM``
+groups make a cell, to which each of them is sent once, through the shuffle
+alone: a task holds a cell's groups (about 0.5 MB each with 64 floats a vector),
+walks its blocks past them one by one, and returns a query's nearest of the
+cell.  The driver sees the pivots and counts, never a block or a group.
 
 Equal vectors are one entry of the index with its first rows by id, as many as
 an answer can hold, so a hot vector is neither indexed nor compared twice.
@@ -40,6 +43,9 @@ PIVOTS = 256
 PREFIX = 255
 BLOCK = 1024
 GROUP = 1024
+RUN = 16
+TEAM = 16
+TASKS = 4096  # at most; a task takes several cells then
 RERANK = 0.03
 RERANK_LEAST = 64
 SALT = 64
@@ -50,16 +56,24 @@ def in_order(alias: str = "at"):
     return F.struct(F.col("vec_id").isNull().alias("none"), "vec_id", "rid").alias(alias)
 
 
-def entries_of(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Distinct vectors (entry, dim, v), their first ``k + 1`` rows (entry, at),
-    and the entry of every row (rid, vec_id, entry)."""
-    keyed = rows.withColumn("key", F.unhex(F.md5("v"))).withColumn("dim", F.col("dim"))
-    firsts = materialize(keyed.groupBy("dim", "key").agg(F.min(in_order()).alias("at"), F.count("*").alias("n"))
-                         .select("dim", "key", F.col("at.rid").alias("entry"), "n"))
-    members = materialize(keyed.select("rid", "vec_id", "dim", "key").join(firsts, ["dim", "key"])
+def by_shuffle(rows: DataFrame) -> DataFrame:
+    """Rows that a join must not send through the driver: Spark takes a written
+    table for small by its compressed files, a tenth of its rows in memory."""
+    return rows.hint("merge")
+
+
+def entries_of(rows: DataFrame, k: int, is_query) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Distinct vectors (entry, dim, v, and wanted: whether a row of theirs
+    meets ``is_query``), their first ``k + 1`` rows (entry, at), and the entry
+    of every row (rid, vec_id, entry)."""
+    keyed = rows.withColumn("key", F.unhex(F.md5("v")))
+    firsts = materialize(keyed.groupBy("dim", "key")
+                         .agg(F.min(in_order()).alias("at"), F.count("*").alias("n"), F.first("v").alias("v"),
+                              F.max(is_query).alias("wanted"))
+                         .select("dim", "key", F.col("at.rid").alias("entry"), "n", "v", "wanted"))
+    numbers = by_shuffle(firsts.select("dim", "key", "entry", "n"))
+    members = materialize(keyed.select("rid", "vec_id", "dim", "key").join(numbers, ["dim", "key"])
                           .select("rid", "vec_id", "entry", "n"))
-    again = members.where("rid <> entry").select("rid")
-    distinct = materialize(rows.join(again, "rid", "left_anti").select(F.col("rid").alias("entry"), "dim", "v"))
     single = members.where("n = 1").select("entry", in_order())
     several = members.where("n > 1").select("entry", in_order(), F.pmod(F.xxhash64("rid"), F.lit(SALT)).alias("salt"))
     for keys in (["entry", "salt"], ["entry"]):  # a hot vector's rows are narrowed down in two steps
@@ -67,7 +81,7 @@ def entries_of(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame
         several = several.withColumn("place", place).where(F.col("place") <= k + 1).drop("place")
     copies = materialize(single.unionByName(several.select("entry", "at"))
                          .groupBy("entry").agg(F.array_sort(F.collect_list("at")).alias("rows")))
-    return distinct, copies, members.select("rid", "vec_id", "entry")
+    return firsts.select("entry", "dim", "v", "wanted"), copies, members.select("rid", "vec_id", "entry")
 
 
 def postings(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
@@ -80,10 +94,11 @@ def postings(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     return out
 
 
-def blocks_of(entries: DataFrame, pivots: np.ndarray, prefix: int, size: int, by_pivot: bool) -> tuple[DataFrame, int]:
-    """One row per block of about ``size`` vectors: block, entries, vectors and
-    postings as bytes, the postings pivot by pivot (the inverted files) or, for
-    queries, vector by vector.  Also the number of blocks."""
+def blocks_of(entries: DataFrame, pivots: np.ndarray, prefix: int, size: int, by_pivot: bool,
+              kind: str) -> tuple[DataFrame, int]:
+    """One row per block of about ``size`` vectors: block, entries, vectors (as
+    ``kind``) and postings as bytes, the postings pivot by pivot (the inverted
+    files) or, for queries, vector by vector.  Also the number of blocks."""
     n = max(1, -(-entries.count() // size))
     dealt = (entries.groupBy(F.pmod(F.xxhash64("entry", F.lit(7)), F.lit(n)).alias("block"))
              .agg(F.array_sort(F.collect_list(F.struct("entry", "v"))).alias("held")))
@@ -93,15 +108,15 @@ def blocks_of(entries: DataFrame, pivots: np.ndarray, prefix: int, size: int, by
         for batch in batches:
             for at, held in zip(batch.column("block").to_pylist(), batch.column("held")):
                 inner = held.values
-                x = matrix(inner.field("v"), dim)
-                posted = postings(x, pivots, prefix)
+                x = matrix(inner.field("v"), dim, kind)
+                posted = postings(x.astype(np.float64), pivots, prefix)
                 posted = np.ascontiguousarray(posted.T) if by_pivot else posted
                 yield pa.record_batch([
                     pa.array([at]), pa.array([np.asarray(inner.field("entry")).astype(np.int64).tobytes()], pa.binary()),
                     pa.array([x.tobytes()], pa.binary()), pa.array([posted.tobytes()], pa.binary())],
                     names=["block", "entries", "vectors", "posted"])
 
-    return materialize(dealt.mapInArrow(post, "block long, entries binary, vectors binary, posted binary")), n
+    return dealt.mapInArrow(post, "block long, entries binary, vectors binary, posted binary"), n
 
 
 def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -119,7 +134,9 @@ def nearest_in_block(files: np.ndarray, x: np.ndarray, own: np.ndarray, q: np.nd
     """Numbers in the block and distances of the ``k`` exactly nearest among
     the ``depth`` of least footrule distance; ``files`` is pivot by vector."""
     at = np.flatnonzero(own)
-    shared = np.minimum(files[at], own[at][:, None]).sum(axis=0, dtype=np.int32)
+    walked = files[at]
+    np.minimum(walked, own[at][:, None], out=walked)
+    shared = walked.sum(axis=0, dtype=np.uint16).astype(np.int32)  # at most 255 * 256 / 2
     near = np.argpartition(-shared, depth - 1)[:depth] if depth < len(x) else np.arange(len(x))
     away = distances(x[near], q)
     if len(near) > k:
@@ -129,38 +146,91 @@ def nearest_in_block(files: np.ndarray, x: np.ndarray, own: np.ndarray, q: np.nd
     return near, away
 
 
+class Group:
+    """A group of queries and the nearest entries it has met so far."""
+
+    def __init__(self, entries: np.ndarray, vectors: np.ndarray, posted: np.ndarray, k: int):
+        self.entries, self.vectors, self.posted, self.k = entries, vectors, posted, k
+        self.found, self.n = [], 0
+
+    def meet(self, files: np.ndarray, x: np.ndarray, entries: np.ndarray, depth: int) -> None:
+        """Add every query's nearest of a block."""
+        met = [nearest_in_block(files, x, own, q.astype(np.float64), depth, self.k)
+               for q, own in zip(self.vectors, self.posted)]
+        self.found.append((np.repeat(np.arange(len(met)), [len(near) for near, _ in met]),
+                           entries[np.concatenate([near for near, _ in met])], np.concatenate([away for _, away in met])))
+        self.n += len(self.found[-1][0])
+        if self.n > 8 * self.k * len(met):
+            self.nearest()
+
+    def nearest(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of the query, entry and distance of the ``k`` nearest of every
+        query and of those as near as the last; the others are forgotten."""
+        query, entry, away = (np.concatenate(part) for part in zip(*self.found))
+        order = np.lexsort((away, query))
+        query, entry, away = query[order], entry[order], away[order]
+        first = np.searchsorted(query, np.arange(len(self.entries)))
+        last = np.minimum(first + self.k, np.append(first[1:], len(query))) - 1
+        keep = away <= away[last][query]  # ties are settled by id, later
+        self.found, self.n = [(query[keep], entry[keep], away[keep])], int(keep.sum())
+        return self.found[0]
+
+
+def in_cells(blocks: DataFrame, n_blocks: int, groups: DataFrame, n_groups: int) -> DataFrame:
+    """(run, team, of, block, entries, vectors, posted): the groups (of = 0) and
+    then the blocks (of = 1) of every cell, a cell in one partition."""
+    runs, teams = -(-n_blocks // RUN), -(-n_groups // TEAM)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    share = lambda n: F.floor(F.col("block") / F.lit(n)).cast("long")
+    names = ["block", "entries", "vectors", "posted"]
+    # dealt out first: the tasks that read a small table are few, and each of its rows is sent many times
+    held = groups.repartition(min(n_groups, TASKS), "block").select(
+        each(runs).alias("run"), share(TEAM).alias("team"), F.lit(0).alias("of"), *names)
+    walked = blocks.select(share(RUN).alias("run"), each(teams).alias("team"), F.lit(1).alias("of"), *names)
+    cells = held.unionByName(walked).repartition(min(runs * teams, TASKS), "run", "team")
+    return cells.sortWithinPartitions("run", "team", "of", "block")
+
+
 def searched(blocks: DataFrame, n_blocks: int, groups: DataFrame, n_groups: int, dim: int, n_pivots: int, k: int,
-             share: float, least: int) -> DataFrame:
-    """(query, entry, score): each block's nearest entries of every query."""
-    left = blocks.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_groups - 1).cast("long"))))
-    right = groups.select(F.col("block").alias("group"), F.col("entries").alias("q_entries"),
-                          F.col("vectors").alias("q_vectors"), F.col("posted").alias("q_posted"))
-    right = right.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-    pairs = left.join(right, ["block", "group"]).repartition("block", "group")
+             share: float, least: int, kind: str) -> DataFrame:
+    """(query, entry, score): the nearest entries of every query in each cell."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = lambda value, kind: np.frombuffer(value.as_buffer(), kind)
+
+        def answer(held: list[Group]) -> Iterator[pa.RecordBatch]:
+            for group in held:
+                if group.found:
+                    query, entry, away = group.nearest()
+                    yield pa.record_batch([pa.array(group.entries[query]), pa.array(entry), pa.array(away)],
+                                          names=["query", "entry", "score"])
+
+        cell, held = None, []
         for batch in batches:
             for i in range(batch.num_rows):
                 value = lambda c: batch.column(c)[i]  # noqa: B023, E731
-                entries, q_entries = raw(value("entries"), np.int64), raw(value("q_entries"), np.int64)
-                x = raw(value("vectors"), np.float64).reshape(-1, dim)
-                files = raw(value("posted"), np.uint8).reshape(n_pivots, -1)
+                at = value("run").as_py(), value("team").as_py()
+                if at != cell:
+                    yield from answer(held)
+                    cell, held = at, []
+                entries, x = raw(value("entries"), np.int64), raw(value("vectors"), kind).reshape(-1, dim)
+                posted = raw(value("posted"), np.uint8)
+                if not value("of").as_py():
+                    held.append(Group(entries.copy(), x.copy(), posted.reshape(-1, n_pivots).copy(), k + 1))
+                    continue
                 depth = min(len(x), max(least, int(np.ceil(share * len(x)))))
-                queries = zip(raw(value("q_vectors"), np.float64).reshape(-1, dim),
-                              raw(value("q_posted"), np.uint8).reshape(-1, n_pivots))
-                found = [nearest_in_block(files, x, own, q, depth, k + 1) for q, own in queries]
-                yield pa.record_batch([
-                    pa.array(np.repeat(q_entries, [len(f[0]) for f in found])),
-                    pa.array(entries[np.concatenate([f[0] for f in found])]),
-                    pa.array(np.concatenate([f[1] for f in found]))], names=["query", "entry", "score"])
+                x, files = x.astype(np.float64), posted.reshape(n_pivots, -1)
+                for group in held:
+                    group.meet(files, x, entries, depth)
+        yield from answer(held)
 
-    return materialize(pairs.mapInArrow(search, "query long, entry long, score double"))
+    cells = in_cells(blocks, n_blocks, groups, n_groups)
+    return materialize(cells.mapInArrow(search, "query long, entry long, score double"))
 
 
 def answers(found: DataFrame, copies: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest rows of every query row."""
-    lead = found.join(copies, "entry").select("query", "score", F.col("rows")[0].alias("at"), "rows")
+    lead = found.join(by_shuffle(copies), "entry").select("query", "score", F.col("rows")[0].alias("at"), "rows")
     lead = lead.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("score", "at")))
     one = F.transform("rows", lambda r: F.struct(F.col("score").alias("score"), r.alias("at")))
     per = (lead.where(F.col("place") <= k + 1).select("query", F.explode(one).alias("r"))
@@ -177,18 +247,19 @@ def search(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str =
     """The ``k`` nearest other rows of every row that meets ``is_query`` (a
     condition on vec_id): query_id, rank, vec_id, score."""
     kept = usable(rows, id_col, vector_col)
-    distinct, copies, members = entries_of(kept, k)
-    asked = materialize(members.where(F.coalesce(is_query, F.lit(False))))
-    wanted = asked.select("entry").distinct()
+    is_query = F.coalesce(is_query, F.lit(False))
+    distinct, copies, members = entries_of(kept, k, is_query)
+    asked = materialize(members.where(is_query))
     out = None
     for (dim,) in kept.select("dim").distinct().collect():  # an index for each number of components
-        mine = distinct.where(F.col("dim") == dim).select("entry", "v")
+        mine = distinct.where(F.col("dim") == dim).select("entry", "v", "wanted")
         picked = hash_sample(mine.select("v"), ["v"], n_pivots).collect()
         wide = len(picked[0]["v"]) // dim
-        pivots = np.array([np.frombuffer(r["v"], np.float32 if wide == 4 else np.float64) for r in picked], np.float64)
-        blocks, n_blocks = blocks_of(mine, pivots, prefix, BLOCK, True)
-        groups, n_groups = blocks_of(mine.join(wanted, "entry", "left_semi"), pivots, prefix, GROUP, False)
-        found = searched(blocks, n_blocks, groups, n_groups, dim, len(pivots), k, share, least)
+        kind = "f4" if wide == 4 else "f8"
+        pivots = np.array([np.frombuffer(r["v"], kind) for r in picked], np.float64)
+        blocks, n_blocks = blocks_of(mine, pivots, prefix, BLOCK, True, kind)
+        groups, n_groups = blocks_of(mine.where("wanted"), pivots, prefix, GROUP, False, kind)
+        found = searched(blocks, n_blocks, groups, n_groups, dim, len(pivots), k, share, least, kind)
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = members.select(F.col("rid").alias("query"), "entry", F.lit(0.0).alias("score")).where("false")

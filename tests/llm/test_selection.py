@@ -227,6 +227,55 @@ def test_recall_of_the_index(spark):
     assert hits >= 0.9 * total
 
 
+def test_no_vector_goes_through_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, np.round(rng.normal(size=6), 1).tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows + rows[:50], "vec_id bigint, embedding array<double>").repartition(5)
+    monkeypatch.setattr(pivot_index, "BLOCK", 32)
+    monkeypatch.setattr(pivot_index, "GROUP", 4)
+    inner, plans = pivot_index.materialize, []
+
+    def noted(out):
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return inner(out)
+
+    monkeypatch.setattr(pivot_index, "materialize", noted)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")  # whatever the session takes for small
+    try:
+        assert pivot_index.search(df, F.col("vec_id") % 20 == 0, k=3).count() == 3 * 13  # 3 of the 10 stand twice
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plans and not any("BroadcastExchange" in plan for plan in plans)
+
+
+@pytest.mark.parametrize("run, team", [(2, 2), (50, 1), (1, 50)])
+def test_neighbours_in_cells(spark, monkeypatch, run, team):
+    for name, value in (("BLOCK", 8), ("GROUP", 4), ("RUN", run), ("TEAM", team), ("TASKS", 3)):
+        monkeypatch.setattr(pivot_index, name, value)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.integers(-2, 3, 3).astype(float).tolist()) for i in range(300)]  # many ties, zero vectors too
+    rows += [(1000 + i, rng.normal(size=3).tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(5)
+    got = rows_of(pivot_index.search(df, F.col("vec_id") % 9 == 0, k=3, share=1.0, n_pivots=16, prefix=8), *FOUND)
+    same_answers(got, plain_neighbours(rows, 3, lambda i: i % 9 == 0))
+
+
+def test_blocks_and_groups_are_sent_once_a_cell(spark):
+    side = lambda n: spark.range(n).selectExpr("id as block", *[f"binary('') as {c}" for c in ("entries", "vectors", "posted")])
+    parts = pivot_index.in_cells(side(40), 40, side(35), 35).select("run", "team", "of", "block").rdd.glom().collect()
+    assert sum(map(len, parts)) == 40 * 3 + 35 * 3
+    met = collections.Counter()
+    for part in parts:
+        cell, held = None, []
+        for r in part:
+            cell, held = (r[:2], held if cell == r[:2] else [])
+            if r["of"] == 0:
+                held.append(r["block"])
+            else:
+                met.update((r["block"], group) for group in held)
+    assert met == collections.Counter((b, g) for b in range(40) for g in range(35))
+
+
 # -- names of rows -----------------------------------------------------------------------------
 
 @pytest.mark.parametrize("which", ["lines", "repeats"])
