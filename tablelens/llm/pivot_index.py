@@ -123,27 +123,35 @@ def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Euclidean distances of rows to ``q``; scaled only where squares overflow."""
     with np.errstate(over="ignore"):
         gap = x - q
-        away = np.sqrt((gap ** 2).sum(axis=1))
-    for i in np.flatnonzero(~np.isfinite(away)):
+        away = np.sqrt((gap ** 2).sum(axis=-1))
+    for i in zip(*np.nonzero(~np.isfinite(away))):
         size = np.abs(gap[i]).max()
         away[i] = size * np.sqrt(((gap[i] / size) ** 2).sum()) if np.isfinite(size) else np.inf
     return away
 
 
-def nearest_in_block(files: np.ndarray, x: np.ndarray, own: np.ndarray, q: np.ndarray, depth: int, k: int):
-    """Numbers in the block and distances of the ``k`` exactly nearest among
-    the ``depth`` of least footrule distance; ``files`` is pivot by vector."""
-    at = np.flatnonzero(own)
-    walked = files[at]
-    np.minimum(walked, own[at][:, None], out=walked)
-    shared = walked.sum(axis=0, dtype=np.uint16).astype(np.int32)  # at most 255 * 256 / 2
-    near = np.argpartition(-shared, depth - 1)[:depth] if depth < len(x) else np.arange(len(x))
-    away = distances(x[near], q)
-    if len(near) > k:
-        limit = np.partition(away, k - 1)[k - 1]
-        keep = away <= limit  # ties are settled by id, later
-        near, away = near[keep], away[keep]
-    return near, away
+def nearest_in_block(files: np.ndarray, x: np.ndarray, posted: np.ndarray, q: np.ndarray, depth: int, k: int):
+    """Number of the query, number in the block and distance of the ``k``
+    exactly nearest of every query among the ``depth`` of least footrule
+    distance; ``files`` is pivot by vector, ``posted`` query by pivot."""
+    near = np.empty((len(q), depth), np.int64)
+    walked = np.empty_like(files)
+    for i, own in enumerate(posted):
+        at = np.flatnonzero(own)
+        if 2 * len(at) > len(own):  # the files of the other pivots add nothing; picking its own costs more here
+            np.minimum(files, own[:, None], out=walked)
+            shared = walked.sum(axis=0, dtype=np.uint16)  # at most 255 * 256 / 2
+        else:
+            shared = np.minimum(files[at], own[at][:, None]).sum(axis=0, dtype=np.uint16)
+        near[i] = np.argpartition(-shared.astype(np.int32), depth - 1)[:depth] if depth < len(x) else np.arange(len(x))
+    out = []
+    step = max(1, (1 << 17) // (depth * x.shape[1]))
+    for i in range(0, len(q), step):
+        away = distances(x[near[i:i + step]], q[i:i + step, None])
+        limit = np.partition(away, k - 1, axis=1)[:, k - 1:k] if depth > k else np.inf
+        query, place = np.nonzero(away <= limit)  # ties are settled by id, later
+        out.append((query + i, near[i:i + step][query, place], away[query, place]))
+    return tuple(np.concatenate(part) for part in zip(*out))
 
 
 class Group:
@@ -155,12 +163,10 @@ class Group:
 
     def meet(self, files: np.ndarray, x: np.ndarray, entries: np.ndarray, depth: int) -> None:
         """Add every query's nearest of a block."""
-        met = [nearest_in_block(files, x, own, q.astype(np.float64), depth, self.k)
-               for q, own in zip(self.vectors, self.posted)]
-        self.found.append((np.repeat(np.arange(len(met)), [len(near) for near, _ in met]),
-                           entries[np.concatenate([near for near, _ in met])], np.concatenate([away for _, away in met])))
-        self.n += len(self.found[-1][0])
-        if self.n > 8 * self.k * len(met):
+        query, near, away = nearest_in_block(files, x, self.posted, self.vectors.astype(np.float64), depth, self.k)
+        self.found.append((query, entries[near], away))
+        self.n += len(query)
+        if self.n > 8 * self.k * len(self.entries):
             self.nearest()
 
     def nearest(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
